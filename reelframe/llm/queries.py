@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from reelframe.llm.mixing import op6_mixing
 from reelframe.llm.packing import op1_best_fit_packing
 from reelframe.llm.quality_rules import OP7_SQL, op7_quality_rules
+from reelframe.llm.simhash import op8_simhash
 from reelframe.llm.token_store import op9_token_store
+from reelframe.llm.url_filters import op10_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_simhash": op8_simhash,
     "op9_token_store": op9_token_store,
+    "op10_url_filters": op10_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_quality_rules": OP7_SQL}
