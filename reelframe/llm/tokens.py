@@ -1,58 +1,98 @@
-"""Token ids through the tokenizers library, with each distinct chunk of a batch encoded once."""
+"""Token ids through the tokenizers library, with each distinct chunk of text encoded once by a process."""
 
 from __future__ import annotations
 
 import hashlib
-import re
+import os
 
 import numpy as np
+import regex
 
 #: Unicode white space, as the tokenizers' patterns see it.
-_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: No token of either tokenizer crosses the border of two chunks, so a text's ids are its chunks' ids in order. "bytes" is
-#: for byte-level BPE, in which a blank belongs to the word after it; "words" for tokenizers that drop white space.
+_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_TAILS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: No token crosses the border of two chunks, so a text's ids are its chunks' ids in order. "bytes" is for byte-level
+#: BPE, in which a blank belongs to the word after it; "words" for tokenizers that lower-case and drop white space.
 CHUNKS = {
-    "words": re.compile(f"[^{_WS}]+"),
-    "bytes": re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"),
+    "words": regex.compile(f"[^{_WS}]+"),
+    "bytes": regex.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"),
 }
+#: How the tokenizers cut a chunk further.
+_PARTS = {
+    "words": regex.compile(f"{_TAILS}|\\p{{L}}+|\\p{{N}}|[^{_WS}\\p{{L}}\\p{{N}}]+"),
+    "bytes": regex.compile(f"{_TAILS}| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{_WS}\\p{{L}}\\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"),
+}
+#: Latin text, in which normal form C and lower case need no context; anything else goes to the library whole.
+_PLAIN = regex.compile("[\\x00-\\u012f\\u0131-\\u024f]+")
 
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: printable Latin-1 as it is, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+class _Known(dict):
+    """Ids of keys as bytes, filled as they are asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.make(key)
+        if len(key) <= ChunkEncoder.SHORT:
+            self[key] = ids
+        return ids
+
+
 class ChunkEncoder:
-    """texts -> ids as little-endian unsigned 32-bit bytes. Ids of short chunks are kept, up to a bound."""
+    """texts -> ids as little-endian unsigned 32-bit bytes. The ids of up to KEEP short chunks are remembered."""
 
-    KEEP, SHORT = 300_000, 48
+    KEEP, SHORT = 500_000, 48
 
     def __init__(self, tokenizer_json: str, chunks: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.find = CHUNKS[chunks].findall
-        self.known: dict[str, bytes] = {}
+        self.kind = chunks
+        self.letters = _byte_letters()
+        self.chunks, self.parts = _Known(self._chunk), _Known(self._part)
+
+    def _whole(self, chunk: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        written = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(written)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not _PLAIN.fullmatch(chunk):
+            return self._whole(chunk)
+        parts = _PARTS[self.kind].findall(chunk.lower() if self.kind == "words" else chunk)
+        return b"".join([self.parts[p] for p in parts])
+
+    def _split(self, text: str) -> list[str]:
+        if self.kind == "words" and not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text):
+            return text.split()  # white space as in CHUNKS but for these four
+        return CHUNKS[self.kind].findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.KEEP:
-            self.known.clear()
-        chunked = [self.find(t) for t in texts]
-        new = [*set().union(*chunked).difference(self.known)]
-        got = self.tokenizer.encode_batch(new, add_special_tokens=False) if new else []
-        ids = {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(new, got, strict=True)}
-        self.known.update(ids)
-        out = [b"".join(map(self.known.__getitem__, c)) for c in chunked]
-        for c in new:
-            if len(c) > self.SHORT:
-                del self.known[c]
-        return out
+        for known in (self.chunks, self.parts):
+            if len(known) > self.KEEP:
+                known.clear()
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, self._split(t))) for t in texts]
 
 
 def encoder(tokenizer_json: str, chunks: str) -> ChunkEncoder:
     """This process's encoder; Python workers live for many tasks."""
     key = (hashlib.sha256(tokenizer_json.encode()).hexdigest(), chunks)
     if key not in _encoders:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         _encoders[key] = ChunkEncoder(tokenizer_json, chunks)
     return _encoders[key]
