@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reelframe.llm.common import lower_ascii, materialize, read_table
 
 MIN_SUPPORT = 0.005
+MIN_COUNT = 10
 MIN_CONFIDENCE = 0.9
 BLOCK = "verdict=block"
 ALLOW = "verdict=allow"
@@ -51,11 +52,11 @@ def listed(host: Column, path: Column, rules: tuple[ListRule, ...] = RULES) -> C
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """What a URL is made of: each label of the host and each part of a label, the path's segments, the query's keys."""
+    """What a URL is made of: each label of the host and the parts of one with hyphens, the path's segments, the query's keys."""
     tag = lambda name, parts: F.transform(F.array_remove(parts, ""), lambda x: F.concat(F.lit(name), x))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     keys = F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, "^[^=]*", 0))
-    return F.array_distinct(F.concat(tag("host:", F.split(host, r"\.")), tag("word:", F.split(host, r"[.\-]")), tag("path:", F.split(path, "/")), tag("key:", keys)))
+    return F.array_distinct(F.concat(tag("host:", F.split(host, r"\.")), tag("word:", F.flatten(F.transform(F.filter(F.split(host, r"\."), lambda x: x.contains("-")), lambda x: F.split(x, "-")))), tag("path:", F.split(path, "/")), tag("key:", keys)))
 
 
 def matches(sets: DataFrame, rules: DataFrame) -> DataFrame:
@@ -72,8 +73,10 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 
     FP-growth over all labelled rows, each with its verdict as one more item. Of the rules for BLOCK those of enough
     confidence stay, and of these only the least: a rule that another one's antecedent is part of says nothing new.
-    Fewer than 1 / min_support tokens of a row's length can be frequent, so rules don't grow with the number of rows.
+    A combination needs min_support of the rows and MIN_COUNT rows. At most (tokens in a row) / min_support tokens are
+    frequent, so rules don't grow with the number of rows.
     """
+    min_support = max(min_support, MIN_COUNT / max(labelled.count(), MIN_COUNT))
     items = labelled.select(F.array_union("tokens", F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     wanted = F.array_contains("consequent", BLOCK) & ~F.array_contains("antecedent", ALLOW)
