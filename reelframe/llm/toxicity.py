@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reelframe.llm.common import materialize, read_table, words
 
-MAX_TRAIN_ROWS = 20_000
+MAX_TRAIN_ROWS = 8_000
 MAX_VOCABULARY = 30_000
 FOLDS = 3
 #: In the order of the chain.
@@ -72,7 +72,7 @@ def _best_threshold(df: DataFrame, category: str, steps: int = 100) -> float:
     return top[len(top) // 2] / steps
 
 
-def fit_chain(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, max_rows: int = MAX_TRAIN_ROWS, max_vocabulary: int = MAX_VOCABULARY, folds: int = FOLDS, iterations: int = 25) -> Chain | None:
+def fit_chain(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, max_rows: int = MAX_TRAIN_ROWS, max_vocabulary: int = MAX_VOCABULARY, folds: int = FOLDS, iterations: int = 15) -> Chain | None:
     """Fit a chain on (doc_id, text, a 0 or 1 column for each category); None where no row is labelled.
 
     At most max_rows rows are used, those whose doc_ids hash lowest. What a later model reads of an earlier category in
@@ -81,7 +81,7 @@ def fit_chain(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, max
     """
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = sample.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(folds)).alias(_FOLD), *(F.col(c).cast("double").alias(c) for c in categories), terms(F.coalesce("text", F.lit(""))).alias("_terms"))
-    sample = materialize(sample.repartition(8, "doc_id"), "toxicity-sample")
+    sample = materialize(sample.repartition(4, "doc_id"), "toxicity-sample")
     rows = sample.count()
     if not rows:
         return None
