@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reelframe.llm.language_id import op5_language_id
+from reelframe.llm.media_columns import op4_media_columns
 from reelframe.llm.mixing import op6_mixing
 from reelframe.llm.packing import op1_best_fit_packing
 from reelframe.llm.quality_rules import OP7_SQL, op7_quality_rules
 from reelframe.llm.simhash import op8_simhash
+from reelframe.llm.suffix_dedup import op3_suffix_dedup
 from reelframe.llm.token_store import op9_token_store
 from reelframe.llm.toxicity import op2_toxicity
 from reelframe.llm.url_filters import op10_url_filters
@@ -18,6 +20,8 @@ from reelframe.llm.url_filters import op10_url_filters
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_media_columns": op4_media_columns,
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
