@@ -15,20 +15,25 @@ BITS = 64
 DISTANCE = 2
 SHINGLE = 3
 BUCKET = 128
+_ODD = np.uint64(0x9FB21C651E98DF25)
 
 
-def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
+def shingle_hashes(text: Column | str, shingle: int = SHINGLE) -> Column:
     """XXH64 (seed 42) of each shingle of the lower-cased text; of all words, if they are fewer; none without words."""
     joined = lambda w: F.transform(
         F.sequence(F.lit(1), F.size(w) - shingle + 1),
         lambda i: F.xxhash64(F.concat_ws(" ", *(F.element_at(w, i + k) for k in range(shingle)))),
     )
     few = lambda w: F.when(F.size(w) > 0, F.array(F.xxhash64(F.concat_ws(" ", w)))).otherwise(F.array().cast("array<bigint>"))
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     return let(words(lower_ascii(text)), lambda w: F.when(F.size(w) >= shingle, joined(w)).otherwise(few(w)))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (long): a bit is 1 if over half of the shingles' hashes have it. Null and wordless texts have 0."""
+def fingerprints(hashed: DataFrame, width: int = 1) -> DataFrame:
+    """id, fps (width longs) of (id, h): a bit is 1 if over half of the hashes in h have it; 0 without hashes.
+
+    The first word takes the hashes as they are, each other one mixes them anew.
+    """
 
     def run(batches):
         for batch in batches:
@@ -39,17 +44,21 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 n = np.diff(lists.offsets.to_numpy())
                 some = n > 0
                 firsts = np.concatenate([[0], np.cumsum(n)])[:-1][some]
-                fp = np.zeros(len(n), np.uint64)
-                if len(h):
+                fps = np.zeros((len(n), width), np.uint64)
+                for w in range(width):
+                    own = h
+                    if w:
+                        own = (h ^ (h >> np.uint64(31))) * (_ODD + np.uint64(2 * w))
+                        own ^= own >> np.uint64(29)
                     got = np.zeros(len(firsts), np.uint64)
-                    for b in range(BITS):
-                        ones = np.add.reduceat((h >> np.uint64(b)) & np.uint64(1), firsts)
+                    for b in range(BITS if len(h) else 0):
+                        ones = np.add.reduceat((own >> np.uint64(b)) & np.uint64(1), firsts)
                         got |= (2 * ones > n[some].astype(np.uint64)).astype(np.uint64) << np.uint64(b)
-                    fp[some] = got
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64), pa.int64())], names=["doc_id", "fp"])
+                    fps[some, w] = got
+                flat = pa.array(fps.view(np.int64).ravel())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(n) + 1, width), pa.int32()), flat)], names=["id", "fps"])
 
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingle_hashes(F.coalesce(F.col("text").cast("string"), F.lit("")), shingle).alias("h"))
-    return hashed.mapInArrow(run, "doc_id long, fp long")
+    return hashed.select("id", "h").mapInArrow(run, "id long, fps array<long>")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -147,32 +156,40 @@ def _mask(bits) -> int:
     return m - (1 << BITS) if m >> (BITS - 1) else m
 
 
-def probes(fps: DataFrame, parts: list[tuple[tuple[int, ...], int]]) -> DataFrame:
-    """doc_id, fp, mask, value: what a row is looked up by. A threshold of 1 leaves out one bit after the other."""
+def probes(prints: DataFrame, word: int, parts: list[tuple[tuple[int, ...], int]]) -> DataFrame:
+    """id, fps, word, mask, value: what a row is looked up by. A threshold of 1 leaves out one bit after the other."""
     masks = [_mask(set(bits) - {b}) for bits, t in parts for b in (bits if t == 1 else [-1])]
-    each = fps.select("doc_id", "fp", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
-    return each.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+    each = prints.select("id", "fps", F.lit(word).alias("word"), F.explode(F.array(*map(F.lit, masks))).alias("mask"))
+    return each.withColumn("value", F.col("fps")[word].bitwiseAND(F.col("mask")))
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links of rows (doc_id, fp), fp distinct, that connect all rows within the distance of each other.
+def links(prints: DataFrame, distance: int = DISTANCE, width: int = 1, limit: int | None = None, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): links of rows (id, fps) that connect all rows within the distance of each other in some word of fps, and
+    within the limit (the distance, if not given) over all words.
 
-    Rows that share a probe are candidates. In a probe of at most `bucket` rows each pair is verified, and the links of a
-    spanning forest are kept, fewer than rows. A fuller probe is split by the same principle: its rows differ in at most
-    `distance` of the bits that the probe leaves open, so they agree in one of distance + 1 parts of them, and each part
-    makes a narrower probe. It ends, as a probe that leaves out few bits has few rows; no pair is lost.
+    Rows that share a probe are candidates. In a probe of at most `bucket` rows each pair is verified, and the closest
+    links of a spanning forest are kept, fewer than rows. A fuller probe is split by the same principle: its rows differ
+    in at most `distance` of the bits that the probe leaves open, so they agree in one of distance + 1 parts of them, and
+    each part makes a narrower probe. It ends, as a probe that leaves out few bits has few rows; no pair is lost.
     """
-    n, both = bit_statistics(fps)
-    level = probes(fps, choose_parts(n, both, distance))
+    limit = distance if limit is None else limit
+    level = None
+    for w in range(width):
+        n, both = bit_statistics(prints.select(F.col("fps")[w].alias("fp")))
+        own = probes(prints, w, choose_parts(n, both, distance))
+        level = own if level is None else level.unionByName(own)
     out = []
 
     def forest(batches):
         for batch in batches:
             left, right = [], []
-            for docs, own in zip(batch.column("docs"), batch.column("own"), strict=True):
-                ids, fp = docs.values.to_numpy(zero_copy_only=False), own.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= distance
-                root = list(range(len(ids)))
+            for rows in batch.column("rows"):
+                ids = rows.values.field("id").to_numpy(zero_copy_only=False)
+                fps = rows.values.field("fps").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), width)
+                far = sum(np.bitwise_count(fps[:, None, w] ^ fps[None, :, w]).astype(np.int32) for w in range(width))
+                i, j = np.nonzero(np.triu(far <= limit, 1))
+                closest = np.argsort(far[i, j], kind="stable")
+                root, open_ = list(range(len(ids))), len(ids) - 1
 
                 def top(i, root=root):
                     while root[i] != i:
@@ -180,20 +197,24 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Dat
                         i = root[i]
                     return i
 
-                for i, j in np.argwhere(np.triu(near, 1)).tolist():
-                    x, y = top(i), top(j)
-                    if x != y:
-                        root[y] = x
-                        left.append(ids[i])
-                        right.append(ids[j])
+                for x, y in zip(i[closest].tolist(), j[closest].tolist()):
+                    p, q = top(x), top(y)
+                    if p != q:
+                        root[q] = p
+                        left.append(ids[x])
+                        right.append(ids[y])
+                        open_ -= 1
+                        if not open_:
+                            break
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
+    key = ["word", "mask", "value"]
     while True:
         level = materialize(level, "probes")
-        counts = materialize(level.groupBy("mask", "value").agg(F.count("*").alias("n")).filter("n > 1"), "probe-counts")
-        small = level.join(counts.filter(F.col("n") <= bucket).drop("n"), ["mask", "value"])
-        lists = small.groupBy("mask", "value").agg(F.collect_list("doc_id").alias("docs"), F.collect_list("fp").alias("own"))
-        out.append(lists.select("docs", "own").mapInArrow(forest, "a long, b long"))
+        counts = materialize(level.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1"), "probe-counts")
+        small = level.join(counts.filter(F.col("n") <= bucket).drop("n"), key)
+        lists = small.groupBy(*key).agg(F.collect_list(F.struct("id", "fps")).alias("rows"))
+        out.append(lists.select("rows").mapInArrow(forest, "a long, b long"))
         full = counts.filter(F.col("n") > bucket)
         masks = [r["mask"] for r in full.select("mask").distinct().collect()]  # a few for each level
         if not masks:
@@ -202,9 +223,10 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Dat
         for m in masks:
             rest = [b for b in range(BITS) if not (m >> b) & 1]
             narrower[m] = [_mask([*(b for b in range(BITS) if (m >> b) & 1), *rest[k :: distance + 1]]) for k in range(distance + 1)]
-        pairs = fps.sparkSession.createDataFrame([(m, x) for m, xs in narrower.items() for x in xs], "mask long, narrower long")
-        more = level.join(full.drop("n"), ["mask", "value"]).join(F.broadcast(pairs), "mask")
-        level = more.select("doc_id", "fp", F.col("narrower").alias("mask")).distinct().withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        pairs = prints.sparkSession.createDataFrame([(m, x) for m, xs in narrower.items() for x in xs], "mask long, narrower long")
+        more = level.join(full.drop("n"), key).join(F.broadcast(pairs), "mask")
+        more = more.select("id", "fps", "word", F.col("narrower").alias("mask")).dropDuplicates(["id", "word", "mask"])
+        level = more.withColumn("value", F.col("fps")[F.col("word")].bitwiseAND(F.col("mask")))
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)
@@ -240,16 +262,46 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
 
     Equal fingerprints are one class, which takes part once, under its least doc_id; a document whose doc_id is null is
     in the component of its class, which is null if no doc_id is known. Repeated rows are each returned; an empty table
-    gives an empty result.
+    gives an empty result. Null and wordless texts have fingerprint 0.
     """
-    prints = materialize(fingerprints(docs, shingle), "fingerprints")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("id"), shingle_hashes(text, shingle).alias("h"))
+    prints = materialize(fingerprints(hashed).select(F.col("id").alias("doc_id"), F.col("fps")[0].alias("fp")), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("class_id")), "classes")
-    known = classes.filter(F.col("class_id").isNotNull()).select(F.col("class_id").alias("doc_id"), "fp")
+    known = classes.filter(F.col("class_id").isNotNull()).select(F.col("class_id").alias("id"), F.array("fp").alias("fps"))
     comp = components(links(known, distance))
     classes = classes.join(comp, F.col("class_id") == F.col("node"), "left").select("fp", F.coalesce("component", "class_id").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, width: int = 6, limit: int = 56) -> DataFrame:
+    """docs with one document of each group of near copies: the one with the least doc_id, null last.
+
+    Near copies share at least `similarity` of their distinct word shingles (Jaccard). They are found by fingerprints of
+    `width` words over their distinct words, of which an edit changes fewer than of the shingles: rows that agree in a
+    part of any word, and in all but `limit` bits, are compared by their shingles themselves. Equal texts are one class;
+    texts without words have no other near copies. Repeated rows stay once.
+    """
+    rows = docs.withColumn("_id", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
+    slim = rows.select("_id", "text")
+    distinct = F.array_distinct(F.transform(words(lower_ascii(F.coalesce("text", F.lit("")))), lambda w: F.xxhash64(w)))
+    hashed = slim.select(F.col("_id").alias("id"), distinct.alias("h")).filter(F.size("h") > 0)
+    # equal texts have equal fingerprints, so a group of copies shrinks before it is shuffled
+    prints = materialize(fingerprints(hashed, width).groupBy("id").agg(F.first("fps").alias("fps")), "fingerprints")
+    found = materialize(links(prints, DISTANCE, width, limit), "candidates")
+    ids = found.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    texts = slim.join(ids, "_id", "left_semi").groupBy("_id").agg(F.first("text").alias("text"))
+    sets = texts.select("_id", F.array_distinct(shingle_hashes("text", shingle)).alias("h"))
+    both = found.join(sets.select(F.col("_id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("_id").alias("b"), F.col("h").alias("hb")), "b")
+    shared = F.size(F.array_intersect("ha", "hb"))
+    near = both.filter(shared >= similarity * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
+    comp = components(near)
+    named = rows.select("_id", "doc_id").join(comp, F.col("_id") == F.col("node"), "left").select(F.coalesce("component", "_id").alias("component"), "_id", "doc_id")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_id")).alias("f")).select(F.col("f._id").alias("_k"), F.col("f.doc_id").alias("_d"))
+    kept = rows.join(first, (rows["_id"] == first["_k"]) & rows["doc_id"].eqNullSafe(first["_d"])).dropDuplicates(["_id", "doc_id"])
+    return kept.select(*docs.columns)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
