@@ -121,21 +121,26 @@ def _key(source: Column) -> Column:
 
 
 def taken_parts(placed: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOST_REPEATS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(targets, parts) of place(docs): source_targets(), and the parts of documents that the mix takes, as doc_id,
-    _text_hash, start, epoch, block, part_from, part_words (the part's place in the document and its words)."""
+    """(targets, parts) of place(docs): source_targets(), and the parts of documents that the mix takes: which
+    document (_doc, _hash, _start), epoch, block, part_from and part_words (the part's place in it, and its words)."""
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, most=most), "mix-targets")
     slots = plan_slots(targets, most, seed, block_words=block_words).select(_key(F.col("source")).alias("_key"), "block", "epoch")
     blocks = placed.filter("size > 0").select("doc_id", "_text_hash", "source", "start", "size", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")).alias("block"))
     lo = F.greatest(F.col("start"), F.col("block") * block_words)
     hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-    blocks = blocks.select("doc_id", "_text_hash", "start", _key(F.col("source")).alias("_key"), "block", (lo - F.col("start")).alias("part_from"), (hi - lo).alias("part_words"))
+    document = [F.col("doc_id").alias("_doc"), F.col("_text_hash").alias("_hash"), F.col("start").alias("_start")]
+    blocks = blocks.select(*document, _key(F.col("source")).alias("_key"), "block", (lo - F.col("start")).alias("part_from"), (hi - lo).alias("part_words"))
     return targets, blocks.join(slots, ["_key", "block"])
 
 
+#: A document among the mix's parts.
+_DOCUMENT = ["_doc", "_hash", "_start"]
+
+
 def _same(placed: DataFrame, found: DataFrame) -> Column:
     """The rows of one document; those without words share their start with the next, but nothing is taken from them."""
-    return (placed["size"] > 0) & placed["doc_id"].eqNullSafe(found["doc_id"]) & placed["_text_hash"].eqNullSafe(found["_text_hash"]) & (placed["start"] == found["start"])
+    return (placed["size"] > 0) & placed["doc_id"].eqNullSafe(found["_doc"]) & placed["_text_hash"].eqNullSafe(found["_hash"]) & (placed["start"] == found["_start"])
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -146,7 +151,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
     """
     placed = place(docs.select("doc_id", "text", "source")).drop("text")
     targets, parts = taken_parts(placed)
-    taken = parts.groupBy("doc_id", "_text_hash", "start").agg(F.sum("part_words").alias("taken"))
+    taken = parts.groupBy(*_DOCUMENT).agg(F.sum("part_words").alias("taken"))
     # targets has a row for each source; a join by source would send a hot one to one task
     targets = F.broadcast(targets) if targets.count() <= MOST_BROADCAST else targets
     named = placed.join(targets, placed["source"].eqNullSafe(targets["source"])).drop(targets["source"], targets["weight"])
@@ -160,7 +165,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """
     placed = place(docs)
     _, parts = taken_parts(placed)
-    runs = parts.groupBy("doc_id", "_text_hash", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("part_from", "part_words"))).alias("_runs"))
+    runs = parts.groupBy(*_DOCUMENT, "epoch").agg(F.sort_array(F.collect_list(F.struct("part_from", "part_words"))).alias("_runs"))
     both = placed.join(runs, _same(placed, runs)).select(*(placed[c] for c in docs.columns), "_runs")
     pieces = F.regexp_extract_all("text", F.lit(f"{WORD}[{SPACE}]*"), F.lit(0))
     part = lambda p: lambda r: F.slice(p, (r["part_from"] + 1).cast("int"), r["part_words"].cast("int"))
