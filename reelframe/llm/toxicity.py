@@ -24,7 +24,9 @@ def terms(text: Column) -> Column:
     """The distinct words of a whole text, lower-cased and without marks at their ends, and the starts of the longer ones."""
     bare = F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
     bare = F.array_distinct(F.filter(bare, lambda w: w != ""))
-    starts = [F.transform(F.filter(bare, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("-"))) for n in (4, 5)]
+    # a lambda of two arguments would get the place in the array as its second
+    start = lambda n: F.transform(F.filter(bare, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("-")))
+    starts = [start(n) for n in (4, 5)]
     return F.array_distinct(F.concat(bare, *starts))
 
 
