@@ -1,8 +1,94 @@
-"""Queries on media files."""
+"""Queries on media files, made from documents: each text is the payload of a small file."""
 
 from __future__ import annotations
 
-from reelframe.queries.registry import Registry
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reelframe.queries.registry import Registry, table
+from reelframe.sources import compose, containers, media
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
+
+
+def _files(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """path, content: a file for each document; make gets a text."""
+
+    @F.pandas_udf("binary")
+    def content(text: pd.Series) -> pd.Series:
+        return text.fillna("").map(make)
+
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), content("text").alias("content"))
+
+
+def _parts(text: str, size: int = 200) -> list[bytes]:
+    raw = text.encode()
+    return [raw[i : i + size] for i in range(0, len(raw), size)] or [b" "]
+
+
+@_r.query("""
+WITH d AS (SELECT 'doc/' || doc_id AS path, octet_length(encode(coalesce(text, ''))) // 4 AS n FROM documents),
+k AS (SELECT path, n, unnest(range((n + 2047) // 2048)) AS k FROM d)
+SELECT path, k AS sample_idx, 44 + k * 2048 * 4 AS "offset", least(2048, n - k * 2048) * 4 AS size, k * 2048 AS pts, 8000 AS timescale, 2 AS channels, 16 AS bits FROM k
+""")
+def wav_packets(spark, sf_dir):
+    """S9, with each text as 16-bit stereo at 8000 Hz."""
+    return media.wav_packets(_files(spark, sf_dir, lambda t: compose.wav(t.encode())))
+
+
+@_r.query()
+def mp3_frames(spark, sf_dir):
+    """S14, S16, S19."""
+    return media.mp3_frames(_files(spark, sf_dir, lambda t: compose.mp3(2 + len(t) % 20)))
+
+
+@_r.query()
+def id3_tags(spark, sf_dir):
+    """S20."""
+    found = media.id3_tags(_files(spark, sf_dir, lambda t: compose.id3(t[:20], t[20:40], f"({len(t) % 148})")))
+    return found.select("path", *(F.element_at("tags", k).alias(k) for k in ("title", "artist", "genre")))
+
+
+@_r.query()
+def boxes(spark, sf_dir):
+    """S23, K7."""
+    return containers.elements(_files(spark, sf_dir, lambda t: compose.mp4(_parts(t))), "mp4")
+
+
+@_r.query()
+def mp4_samples(spark, sf_dir):
+    """S25 from the bytes of files."""
+    return media.mp4_samples(_files(spark, sf_dir, lambda t: compose.mp4(_parts(t))))
+
+
+@_r.query()
+def mp4_tracks(spark, sf_dir):
+    return media.mp4_tracks(_files(spark, sf_dir, lambda t: compose.mp4(_parts(t))))
+
+
+@_r.query()
+def ebml(spark, sf_dir):
+    """S27."""
+    return containers.elements(_files(spark, sf_dir, lambda t: compose.mkv([_parts(t)[:20], [b"end"]])), "ebml")
+
+
+@_r.query()
+def mkv_packets(spark, sf_dir):
+    """S29."""
+    return media.mkv_packets(_files(spark, sf_dir, lambda t: compose.mkv([_parts(t)[:20], [b"end"]])))
+
+
+@_r.query()
+def jpeg_segments(spark, sf_dir):
+    """S32."""
+    return containers.elements(_files(spark, sf_dir, lambda t: compose.jpeg(t.encode(), t[:10].encode("ascii", "replace"), len(t) % 8 + 1)), "jpeg")
+
+
+@_r.query()
+def exif(spark, sf_dir):
+    """S35."""
+    found = media.exif(_files(spark, sf_dir, lambda t: compose.jpeg(t.encode(), t[:10].encode("ascii", "replace"), len(t) % 8 + 1, "<>"[len(t) % 2])))
+    return found.select("path", F.element_at("tags", "Make").alias("make"), F.element_at("tags", "Orientation").alias("orientation"))
