@@ -106,13 +106,14 @@ def judge(pages: DataFrame, rules: tuple[ListRule, ...] = RULES, min_support: fl
     urls = materialize(urls, "urls")
     labelled = urls.filter(F.col("_listed").isNotNull()).select(F.col("tokens"), F.col("_listed").alias("verdict"))
     mined = mine(labelled, min_support, min_confidence)
-    # equal token sets are looked up once
-    sets = urls.filter(F.col("_listed").isNull() & (F.size("tokens") > 0)).select(F.sort_array("tokens").alias("tokens")).distinct().withColumn("id", F.concat_ws(" ", "tokens"))
+    # equal token sets are looked up once; what the list decides needs no look-up
+    open_urls = urls.filter(F.col("_listed").isNull()).withColumn("id", F.concat_ws(" ", F.sort_array("tokens")))
+    sets = open_urls.select("id", F.sort_array("tokens").alias("tokens")).distinct()
     hits = matches(sets, mined).groupBy("id").agg(F.sort_array(F.collect_set("rule_id")).alias("mined_rules"))
-    open_id = F.when(F.col("_listed").isNull() & (F.size("tokens") > 0), F.concat_ws(" ", F.sort_array("tokens")))
-    out = urls.withColumn("id", open_id).join(hits, "id", "left")
-    verdict = F.coalesce("_listed", F.when(F.col("mined_rules").isNotNull(), "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce(F.concat_ws("; ", "mined_rules"), F.lit("")).alias("mined_rules"))
+    looked_up = open_urls.join(hits, "id", "left").withColumn("verdict", F.when(F.col("mined_rules").isNotNull(), "block").otherwise("allow"))
+    decided = urls.filter(F.col("_listed").isNotNull()).withColumns({"mined_rules": F.array().cast("array<string>"), "verdict": F.col("_listed")})
+    cols = ["page_id", "host", "path", "rule", "verdict", F.coalesce(F.concat_ws("; ", "mined_rules"), F.lit("")).alias("mined_rules")]
+    return looked_up.select(*cols).unionByName(decided.select(*cols))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
