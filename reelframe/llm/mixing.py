@@ -105,13 +105,18 @@ def plan_slots(targets: DataFrame, most: int = MOST_REPEATS, seed: int = SEED, *
     return j.select("shard", "source", F.col("epoch").cast("int").alias("epoch"), block.alias("block"))
 
 
+def sized(docs: DataFrame) -> DataFrame:
+    """docs with size, the words of the text."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.withColumns({"size": size, "_text_hash": F.xxhash64("text")})
+
+
 def place(docs: DataFrame) -> DataFrame:
-    """docs with size (words) and start (words of its source before it), in order of doc_id, then of the text's hash.
+    """sized() documents with start, the words of their source before them, in order of doc_id, then of the text's hash.
 
     Null doc_ids come first. Rows are dealt by ranges of that order, so a source is summed in as many tasks as it needs.
     """
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("_text_hash", F.xxhash64("text"))
-    dealt = sized.repartitionByRange("source", "doc_id", "_text_hash").withColumn("_part", F.spark_partition_id())
+    dealt = docs.repartitionByRange("source", "doc_id", "_text_hash").withColumn("_part", F.spark_partition_id())
     dealt = materialize(dealt, "mix-sizes")
     return running_start(dealt, ["source"], ["doc_id", "_text_hash"], "size", "start", F.col("_part")).drop("_part")
 
@@ -149,7 +154,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
     Null texts have size 0 and a null source is a source of its own; repeated rows count each; an empty table gives an
     empty result; columns besides doc_id, text and source are ignored.
     """
-    placed = place(docs.select("doc_id", "text", "source")).drop("text")
+    placed = place(sized(docs.select("doc_id", "text", "source")).drop("text"))
     targets, parts = taken_parts(placed)
     taken = parts.groupBy(*_DOCUMENT).agg(F.sum("part_words").alias("taken"))
     # targets has a row for each source; a join by source would send a hot one to one task
@@ -163,7 +168,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
     Words keep the white space that follows them. Columns stay as they are.
     """
-    placed = place(docs)
+    placed = place(sized(docs))
     _, parts = taken_parts(placed)
     runs = parts.groupBy(*_DOCUMENT, "epoch").agg(F.sort_array(F.collect_list(F.struct("part_from", "part_words"))).alias("_runs"))
     both = placed.join(runs, _same(placed, runs)).select(*(placed[c] for c in docs.columns), "_runs")
