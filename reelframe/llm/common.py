@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +44,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing will read again."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def let(value: Column, body) -> Column:
@@ -79,6 +92,21 @@ def running_start(df: DataFrame, keys: list[str], order: list[str], value: str,
     return df.join(sums, cond).select(*kept, (sums["_base"] + df["_inside"]).alias(out))
 
 
+def lean(run):
+    """run, a function of a task's Arrow batches, made to hand freed memory back to the system when it ends: Python workers
+    live on, and several share an executor's memory."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such function
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def by_bytes(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
     """Ranges (first, last + 1) of texts that hold about most bytes each, one text at least."""
     first = held = 0

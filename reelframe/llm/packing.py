@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import materialize, read_table
+from reelframe.llm.common import lean, materialize, read_table
 from reelframe.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, chunks: str = "words", capacity
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[: 5 + with_ids], strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:

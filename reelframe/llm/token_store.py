@@ -26,14 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import materialize, read_table, shared_dir
+from reelframe.llm.common import lean, materialize, read_table, shared_dir
 from reelframe.llm.tokens import encoder
 
 PROB_BITS = 20
 LOW = 1 << 31
-BLOCK_TOKENS = 1 << 17
+BLOCK_TOKENS = 1 << 18
 SEGMENT_STEPS = 64
-MOST_LANES = 1024
+MOST_LANES = 4096
 END_ID = 2
 _HEAD = "<4s6I"
 
@@ -150,37 +150,43 @@ class Block:
 
 
 def tokenize(docs: DataFrame, tokenizer_file: str, chunks: str = "bytes", end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (binary, little-endian u32, with the end id); null and empty texts give the end id alone."""
+    """doc_id, ids (binary, little-endian u16, with the end id), counts; null and empty texts give the end id alone.
+
+    At its end each task adds a row with counts, how often it has each id (binary, u64), and no ids.
+    """
     with open(tokenizer_file, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
-    end = end_id.to_bytes(4, "little")
+    end = end_id.to_bytes(2, "little")
+    names = ["doc_id", "ids", "counts"]
 
     def run(batches):
         enc = encoder(model.value, chunks)
+        size = enc.tokenizer.get_vocab_size()
+        if size > 1 << 16:
+            raise ValueError("ids have to fit in 16 bits")
+        counts = np.zeros(max(size, end_id + 1), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                ids = [x + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()])]
+                counts += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=len(counts))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.astype("<u8").tobytes()], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, ids binary, counts binary")
 
 
 def count_symbols(tokens: DataFrame) -> DataFrame:
-    """symbol, n: over all ids; each task adds up its own first."""
+    """symbol, n: over all ids of tokenize(), from what its tasks have counted."""
 
     def run(batches):
-        counts = np.zeros(1, np.int64)
         for batch in batches:
-            for part in range(0, batch.num_rows, 500):
-                ids = np.frombuffer(b"".join(batch.column("ids").slice(part, 500).to_pylist()), "<u4")
-                new = np.bincount(ids, minlength=len(counts))
-                new[: len(counts)] += counts
-                counts = new
-        got = counts.nonzero()[0]
-        yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(counts[got], pa.int64())], names=["symbol", "n"])
+            for raw in batch.column("counts").to_pylist():
+                counts = np.frombuffer(raw, "<u8").astype(np.int64)
+                got = counts.nonzero()[0]
+                yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(counts[got], pa.int64())], names=["symbol", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    return tokens.filter("counts IS NOT NULL").select("counts").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
 def _model(spark: SparkSession, path: str):
@@ -209,7 +215,7 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str) -> None:
 
         for batch in batches:
             for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), "<u4")
+                ids = np.frombuffer(raw.as_buffer(), "<u2")
                 if held and n + len(ids) > BLOCK_TOKENS:
                     yield flush()
                 held.append((doc, ids))
@@ -217,8 +223,8 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str) -> None:
         if held:
             yield flush()
 
-    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(blocks, "part long, seq long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered = tokens.filter("counts IS NULL").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered.mapInArrow(lean(blocks), "part long, seq long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -241,7 +247,7 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    docs = blocks.select("part", "seq", "payload").mapInArrow(run, schema)
+    docs = blocks.select("part", "seq", "payload").mapInArrow(lean(run), schema)
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     # one row for each task that wrote
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("_all")).select("part", F.coalesce(F.sum("_all").over(before("part")), F.lit(0)).alias("_base"))

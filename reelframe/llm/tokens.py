@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 
 import numpy as np
 import regex
@@ -17,6 +18,8 @@ CHUNKS = {
     "words": regex.compile(f"[^{_WS}]+"),
     "bytes": regex.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"),
 }
+#: Without two of these side by side, a text may also be cut before each blank.
+_TWO_WS = re.compile(f"[{_WS}][{_WS}]")
 #: How the tokenizers cut a chunk further.
 _PARTS = {
     "words": regex.compile(f"{_TAILS}|\\p{{L}}+|\\p{{N}}|[^{_WS}\\p{{L}}\\p{{N}}]+"),
@@ -36,23 +39,27 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Known(dict):
-    """Ids of keys as bytes, filled as they are asked for."""
+    """Ids of keys as bytes, made as they are asked for. Of two generations of `keep` keys the older is dropped, so keys
+    in use stay; long keys aren't kept."""
 
-    def __init__(self, make):
+    def __init__(self, make, keep: int = 100_000, short: int = 48):
         super().__init__()
-        self.make = make
+        self.make, self.keep, self.short, self.older = make, keep, short, {}
 
     def __missing__(self, key: str) -> bytes:
-        ids = self.make(key)
-        if len(key) <= ChunkEncoder.SHORT:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.make(key)
+        if len(key) <= self.short:
+            if len(self) >= self.keep:
+                self.older = dict(self)
+                self.clear()
             self[key] = ids
         return ids
 
 
 class ChunkEncoder:
-    """texts -> ids as little-endian unsigned 32-bit bytes. The ids of up to KEEP short chunks are remembered."""
-
-    KEEP, SHORT = 500_000, 48
+    """texts -> ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, tokenizer_json: str, chunks: str):
         from tokenizers import Tokenizer
@@ -62,31 +69,43 @@ class ChunkEncoder:
         self.kind = chunks
         self.letters = _byte_letters()
         self.chunks, self.parts = _Known(self._chunk), _Known(self._part)
+        self.after_blank = _Known(self._after_blank)
 
     def _whole(self, chunk: str) -> bytes:
         return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _part(self, part: str) -> bytes:
-        written = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(self.letters)
+    def _tokens(self, written: str) -> bytes:
         return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(written)])
 
+    def _part(self, part: str) -> bytes:
+        return self._tokens(part if part.isalpha() and part.isascii() else part.encode().decode("latin-1").translate(self.letters))
+
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self.parts[chunk.lower() if self.kind == "words" else chunk]
         if not _PLAIN.fullmatch(chunk):
             return self._whole(chunk)
         parts = _PARTS[self.kind].findall(chunk.lower() if self.kind == "words" else chunk)
+        if self.kind == "bytes" and parts[0][0] == " " and len(parts[0]) > 1 and len(parts) > 1:
+            return self.after_blank[parts[0][1:]] + b"".join([self.parts[p] for p in parts[1:]])
         return b"".join([self.parts[p] for p in parts])
 
-    def _split(self, text: str) -> list[str]:
-        if self.kind == "words" and not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text):
-            return text.split()  # white space as in CHUNKS but for these four
-        return CHUNKS[self.kind].findall(text)
+    def _after_blank(self, word: str) -> bytes:
+        """The ids of the word with a blank before it."""
+        return self._tokens(self.letters[32] + word) if word.isascii() and word.isalpha() else self._chunk(" " + word)
+
+    def _ids(self, text: str) -> bytes:
+        if self.kind == "bytes":
+            if _TWO_WS.search(text):
+                return b"".join(map(self.chunks.__getitem__, CHUNKS["bytes"].findall(text)))
+            first, *rest = text.split(" ")
+            return (self.chunks[first] if first else b"") + b"".join(map(self.after_blank.__getitem__, rest))
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+            return b"".join(map(self.chunks.__getitem__, CHUNKS["words"].findall(text)))
+        return b"".join(map(self.chunks.__getitem__, text.split()))  # white space as in CHUNKS but for those four
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for known in (self.chunks, self.parts):
-            if len(known) > self.KEEP:
-                known.clear()
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, self._split(t))) for t in texts]
+        return [self._ids(t) for t in texts]
 
 
 def encoder(tokenizer_json: str, chunks: str) -> ChunkEncoder:
