@@ -16,15 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import by_bytes, join_bytes, read_table
+from reelframe.llm.common import by_bytes, join_bytes, lean, read_table
 
 LENGTH = 100
 ANCHOR = 16
-CHUNK_BYTES = 1 << 22
-RUN_SUFFIXES = 60_000
+FIRST = -(1 << 63)
+#: What repeated_passages() reads; a caller that joins these columns again shares its shuffle of the texts.
+COLUMNS = ["doc_id", "text", "th", "doc"]
+CHUNK_BYTES = 1 << 21
+RUN_SUFFIXES = 30_000
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -155,7 +159,7 @@ def sorted_runs(batches, length: int, partitions: int) -> Iterator[pa.RecordBatc
                 same = (od == od[heads][group]) & (oth == oth[heads][group]) & (pos == pos[heads][group])
                 out = ~same
                 if out.any():
-                    o_doc, o_from, o_to = odoc[out], (pos - hi)[out], (pos - lo + length)[out]
+                    o_doc, o_from, o_to = joined(odoc[out], (pos - hi)[out], (pos - lo + length)[out])
                     yield _rows((o_doc ^ o_from) % partitions, None, o_doc, o_from, o_to)
                 right, left, lo, hi, pos, od, oth, odoc = (v[heads] for v in (right, left, lo, hi, pos, od, oth, odoc))
                 part = (_hashes_of_rows(right) % np.uint64(partitions)).astype(np.int64)
@@ -169,6 +173,17 @@ def sorted_runs(batches, length: int, partitions: int) -> Iterator[pa.RecordBatc
                 yield _rows(np.array(parts), runs, None, None, None)
 
 
+def joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The passages of each document with those that touch made one."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    base = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])).astype(np.int64) << 40
+    reach = np.maximum.accumulate(end + base)
+    new = np.concatenate([[True], (start + base)[1:] > reach[:-1]])
+    last = np.flatnonzero(np.concatenate([new[1:], [True]]))
+    return doc[new], start[new], (reach - base)[last]
+
+
 def _hashes_of_rows(right: np.ndarray) -> np.ndarray:
     """The anchors' hashes again, from the first 16 bytes of their suffixes."""
     two = np.ascontiguousarray(right[:, :ANCHOR]).view("<u8")
@@ -183,17 +198,18 @@ def _rows(part, runs, doc, start, end) -> pa.RecordBatch:
 
 
 def front_code(right, left, lo, hi, pos, d, th, doc, length: int) -> bytes:
-    """A sorted run: counts, then the columns; of each suffix only the bytes that its predecessor doesn't share."""
+    """A sorted run, compressed: counts, then the columns; of each suffix only the bytes its predecessor doesn't share."""
     size = length - lo
     shared = np.minimum(_common(right), size)
     rest = right[(np.arange(right.shape[1]) >= shared[:, None]) & (np.arange(right.shape[1]) < size[:, None])]
     before = left[np.arange(left.shape[1]) < hi[:, None]]
     head = np.array([len(pos), len(rest), len(before)], "<i8")
-    return b"".join(v.tobytes() for v in (head, shared.astype(np.uint8), lo.astype(np.uint8), hi.astype(np.uint8), pos.astype("<i8"), d.astype("<i8"), th.astype("<i8"), doc.astype("<i8"), rest, before))
+    return zstandard.compress(b"".join(v.tobytes() for v in (head, shared.astype(np.uint8), lo.astype(np.uint8), hi.astype(np.uint8), pos.astype("<i8"), d.astype("<i8"), th.astype("<i8"), doc.astype("<i8"), rest, before)))
 
 
 def read_run(run: bytes, length: int) -> dict:
     """front_code()'s columns; suffixes as bytes filled up with zeros."""
+    run = zstandard.decompress(run)
     n, n_rest, n_left = np.frombuffer(run, "<i8", 3).tolist()
     at, out = 24, {"n": n}
     for name, kind, count in (("shared", "u1", n), ("lo", "u1", n), ("hi", "u1", n), ("pos", "<i8", n), ("d", "<i8", n), ("th", "<i8", n), ("doc", "<i8", n), ("rest", "u1", n_rest), ("before", "u1", n_left)):
@@ -329,25 +345,25 @@ def merge_partitions(batches, length: int) -> Iterator[pa.RecordBatch]:
 def repeated_passages(docs: DataFrame, length: int = LENGTH, partitions: int | None = None) -> DataFrame:
     """doc, spans: for each document of identified() with any, the start << 32 | end of its repeated passages' bytes."""
     partitions = partitions or max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    prints = docs.select("doc", "text").mapInArrow(lambda b: fingerprint_rows(b, length), "key long, doc long, at long, n int")
+    prints = docs.select("doc", "text").mapInArrow(lean(lambda b: fingerprint_rows(b, length)), "key long, doc long, at long, n int")
     again = prints.selectExpr("doc", "at", "sum(n) OVER (PARTITION BY key) AS total").filter("total > 1")
     places = again.groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("places"))
-    runs = docs.join(places, "doc").select("d", "th", "doc", "text", "places").mapInArrow(lambda b: sorted_runs(b, length, partitions), "part int, run binary, doc long, start long, end long")
+    d = F.coalesce("doc_id", F.lit(FIRST)).alias("d")
+    runs = docs.join(places, "doc").select(d, "th", "doc", "text", "places").mapInArrow(lean(lambda b: sorted_runs(b, length, partitions)), "part int, run binary, doc long, start long, end long")
     dealt = runs.repartition(partitions, "part").sortWithinPartitions("part")
-    spans = dealt.mapInArrow(lambda b: merge_partitions(b, length), "doc long, start long, end long")
+    spans = dealt.mapInArrow(lean(lambda b: merge_partitions(b, length)), "doc long, start long, end long")
     packed = F.shiftleft("start", 32).bitwiseOR(F.col("end"))
     return spans.select("doc", packed.alias("span")).groupBy("doc").agg(F.collect_set("span").alias("spans"))
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """docs with d and th, which order documents (doc_id, null first, then the text's hash), and doc, a hash of both.
+    """docs with th, the text's hash, and doc, a hash of doc_id and th. doc_id, null first, and th order documents.
 
     Rows with the same doc_id and text are one document. Documents whose doc hashes collide share hints about where to
     look, and nothing else.
     """
-    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     th = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.withColumns({"d": d, "th": th, "doc": F.xxhash64(d, th)})
+    return docs.withColumns({"th": th, "doc": F.xxhash64(F.coalesce("doc_id", F.lit(FIRST)), th)})
 
 
 def _union(spans: list[int] | None, size: int) -> list[tuple[int, int]]:
@@ -373,8 +389,8 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     that comes before or further left in the same one. Repeated rows (same doc_id and text) are one document and each get
     its figures. An empty table gives an empty result.
     """
-    named = identified(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-    found = named.select("d", "th", "doc", "doc_id", "text").join(repeated_passages(named.select("d", "th", "doc", "text"), length), "doc", "left")
+    named = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select(*COLUMNS)
+    found = named.join(repeated_passages(named, length), "doc", "left")
 
     def run(batches):
         for batch in batches:
@@ -386,7 +402,8 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.string()], strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # th is read so that this join's shuffle of the texts is the very one of repeated_passages()
+    return found.select("doc_id", "th", "text", "spans").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -395,7 +412,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A character of which a part goes is dropped whole. Null texts stay null.
     """
     named = identified(docs)
-    spans = repeated_passages(named.select("d", "th", "doc", "text"), length).withColumnRenamed("doc", "_doc")
+    spans = repeated_passages(named.select(*COLUMNS), length).withColumnRenamed("doc", "_doc")
     both = named.join(spans, named["doc"] == spans["_doc"], "left")
 
     @F.pandas_udf("string")
