@@ -70,7 +70,7 @@ RULES = (
     Rule(0, "few_words", "n_words < 10"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     Rule(2, "symbols", "10 * n_symbols > word_chars"),
-    Rule(3, "repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule(3, "repeated_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines"),
     Rule(4, "short_words", "word_chars < 2 * n_words"),
     Rule(5, "long_words", "word_chars > 40 * n_words"),
 )
@@ -143,7 +143,7 @@ WITH t AS (
   SELECT m.*, coalesce(n_repeat_words, 0) AS n_repeat_words FROM m LEFT JOIN r USING (doc_id)
 ), b AS (
   SELECT *, CAST(n_words < 10 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 20 * n_words AS BIGINT)
-    + 4 * CAST(10 * n_symbols > word_chars AS BIGINT) + 8 * CAST(10 * n_dup_lines > 3 * n_lines AS BIGINT)
+    + 4 * CAST(10 * n_symbols > word_chars AS BIGINT) + 8 * CAST(n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines AS BIGINT)
     + 16 * CAST(word_chars < 2 * n_words AS BIGINT) + 32 * CAST(word_chars > 40 * n_words AS BIGINT) AS fail_bits
   FROM f
 )
