@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import let, lower_ascii, materialize, read_table, words
+from reelframe.llm.common import discard, lean, let, lower_ascii, materialize, read_table, words
 
 BITS = 64
 DISTANCE = 2
@@ -58,7 +58,7 @@ def fingerprints(hashed: DataFrame, width: int = 1) -> DataFrame:
                 flat = pa.array(fps.view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(n) + 1, width), pa.int32()), flat)], names=["id", "fps"])
 
-    return hashed.select("id", "h").mapInArrow(run, "id long, fps array<long>")
+    return hashed.select("id", "h").mapInArrow(lean(run), "id long, fps array<long>")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -170,9 +170,12 @@ def links(prints: DataFrame, distance: int = DISTANCE, width: int = 1, limit: in
     Rows that share a probe are candidates. In a probe of at most `bucket` rows each pair is verified, and the closest
     links of a spanning forest are kept, fewer than rows. A fuller probe is split by the same principle: its rows differ
     in at most `distance` of the bits that the probe leaves open, so they agree in one of distance + 1 parts of them, and
-    each part makes a narrower probe. It ends, as a probe that leaves out few bits has few rows; no pair is lost.
+    each part makes a narrower probe. It ends: with one word, whose values differ, a probe that leaves out few bits has few
+    rows, and no pair is lost; with more, rows that agree in nearly a whole word are compared in shares, with one row in
+    all of them, and other words' probes may still find the pairs between shares.
     """
     limit = distance if limit is None else limit
+    bucket = max(bucket, 1 << distance)  # where at most `distance` bits are open, no probe is fuller
     level = None
     for w in range(width):
         n, both = bit_statistics(prints.select(F.col("fps")[w].alias("fp")))
@@ -208,15 +211,22 @@ def links(prints: DataFrame, distance: int = DISTANCE, width: int = 1, limit: in
                             break
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    key = ["word", "mask", "value"]
+    key, done = ["word", "mask", "value"], []
     while True:
         level = materialize(level, "probes")
         counts = materialize(level.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1"), "probe-counts")
-        small = level.join(counts.filter(F.col("n") <= bucket).drop("n"), key)
-        lists = small.groupBy(*key).agg(F.collect_list(F.struct("id", "fps")).alias("rows"))
-        out.append(lists.select("rows").mapInArrow(forest, "a long, b long"))
-        full = counts.filter(F.col("n") > bucket)
+        # rows that agree in nearly a whole word, if that is not their only one, may be any number: they are dealt out by
+        # their ids, and the first of them joins each share
+        alike = F.bit_count("mask") >= BITS - distance
+        small = level.join(counts.filter((F.col("n") <= bucket) | alike), key)
+        share = F.when(F.col("n") > bucket, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") * 2 / bucket))).otherwise(0)
+        lists = small.groupBy(*key, share.alias("share")).agg(F.collect_list(F.struct("id", "fps")).alias("rows"))
+        first = level.join(counts.filter((F.col("n") > bucket) & alike), key).groupBy(*key).agg(F.min(F.struct("id", "fps")).alias("first"))
+        lists = lists.join(first, key, "left").withColumn("rows", F.when(F.col("first").isNull(), F.col("rows")).otherwise(F.array_union("rows", F.array("first"))))
+        out.append(materialize(lists.select("rows").mapInArrow(lean(forest), "a long, b long"), "links"))
+        full = counts.filter((F.col("n") > bucket) & ~alike)
         masks = [r["mask"] for r in full.select("mask").distinct().collect()]  # a few for each level
+        done += [level, counts]
         if not masks:
             break
         narrower = {}
@@ -227,6 +237,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, width: int = 1, limit: in
         more = level.join(full.drop("n"), key).join(F.broadcast(pairs), "mask")
         more = more.select("id", "fps", "word", F.col("narrower").alias("mask")).dropDuplicates(["id", "word", "mask"])
         level = more.withColumn("value", F.col("fps")[F.col("word")].bitwiseAND(F.col("mask")))
+    discard(*done)
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)
@@ -248,7 +259,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         turned = large.join(down, "u").select(F.col("v").alias("x"), "m", "u")
         small = turned.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = materialize(small, "edges")
+        before, now = now, materialize(small, "edges")
+        discard(before)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             break
@@ -296,6 +308,7 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, width
     shared = F.size(F.array_intersect("ha", "hb"))
     near = both.filter(shared >= similarity * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
     comp = components(near)
+    discard(prints, found)
     named = rows.select("_id", "doc_id").join(comp, F.col("_id") == F.col("node"), "left").select(F.coalesce("component", "_id").alias("component"), "_id", "doc_id")
     first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_id")).alias("f")).select(F.col("f._id").alias("_k"), F.col("f.doc_id").alias("_d"))
     kept = rows.join(first, (rows["_id"] == first["_k"]) & rows["doc_id"].eqNullSafe(first["_d"])).dropDuplicates(["_id", "doc_id"])
