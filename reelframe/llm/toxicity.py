@@ -2,109 +2,178 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import materialize, read_table, words
+from reelframe.llm.common import materialize, read_table
 
 MAX_TRAIN_ROWS = 8_000
-MAX_VOCABULARY = 30_000
+MAX_VOCABULARY = 60_000
+LEAST_DOCUMENTS = 3
 FOLDS = 3
+STEPS = 300
+RATE = 1.0
+PENALTY = 1e-5
 #: In the order of the chain.
 CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
-_FOLD = "_fold"
+ALL = -1
+_WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: Column) -> Column:
-    """The distinct words of a whole text, lower-cased and without marks at their ends, and the starts of the longer ones."""
-    bare = F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    bare = F.array_distinct(F.filter(bare, lambda w: w != ""))
-    # a lambda of two arguments would get the place in the array as its second
-    start = lambda n: F.transform(F.filter(bare, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("-")))
-    starts = [start(n) for n in (4, 5)]
-    return F.array_distinct(F.concat(bare, *starts))
+def terms(text: str | None) -> set[str]:
+    """The distinct words of a whole text, lower-cased, and the first four and five letters of the longer ones."""
+    found = set(_WORD.findall((text or "").lower()))
+    return found | {w[:4] + "-" for w in found if len(w) > 4} | {w[:5] + "-" for w in found if len(w) > 5}
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def fit_linear(lists: list[np.ndarray], earlier: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+    """Weights of a logistic model: `size` for terms that are there, one for each earlier probability, and the intercept.
+
+    Terms are scaled by the log ratio of how often they are in either class, so that those that tell nothing stay small;
+    then gradient descent with momentum on all rows.
+    """
+    n, k = len(lists), earlier.shape[1]
+    if not n:
+        return np.zeros(size + k + 1)
+    row = np.repeat(np.arange(n), [len(x) for x in lists])
+    term = np.concatenate(lists)
+    yes = np.bincount(term, labels[row], size) + 1
+    no = np.bincount(term, 1 - labels[row], size) + 1
+    scale = np.log(yes / (labels.sum() + 2)) - np.log(no / (n - labels.sum() + 2))
+    scale[np.abs(scale) < 0.5] = 0
+    value = scale[term]
+    unit = np.sqrt(max(np.bincount(row, value * value, n).mean(), 1e-9))
+    value, w, ahead = value / unit, np.zeros(size + k + 1), np.zeros(size + k + 1)
+    for t in range(STEPS):
+        z = np.bincount(row, ahead[term] * value, n) + earlier @ ahead[size : size + k] + ahead[-1]
+        error = _sigmoid(z) - labels
+        grad = np.concatenate([np.bincount(term, error[row] * value, size), earlier.T @ error, [error.sum()]]) / n + PENALTY * ahead
+        last, w = w, ahead - RATE * grad
+        ahead = w + t / (t + 3) * (w - last)
+    w[:size] *= scale / unit
+    return w
+
+
+def predict_linear(lists: list[np.ndarray], earlier: np.ndarray, w: np.ndarray) -> np.ndarray:
+    size, k = len(w) - earlier.shape[1] - 1, earlier.shape[1]
+    return _sigmoid(np.array([w[x].sum() for x in lists]) + earlier @ w[size : size + k] + w[-1])
 
 
 @dataclass
 class Chain:
-    """A fitted chain; scores in the order of its categories."""
+    """A fitted chain, small enough to send to all tasks: a weight for each of MAX_VOCABULARY terms and category at most."""
 
-    vocabulary: CountVectorizerModel
+    vocabulary: dict[str, int]
     categories: tuple[str, ...]
-    models: list[LogisticRegressionModel]
-    thresholds: dict[str, float]
+    weights: list[np.ndarray] = field(default_factory=list)
+    thresholds: list[float] = field(default_factory=list)
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """docs (doc_id, text) -> doc_id, p_<category> of each, and a boolean <category> of each.
+    def predict(self, texts: list[str | None]) -> np.ndarray:
+        """texts x categories: probabilities, each model fed with those before it."""
+        get = self.vocabulary.get
+        lists = [np.array([i for i in map(get, terms(t)) if i is not None], np.int64) for t in texts]
+        p = np.zeros((len(texts), 0))
+        for w in self.weights:
+            p = np.column_stack([p, predict_linear(lists, p, w)])
+        return p
 
-        Null and empty texts have no terms and get the models' base rates; repeated rows are each scored.
-        """
-        df = self.vocabulary.transform(docs.select("doc_id", terms(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_terms"))).drop("_terms")
-        for k, (c, m) in enumerate(zip(self.categories, self.models, strict=True)):
-            df = _with_earlier(df, self.categories[:k])
-            df = m.transform(df).withColumn(f"p_{c}", vector_to_array("_probability")[1]).drop("_raw", "_probability", "_prediction", "_features")
-        return df.select("doc_id", *(f"p_{c}" for c in self.categories), *((F.col(f"p_{c}") >= self.thresholds[c]).alias(c) for c in self.categories))
 
+def score(docs: DataFrame, chain: Chain) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, p_<category> and a boolean <category> of each category of the chain.
 
-def _with_earlier(df: DataFrame, earlier: tuple[str, ...]) -> DataFrame:
-    return VectorAssembler(inputCols=["_words", *(f"p_{c}" for c in earlier)], outputCol="_features").transform(df)
+    Null and empty texts have no terms and get the models' base rates; repeated rows are each scored.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(chain)
+    names = ["doc_id", *(f"p_{c}" for c in chain.categories), *chain.categories]
 
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                p = model.value.predict(part.column("text").to_pylist())
+                said = p >= np.array(model.value.thresholds)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(p[:, k]) for k in range(p.shape[1])), *(pa.array(said[:, k]) for k in range(p.shape[1]))], names=names)
 
-def _fit(df: DataFrame, category: str, iterations: int) -> LogisticRegressionModel:
-    lr = LogisticRegression(featuresCol="_features", labelCol=category, probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction", maxIter=iterations, regParam=0.003, elasticNetParam=0.0)
-    return lr.fit(df)
+    schema = ", ".join(["doc_id long", *(f"p_{c} double" for c in chain.categories), *(f"{c} boolean" for c in chain.categories)])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _best_threshold(df: DataFrame, category: str, steps: int = 100) -> float:
-    """The probability that parts a category's out-of-fold rows best by F1; of equal ones the middle."""
-    by = df.groupBy(F.floor(F.col(f"p_{category}") * steps).cast("int").alias("k")).agg(F.sum(category).alias("yes"), F.count("*").alias("n")).collect()
-    at = {r["k"]: (r["yes"], r["n"]) for r in by}
-    yes = sum(v[0] for v in at.values())
-    scores = []
+def _best_threshold(p: np.ndarray, labels: np.ndarray, steps: int = 100) -> float:
+    """The probability that parts rows best by F1; of equal ones the middle."""
+    found = []
     for k in range(1, steps):
-        hit = sum(v[0] for x, v in at.items() if x >= k)
-        said = sum(v[1] for x, v in at.items() if x >= k)
-        scores.append((2 * hit / max(said + yes, 1), k))
-    top = [k for s, k in scores if s == max(scores)[0]]
+        said = p >= k / steps
+        found.append((2 * int(labels[said].sum()) / max(int(said.sum() + labels.sum()), 1), k))
+    top = [k for s, k in found if s == max(found)[0]]
     return top[len(top) // 2] / steps
 
 
-def fit_chain(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, max_rows: int = MAX_TRAIN_ROWS, max_vocabulary: int = MAX_VOCABULARY, folds: int = FOLDS, iterations: int = 15) -> Chain | None:
+def _fitter(category: str, earlier: list[str], size: int):
+    def fit(key, own):
+        """One model of a category: for a fold it leaves the fold's rows out and predicts them; for ALL it gives weights."""
+        out = (own["fold"] == key[0]).to_numpy()
+        lists = [np.asarray(x, np.int64) for x in own["terms"]]
+        dense, y = own[earlier].to_numpy(float).reshape(len(own), len(earlier)), own[category].to_numpy(float)
+        w = fit_linear([x for x, o in zip(lists, out, strict=True) if not o], dense[~out], y[~out], size)
+        if key[0] == ALL:
+            return pd.DataFrame({"row": [-1], "label": [0.0], "p": [0.0], "weights": [w.astype("<f8").tobytes()]})
+        p = predict_linear([x for x, o in zip(lists, out, strict=True) if o], dense[out], w) if out.any() else np.zeros(0)
+        return pd.DataFrame({"row": own["row"][out].to_numpy(), "label": y[out], "p": p, "weights": [None] * len(p)})
+
+    return fit
+
+
+def fit_chain(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, max_rows: int = MAX_TRAIN_ROWS, max_vocabulary: int = MAX_VOCABULARY, folds: int = FOLDS) -> Chain | None:
     """Fit a chain on (doc_id, text, a 0 or 1 column for each category); None where no row is labelled.
 
-    At most max_rows rows are used, those whose doc_ids hash lowest. What a later model reads of an earlier category in
-    training are out-of-fold predictions, of models that didn't see the row; for new texts the models fitted on all rows
-    predict. Thresholds come from out-of-fold predictions too.
+    At most max_rows rows are used, those whose doc_ids hash lowest, so a model's task has a bounded input. What a later
+    model reads of an earlier category in training are out-of-fold predictions, of models that didn't see the row; for
+    new texts the models fitted on all rows predict. Thresholds come from out-of-fold predictions too.
     """
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = sample.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(folds)).alias(_FOLD), *(F.col(c).cast("double").alias(c) for c in categories), terms(F.coalesce("text", F.lit(""))).alias("_terms"))
-    sample = materialize(sample.repartition(4, "doc_id"), "toxicity-sample")
-    rows = sample.count()
-    if not rows:
-        return None
-    vocabulary = CountVectorizer(inputCol="_terms", outputCol="_words", minDF=min(5, rows), vocabSize=max_vocabulary, binary=True).fit(sample)
-    df = vocabulary.transform(sample).drop("_terms")
-    models, thresholds = [], {}
-    for k, c in enumerate(categories):
-        df = _with_earlier(df, categories[:k]).cache()
-        models.append(_fit(df, c, iterations))
-        out = None
-        for f in range(folds):
-            rest = df.filter(F.col(_FOLD) != f)
-            model = _fit(rest, c, iterations) if rest.head(1) else models[-1]
-            own = model.transform(df.filter(F.col(_FOLD) == f)).withColumn(f"p_{c}", vector_to_array("_probability")[1]).drop("_raw", "_probability", "_prediction", "_features")
-            out = own if out is None else out.unionByName(own)
-        held = out.cache()
-        thresholds[c] = _best_threshold(held, c)
-        df.unpersist()
-        df = held
-    df.unpersist()
-    return Chain(vocabulary, categories, models, thresholds)
+    spark = labelled.sparkSession
+    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", "text", *categories)
+
+    @F.pandas_udf("array<string>")
+    def term_list(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: sorted(terms(t)))
+
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(folds)).cast("int")
+    sample = materialize(rows.repartition(4, "doc_id").select(F.monotonically_increasing_id().alias("row"), fold.alias("fold"), *categories, term_list("text").alias("terms")), "toxicity-sample")
+    n = F.count("*").alias("n")
+    known = sample.select(F.explode("terms").alias("term")).groupBy("term").agg(n).filter(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "term").limit(max_vocabulary)
+    chain = Chain({r["term"]: k for k, r in enumerate(known.collect())}, categories)
+    vocabulary, size = spark.sparkContext.broadcast(chain.vocabulary), len(chain.vocabulary)
+
+    @F.pandas_udf("array<long>")
+    def numbers(found: pd.Series) -> pd.Series:
+        get = vocabulary.value.get
+        return found.map(lambda t: [i for i in map(get, t) if i is not None])
+
+    data = materialize(sample.select("row", "fold", *categories, numbers("terms").alias("terms")), "toxicity-rows")
+    held: pd.DataFrame | None = None
+    for k, category in enumerate(categories):
+        earlier = [f"p_{c}" for c in categories[:k]]
+
+        models = data.withColumn("model", F.explode(F.array(*map(F.lit, (ALL, *range(folds))))))
+        got = models.groupBy("model").applyInPandas(_fitter(category, earlier, size), "row long, label double, p double, weights binary").toPandas()  # max_rows rows
+        full, held = got[got["row"] < 0], got[got["row"] >= 0]
+        if full.empty:
+            return None
+        chain.weights.append(np.frombuffer(full["weights"].iloc[0], "<f8"))
+        chain.thresholds.append(_best_threshold(held["p"].to_numpy(), held["label"].to_numpy()))
+        own = spark.createDataFrame(held[["row", "p"]].rename(columns={"p": f"p_{category}"}), f"row long, p_{category} double")
+        data = materialize(data.join(own, "row"), "toxicity-rows") if k + 1 < len(categories) else data
+    return chain
 
 
 def label_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -123,4 +192,4 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = fit_chain(label_documents(docs, drawn))
     if chain is None:
         return docs.select("doc_id", *(F.lit(0.0).alias(f"p_{c}") for c in CATEGORIES), *(F.lit(False).alias(c) for c in CATEGORIES))
-    return chain.score(docs)
+    return score(docs, chain)
