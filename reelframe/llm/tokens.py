@@ -42,7 +42,7 @@ class _Known(dict):
     """Ids of keys as bytes, made as they are asked for. Of two generations of `keep` keys the older is dropped, so keys
     in use stay; long keys aren't kept."""
 
-    def __init__(self, make, keep: int = 100_000, short: int = 48):
+    def __init__(self, make, keep: int = 250_000, short: int = 48):
         super().__init__()
         self.make, self.keep, self.short, self.older = make, keep, short, {}
 
