@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelframe.llm.common import discard, lean, let, lower_ascii, materialize, read_table, words
@@ -15,6 +17,9 @@ BITS = 64
 DISTANCE = 2
 SHINGLE = 3
 BUCKET = 128
+#: How many rounds compare each group of candidates with one of its rows only, and texts of the sample that orders shingles.
+STARS = 2
+SAMPLE = 5000
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -286,29 +291,107 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, width: int = 6, limit: int = 56) -> DataFrame:
+def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of at least three texts of a bounded sample, in order, and how many these are. It only guides an order."""
+    some = texts.filter(F.pmod("_id", F.lit(-(-texts.count() // SAMPLE) or 1)) == 0)
+    each = some.select(F.explode(F.array_distinct(shingle_hashes("text", shingle))).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    got = each.filter("n > 2").orderBy(F.desc("n"), "h").limit(10 * SAMPLE).orderBy("h").collect()
+    return np.array([r["h"] for r in got], np.int64), np.array([r["n"] for r in got], np.int64)
+
+
+def prefixes(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """id, key, n, tokens of texts (_id, text) with words: a hash of the set of shingles, its size, and its prefix.
+
+    A prefix is the first shingles of a set in an order that all sets have in common, frequent ones last. It is so long
+    that sets of at least this similarity have one in common.
+    """
+    often, times = _frequent(texts, shingle)
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column("h")
+            values, offsets = h.flatten().to_numpy(zero_copy_only=False), h.offsets.to_numpy() - h.offsets[0].as_py()
+            keys, sizes, tokens = [], [], []
+            for lo, hi in zip(offsets, offsets[1:]):
+                x = np.unique(values[lo:hi])
+                keys.append(int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "big", signed=True))
+                sizes.append(len(x))
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, x), len(often) - 1)
+                    x = x[np.argsort(np.where(often[at] == x, times[at], 0), kind="stable")]
+                tokens.append(x[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1])
+            ends = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
+            flat = pa.array(np.concatenate([np.empty(0, np.int64), *tokens]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat)], names=["id", "key", "n", "tokens"])
+
+    hashed = texts.select(F.col("_id").alias("id"), shingle_hashes("text", shingle).alias("h")).filter(F.size("h") > 0)
+    return hashed.mapInArrow(lean(run), "id long, key long, n int, tokens array<long>")
+
+
+def similar(texts: DataFrame, sets: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): pairs of sets (id, n, tokens) of at least this similarity that connect all such pairs.
+
+    Rows with a prefix shingle in common are candidates. First each such group's rows are compared with one of them, which
+    connects most of a large group by as many pairs as it has rows; then all pairs of rows not connected yet. Those that
+    have too few prefix shingles in common to reach the similarity are left out by their count, the others are compared by
+    their whole sets, so no pair is lost, whatever the size of a group.
+    """
+    bare = sets.select("id", "n", F.size("tokens").alias("p"), F.explode("tokens").alias("token"))
+    shared = materialize(bare.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1"), "shared-shingles")
+    central = shared.groupBy("id").agg((F.sum("df") / F.first("p")).alias("rank"))
+    made, found, tried, labels = [shared], None, None, None
+    for k in range(STARS + 1):
+        now = shared
+        if labels is not None:
+            now = now.join(labels, F.col("id") == F.col("node"), "left").drop("node")
+        now = now.withColumn("component", F.coalesce("component", "id") if labels is not None else F.col("id"))
+        open_ = now.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("token")
+        now = materialize(now.join(open_, "token", "left_semi"), "open-shingles")
+        one, other = (now.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "p", "component"))) for x in "ab")
+        if k < STARS:
+            rank = F.col("rank") if k == 0 else F.xxhash64("id", F.lit(k)).cast("double")
+            first = now.join(central, "id").groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "id", "n", "p", "component")).alias("f"))
+            one = first.select("token", *(F.col(f"f.{c}").alias(f"{c}_a") for c in ("id", "n", "p", "component")))
+            pairs = one.join(other, "token").filter("id_a <> id_b")
+        else:
+            pairs = one.join(other, "token").filter("id_a < id_b")
+        pairs = pairs.filter((F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9))
+        counted = pairs.groupBy(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).agg(F.count("*").alias("c"), F.first(F.col("n_a") + F.col("n_b")).alias("sum"), F.first(F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))).alias("rest"))
+        counted = counted.filter(F.col("c") + F.col("rest") >= similarity / (1 + similarity) * F.col("sum") - 1e-9).select("a", "b")
+        if tried is not None:
+            counted = counted.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(counted, "candidates")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+        own = texts.join(ids, "_id", "left_semi").groupBy("_id").agg(F.first("text").alias("text"))
+        own = materialize(own.select("_id", F.array_distinct(shingle_hashes("text", shingle)).alias("h")), "shingle-sets")
+        both = pairs.join(own.select(F.col("_id").alias("a"), F.col("h").alias("ha")), "a").join(own.select(F.col("_id").alias("b"), F.col("h").alias("hb")), "b")
+        common = F.size(F.array_intersect("ha", "hb"))
+        near = materialize(both.filter(common >= similarity * (F.size("ha") + F.size("hb") - common)).select("a", "b"), "links")
+        discard(now, own)
+        made.append(pairs)
+        found = near if found is None else found.unionByName(near)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if k < STARS:
+            labels = components(found)
+    discard(*made)
+    return found
+
+
+def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """docs with one document of each group of near copies: the one with the least doc_id, null last.
 
-    Near copies share at least `similarity` of their distinct word shingles (Jaccard). They are found by fingerprints of
-    `width` words over their distinct words, of which an edit changes fewer than of the shingles: rows that agree in a
-    part of any word, and in all but `limit` bits, are compared by their shingles themselves. Equal texts are one class;
-    texts without words have no other near copies. Repeated rows stay once.
+    Near copies share at least `similarity` of their distinct word shingles (Jaccard); all of them are found. Equal texts
+    are one class, and so are texts with equal shingles; texts without words have no other near copies. Repeated rows
+    stay once.
     """
     rows = docs.withColumn("_id", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
     slim = rows.select("_id", "text")
-    distinct = F.array_distinct(F.transform(words(lower_ascii(F.coalesce("text", F.lit("")))), lambda w: F.xxhash64(w)))
-    hashed = slim.select(F.col("_id").alias("id"), distinct.alias("h")).filter(F.size("h") > 0)
-    # equal texts have equal fingerprints, so a group of copies shrinks before it is shuffled
-    prints = materialize(fingerprints(hashed, width).groupBy("id").agg(F.first("fps").alias("fps")), "fingerprints")
-    found = materialize(links(prints, DISTANCE, width, limit), "candidates")
-    ids = found.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    texts = slim.join(ids, "_id", "left_semi").groupBy("_id").agg(F.first("text").alias("text"))
-    sets = texts.select("_id", F.array_distinct(shingle_hashes("text", shingle)).alias("h"))
-    both = found.join(sets.select(F.col("_id").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("_id").alias("b"), F.col("h").alias("hb")), "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    near = both.filter(shared >= similarity * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
-    comp = components(near)
-    discard(prints, found)
+    prints = materialize(prefixes(slim, similarity, shingle), "prefixes")
+    sets = materialize(prints.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
+    comp = components(similar(slim, sets, similarity, shingle))
+    of_set = sets.select("key", F.col("id").alias("set")).join(comp, F.col("set") == F.col("node"), "left").select("key", F.coalesce("component", "set").alias("component"))
+    comp = materialize(prints.select("id", "key").distinct().join(of_set, "key").select(F.col("id").alias("node"), "component"), "near-copies")
+    discard(prints, sets)
     named = rows.select("_id", "doc_id").join(comp, F.col("_id") == F.col("node"), "left").select(F.coalesce("component", "_id").alias("component"), "_id", "doc_id")
     first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_id")).alias("f")).select(F.col("f._id").alias("_k"), F.col("f.doc_id").alias("_d"))
     kept = rows.join(first, (rows["_id"] == first["_k"]) & rows["doc_id"].eqNullSafe(first["_d"])).dropDuplicates(["_id", "doc_id"])

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +46,49 @@ def test_mix_takes_what_all_sources_have(stages):
 def test_run_is_the_stages_in_turn(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() == stages["packing"].count()
+
+
+def _groups(texts):
+    """By brute force: the least index of the group of near copies of each text."""
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                p, q = sorted((top(i), top(j)))
+                root[q] = p
+    return [top(i) for i in range(len(texts))]
+
+
+def _kept(spark, texts):
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+
+
+def _words(rng, n):
+    return [f"w{rng.randrange(3000)}" for _ in range(n)]
+
+
+def test_copies_of_one_text_are_a_group_though_they_are_far_from_each_other(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(3):
+        base = _words(rng, 300)
+        texts.append(base)
+        for _ in range(60):
+            copy = list(base)
+            for at in rng.sample(range(300), 5):
+                copy[at] = f"new{rng.random()}"
+            texts.append(copy)
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    assert _kept(spark, texts) == sorted(set(_groups(texts)))
