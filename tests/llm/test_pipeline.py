@@ -92,3 +92,22 @@ def test_copies_of_one_text_are_a_group_though_they_are_far_from_each_other(spar
     rng.shuffle(texts)
     texts = [" ".join(t) for t in texts]
     assert _kept(spark, texts) == sorted(set(_groups(texts)))
+
+
+def test_reordered_texts_in_a_group_above_the_bucket_size_are_one_group(spark):
+    rng = random.Random(6)
+    parts = [" ".join(_words(rng, 50)) for _ in range(8)]
+    texts = [" ".join(rng.sample(parts, 8)) for _ in range(300)]
+    assert _kept(spark, texts) == sorted(set(_groups(texts)))
+
+
+def test_appended_and_cut_passages_are_found(spark):
+    rng = random.Random(7)
+    texts = []
+    for n in (100, 300, 900):
+        for part in (0.1, 0.15, 0.2, 0.24):
+            for _ in range(8):
+                base = _words(rng, n)
+                texts += [base, base + _words(rng, int(n * part))] if rng.random() < 0.5 else [base, base[int(n * part * 0.8) :]]
+    texts = [" ".join(t) for t in texts]
+    assert _kept(spark, texts) == sorted(set(_groups(texts)))
