@@ -29,6 +29,12 @@ def _parts(text: str, size: int = 200) -> list[bytes]:
     return [raw[i : i + size] for i in range(0, len(raw), size)] or [b" "]
 
 
+def _clusters(text: str) -> list[list[bytes]]:
+    """All parts of a text, 20 a cluster, whose times fit 16 bits."""
+    parts = _parts(text)
+    return [*(parts[i : i + 20] for i in range(0, len(parts), 20)), [b"end"]]
+
+
 @_r.query("""
 WITH d AS (SELECT 'doc/' || doc_id AS path, octet_length(encode(coalesce(text, ''))) // 4 AS n FROM documents),
 k AS (SELECT path, n, unnest(range((n + 2047) // 2048)) AS k FROM d)
@@ -72,13 +78,13 @@ def mp4_tracks(spark, sf_dir):
 @_r.query()
 def ebml(spark, sf_dir):
     """S27."""
-    return containers.elements(_files(spark, sf_dir, lambda t: compose.mkv([_parts(t)[:20], [b"end"]])), "ebml")
+    return containers.elements(_files(spark, sf_dir, lambda t: compose.mkv(_clusters(t))), "ebml")
 
 
 @_r.query()
 def mkv_packets(spark, sf_dir):
     """S29."""
-    return media.mkv_packets(_files(spark, sf_dir, lambda t: compose.mkv([_parts(t)[:20], [b"end"]])))
+    return media.mkv_packets(_files(spark, sf_dir, lambda t: compose.mkv(_clusters(t))))
 
 
 @_r.query()

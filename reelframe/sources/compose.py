@@ -86,5 +86,5 @@ def jpeg(comment: bytes, make: bytes, orientation: int, endian: str = "<") -> by
     entries = struct.pack(endian + "H", 2) + struct.pack(endian + "HHII", 0x010F, 2, len(make), 38) + struct.pack(endian + "HHIHH", 0x0112, 3, 1, orientation, 0)
     tiff = (b"II*\0" if endian == "<" else b"MM\0*") + struct.pack(endian + "I", 8) + entries + struct.pack(endian + "I", 0) + make
     segment = lambda code, body: struct.pack(">BBH", 0xFF, code, len(body) + 2) + body
-    parts = [b"\xff\xd8", segment(0xE0, b"JFIF\0\x01\x02\0\0\x01\0\x01\0\0"), segment(0xE1, b"Exif\0\0" + tiff), segment(0xFE, comment[:60000]), segment(0xC0, struct.pack(">BHHB", 8, 16, 16, 1) + b"\x01\x11\0"), segment(0xDA, b"\x01\x01\0\0\x3f\0")]
+    parts = [b"\xff\xd8", segment(0xE0, b"JFIF\0\x01\x02\0\0\x01\0\x01\0\0"), segment(0xE1, b"Exif\0\0" + tiff), *(segment(0xFE, comment[i : i + 60000]) for i in range(0, max(len(comment), 1), 60000)), segment(0xC0, struct.pack(">BHHB", 8, 16, 16, 1) + b"\x01\x11\0"), segment(0xDA, b"\x01\x01\0\0\x3f\0")]
     return b"".join(parts) + b"\x12\x34\xff\xd9"

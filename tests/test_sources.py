@@ -2,6 +2,7 @@ import struct
 
 from pyspark.sql import functions as F
 
+from reelframe.queries import files as file_queries
 from reelframe.sources import compose, containers, media
 
 SAMPLES = [bytes([k]) * (5 + k) for k in range(8)]
@@ -79,3 +80,13 @@ def test_files_are_read_by_spark(spark, tmp_path):
     got = containers.elements(containers.load(spark, str(tmp_path)), "riff")
     assert [r["name"] for r in got.orderBy("node_id").collect()] == ["RIFF", "fmt ", "data"]
     assert containers.dump(got).filter(F.col("line").startswith("  data")).count() == 1
+
+
+def test_long_texts_are_whole_in_mkv_and_jpeg_files():
+    text = "".join(f"word{k} " for k in range(20_000))
+    mkv = compose.mkv(file_queries._clusters(text))
+    blocks = [mkv[o + 4 : o + s] for _, _, name, o, s in containers.walk_ebml(mkv) if name == "SimpleBlock"]
+    assert b"".join(blocks) == text.encode() + b"end"
+    jpeg = compose.jpeg(text.encode(), b"m", 1)
+    comments = [jpeg[n[3] : n[3] + n[4]] for n in containers.walk_jpeg(jpeg) if n[2] == "COM"]
+    assert b"".join(comments) == text.encode()
