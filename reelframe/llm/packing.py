@@ -9,18 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import lean, materialize, read_table
+from reelframe.llm.common import by_size, lean, materialize, read_table
 from reelframe.llm.tokens import encoder
 
 CAPACITY = 2048
 END_ID = 0
 
 
-def pieces(docs: DataFrame, tokenizer_file: str, chunks: str = "words", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_file: str, kind: str = "words", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """Tokenize whole texts, append end_id, and cut what is longer than the capacity.
 
     Returns doc_id, piece, start, length, ids_crc32, and ids (binary, little-endian unsigned 32 bit) if with_ids.
-    Null and empty texts give the end id alone; repeated rows give repeated pieces; other columns are ignored.
+    Strings of the tokenizer's special tokens in a text give their ids, as the library has it, or are text like any other
+    with special_as_text. Null and empty texts give the end id alone; repeated rows give repeated pieces; an empty table
+    gives an empty result; other columns are ignored.
     """
     with open(tokenizer_file, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -28,10 +30,9 @@ def pieces(docs: DataFrame, tokenizer_file: str, chunks: str = "words", capacity
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches):
-        enc = encoder(model.value, chunks)
+        enc = encoder(model.value, kind, special_as_text)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for part in by_size(batch):
                 rows = []
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode(texts), strict=True):

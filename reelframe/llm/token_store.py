@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import lean, materialize, read_table, shared_dir
+from reelframe.llm.common import by_size, discard, lean, materialize, read_table, shared_dir
 from reelframe.llm.tokens import encoder
 
 PROB_BITS = 20
@@ -149,9 +149,12 @@ class Block:
         return np.concatenate([self.decode(k, model) for k in range(self.segments)])
 
 
-def tokenize(docs: DataFrame, tokenizer_file: str, chunks: str = "bytes", end_id: int = END_ID) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_file: str, kind: str = "bytes", end_id: int = END_ID, special_as_text: bool = False) -> DataFrame:
     """doc_id, ids (binary, little-endian u16, with the end id), counts; null and empty texts give the end id alone.
 
+    Strings of the tokenizer's special tokens in a text give their ids, as the library has it, or are text like any other
+    with special_as_text. A vocabulary beyond 16 bits is refused.
+
     At its end each task adds a row with counts, how often it has each id (binary, u64), and no ids.
     """
     with open(tokenizer_file, encoding="utf-8") as f:
@@ -160,14 +163,13 @@ def tokenize(docs: DataFrame, tokenizer_file: str, chunks: str = "bytes", end_id
     names = ["doc_id", "ids", "counts"]
 
     def run(batches):
-        enc = encoder(model.value, chunks)
+        enc = encoder(model.value, kind, special_as_text)
         size = enc.tokenizer.get_vocab_size()
         if size > 1 << 16:
             raise ValueError("ids have to fit in 16 bits")
         counts = np.zeros(max(size, end_id + 1), np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for part in by_size(batch):
                 ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()])]
                 counts += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=len(counts))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
@@ -196,7 +198,11 @@ def _model(spark: SparkSession, path: str):
 
 
 def write_store(docs: DataFrame, tokenizer_file: str, path: str) -> None:
-    """Write the ids of docs as a store at path. Ties of doc_id come in the order of their ids' bytes, null doc_ids first."""
+    """Write the ids of docs as a store at path.
+
+    Null doc_ids come first, rows of one doc_id in an order of their ids, each written; so no doc_id has to fit in one
+    task. A long text is one document of one block, however many segments it takes. An empty table makes an empty store.
+    """
     spark = docs.sparkSession
     tokens = materialize(tokenize(docs, tokenizer_file), "tokens")
     counts = count_symbols(tokens).orderBy("symbol").toPandas()
@@ -223,8 +229,10 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str) -> None:
         if held:
             yield flush()
 
-    ordered = tokens.filter("counts IS NULL").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    rows = tokens.filter("counts IS NULL").select("doc_id", "ids", F.xxhash64("ids").alias("tie"))
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
     ordered.mapInArrow(lean(blocks), "part long, seq long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    discard(tokens)
 
 
 def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

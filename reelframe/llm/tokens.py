@@ -1,117 +1,174 @@
-"""Token ids through the tokenizers library, with each distinct chunk of text encoded once by a process."""
+"""Token ids through the tokenizers library, with each distinct part of text encoded once by a process.
+
+The library cuts text into parts (words, numbers, marks, white space) before it looks for tokens, and a part's ids depend
+on the part alone. So a group of texts is cut by array operations, its distinct parts are looked up or encoded, and their
+ids are put in order.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import os
 import re
+import unicodedata
 
 import numpy as np
-import regex
+import pyarrow as pa
 
+LETTER, NUMBER, MARK, SPACE, OTHER = range(5)
 #: Unicode white space, as the tokenizers' patterns see it.
-_WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_TAILS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: No token crosses the border of two chunks, so a text's ids are its chunks' ids in order. "bytes" is for byte-level
-#: BPE, in which a blank belongs to the word after it; "words" for tokenizers that lower-case and drop white space.
-CHUNKS = {
-    "words": regex.compile(f"[^{_WS}]+"),
-    "bytes": regex.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"),
-}
-#: Without two of these side by side, a text may also be cut before each blank.
-_TWO_WS = re.compile(f"[{_WS}][{_WS}]")
-#: How the tokenizers cut a chunk further.
-_PARTS = {
-    "words": regex.compile(f"{_TAILS}|\\p{{L}}+|\\p{{N}}|[^{_WS}\\p{{L}}\\p{{N}}]+"),
-    "bytes": regex.compile(f"{_TAILS}| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{_WS}\\p{{L}}\\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"),
-}
-#: Latin text, in which normal form C and lower case need no context; anything else goes to the library whole.
-_PLAIN = regex.compile("[\\x00-\\u012f\\u0131-\\u024f]+")
-
-_encoders: dict[tuple[str, str], ChunkEncoder] = {}
-
-
-def _byte_letters() -> dict[int, str]:
-    """The letter that byte-level BPE writes for each byte: printable Latin-1 as it is, the others from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
-
-
-class _Known(dict):
-    """Ids of keys as bytes, made as they are asked for. Of two generations of `keep` keys the older is dropped, so keys
-    in use stay; long keys aren't kept."""
-
-    def __init__(self, make, keep: int = 250_000, short: int = 48):
-        super().__init__()
-        self.make, self.keep, self.short, self.older = make, keep, short, {}
-
-    def __missing__(self, key: str) -> bytes:
-        ids = self.older.get(key)
-        if ids is None:
-            ids = self.make(key)
-        if len(key) <= self.short:
-            if len(self) >= self.keep:
-                self.older = dict(self)
-                self.clear()
-            self[key] = ids
-        return ids
-
-
-class ChunkEncoder:
-    """texts -> ids as little-endian unsigned 32-bit bytes."""
-
-    def __init__(self, tokenizer_json: str, chunks: str):
+_SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Up to here, but for U+0130, normal form C and lower case need no context. What has other letters in it, up to the white
+#: space around, is one part, which the library cuts further.
+_PLAIN = 0x250
+
+_encoders: dict[tuple[str, str, bool], PartEncoder] = {}
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each code point, and its lower case."""
+    kinds, lower = np.full(0x110000, OTHER, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for c in range(_PLAIN):
+        if c != 0x130:
+            kinds[c] = {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], MARK)
+            lower[c] = ord(chr(c).lower())
+    kinds[_SPACES] = SPACE
+    return kinds, lower
+
+
+_KINDS, _LOWER = _tables()
+
+
+def cut(c: np.ndarray, first: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, where parts start in them) of code points c; first: where texts start. "words" are in lower case.
+
+    kind "bytes": runs of letters, numbers or marks, each with the blank before it; other white space by itself. "words":
+    the same without blanks, and each number is a part. An apostrophe that starts a part takes s, t, m, d, re, ve or ll.
+    """
+    n, own, given = len(c), _KINDS[c], c
+    if kind == "words":
+        c = _LOWER[c]
+    starts = np.ones(n, bool)
+    starts[1:] = own[1:] != own[:-1]
+    if kind == "words":
+        starts |= own == NUMBER
+    else:
+        last = np.flatnonzero((own[:-1] == SPACE) & (own[1:] != SPACE) & ~first[1:])  # white space that something follows
+        starts[last] = True
+        starts[last + 1] = c[last] != 32
+    starts |= first
+    quotes = np.flatnonzero((c == 39) & starts)
+    ahead = np.concatenate([c, np.zeros(3, c.dtype)])
+    new = np.concatenate([first, np.ones(3, bool)])
+    a, b = ahead[quotes + 1], ahead[quotes + 2]
+    one = np.isin(a, [ord(x) for x in "stmd"]) & ~new[quotes + 1]
+    two = (((b == ord("e")) & ((a == ord("r")) | (a == ord("v")))) | ((a == ord("l")) & (b == ord("l")))) & ~new[quotes + 1] & ~new[quotes + 2]
+    starts[quotes[one | two] + 1] = False
+    after = np.concatenate([quotes[one] + 2, quotes[two] + 3])
+    starts[after[after < n]] = True
+    if (own == OTHER).any():
+        word = own != SPACE
+        opens = word & np.concatenate([[True], ~word[:-1]]) | word & first
+        which = np.cumsum(opens)
+        odd = np.zeros(which[-1] + 1, bool)
+        odd[which[own == OTHER]] = True
+        inside = odd[which] & word
+        starts[inside & ~opens] = False
+        c = np.where(inside, given, c)
+    return c, starts
+
+
+class PartEncoder:
+    """texts -> ids as little-endian unsigned 32-bit bytes, the same as the library gives for whole texts.
+
+    kind "bytes" is for byte-level BPE in which a blank belongs to the word after it, "words" for BPE with word ends that
+    lower-cases and drops white space. A text that contains one of the tokenizer's added tokens goes to the library whole;
+    there it gives that token's id, or, with special_as_text, those of ordinary text.
+    """
+
+    def __init__(self, tokenizer_json: str, kind: str, special_as_text: bool = False, keep: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = chunks
-        self.letters = _byte_letters()
-        self.chunks, self.parts = _Known(self._chunk), _Known(self._part)
-        self.after_blank = _Known(self._after_blank)
-
-    def _whole(self, chunk: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _tokens(self, written: str) -> bytes:
-        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(written)])
-
-    def _part(self, part: str) -> bytes:
-        return self._tokens(part if part.isalpha() and part.isascii() else part.encode().decode("latin-1").translate(self.letters))
-
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():
-            return self.parts[chunk.lower() if self.kind == "words" else chunk]
-        if not _PLAIN.fullmatch(chunk):
-            return self._whole(chunk)
-        parts = _PARTS[self.kind].findall(chunk.lower() if self.kind == "words" else chunk)
-        if self.kind == "bytes" and parts[0][0] == " " and len(parts[0]) > 1 and len(parts) > 1:
-            return self.after_blank[parts[0][1:]] + b"".join([self.parts[p] for p in parts[1:]])
-        return b"".join([self.parts[p] for p in parts])
-
-    def _after_blank(self, word: str) -> bytes:
-        """The ids of the word with a blank before it."""
-        return self._tokens(self.letters[32] + word) if word.isascii() and word.isalpha() else self._chunk(" " + word)
-
-    def _ids(self, text: str) -> bytes:
-        if self.kind == "bytes":
-            if _TWO_WS.search(text):
-                return b"".join(map(self.chunks.__getitem__, CHUNKS["bytes"].findall(text)))
-            first, *rest = text.split(" ")
-            return (self.chunks[first] if first else b"") + b"".join(map(self.after_blank.__getitem__, rest))
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return b"".join(map(self.chunks.__getitem__, CHUNKS["words"].findall(text)))
-        return b"".join(map(self.chunks.__getitem__, text.split()))  # white space as in CHUNKS but for those four
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.kind, self.keep = kind, keep
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        vocab = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)  # tokens that start a word after a blank, or end one
+        for token, at in vocab.items():
+            self.edge[at] = token.startswith("Ġ") if kind == "bytes" else token.endswith("</w>")
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, all encoded as one text; each has one token at its edge."""
+        text = "".join(words) if self.kind == "bytes" else " ".join(words)
+        ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        edges = np.flatnonzero(self.edge[ids])
+        if len(edges) != len(words):
+            return [self._whole(w) for w in words]
+        cuts = 4 * (np.append(edges, len(ids)) if self.kind == "bytes" else np.append(0, edges + 1))
+        raw, cuts = ids.tobytes(), cuts.tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts. Of two generations of parts the older is dropped, so those in use stay."""
+        found = list(map(self.recent.get, parts))
+        lost = [p for p, ids in zip(parts, found) if ids is None]
+        if not lost:
+            return found
+        got = {p: self.older[p] for p in lost if p in self.older}
+        blank = self.kind == "bytes"
+        # the library's lower case of these words is themselves, and none is cut further
+        words = [p for p in lost if p not in got and (p[0] == " " and p[1:].isalpha() if blank else p.isalpha()) and (p.isascii() or max(p) < chr(_PLAIN) and "İ" not in p)]
+        for at in range(0, len(words), 5000):
+            got.update(zip(words[at : at + 5000], self._words(words[at : at + 5000]), strict=True))
+        for p in lost:
+            if p not in got:
+                got[p] = self._whole(p)
+        if len(self.recent) + len(got) > self.keep:
+            self.older, self.recent = self.recent, {}
+        self.recent.update((p, ids) for p, ids in got.items() if len(p) <= 48)
+        return [got[p] if ids is None else ids for p, ids in zip(parts, found)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self._ids(t) for t in texts]
-
-
-def encoder(tokenizer_json: str, chunks: str) -> ChunkEncoder:
+        """The ids of each text; what is held meanwhile is some dozens of bytes for each character of all texts."""
+        joined = "".join(texts)
+        if not joined:
+            return [b""] * len(texts)
+        if self.added.search(joined):
+            if len(texts) == 1:
+                return [self._whole(joined)]
+            return [x for t in texts for x in self.encode([t])]
+        c = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        places = np.cumsum([0, *map(len, texts)])
+        first = np.zeros(len(c) + 1, bool)
+        first[places] = True
+        c, starts = cut(c, first[:-1], self.kind)
+        starts = np.flatnonzero(starts)
+        raw = c.astype("<u4").tobytes().decode("utf-32-le").encode()
+        edges = np.append(starts, len(c))
+        if len(raw) > len(c):
+            edges = np.concatenate([[0], np.cumsum(1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000).astype(np.int64))])[edges]
+        parts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(raw)).dictionary_encode()
+        which, ids = parts.indices.to_numpy(), self._ids(parts.dictionary.to_pylist())
+        sizes = np.array([len(x) for x in ids]) // 4
+        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[which]
+        ends = np.cumsum(each)
+        out = flat[np.repeat(begin[which] - (ends - each), each) + np.arange(ends[-1])].tobytes()
+        cuts = 4 * np.append(0, ends)[np.searchsorted(starts, places)]
+        return [out[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+
+
+def encoder(tokenizer_json: str, kind: str, special_as_text: bool = False) -> PartEncoder:
     """This process's encoder; Python workers live for many tasks."""
-    key = (hashlib.sha256(tokenizer_json.encode()).hexdigest(), chunks)
+    key = (hashlib.sha256(tokenizer_json.encode()).hexdigest(), kind, special_as_text)
     if key not in _encoders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
-        _encoders[key] = ChunkEncoder(tokenizer_json, chunks)
+        _encoders[key] = PartEncoder(tokenizer_json, kind, special_as_text)
     return _encoders[key]

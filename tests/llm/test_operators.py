@@ -43,9 +43,7 @@ def words(text):
 
 
 def own_tokenizer(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -53,24 +51,39 @@ def test_same_rows_as_sql(spark, name):
     compare(spark, QUERIES[name], ORACLE_SQL[name])
 
 
-def test_chunks_give_the_ids_of_whole_texts():
+def test_parts_give_the_ids_of_whole_texts():
     rng = random.Random(1)
-    letters = [*"abc DEF  \n\t'stévelÀß§½²³ 1 2 .,!?-_#$%\x00\x1c\x1f\x85\xa0İıŁǅΣσςЖß漢字", "\u0301", "\u200b", "\u2003", "\u3000", "'s", "'re", "<|endoftext|>", "the ", "of "]
+    letters = [*"abc DEF  \n\t'stévelÀß§½²³ 1 2 .,!?-_#$%\x00\x1c\x1f\x85\xa0İıŁǅJΣσςЖß漢字Ⱥ", "\u030c", "\u0301", "\u200b", "\u2003", "\u3000", "\U0001f600", "'s", "'re", "'LL", "the ", "of "]
     for name, kind in (("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")):
-        whole = own_tokenizer(name)
         with open(public_tokenizers.path(name), encoding="utf-8") as f:
-            enc = tokens.encoder(f.read(), kind)
-        for _ in range(4000):
-            text = "".join(rng.choices(letters, k=rng.randint(0, 25)))
-            assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
-
-
-def test_known_keys_of_two_generations():
-    made = []
-    known = tokens._Known(lambda k: made.append(k) or k.encode(), keep=2, short=3)
-    for k in ("a", "b", "a", "c", "a", "d", "long", "long"):
-        assert known[k] == k.encode()
-    assert made == ["a", "b", "c", "d", "long", "long"]
+            model = f.read()
+        for as_text in (False, True):
+            whole = own_tokenizer(name)
+            whole.encode_special_tokens = as_text
+            enc = tokens.encoder(model, kind, as_text)
+            for k in range(100):
+                texts = ["".join(rng.choices([*letters, *["<|endoftext|>", "<|endoftext"] * (k % 4 == 0)], k=rng.randint(0, 25))) for _ in range(50)]
+                for text, ids in zip(texts, enc.encode(texts), strict=True):
+                    assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_special_tokens_in_a_text_are_the_librarys(spark):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|startoftext|><|endoftext|>"), (3, "none")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, end, made in (("word_bpe_49k.json", 0, lambda f: packing.pieces(d, f, with_ids=True)), ("byte_bpe_50k.json", 2, lambda f: token_store.tokenize(d, f).filter("ids IS NOT NULL"))):
+        whole, width = own_tokenizer(name), "<u4" if end == 0 else "<u2"
+        got = {r["doc_id"]: np.frombuffer(r["ids"], width).tolist() for r in made(public_tokenizers.path(name)).collect()}
+        assert got == {k: [*whole.encode(t, add_special_tokens=False).ids, end] for k, t in rows}
+
+
+def test_parts_of_an_older_generation_are_remembered():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        enc = tokens.PartEncoder(f.read(), "bytes", keep=4)
+    first = enc.encode(["aa bb cc"])
+    for text in ("dd ee ff", "aa bb cc", "gg hh ii", "jj kk", "aa bb cc"):
+        got = enc.encode([text])
+        assert len(enc.recent) <= 4 + len(text.split())
+    assert got == first
 
 
 def first_fit_two(lengths, capacity):
