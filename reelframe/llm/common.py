@@ -72,8 +72,8 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def running_start(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, bucket: Column) -> DataFrame:
-    """Add out: the sum of value over the rows before this one among those of its keys.
+def running_start(df: DataFrame, keys: list[str], order: list[str | Column], value: str, out: str, bucket: Column) -> DataFrame:
+    """Add out: the sum of value over the rows before this one among those of its keys, if any.
 
     bucket must not fall as order rises within a key. A key's rows are summed in one task per bucket, and a second,
     small pass adds what the buckets before hold, so no key has to fit in one task.

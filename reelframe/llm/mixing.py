@@ -13,31 +13,37 @@ ROUNDS = 24
 MOST_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 SEED = 20_000
-MOST_BROADCAST = 100_000
+#: Shares of a shard's open slots are whole numbers of this unit, so that their sums are exact.
+UNIT = 1 << 30
+#: Rows with the same source are joined with what is known of it in so many parts.
+SALTS = 16
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """source, source_size -> source, source_size, weight, target.
+    """source, source_size -> source, source_no, source_size, weight, target.
 
-    Sources in order of their code points, null last, take the weights in turn. Each gets its share of all sizes by
-    weight, but at most `most` times its own size, and what is cut off is shared again: a level of target by weight up to
-    which the sources with the least size for their weight are filled. One row a source.
+    Sources in order of their code points, null last, take numbers from 0 and the weights in turn. Each gets its share of
+    all sizes by weight, but at most `most` times its own size, and what is cut off is shared again: those that the level
+    of target by weight fills are taken out and the level is raised, until it fills no more. One row a source.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(order) - 1) % len(weights) + 1).cast("double")
-    s = sizes.withColumn("weight", w).withColumn("_cap", most * F.col("source_size").cast("double"))
-    by_level = Window.orderBy(F.col("_cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    total = F.sum("source_size").over(Window.partitionBy()).cast("double")
-    capped = F.coalesce(F.sum("_cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))
-    s = s.withColumn("_level", (total - capped) / rest)
-    level = F.max(F.when(F.col("_level") * F.col("weight") <= F.col("_cap"), F.col("_level"))).over(Window.partitionBy())
-    return s.withColumn("target", F.least(F.col("_cap"), F.coalesce(level, F.lit(float("inf"))) * F.col("weight"))).select("source", "source_size", "weight", "target")
-
-
-def _uniform(*keys: Column) -> Column:
-    """A pseudorandom number from 0 up to 1, the same for the same keys."""
-    return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / float(1 << 53)
+    order = [F.col("source").asc_nulls_last()]
+    dealt = materialize(sizes.repartitionByRange(*order).withColumns({"_part": F.spark_partition_id(), "_one": F.lit(1)}), "mix-sources")
+    s = running_start(dealt, [], order, "_one", "source_no", F.col("_part")).drop("_one", "_part")
+    s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("source_no") % len(weights) + 1).cast("int")))
+    s = s.withColumn("_cap", most * F.col("source_size"))
+    at, level = F.col("_cap") / F.col("weight"), -1.0
+    while True:
+        full = at <= level
+        r = s.agg(
+            F.coalesce(F.sum("source_size"), F.lit(0)).alias("all"),
+            F.coalesce(F.sum(F.when(full, F.col("_cap"))), F.lit(0)).alias("capped"),
+            F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0)).alias("open"),
+        ).first()
+        new = (r["all"] - r["capped"]) / r["open"] if r["open"] else level
+        if new <= level:
+            break
+        level = new
+    return s.withColumn("target", F.least(F.col("_cap").cast("double"), F.lit(level) * F.col("weight"))).select("source", "source_no", "source_size", "weight", "target")
 
 
 def permuted(x: Column, n: Column, *key: Column) -> Column:
@@ -51,131 +57,126 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
 
 
 def shard_counts(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """How many blocks of each source go to each output shard, and from which draw on: source, n_blocks, shard, count, first.
+    """How many blocks of each source go to each output shard, and from which draw on: source_no, n_blocks, shard, count, first.
 
     A shard has shard_slots slots, the last fewer. A source gets the whole part of its expected slots in each shard and
     competes for the others, which are drawn from the multinomial of what is left, so totals stay near their targets.
+    Only sources with a block in a shard have a row for it: a draw finds its source by the bucket of shares it falls in.
     """
+    spark = targets.sparkSession
     t = targets.filter("source_size > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(block_words)).cast("long"))
     # blocks to take so that the words taken, at the mean length of a block, come to the target
-    t = t.withColumn("_want", F.col("target") / F.col("source_size") * F.col("n_blocks"))
-    all_of = t.agg(F.sum("_want").alias("_all"))
-    shards = all_of.select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("_all") / shard_slots) - 1, F.lit(0)).cast("long"))).alias("shard"), "_all")
-    slots = F.least(F.lit(float(shard_slots)), F.round(F.col("_all")) - F.col("shard") * shard_slots)
-    shards = shards.withColumn("_slots", F.greatest(slots, F.lit(0.0)).cast("long"))
-    # one row, with three values for each source
-    row = t.agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("null"), "source", "n_blocks", "_want"))).alias("_sources"))
-    at = shards.join(F.broadcast(row))
-    part = lambda s: s["_want"] / F.col("_all") * F.col("_slots")
-    at = at.withColumn("_whole", F.transform("_sources", lambda s: F.floor(part(s))))
-    at = at.withColumn("_left", F.col("_slots") - F.aggregate("_whole", F.lit(0).cast("long"), lambda a, x: a + x))
-    steps = F.aggregate(
-        F.transform("_sources", lambda s: part(s) - F.floor(part(s))),
-        F.array(F.lit(0.0)),
-        lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)),
-    )
-    at = at.withColumn("_steps", steps)
-    draws = F.transform(
-        F.sequence(F.lit(1).cast("long"), F.col("_left")),
-        lambda d: _uniform(F.lit(seed), F.col("shard"), d) * F.element_at("_steps", -1),
-    )
-    at = at.withColumn("_draws", F.when(F.col("_left") > 0, draws).otherwise(F.array().cast("array<double>")))
-    counts = F.transform(
-        "_sources",
-        lambda s, i: F.struct(
-            s["source"].alias("source"),
-            s["n_blocks"].alias("n_blocks"),
-            (F.element_at("_whole", i + 1) + F.size(F.filter("_draws", lambda u: (u >= F.element_at("_steps", i + 1)) & (u < F.element_at("_steps", i + 2))))).alias("count"),
-        ),
-    )
-    counts = at.select("shard", F.inline(counts))
-    return running_start(counts, ["source"], ["shard"], "count", "first", F.expr("shard div 4096"))
+    t = t.select("source_no", "n_blocks", (F.col("target") / F.col("source_size") * F.col("n_blocks")).alias("_want"))
+    r = t.agg(F.coalesce(F.sum(F.col("_want").cast("decimal(38,6)")), F.lit(0)).cast("double").alias("all"), F.count("*").alias("n")).first()
+    slots, sources = round(r["all"]), r["n"]
+    shards = -(-slots // shard_slots)
+    tasks = max(spark.sparkContext.defaultParallelism, slots // 500_000)
+    found = []
+    for low, high, size in ((0, shards - 1, shard_slots), (max(shards - 1, 0), shards, slots - (shards - 1) * shard_slots)):
+        if low >= high:
+            continue
+        part = F.col("_want") / F.lit(r["all"]) * F.lit(size)
+        share = t.select("source_no", F.floor(part).alias("whole"), F.floor((part - F.floor(part)) * UNIT).alias("share"))
+        # a source's shards, at most `size` sources have any, in runs that tasks take up
+        runs = share.filter("whole > 0").select("source_no", "whole", F.explode(F.expr(f"sequence({low}L, {high - 1}L, 256L)")).alias("_run"))
+        each = F.expr(f"sequence(_run, least(_run + 255L, {high - 1}L))")
+        found.append(runs.repartition(tasks).select("source_no", F.explode(each).alias("shard"), F.col("whole").alias("count")))
+        sums = share.agg(F.sum("whole").alias("whole"), F.sum("share").alias("share")).first()
+        left = size - sums["whole"]
+        if left > 0 and sums["share"]:
+            width = -(-sums["share"] // sources)
+            steps = running_start(share.filter("share > 0"), [], ["source_no"], "share", "low", F.expr("source_no div 4096"))
+            steps = steps.select("source_no", "low", (F.col("low") + F.col("share")).alias("high"))
+            steps = steps.withColumn("bucket", F.explode(F.expr(f"sequence(low div {width}, (high - 1) div {width})")))
+            draws = spark.range(low, high, 1, tasks).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(1), F.lit(left))).alias("_draw"))
+            uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "shard", "_draw"), 11).cast("double") / float(1 << 53)
+            draws = draws.withColumn("_at", F.floor(uniform * F.lit(sums["share"])))
+            drawn = draws.withColumn("bucket", F.expr(f"_at div {width}")).join(steps, "bucket").filter("_at >= low AND _at < high")
+            found.append(drawn.select("source_no", "shard", F.lit(1).cast("long").alias("count")))
+    counts = found[0] if found else t.select("source_no", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("count")).limit(0)
+    for f in found[1:]:
+        counts = counts.unionByName(f)
+    counts = counts.groupBy("source_no", "shard").agg(F.sum("count").alias("count"))
+    counts = running_start(counts, ["source_no"], ["shard"], "count", "first", F.expr("shard div 4096"))
+    return counts.join(t.select("source_no", "n_blocks"), "source_no").repartition(tasks, "shard")
 
 
 def plan_slots(targets: DataFrame, most: int = MOST_REPEATS, seed: int = SEED, **sizes: int) -> DataFrame:
-    """The mix: shard, source, epoch, block; a source's draws go through its blocks in permuted order, epoch after epoch.
+    """The mix: shard, source_no, epoch, block; a source's draws go through its blocks in permuted order, epoch after epoch.
 
     No block comes more than `most` times.
     """
     c = shard_counts(targets, seed=seed, **sizes)
     end = F.least(F.col("first") + F.col("count"), most * F.col("n_blocks"))
-    j = c.filter(F.col("first") < end).select("shard", "source", "n_blocks", F.explode(F.sequence(F.col("first"), end - 1)).alias("_draw"))
-    j = j.withColumn("epoch", F.expr("_draw div n_blocks"))
-    block = permuted(F.col("_draw") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed), _key(F.col("source")), F.col("epoch"))
-    return j.select("shard", "source", F.col("epoch").cast("int").alias("epoch"), block.alias("block"))
+    j = c.filter(F.col("first") < end).select("shard", "source_no", "n_blocks", F.explode(F.sequence(F.col("first"), end - 1)).alias("_draw"))
+    j = j.withColumn("_epoch", F.expr("_draw div n_blocks"))
+    block = permuted(F.col("_draw") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("source_no"), F.col("_epoch"))
+    return j.select("shard", "source_no", F.col("_epoch").cast("int").alias("epoch"), block.alias("block"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs with size, the words of the text."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumns({"size": size, "_text_hash": F.xxhash64("text")})
+def with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """rows (with _no and source) with their source's source_no, source_size and target. A source's rows are dealt over
+    SALTS parts, as one may hold a third of them."""
+    salted = targets.select("source", "source_no", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    on = rows["source"].eqNullSafe(salted["source"]) & (F.pmod(rows["_no"], F.lit(SALTS)) == salted["_salt"])
+    return rows.join(salted, on).drop(salted["source"], "_salt")
 
 
-def place(docs: DataFrame) -> DataFrame:
-    """sized() documents with start, the words of their source before them, in order of doc_id, then of the text's hash.
+def place(docs: DataFrame, *keep: Column) -> DataFrame:
+    """_no, doc_id, source, size and what to keep of docs, and start: the words of their source before them, in order of
+    doc_id, then of the text's hash.
 
     Null doc_ids come first. Rows are dealt by ranges of that order, so a source is summed in as many tasks as it needs.
+    _no tells rows apart; it is written with them.
     """
-    dealt = docs.repartitionByRange("source", "doc_id", "_text_hash").withColumn("_part", F.spark_partition_id())
-    dealt = materialize(dealt, "mix-sizes")
-    return running_start(dealt, ["source"], ["doc_id", "_text_hash"], "size", "start", F.col("_part")).drop("_part")
-
-
-def _key(source: Column) -> Column:
-    return F.coalesce(source, F.lit("\0null"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("_hash"), *keep)
+    dealt = own.repartitionByRange("source", "doc_id", "_hash").withColumns({"_part": F.spark_partition_id(), "_no": F.monotonically_increasing_id()})
+    return running_start(materialize(dealt, "mix-sizes"), ["source"], ["doc_id", "_hash"], "size", "start", F.col("_part")).drop("_part", "_hash")
 
 
 def taken_parts(placed: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOST_REPEATS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(targets, parts) of place(docs): source_targets(), and the parts of documents that the mix takes: which
-    document (_doc, _hash, _start), epoch, block, part_from and part_words (the part's place in it, and its words)."""
-    sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(sizes, most=most), "mix-targets")
-    slots = plan_slots(targets, most, seed, block_words=block_words).select(_key(F.col("source")).alias("_key"), "block", "epoch")
-    blocks = placed.filter("size > 0").select("doc_id", "_text_hash", "source", "start", "size", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")).alias("block"))
+    """(targets, parts) of place(docs): source_targets(), and the parts of documents that the mix takes: _no, epoch,
+    block, part_from and part_words (the part's place in the document, and its words)."""
+    targets = materialize(source_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), most=most), "mix-targets")
+    slots = plan_slots(targets, most, seed, block_words=block_words)
+    some = with_targets(placed.select("_no", "source", "start", "size").filter("size > 0"), targets)
+    blocks = some.withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")))
     lo = F.greatest(F.col("start"), F.col("block") * block_words)
     hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-    document = [F.col("doc_id").alias("_doc"), F.col("_text_hash").alias("_hash"), F.col("start").alias("_start")]
-    blocks = blocks.select(*document, _key(F.col("source")).alias("_key"), "block", (lo - F.col("start")).alias("part_from"), (hi - lo).alias("part_words"))
-    return targets, blocks.join(slots, ["_key", "block"])
-
-
-#: A document among the mix's parts.
-_DOCUMENT = ["_doc", "_hash", "_start"]
-
-
-def _same(placed: DataFrame, found: DataFrame) -> Column:
-    """The rows of one document; those without words share their start with the next, but nothing is taken from them."""
-    return (placed["size"] > 0) & placed["doc_id"].eqNullSafe(found["_doc"]) & placed["_text_hash"].eqNullSafe(found["_hash"]) & (placed["start"] == found["_start"])
+    blocks = blocks.select("_no", "source_no", "block", (lo - F.col("start")).alias("part_from"), (hi - lo).alias("part_words"))
+    return targets, blocks.join(slots, ["source_no", "block"]).select("_no", "epoch", "block", "part_from", "part_words")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken: the words of each document that the mix takes, repeats counted.
 
-    Null texts have size 0 and a null source is a source of its own; repeated rows count each; an empty table gives an
-    empty result; columns besides doc_id, text and source are ignored.
+    Null texts have size 0 and a null source is a source of its own, apart from any named one; repeated rows count each;
+    an empty table gives an empty result; columns besides doc_id, text and source are ignored.
     """
-    placed = place(sized(docs.select("doc_id", "text", "source")).drop("text"))
+    placed = place(docs)
     targets, parts = taken_parts(placed)
-    taken = parts.groupBy(*_DOCUMENT).agg(F.sum("part_words").alias("taken"))
-    # targets has a row for each source; a join by source would send a hot one to one task
-    targets = F.broadcast(targets) if targets.count() <= MOST_BROADCAST else targets
-    named = placed.join(targets, placed["source"].eqNullSafe(targets["source"])).drop(targets["source"], targets["weight"])
-    return named.join(taken, _same(named, taken), "left").select(named["doc_id"], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = parts.groupBy("_no").agg(F.sum("part_words").alias("taken"))
+    named = with_targets(placed.drop("start"), targets)
+    return named.join(taken, "_no", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: for each document and epoch, one row with the words its taken blocks hold, and n_chars.
 
-    Words keep the white space that follows them. Columns stay as they are.
+    Words keep the white space that follows them. Other columns stay as they are, whatever their names. Null and wordless
+    texts are in no row; repeated rows are taken each by itself; an empty table gives an empty result.
     """
-    placed = place(sized(docs))
+    placed = place(docs, F.struct(*docs.columns).alias("row"))
     _, parts = taken_parts(placed)
-    runs = parts.groupBy(*_DOCUMENT, "epoch").agg(F.sort_array(F.collect_list(F.struct("part_from", "part_words"))).alias("_runs"))
-    both = placed.join(runs, _same(placed, runs)).select(*(placed[c] for c in docs.columns), "_runs")
-    pieces = F.regexp_extract_all("text", F.lit(f"{WORD}[{SPACE}]*"), F.lit(0))
+    runs = parts.groupBy("_no", "epoch").agg(F.sort_array(F.collect_list(F.struct("part_from", "part_words"))).alias("runs"))
+    both = placed.select("_no", "row").join(runs, "_no")
+    pieces = F.regexp_extract_all(F.col("row.text"), F.lit(f"{WORD}[{SPACE}]*"), F.lit(0))
     part = lambda p: lambda r: F.slice(p, (r["part_from"] + 1).cast("int"), r["part_words"].cast("int"))
-    out = both.withColumn("text", let(pieces, lambda p: F.array_join(F.flatten(F.transform("_runs", part(p))), "")))
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
+    text = let(pieces, lambda p: F.array_join(F.flatten(F.transform("runs", part(p))), ""))
+    own = both.select("row", text.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return own.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""SimHash near-duplicates by the generalised pigeonhole principle, and connected components."""
+"""SimHash near-duplicates by the generalised pigeonhole principle, and connected components.
+
+near_duplicates() links fingerprints. keep_first() takes such links as candidates, compares them by their whole sets of
+shingles, and completes them: fingerprints can't promise to find all sets of a similarity of 0.8, a prefix filter can.
+"""
 
 from __future__ import annotations
 
@@ -8,17 +12,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import discard, lean, let, lower_ascii, materialize, read_table, words
+from reelframe.llm.common import by_size, discard, lean, let, lower_ascii, materialize, read_table, words
 
 BITS = 64
 DISTANCE = 2
 SHINGLE = 3
 BUCKET = 128
-#: How many rounds compare each group of candidates with one of its rows only, and texts of the sample that orders shingles.
-STARS = 2
+#: Texts of the sample that orders shingles.
 SAMPLE = 5000
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
@@ -34,36 +39,31 @@ def shingle_hashes(text: Column | str, shingle: int = SHINGLE) -> Column:
     return let(words(lower_ascii(text)), lambda w: F.when(F.size(w) >= shingle, joined(w)).otherwise(few(w)))
 
 
-def fingerprints(hashed: DataFrame, width: int = 1) -> DataFrame:
-    """id, fps (width longs) of (id, h): a bit is 1 if over half of the hashes in h have it; 0 without hashes.
+def majority_bits(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The fingerprint of each list of hashes: a bit is 1 if over half of them have it; 0 without hashes."""
+    n = np.diff(offsets)
+    some = n > 0
+    firsts, out = offsets[:-1][some], np.zeros(len(n), np.uint64)
+    got = np.zeros(len(firsts), np.uint64)
+    for b in range(BITS if len(h) else 0):
+        ones = np.add.reduceat((h >> np.uint64(b)) & np.uint64(1), firsts)
+        got |= (2 * ones > n[some].astype(np.uint64)).astype(np.uint64) << np.uint64(b)
+    out[some] = got
+    return out
 
-    The first word takes the hashes as they are, each other one mixes them anew.
-    """
+
+def fingerprints(hashed: DataFrame) -> DataFrame:
+    """id, fp of (id, h): majority_bits() of the hashes in h."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in by_size(batch, "h", 1 << 18):
                 lists = part.column("h")
-                h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                n = np.diff(lists.offsets.to_numpy())
-                some = n > 0
-                firsts = np.concatenate([[0], np.cumsum(n)])[:-1][some]
-                fps = np.zeros((len(n), width), np.uint64)
-                for w in range(width):
-                    own = h
-                    if w:
-                        own = (h ^ (h >> np.uint64(31))) * (_ODD + np.uint64(2 * w))
-                        own ^= own >> np.uint64(29)
-                    got = np.zeros(len(firsts), np.uint64)
-                    for b in range(BITS if len(h) else 0):
-                        ones = np.add.reduceat((own >> np.uint64(b)) & np.uint64(1), firsts)
-                        got |= (2 * ones > n[some].astype(np.uint64)).astype(np.uint64) << np.uint64(b)
-                    fps[some, w] = got
-                flat = pa.array(fps.view(np.int64).ravel())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(n) + 1, width), pa.int32()), flat)], names=["id", "fps"])
-
-    return hashed.select("id", "h").mapInArrow(lean(run), "id long, fps array<long>")
+                offsets = lists.offsets.to_numpy().astype(np.int64)
+                fp = majority_bits(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), offsets - offsets[0])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp.view(np.int64))], names=["id", "fp"])
+
+    return hashed.select("id", "h").mapInArrow(lean(run), "id long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -161,92 +161,76 @@ def _mask(bits) -> int:
     return m - (1 << BITS) if m >> (BITS - 1) else m
 
 
-def probes(prints: DataFrame, word: int, parts: list[tuple[tuple[int, ...], int]]) -> DataFrame:
-    """id, fps, word, mask, value: what a row is looked up by. A threshold of 1 leaves out one bit after the other."""
+def probes(prints: DataFrame, parts: list[tuple[tuple[int, ...], int]]) -> DataFrame:
+    """id, fp, mask, value: what a row is looked up by. A threshold of 1 leaves out one bit after the other."""
     masks = [_mask(set(bits) - {b}) for bits, t in parts for b in (bits if t == 1 else [-1])]
-    each = prints.select("id", "fps", F.lit(word).alias("word"), F.explode(F.array(*map(F.lit, masks))).alias("mask"))
-    return each.withColumn("value", F.col("fps")[word].bitwiseAND(F.col("mask")))
-
-
-def links(prints: DataFrame, distance: int = DISTANCE, width: int = 1, limit: int | None = None, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links of rows (id, fps) that connect all rows within the distance of each other in some word of fps, and
-    within the limit (the distance, if not given) over all words.
-
-    Rows that share a probe are candidates. In a probe of at most `bucket` rows each pair is verified, and the closest
-    links of a spanning forest are kept, fewer than rows. A fuller probe is split by the same principle: its rows differ
-    in at most `distance` of the bits that the probe leaves open, so they agree in one of distance + 1 parts of them, and
-    each part makes a narrower probe. It ends: with one word, whose values differ, a probe that leaves out few bits has few
-    rows, and no pair is lost; with more, rows that agree in nearly a whole word are compared in shares, with one row in
-    all of them, and other words' probes may still find the pairs between shares.
+    each = prints.select("id", "fp", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
+    return each.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+
+
+def _forest(batches, distance: int):
+    """(a, b): links of at most the distance among the rows of each probe, fewer than rows; the closest come first."""
+    for batch in batches:
+        left, right = [], []
+        for rows in batch.column("rows"):
+            ids = rows.values.field("id").to_numpy(zero_copy_only=False)
+            fp = rows.values.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            far = np.bitwise_count(fp[:, None] ^ fp[None, :])
+            i, j = np.nonzero(np.triu(far <= distance, 1))
+            closest = np.argsort(far[i, j], kind="stable")
+            root, open_ = list(range(len(ids))), len(ids) - 1
+
+            def top(i, root=root):
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            for x, y in zip(i[closest].tolist(), j[closest].tolist()):
+                p, q = top(x), top(y)
+                if p != q:
+                    root[q] = p
+                    left.append(ids[x])
+                    right.append(ids[y])
+                    open_ -= 1
+                    if not open_:
+                        break
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
+def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): links of rows (id, fp) that connect all rows within the distance of each other. Fingerprints are distinct.
+
+    Rows that share a probe are candidates. In a probe of at most `bucket` rows each pair is verified, and a spanning
+    forest of the links is kept, fewer than rows. A fuller probe is split by the same principle: its rows differ in at most
+    `distance` of the bits that the probe leaves open, so they agree in one of distance + 1 parts of them, and each part
+    makes a narrower probe. It ends, as fingerprints differ: a probe that leaves out few bits has few rows.
     """
-    limit = distance if limit is None else limit
     bucket = max(bucket, 1 << distance)  # where at most `distance` bits are open, no probe is fuller
-    level = None
-    for w in range(width):
-        n, both = bit_statistics(prints.select(F.col("fps")[w].alias("fp")))
-        own = probes(prints, w, choose_parts(n, both, distance))
-        level = own if level is None else level.unionByName(own)
-    out = []
-
-    def forest(batches):
-        for batch in batches:
-            left, right = [], []
-            for rows in batch.column("rows"):
-                ids = rows.values.field("id").to_numpy(zero_copy_only=False)
-                fps = rows.values.field("fps").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), width)
-                far = sum(np.bitwise_count(fps[:, None, w] ^ fps[None, :, w]).astype(np.int32) for w in range(width))
-                i, j = np.nonzero(np.triu(far <= limit, 1))
-                closest = np.argsort(far[i, j], kind="stable")
-                root, open_ = list(range(len(ids))), len(ids) - 1
-
-                def top(i, root=root):
-                    while root[i] != i:
-                        root[i] = root[root[i]]
-                        i = root[i]
-                    return i
-
-                for x, y in zip(i[closest].tolist(), j[closest].tolist()):
-                    p, q = top(x), top(y)
-                    if p != q:
-                        root[q] = p
-                        left.append(ids[x])
-                        right.append(ids[y])
-                        open_ -= 1
-                        if not open_:
-                            break
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    key, done = ["word", "mask", "value"], []
+    n, both = bit_statistics(prints)
+    level, key, found = probes(prints, choose_parts(n, both, distance)), ["mask", "value"], []
     while True:
         level = materialize(level, "probes")
         counts = materialize(level.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1"), "probe-counts")
-        # rows that agree in nearly a whole word, if that is not their only one, may be any number: they are dealt out by
-        # their ids, and the first of them joins each share
-        alike = F.bit_count("mask") >= BITS - distance
-        small = level.join(counts.filter((F.col("n") <= bucket) | alike), key)
-        share = F.when(F.col("n") > bucket, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") * 2 / bucket))).otherwise(0)
-        lists = small.groupBy(*key, share.alias("share")).agg(F.collect_list(F.struct("id", "fps")).alias("rows"))
-        first = level.join(counts.filter((F.col("n") > bucket) & alike), key).groupBy(*key).agg(F.min(F.struct("id", "fps")).alias("first"))
-        lists = lists.join(first, key, "left").withColumn("rows", F.when(F.col("first").isNull(), F.col("rows")).otherwise(F.array_union("rows", F.array("first"))))
-        out.append(materialize(lists.select("rows").mapInArrow(lean(forest), "a long, b long"), "links"))
-        full = counts.filter((F.col("n") > bucket) & ~alike)
+        lists = level.join(counts.filter(F.col("n") <= bucket), key).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("id", "fp"))).alias("rows"))
+        found.append(materialize(lists.select("rows").mapInArrow(lean(lambda b: _forest(b, distance)), "a long, b long"), "links"))
+        full = counts.filter(F.col("n") > bucket)
         masks = [r["mask"] for r in full.select("mask").distinct().collect()]  # a few for each level
-        done += [level, counts]
         if not masks:
+            discard(level, counts)
             break
         narrower = {}
         for m in masks:
             rest = [b for b in range(BITS) if not (m >> b) & 1]
             narrower[m] = [_mask([*(b for b in range(BITS) if (m >> b) & 1), *rest[k :: distance + 1]]) for k in range(distance + 1)]
         pairs = prints.sparkSession.createDataFrame([(m, x) for m, xs in narrower.items() for x in xs], "mask long, narrower long")
-        more = level.join(full.drop("n"), key).join(F.broadcast(pairs), "mask")
-        more = more.select("id", "fps", "word", F.col("narrower").alias("mask")).dropDuplicates(["id", "word", "mask"])
-        level = more.withColumn("value", F.col("fps")[F.col("word")].bitwiseAND(F.col("mask")))
-    discard(*done)
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
-    return found.distinct()
+        more = level.join(full.drop("n"), key).join(F.broadcast(pairs), "mask").select("id", "fp", F.col("narrower").alias("mask")).dropDuplicates(["id", "mask"])
+        wider, level = (level, counts), materialize(more.withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))), "probes")
+        discard(*wider)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -283,24 +267,72 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hashed = docs.select(F.col("doc_id").cast("long").alias("id"), shingle_hashes(text, shingle).alias("h"))
-    prints = materialize(fingerprints(hashed).select(F.col("id").alias("doc_id"), F.col("fps")[0].alias("fp")), "fingerprints")
+    prints = materialize(fingerprints(hashed).select(F.col("id").alias("doc_id"), "fp"), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("class_id")), "classes")
-    known = classes.filter(F.col("class_id").isNotNull()).select(F.col("class_id").alias("id"), F.array("fp").alias("fps"))
+    known = classes.filter(F.col("class_id").isNotNull()).select(F.col("class_id").alias("id"), "fp")
     comp = components(links(known, distance))
     classes = classes.join(comp, F.col("class_id") == F.col("node"), "left").select("fp", F.coalesce("component", "class_id").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_SPACE = np.isin(np.arange(256), [0x20, *range(9, 14)])
+
+
+def shingle_lists(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): the hashes of each text's lower-cased word shingles in order; of all words, if they are fewer.
+
+    Words are found by array operations, each distinct one is hashed once, and a shingle's hash is made from its words'.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    data = _LOWER[np.frombuffer(b"".join(texts.to_pylist()), np.uint8)]
+    gap = np.concatenate([[True], _SPACE[data], [True]])
+    first = np.zeros(len(data) + 1, bool)
+    first[np.append(0, ends)] = True
+    word = ~gap[1:-1]
+    starts, stops = np.flatnonzero(word & (gap[:-2] | first[:-1])), np.flatnonzero(word & (gap[2:] | first[1:])) + 1
+    edges = np.append(0, np.cumsum(stops - starts))
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data[word])]).dictionary_encode()
+    each = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy()] if len(starts) else np.zeros(0, np.uint64)
+    at = np.append(0, np.searchsorted(starts, ends))
+    n = np.diff(at)
+    until = np.repeat(at[1:], n) - np.arange(len(each))  # words from each to its text's end
+    out = np.zeros(len(each), np.uint64)
+    for k in range(shingle):
+        ahead = np.concatenate([each[k:], np.zeros(min(k, len(each)), np.uint64)])
+        out = (out ^ np.where(until > k, ahead, np.uint64(0))) * (_ODD + np.uint64(2 * k))
+        out ^= out >> np.uint64(29)
+    some = until >= shingle
+    short = (n > 0) & (n < shingle)
+    some[at[:-1][short]] = True
+    return out[some], np.append(0, np.cumsum(np.where(short, 1, np.maximum(n - shingle + 1, 0))))
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """id, h of texts (id, text): the distinct hashes of shingle_lists(), in order."""
+
+    def run(batches):
+        for batch in batches:
+            for part in by_size(batch):
+                values, offsets = shingle_lists(part.column("text"), shingle)
+                sets = [np.unique(values[a:b]).view(np.int64) for a, b in zip(offsets, offsets[1:])]
+                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *sets])))], names=["id", "h"])
+
+    return texts.select("id", "text").mapInArrow(lean(run), "id long, h array<long>")
+
+
 def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of at least three texts of a bounded sample, in order, and how many these are. It only guides an order."""
-    some = texts.filter(F.pmod("_id", F.lit(-(-texts.count() // SAMPLE) or 1)) == 0)
-    each = some.select(F.explode(F.array_distinct(shingle_hashes("text", shingle))).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    some = texts.filter(F.pmod("id", F.lit(-(-texts.count() // SAMPLE) or 1)) == 0)
+    each = shingle_sets(some, shingle).select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     got = each.filter("n > 2").orderBy(F.desc("n"), "h").limit(10 * SAMPLE).orderBy("h").collect()
     return np.array([r["h"] for r in got], np.int64), np.array([r["n"] for r in got], np.int64)
 
 
 def prefixes(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """id, key, n, tokens of texts (_id, text) with words: a hash of the set of shingles, its size, and its prefix.
+    """id, key, fp, n, tokens of texts (id, text) with words: a hash of the set of shingles, its fingerprint, size and prefix.
 
     A prefix is the first shingles of a set in an order that all sets have in common, frequent ones last. It is so long
     that sets of at least this similarity have one in common.
@@ -309,71 +341,92 @@ def prefixes(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            h = batch.column("h")
-            values, offsets = h.flatten().to_numpy(zero_copy_only=False), h.offsets.to_numpy() - h.offsets[0].as_py()
-            keys, sizes, tokens = [], [], []
-            for lo, hi in zip(offsets, offsets[1:]):
-                x = np.unique(values[lo:hi])
-                keys.append(int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "big", signed=True))
-                sizes.append(len(x))
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, x), len(often) - 1)
-                    x = x[np.argsort(np.where(often[at] == x, times[at], 0), kind="stable")]
-                tokens.append(x[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1])
-            ends = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
-            flat = pa.array(np.concatenate([np.empty(0, np.int64), *tokens]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat)], names=["id", "key", "n", "tokens"])
-
-    hashed = texts.select(F.col("_id").alias("id"), shingle_hashes("text", shingle).alias("h")).filter(F.size("h") > 0)
-    return hashed.mapInArrow(lean(run), "id long, key long, n int, tokens array<long>")
-
-
-def similar(texts: DataFrame, sets: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b): pairs of sets (id, n, tokens) of at least this similarity that connect all such pairs.
-
-    Rows with a prefix shingle in common are candidates. First each such group's rows are compared with one of them, which
-    connects most of a large group by as many pairs as it has rows; then all pairs of rows not connected yet. Those that
-    have too few prefix shingles in common to reach the similarity are left out by their count, the others are compared by
-    their whole sets, so no pair is lost, whatever the size of a group.
+            for part in by_size(batch):
+                values, offsets = shingle_lists(part.column("text"), shingle)
+                sets = [np.unique(values[a:b]) for a, b in zip(offsets, offsets[1:])]
+                sizes = np.array(list(map(len, sets)))
+                fp = majority_bits(np.concatenate([np.empty(0, np.uint64), *sets]), np.append(0, np.cumsum(sizes)))
+                keys, tokens = [], []
+                for x in sets:
+                    keys.append(int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "big", signed=True))
+                    x = x.view(np.int64)
+                    if len(often) and len(x):
+                        at = np.minimum(np.searchsorted(often, x), len(often) - 1)
+                        x = x[np.argsort(np.where(often[at] == x, times[at], 0), kind="stable")]
+                    tokens.append(x[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1])
+                ends = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
+                flat = pa.array(np.concatenate([np.empty(0, np.int64), *tokens]))
+                made = [part.column("id"), pa.array(keys, pa.int64()), pa.array(fp.view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat)]
+                yield pa.RecordBatch.from_arrays(made, names=["id", "key", "fp", "n", "tokens"]).filter(pa.array(sizes > 0))
+
+    return texts.select("id", "text").mapInArrow(lean(run), "id long, key long, fp long, n int, tokens array<long>")
+
+
+def _sized(like: float) -> Column:
+    """Whether sets of these sizes can be so similar."""
+    return F.least("n_a", "n_b") >= like * F.greatest("n_a", "n_b") - 1e-9
+
+
+def _stars(shared: DataFrame, like: float) -> DataFrame:
+    """(a, b): the rows that share a token, each with the one of them whose prefix other sets share most, if the tokens
+    that two prefixes share don't rule the similarity out. Fewer pairs than rows."""
+    central = shared.groupBy("id").agg((F.sum("df") / F.first("p")).alias("rank"))
+    most = shared.join(central, "id").groupBy("token").agg(F.max(F.struct("rank", "id", "n", "p")).alias("f"))
+    one = most.select("token", *(F.col(f"f.{c}").alias(f"{c}_a") for c in ("id", "n", "p")))
+    other = shared.select("token", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "p")))
+    pairs = one.join(other, "token").filter((F.col("id_a") != F.col("id_b")) & _sized(like))
+    rest = F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    counted = pairs.groupBy(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).agg(F.count("*").alias("c"), F.first(F.col("n_a") + F.col("n_b")).alias("sum"), F.first(rest).alias("rest"))
+    return counted.filter(F.col("c") + F.col("rest") >= like / (1 + like) * F.col("sum") - 1e-9).select("a", "b")
+
+
+def _others(shared: DataFrame, labels: DataFrame, like: float) -> DataFrame:
+    """(a, b): all pairs of rows of different components that can be so similar by their sizes and the token they share.
+
+    The first token that two such sets share stands so early in both that enough shingles are left; other rows of a token
+    don't meet. In each token the rows of its largest component only meet the others.
     """
-    bare = sets.select("id", "n", F.size("tokens").alias("p"), F.explode("tokens").alias("token"))
+    now = shared.join(labels, F.col("id") == F.col("node"), "left").select("token", "id", "n", "i", F.coalesce("component", "id").alias("component"))
+    per = now.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("of"), F.max(F.struct("c", "component")).alias("largest"))
+    now = materialize(now.join(per.filter("of > 1").select("token", F.col("largest.component").alias("largest")), "token"), "open-shingles")
+    one, other = (now.select("token", "largest", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "i", "component"))) for x in "ab")
+    pairs = one.filter("component_a <> largest").drop("largest").join(other.drop("largest"), "token")
+    left = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    pairs = pairs.filter((F.col("component_a") != F.col("component_b")) & _sized(like) & (left >= like / (1 + like) * (F.col("n_a") + F.col("n_b")) - 1e-9))
+    out = materialize(pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "candidates")
+    discard(now)
+    return out
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, like: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets of shingles are so similar."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    own = texts.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    own = materialize(shingle_sets(own, shingle), "shingle-sets")
+    both = pairs.join(own.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(own.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+    common = F.size(F.array_intersect("ha", "hb"))
+    near = materialize(both.filter(common >= like * (F.size("ha") + F.size("hb") - common) - 1e-9).select("a", "b"), "near")
+    discard(own)
+    return near
+
+
+def similar(texts: DataFrame, sets: DataFrame, like: float, shingle: int) -> DataFrame:
+    """(a, b): pairs of sets (id, fp, n, tokens) of at least this similarity that connect all such pairs.
+
+    First come SimHash links, and of each token of prefixes a star; they connect most of a group by fewer pairs than it
+    has rows. Then all pairs that are not connected yet and share a token follow. Each is compared by its whole sets of
+    shingles, so no pair is lost, whatever the size of a group.
+    """
+    classes = sets.groupBy("fp").agg(F.min("id").alias("a"))
+    alike = sets.select("id", "fp").join(classes, "fp").filter("id <> a").select("a", F.col("id").alias("b"))
+    by_print = alike.unionByName(links(classes.select(F.col("a").alias("id"), "fp")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    bare = sets.select("id", "n", F.size("tokens").alias("p"), F.posexplode("tokens").alias("i", "token"))
     shared = materialize(bare.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1"), "shared-shingles")
-    central = shared.groupBy("id").agg((F.sum("df") / F.first("p")).alias("rank"))
-    made, found, tried, labels = [shared], None, None, None
-    for k in range(STARS + 1):
-        now = shared
-        if labels is not None:
-            now = now.join(labels, F.col("id") == F.col("node"), "left").drop("node")
-        now = now.withColumn("component", F.coalesce("component", "id") if labels is not None else F.col("id"))
-        open_ = now.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("token")
-        now = materialize(now.join(open_, "token", "left_semi"), "open-shingles")
-        one, other = (now.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "p", "component"))) for x in "ab")
-        if k < STARS:
-            rank = F.col("rank") if k == 0 else F.xxhash64("id", F.lit(k)).cast("double")
-            first = now.join(central, "id").groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "id", "n", "p", "component")).alias("f"))
-            one = first.select("token", *(F.col(f"f.{c}").alias(f"{c}_a") for c in ("id", "n", "p", "component")))
-            pairs = one.join(other, "token").filter("id_a <> id_b")
-        else:
-            pairs = one.join(other, "token").filter("id_a < id_b")
-        pairs = pairs.filter((F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9))
-        counted = pairs.groupBy(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).agg(F.count("*").alias("c"), F.first(F.col("n_a") + F.col("n_b")).alias("sum"), F.first(F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))).alias("rest"))
-        counted = counted.filter(F.col("c") + F.col("rest") >= similarity / (1 + similarity) * F.col("sum") - 1e-9).select("a", "b")
-        if tried is not None:
-            counted = counted.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(counted, "candidates")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-        own = texts.join(ids, "_id", "left_semi").groupBy("_id").agg(F.first("text").alias("text"))
-        own = materialize(own.select("_id", F.array_distinct(shingle_hashes("text", shingle)).alias("h")), "shingle-sets")
-        both = pairs.join(own.select(F.col("_id").alias("a"), F.col("h").alias("ha")), "a").join(own.select(F.col("_id").alias("b"), F.col("h").alias("hb")), "b")
-        common = F.size(F.array_intersect("ha", "hb"))
-        near = materialize(both.filter(common >= similarity * (F.size("ha") + F.size("hb") - common)).select("a", "b"), "links")
-        discard(now, own)
-        made.append(pairs)
-        found = near if found is None else found.unionByName(near)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if k < STARS:
-            labels = components(found)
-    discard(*made)
+    first = materialize(by_print.unionByName(_stars(shared, like)).distinct(), "candidates")
+    near = _verified(first, texts, like, shingle)
+    rest = _others(shared, components(near), like)
+    found = near.unionByName(_verified(rest.join(first, ["a", "b"], "left_anti"), texts, like, shingle))
+    discard(shared)
     return found
 
 
@@ -381,21 +434,23 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Da
     """docs with one document of each group of near copies: the one with the least doc_id, null last.
 
     Near copies share at least `similarity` of their distinct word shingles (Jaccard); all of them are found. Equal texts
-    are one class, and so are texts with equal shingles; texts without words have no other near copies. Repeated rows
-    stay once.
+    are one class, and so are texts with equal shingles; null texts are equal, and texts without words have no other near
+    copies. Repeated rows (same doc_id and text) stay once. An empty table gives an empty result. Other columns stay as
+    they are, whatever their names.
     """
-    rows = docs.withColumn("_id", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
-    slim = rows.select("_id", "text")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()).alias("id"), F.col("doc_id"), text.alias("text"), F.struct(*docs.columns).alias("row"))
+    slim = rows.select("id", "text")
     prints = materialize(prefixes(slim, similarity, shingle), "prefixes")
-    sets = materialize(prints.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
+    sets = materialize(prints.groupBy("key").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "n", "tokens"))), "sets")
     comp = components(similar(slim, sets, similarity, shingle))
     of_set = sets.select("key", F.col("id").alias("set")).join(comp, F.col("set") == F.col("node"), "left").select("key", F.coalesce("component", "set").alias("component"))
-    comp = materialize(prints.select("id", "key").distinct().join(of_set, "key").select(F.col("id").alias("node"), "component"), "near-copies")
+    comp = materialize(prints.select("id", "key").distinct().join(of_set, "key").select("id", "component"), "near-copies")
     discard(prints, sets)
-    named = rows.select("_id", "doc_id").join(comp, F.col("_id") == F.col("node"), "left").select(F.coalesce("component", "_id").alias("component"), "_id", "doc_id")
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_id")).alias("f")).select(F.col("f._id").alias("_k"), F.col("f.doc_id").alias("_d"))
-    kept = rows.join(first, (rows["_id"] == first["_k"]) & rows["doc_id"].eqNullSafe(first["_d"])).dropDuplicates(["_id", "doc_id"])
-    return kept.select(*docs.columns)
+    named = rows.select("id", "doc_id").join(comp, "id", "left").select(F.coalesce("component", "id").alias("component"), "id", "doc_id")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "id")).alias("f")).select(F.col("f.id").alias("kept"), F.col("f.doc_id").alias("kept_doc"))
+    kept = rows.join(first, (F.col("id") == F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("kept_doc"))).dropDuplicates(["id", "doc_id"])
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -407,28 +408,30 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with the repeated bytes cut out of their texts, n_chars set anew where it exists, other columns as they are.
+    """docs with the repeated bytes cut out of their texts, n_chars set anew where it exists, other columns as they are,
+    whatever their names.
 
-    A character of which a part goes is dropped whole. Null texts stay null.
+    A character of which a part goes is dropped whole. Null texts stay null; repeated rows (same doc_id and text) are one
+    document and are cut alike; an empty table gives an empty result.
     """
-    named = identified(docs)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
+    named = identified(own)
     spans = repeated_passages(named.select(*COLUMNS), length).withColumnRenamed("doc", "_doc")
     both = named.join(spans, named["doc"] == spans["_doc"], "left")
 
     @F.pandas_udf("string")
-    def cut(text, spans):
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for t, s in zip(text, spans, strict=True):
             if t is not None and s is not None and len(s):
                 raw = t.encode()
                 t = _kept(raw, _union([int(x) for x in s], len(raw))).decode("utf-8", "ignore")
             out.append(t)
-        import pandas as pd
-
         return pd.Series(out, dtype=object)
 
-    out = both.withColumn("text", cut(named["text"], F.col("spans")))
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
+    left = both.select("row", cut("text", "spans").alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return left.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

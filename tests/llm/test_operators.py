@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -335,6 +336,89 @@ def test_mix_of_odd_documents(spark):
     assert mixing.mix_report(docs(spark, [])).count() == 0
 
 
+def spark_hash(*values):
+    """Spark's xxhash64; numbers given as (value, bytes)."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True), h)
+    return h - (h >> 63 << 64)
+
+
+def brute_mix(rows, block=mixing.BLOCK_WORDS, slots=mixing.SHARD_SLOTS, seed=mixing.SEED):
+    """doc_id -> words taken, slot by slot."""
+    by = {}
+    for d, text, source in sorted(((d, t, s) for d, t, s in rows), key=lambda r: (r[0], spark_hash(r[1]) if r[1] is not None else 42)):
+        by.setdefault(source, []).append((d, len(words(text))))
+    order = sorted(by, key=lambda s: (s is None, (s or "").encode()))
+    sizes = {s: sum(n for _, n in by[s]) for s in order}
+    targets = water_level(sizes)
+    n_blocks = {s: -(-sizes[s] // block) for s in order}
+    want = {s: targets[s] / sizes[s] * n_blocks[s] for s in order if sizes[s]}
+    total = sum(want.values())
+    shards = -(-round(total) // slots)
+    draws = Counter()
+    taken = Counter()
+    for shard in range(shards):
+        own = min(slots, round(total) - shard * slots)
+        part = {s: w / total * own for s, w in want.items()}
+        share = {s: int((p - int(p)) * mixing.UNIT) for s, p in part.items()}
+        count = Counter({s: int(p) for s, p in part.items()})
+        for k in range(1, own - sum(count.values()) + 1):
+            at = ((spark_hash((seed, 4), (shard, 8), (k, 4)) & (1 << 64) - 1) >> 11) / 2**53 * sum(share.values())
+            for s in order:
+                if s in share:
+                    if at < share[s]:
+                        count[s] += 1
+                        break
+                    at -= share[s]
+        for s in order:
+            for j in range(draws[s], min(draws[s] + count[s], 3 * n_blocks[s])) if s in want else ():
+                epoch, x = divmod(j, n_blocks[s])
+                key = [(seed, 4), (order.index(s), 8), (epoch, 8)]
+                for r in range(1, mixing.ROUNDS + 1):
+                    other = (spark_hash(*key, (r, 4)) % n_blocks[s] - x) % n_blocks[s]
+                    x = other if spark_hash(*key, (r, 4), (max(x, other), 8), (1, 4)) & 1 else x
+                start = 0
+                for d, n in by[s]:
+                    taken[d] += max(0, min(start + n, (x + 1) * block) - max(start, x * block))
+                    start += n
+            draws[s] += count[s]
+    return taken
+
+
+def test_mix_takes_what_a_plain_mix_takes(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
+    rows += [(10_000 + k, "some more words " * (40 * k), s) for k, s in enumerate([None, "\0null", "", "a", "b", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix_report(df).collect()}
+    want = brute_mix(rows)
+    assert got == {d: want[d] for d, _, _ in rows}
+
+
+def test_a_null_source_is_not_one_named_like_it(spark):
+    d = spark.createDataFrame([(1, "a b " * 320, None), (2, "c d " * 320, "\0null")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["target"], r["taken"]) for r in mixing.mix_report(d).collect()}
+    assert got[2][0] == pytest.approx(1280 / 3) and got[1][0] == pytest.approx(2560 / 3)
+    assert all(abs(taken - target) <= 64 for target, taken in got.values())
+
+
+def clashing(spark, rows):
+    """Documents with more columns, named like what the operators use inside."""
+    names = ["size", "start", "doc", "th", "spans", "_k", "_no", "row", "id", "n_words", "runs", "source_no", "kept", "fail_bits", "component"]
+    return docs(spark, rows).withColumns({c: F.lit(f"own {c}") for c in names}), names
+
+
+def test_columns_with_clashing_names_stay_as_they_are(spark):
+    rows = [(1, "one two three four five six seven eight nine ten eleven " * 3 + "x" * 120, "en", "a", 5), (2, "z" + "x" * 130 + " other words of a second text, more than ten of them to be kept", "en", "b", 6)]
+    d, names = clashing(spark, rows)
+    for made in (simhash.keep_first(d), suffix_dedup.remove_repeats(d), mixing.mix_documents(d)):
+        got = made.collect()
+        assert got and made.columns == d.columns
+        assert all(r[c] == f"own {c}" for r in got for c in names)
+    for made in (mixing.mix_report(d), suffix_dedup.removal_report(d), simhash.near_duplicates(d)):
+        assert made.count() == 2
+
+
 def brute_rules(text):
     ws = words(text)
     grams = [" ".join(ws[i : i + 5]) for i in range(len(ws) - 4)]
@@ -406,7 +490,7 @@ def test_full_probes_are_split_without_loss(spark, bucket):
     for d, (f, _) in sorted(want.items()):
         first.setdefault(f, d)
     signed = lambda f: int(f, 16) - (1 << 64 if int(f, 16) >> 63 else 0)
-    df = spark.createDataFrame([(d, [signed(f)]) for f, d in first.items()], "id long, fps array<long>")
+    df = spark.createDataFrame([(d, signed(f)) for f, d in first.items()], "id long, fp long")
     got = {r["node"]: r["component"] for r in simhash.components(simhash.links(df, bucket=bucket)).collect()}
     assert {d: got.get(d, d) for d in first.values()} == {d: want[d][1] for d in first.values()}
 
@@ -431,6 +515,20 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     kept = simhash.keep_first(docs(spark, rows)).collect()
     assert Counter(r["doc_id"] for r in kept) == Counter([30, 1, 2, 3, 4, 6, 7, 8, None, 9, 10])
     assert set(kept[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars"}
+    assert simhash.keep_first(docs(spark, [])).count() == 0 and simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_shingles_are_those_of_a_plain_cut():
+    rng, seen = random.Random(1), {}
+    texts = [None, "", "  \n", "a", "A b", "a b c d e", "x\ty\nz w v u t", " lead a b c d e", "ä Ä b c d e"]
+    texts += [" ".join(rng.choice("abcAB") for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    for group in (texts, [None], [], ["a b c d e f"]):
+        values, offsets = simhash.shingle_lists(pa.array(group, pa.string()), 5)
+        for t, a, b in zip(group, offsets, offsets[1:], strict=False):
+            w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(t)]
+            want = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] * (len(w) > 0)
+            assert [seen.setdefault(x, h) for x, h in zip(want, values[a:b], strict=True)] == list(values[a:b])
+    assert len(set(seen.values())) == len(seen)
 
 
 URLS = [

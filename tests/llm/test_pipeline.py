@@ -111,3 +111,22 @@ def test_appended_and_cut_passages_are_found(spark):
                 texts += [base, base + _words(rng, int(n * part))] if rng.random() < 0.5 else [base, base[int(n * part * 0.8) :]]
     texts = [" ".join(t) for t in texts]
     assert _kept(spark, texts) == sorted(set(_groups(texts)))
+
+
+def test_a_group_of_many_near_copies_keeps_one(spark):
+    rng = random.Random(9)
+    base = _words(rng, 300)
+    texts = []
+    for _ in range(700):
+        copy = list(base)
+        for at in rng.sample(range(300), rng.randint(2, 5)):
+            copy[at] = f"new{rng.random()}"
+        texts.append(" ".join(copy))
+    assert _kept(spark, texts) == sorted(set(_groups(texts)))
+
+
+def test_a_passage_that_many_texts_share_links_none_of_them(spark):
+    rng = random.Random(10)
+    passage = _words(rng, 60)
+    texts = [" ".join([*_words(rng, rng.randint(20, 80)), *passage]) for _ in range(250)]
+    assert _kept(spark, texts) == sorted(set(_groups(texts)))
