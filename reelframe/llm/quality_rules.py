@@ -27,8 +27,10 @@ def _repeat_words(ws: Column, n: int = 5) -> Column:
         found = F.sort_array(F.flatten(F.filter(pairs, lambda p: p.isNotNull())))
         return let(found, lambda f: F.when(F.size(f) > 0, covered(f)).otherwise(0))
 
-    distinct = lambda w: F.size(F.array_distinct(F.transform(w, lambda x: x["w"]))) == F.size(w)
-    found = let(windows, lambda w: F.when(distinct(w), 0).otherwise(let(F.sort_array(w), repeated)))
+    # most texts repeat no window: their windows' hashes, made from the words' hashes, differ
+    hashed = lambda h: F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(*(F.element_at(h, i + k) for k in range(n))))
+    differ = let(F.transform(ws, F.xxhash64), lambda h: F.size(F.array_distinct(hashed(h))) == last)
+    found = F.when(differ, 0).otherwise(let(F.sort_array(windows), repeated))
     return F.when(last >= 2, found).otherwise(0)
 
 
