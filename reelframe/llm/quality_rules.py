@@ -29,7 +29,7 @@ def _repeat_words(ws: Column, n: int = 5) -> Column:
 
     # most texts repeat no window: their windows' hashes, made from the words' hashes, differ
     hashed = lambda h: F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(*(F.element_at(h, i + k) for k in range(n))))
-    differ = let(F.transform(ws, F.xxhash64), lambda h: F.size(F.array_distinct(hashed(h))) == last)
+    differ = let(F.transform(ws, lambda x: F.xxhash64(x)), lambda h: F.size(F.array_distinct(hashed(h))) == last)
     found = F.when(differ, 0).otherwise(let(F.sort_array(windows), repeated))
     return F.when(last >= 2, found).otherwise(0)
 
