@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelframe.operators.timeline import as_of
+
 SYNC, DISPOSAL, REFERENCE = 1, 4, 8
 
 
@@ -27,18 +29,17 @@ def prefix_sum(samples: DataFrame, keys: list[str], order: list[str], value: str
 
 def chunk_runs(chunks: DataFrame, runs: DataFrame, keys: list[str], chunk: str, first_chunk: str, value: str) -> DataFrame:
     """chunks with the value of the run they are in: each run goes from its first chunk up to the next run's."""
-    nxt = F.lead(first_chunk).over(Window.partitionBy(*keys).orderBy(first_chunk))
-    r = runs.select(*keys, first_chunk, value).withColumn("_next", nxt)
-    at = F.col(chunk)
-    inside = (at >= F.col(first_chunk)) & (F.col("_next").isNull() | (at < F.col("_next")))
-    return chunks.join(r, keys).filter(inside).drop("_next")
+    found = as_of(chunks, runs.select(*keys, F.col(first_chunk).alias(chunk), value), keys, chunk, value, value)
+    return found.filter(F.col(value).isNotNull())
 
 
-def build(stts: DataFrame, ctts: DataFrame, stsc: DataFrame, stco: DataFrame, stsz: DataFrame, stss: DataFrame, keys: list[str]) -> DataFrame:
+def build(stts: DataFrame, ctts: DataFrame, stsc: DataFrame, stco: DataFrame, stsz: DataFrame, stss: DataFrame, keys: list[str], sdtp: DataFrame | None = None) -> DataFrame:
     """keys, sample_idx, chunk, offset, size, dts, pts, flags of every sample.
 
     stts and ctts (entry, count, delta or shift), stsc (first_chunk, per_chunk), stco (chunk from 1, chunk_offset), stsz
-    (sample_idx, size), stss (sample_idx). A track without stss has sync samples only; a negative pts gives way to dts.
+    (sample_idx, size), stss (sample_idx), sdtp (sample_idx, depends: its byte). A track without stss has sync samples only;
+    a sample that depends on no other is one too, and one that no other depends on can be disposed of. A negative pts
+    gives way to dts.
     """
     timed = prefix_sum(expand_runs(stts, keys, ["entry"], "count"), keys, ["sample_idx"], "delta", "dts").select(*keys, "sample_idx", "dts")
     shifts = expand_runs(ctts, keys, ["entry"], "count").select(*keys, "sample_idx", "shift")
@@ -46,8 +47,13 @@ def build(stts: DataFrame, ctts: DataFrame, stsc: DataFrame, stco: DataFrame, st
     laid = expand_runs(laid, keys, ["chunk"], "per_chunk").select(*keys, "sample_idx", "chunk", "chunk_offset")
     on = [*keys, "sample_idx"]
     s = timed.join(laid, on).join(stsz.select(*on, "size"), on).join(shifts, on, "left").join(stss.select(*on, F.lit(SYNC).alias("_sync")), on, "left")
+    depends = F.lit(0)
+    if sdtp is not None:
+        s, depends = s.join(sdtp.select(*on, "depends"), on, "left"), F.coalesce("depends", F.lit(0))
     s = prefix_sum(s, [*keys, "chunk"], ["sample_idx"], "size", "_inside")
     with_sync = F.max("_sync").over(Window.partitionBy(*keys))
     pts = F.col("dts") + F.coalesce("shift", F.lit(0))
-    flags = F.when(with_sync.isNull(), SYNC).otherwise(F.coalesce("_sync", F.lit(0)))
+    two = lambda shift: F.shiftright(depends, shift).bitwiseAND(F.lit(3)) == 2
+    sync = with_sync.isNull() | F.col("_sync").isNotNull() | two(4)
+    flags = F.when(sync, SYNC).otherwise(0) + F.when(two(2), DISPOSAL).otherwise(0)
     return s.select(*on, "chunk", (F.col("chunk_offset") + F.col("_inside")).alias("offset"), "size", "dts", F.when(pts < 0, F.col("dts")).otherwise(pts).alias("pts"), flags.alias("flags"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelframe.functions.dims import GENRES
 from reelframe.queries.registry import Registry, table
 from reelframe.sources import compose, containers, media
 
@@ -45,34 +46,75 @@ def wav_packets(spark, sf_dir):
     return media.wav_packets(_files(spark, sf_dir, lambda t: compose.wav(t.encode())))
 
 
-@_r.query()
+_BYTES = "octet_length(encode(coalesce(text, '')))"
+#: Parts of 200 bytes that a text makes, one at least.
+_PARTS_SQL = f"SELECT 'doc/' || doc_id AS path, hex(encode(CASE WHEN coalesce(text, '') = '' THEN ' ' ELSE text END)) AS h, greatest({_BYTES}, 1) AS bytes, (greatest({_BYTES}, 1) + 199) // 200 AS n FROM documents"
+
+
+@_r.query(f"""
+WITH d AS (SELECT 'doc/' || doc_id AS path, greatest(2, ({_BYTES} + 412) // 413) AS n FROM documents),
+k AS (SELECT path, unnest(range(n)) AS k FROM d)
+SELECT path, k AS frame_idx, 417 * k + k // 3 AS "offset", CAST(417 + CAST(k % 3 = 2 AS INT) AS BIGINT) AS frame_length, 128000 AS bitrate, 44100 AS sample_rate, 2 AS channels, 1152 AS samples, 1152 * k AS pts FROM k
+""")
 def mp3_frames(spark, sf_dir):
-    """S14, S16, S19."""
-    return media.mp3_frames(_files(spark, sf_dir, lambda t: compose.mp3(2 + len(t) % 20)))
+    """S14, S16, S19, with each text as the frames' payload."""
+    return media.mp3_frames(_files(spark, sf_dir, lambda t: compose.mp3(t.encode())))
 
 
-@_r.query()
+_GENRES_SQL = "[" + ", ".join("'" + g.replace("'", "''") + "'" for g in GENRES) + "]"
+
+
+@_r.query(f"""
+SELECT 'doc/' || doc_id AS path, md5(rtrim(t, chr(0))) AS title, md5(rtrim(t, chr(0))) AS artist, md5(rtrim(t, chr(0))) AS "comment", {_GENRES_SQL}[length(t) % 148 + 1] AS genre
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+""")
 def id3_tags(spark, sf_dir):
-    """S20."""
-    found = media.id3_tags(_files(spark, sf_dir, lambda t: compose.id3(t[:20], t[20:40], f"({len(t) % 148})")))
-    return found.select("path", *(F.element_at("tags", k).alias(k) for k in ("title", "artist", "genre")))
+    """S20, with each text as title, artist (in UTF-16) and comment."""
+    found = media.id3_tags(_files(spark, sf_dir, lambda t: compose.id3(t, t, f"({len(t) % 148})", t)))
+    return found.select("path", *(F.md5(F.element_at("tags", k)).alias(k) for k in ("title", "artist", "comment")), F.element_at("tags", "genre").alias("genre"))
 
 
-@_r.query()
+def _tree_sql(tree: list[tuple], start: str = "0", parent: int = -1, depth: int = 0, above: str = "", rows: list[str] | None = None) -> tuple[list[str], str]:
+    """(rows, end) of SQL for boxes [(name, bytes before its children, children)] that follow each other from a place."""
+    rows = [] if rows is None else rows
+    for name, own, children in tree:
+        k, at = len(rows), f"{start} + 8"
+        rows.append("")
+        _, end = _tree_sql(children, f"{at} + {own}", k, depth + 1, above + name + "/", rows)
+        rows[k] = f"{{'node_id': {k}, 'parent_id': {parent}, 'depth': {depth}, 'name': '{name}', 'path_expr': '{above}{name}', 'offset': {at}, 'size': ({end}) - ({at})}}"
+        start = end
+    return rows, start
+
+
+_STBL = [
+    ("stsd", "8", [("avc1", "78", [("avcC", "17", [])])]),
+    *((name, size, []) for name, size in (("stts", "16"), ("ctts", "8 + 8 * n"), ("stsc", "8 + 12 * (CAST(n >= 3 AS BIGINT) + CAST(n % 3 > 0 AS BIGINT))"), ("stsz", "12 + 4 * n"), ("stco", "8 + 4 * ((n + 2) // 3)"), ("stss", "8 + 4 * ((n + 4) // 5)"), ("sdtp", "4 + n"))),
+]
+_MP4 = [("ftyp", "12", []), ("mdat", "bytes", []), ("moov", "0", [("mvhd", "20", []), ("trak", "0", [("mdia", "0", [("mdhd", "24", []), ("hdlr", "24", []), ("minf", "0", [("stbl", "0", _STBL)])])])])]
+
+
+@_r.query(f"WITH d AS ({_PARTS_SQL}), b AS (SELECT path, unnest([{', '.join(_tree_sql(_MP4)[0])}]) AS b FROM d) SELECT path, b.node_id, b.parent_id, b.depth, b.name, b.path_expr, b.offset, b.size FROM b")
 def boxes(spark, sf_dir):
     """S23, K7."""
     return containers.elements(_files(spark, sf_dir, lambda t: compose.mp4(_parts(t))), "mp4")
 
 
-@_r.query()
+@_r.query(f"""
+WITH d AS ({_PARTS_SQL}), k AS (SELECT path, bytes, unnest(range(n)) AS k FROM d)
+SELECT path, 4 AS track, k AS sample_idx, k // 3 + 1 AS chunk, 28 + 200 * k AS "offset", least(200, bytes - 200 * k) AS size, 40 * k AS dts,
+       40 * k + CASE WHEN k % 2 = 1 THEN 80 ELSE 40 END AS pts, CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 3 = 2 THEN 4 ELSE 0 END AS flags FROM k
+""")
 def mp4_samples(spark, sf_dir):
     """S25 from the bytes of files."""
     return media.mp4_samples(_files(spark, sf_dir, lambda t: compose.mp4(_parts(t))))
 
 
-@_r.query()
+@_r.query(f"""
+SELECT path, 4 AS track, 1000 AS timescale, 40 * n AS duration, 'avc1' AS entry, 'h264' AS codec, 4 AS nal_length, CAST(NULL AS BIGINT) AS sample_rate, CAST(NULL AS INT) AS channels, '0142001EFFE1000467420' || '01E01000268CE' AS csd FROM ({_PARTS_SQL})
+""")
 def mp4_tracks(spark, sf_dir):
-    return media.mp4_tracks(_files(spark, sf_dir, lambda t: compose.mp4(_parts(t))))
+    """Tracks with their decoder's configuration."""
+    return media.mp4_tracks(_files(spark, sf_dir, lambda t: compose.mp4(_parts(t)))).withColumn("csd", F.hex("csd"))
 
 
 @_r.query()
@@ -81,20 +123,63 @@ def ebml(spark, sf_dir):
     return containers.elements(_files(spark, sf_dir, lambda t: compose.mkv(_clusters(t))), "ebml")
 
 
-@_r.query()
+@_r.query(f"""
+WITH d AS ({_PARTS_SQL}), k AS (SELECT *, unnest(range(n)) AS i FROM d),
+p AS (SELECT path, i // 20 AS c, i % 20 AS k, substr(h, 400 * i + 1, 400) AS h FROM k UNION ALL SELECT path, (n + 19) // 20, 0, '656E64' FROM d)
+SELECT path, CASE WHEN k < 10 THEN 1 ELSE 300 END AS track, 1000 * c + 40 * k AS pts, 1000 AS timescale, CASE WHEN k = 0 THEN 1 WHEN k < 10 THEN 0 ELSE 4 END AS flags,
+       length(h) // 2 AS size, md5(unhex(CASE WHEN k < 10 THEN h ELSE '21' || h END)) AS data FROM p
+""")
 def mkv_packets(spark, sf_dir):
-    """S29."""
-    return media.mkv_packets(_files(spark, sf_dir, lambda t: compose.mkv(_clusters(t))))
+    """Simple blocks, groups, the three laces and a stripped prefix, with the bytes that they lead to."""
+    files = _files(spark, sf_dir, lambda t: compose.mkv(_clusters(t)))
+    return media.packets(media.mkv_packets(files), files).select("path", "track", "pts", "timescale", "flags", "size", F.md5("data").alias("data"))
 
 
-@_r.query()
+@_r.query(f"SELECT path, 1 AS track, 1000 * c AS time, c AS cue FROM (SELECT path, unnest(range((n + 19) // 20 + 1)) AS c FROM ({_PARTS_SQL}))")
+def mkv_cues(spark, sf_dir):
+    """Cue points in order of their place."""
+    found = media.mkv_cues(_files(spark, sf_dir, lambda t: compose.mkv(_clusters(t))))
+    order = Window.partitionBy("path").orderBy("pos")
+    return found.select("path", "track", "time", (F.row_number().over(order) - 1).cast("long").alias("cue"))
+
+
+def _jpeg(t: str) -> bytes:
+    return compose.jpeg(t.encode(), t[:10].encode("ascii", "replace"), len(t) % 8 + 1, "<>"[len(t) % 2])
+
+
+@_r.query(f"""
+WITH d AS (SELECT 'doc/' || doc_id AS path, {_BYTES} AS bytes, 44 + greatest(least(10, length(coalesce(text, ''))) + 1, 5) AS app1, greatest(1, ({_BYTES} + 59999) // 60000) AS q FROM documents),
+e AS (SELECT *, 24 + app1 AS a, 24 + app1 + 4 * q + bytes AS z FROM d),
+s AS (
+  SELECT path, unnest([{{'k': 0, 'name': 'SOI', 'o': 2, 's': 0}}, {{'k': 1, 'name': 'APP0', 'o': 6, 's': 14}}, {{'k': 2, 'name': 'APP1', 'o': 24, 's': app1}},
+    {{'k': q + 3, 'name': 'SOF0', 'o': z + 4, 's': 9}}, {{'k': q + 4, 'name': 'SOS', 'o': z + 17, 's': 6}}, {{'k': q + 5, 'name': 'EOI', 'o': z + 27, 's': 0}}]) AS r FROM e
+  UNION ALL
+  SELECT path, {{'k': j + 3, 'name': 'COM', 'o': a + 60004 * j + 4, 's': least(60000, bytes - 60000 * j)}} FROM (SELECT *, unnest(range(q)) AS j FROM e)
+)
+SELECT path, CAST(r.k AS BIGINT) AS node_id, -1 AS parent_id, 0 AS depth, r.name AS name, r.name AS path_expr, CAST(r.o AS BIGINT) AS "offset", CAST(r.s AS BIGINT) AS size FROM s
+""")
 def jpeg_segments(spark, sf_dir):
-    """S32."""
-    return containers.elements(_files(spark, sf_dir, lambda t: compose.jpeg(t.encode(), t[:10].encode("ascii", "replace"), len(t) % 8 + 1)), "jpeg")
+    """S32, with each text as comments."""
+    return containers.elements(_files(spark, sf_dir, _jpeg), "jpeg")
 
 
-@_r.query()
+@_r.query("SELECT 'doc/' || doc_id AS path, regexp_replace(substr(t, 1, 10), '[^\\x00-\\x7F]', '?', 'g') AS make, CAST(length(t) % 8 + 1 AS VARCHAR) AS orientation FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def exif(spark, sf_dir):
     """S35."""
-    found = media.exif(_files(spark, sf_dir, lambda t: compose.jpeg(t.encode(), t[:10].encode("ascii", "replace"), len(t) % 8 + 1, "<>"[len(t) % 2])))
+    found = media.exif(_files(spark, sf_dir, _jpeg))
     return found.select("path", F.element_at("tags", "Make").alias("make"), F.element_at("tags", "Orientation").alias("orientation"))
+
+
+@_r.query("""
+SELECT 'doc/' || doc_id AS path, ['wave', 'mp4', 'matroska', 'mp3', '----'][doc_id % 5 + 1] AS format, CASE WHEN doc_id % 5 = 4 THEN 0 ELSE 100 END AS score FROM documents
+""")
+def probe_files(spark, sf_dir):
+    """The kind of a file by its score, behind an ID3v2 tag in half of them."""
+
+    @F.pandas_udf("binary")
+    def content(doc: pd.Series, text: pd.Series) -> pd.Series:
+        kinds = (lambda t: compose.wav(t.encode()), lambda t: compose.mp4(_parts(t)), lambda t: compose.mkv(_clusters(t)), lambda t: compose.mp3(t.encode()), lambda t: t.encode())
+        return pd.Series([(compose.id3(t[:50], "a", "(1)") if d % 2 else b"") + kinds[d % 5](t) for d, t in zip(doc, text.fillna(""), strict=True)], dtype=object)
+
+    d = table(spark, sf_dir, "documents")
+    return media.probe_scores(d.select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), content("doc_id", "text").alias("content")))

@@ -12,20 +12,32 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Node = tuple[int, int, str, int, int]
 
 # MP4 boxes that hold boxes, and what comes before those.
-MP4_PARENTS = {"moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "dinf": 0, "edts": 0, "udta": 0, "mvex": 0, "moof": 0, "traf": 0, "meta": 4, "stsd": 8, "dref": 8, "ilst": 0}
+MP4_PARENTS = {"moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "dinf": 0, "edts": 0, "udta": 0, "mvex": 0, "moof": 0, "traf": 0, "meta": 4, "stsd": 8, "dref": 8, "ilst": 0, "avc1": 78, "avc2": 78, "hvc1": 78, "hev1": 78, "mp4a": 28}
 # Names of EBML elements; those of EBML_PARENTS hold others.
 EBML_NAMES = {
     0x1A45DFA3: "EBML", 0x4282: "DocType", 0x18538067: "Segment", 0x1549A966: "Info", 0x2AD7B1: "TimecodeScale", 0x4489: "Duration",
     0x114D9B74: "SeekHead", 0x4DBB: "Seek", 0x1654AE6B: "Tracks", 0xAE: "TrackEntry", 0xD7: "TrackNumber", 0x83: "TrackType", 0x86: "CodecID",
     0x63A2: "CodecPrivate", 0x1F43B675: "Cluster", 0xE7: "Timecode", 0xA3: "SimpleBlock", 0xA0: "BlockGroup", 0xA1: "Block", 0x9B: "BlockDuration",
     0x1C53BB6B: "Cues", 0xBB: "CuePoint", 0xB3: "CueTime", 0xB7: "CueTrackPositions", 0xF7: "CueTrack", 0xF1: "CueClusterPosition",
-    0x1254C367: "Tags", 0x1043A770: "Chapters", 0x1941A469: "Attachments", 0xE0: "Video", 0xE1: "Audio", 0xEC: "Void",
+    0x1254C367: "Tags", 0x1043A770: "Chapters", 0x1941A469: "Attachments", 0xE0: "Video", 0xE1: "Audio", 0xEC: "Void", 0xBF: "CRC32",
+    0x4286: "EBMLVersion", 0x42F7: "EBMLReadVersion", 0x42F2: "EBMLMaxIDLength", 0x42F3: "EBMLMaxSizeLength", 0x4287: "DocTypeVersion", 0x4285: "DocTypeReadVersion",
+    0x53AB: "SeekID", 0x53AC: "SeekPosition", 0x73A4: "SegmentUID", 0x7BA9: "Title", 0x4D80: "MuxingApp", 0x5741: "WritingApp", 0x4461: "DateUTC",
+    0x73C5: "TrackUID", 0xB9: "FlagEnabled", 0x88: "FlagDefault", 0x55AA: "FlagForced", 0x9C: "FlagLacing", 0x23E383: "DefaultDuration", 0x23314F: "TrackTimecodeScale",
+    0x536E: "Name", 0x22B59C: "Language", 0x258688: "CodecName", 0x56AA: "CodecDelay", 0x56BB: "SeekPreRoll", 0xB0: "PixelWidth", 0xBA: "PixelHeight", 0x54B0: "DisplayWidth", 0x54BA: "DisplayHeight",
+    0xB5: "SamplingFrequency", 0x9F: "Channels", 0x6264: "BitDepth", 0x6D80: "ContentEncodings", 0x6240: "ContentEncoding", 0x5031: "ContentEncodingOrder",
+    0x5032: "ContentEncodingScope", 0x5033: "ContentEncodingType", 0x5034: "ContentCompression", 0x4254: "ContentCompAlgo", 0x4255: "ContentCompSettings",
+    0xA7: "Position", 0xAB: "PrevSize", 0xFB: "ReferenceBlock", 0x75A2: "DiscardPadding", 0x5378: "CueBlockNumber", 0xF0: "CueRelativePosition",
+    0x7373: "Tag", 0x63C0: "Targets", 0x67C8: "SimpleTag", 0x45A3: "TagName", 0x4487: "TagString",
+}
+EBML_PARENTS = {
+    "EBML", "Segment", "Info", "SeekHead", "Seek", "Tracks", "TrackEntry", "Cluster", "BlockGroup", "Cues", "CuePoint", "CueTrackPositions", "Tags", "Tag", "Targets", "SimpleTag",
+    "Video", "Audio", "ContentEncodings", "ContentEncoding", "ContentCompression",
 }
-EBML_PARENTS = {"EBML", "Segment", "Info", "SeekHead", "Seek", "Tracks", "TrackEntry", "Cluster", "BlockGroup", "Cues", "CuePoint", "CueTrackPositions", "Tags", "Video", "Audio"}
 # Names of JPEG segments.
 JPEG_NAMES = {0xD8: "SOI", 0xD9: "EOI", 0xE0: "APP0", 0xE1: "APP1", 0xC0: "SOF0", 0xC2: "SOF2", 0xC4: "DHT", 0xDB: "DQT", 0xDD: "DRI", 0xDA: "SOS", 0xFE: "COM"}
 
@@ -124,8 +136,24 @@ def walk_jpeg(data: bytes) -> Iterator[Node]:
                 at += 1
 
 
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+
+
+def parsed(files: DataFrame, rows: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
+    """path and the columns of a schema (DDL): what rows(content) yields for each of files (path, content)."""
+    fields = StructType.fromDDL("path string, " + schema).fields
+    names, kinds = [f.name for f in fields], [_ARROW[f.dataType.simpleString()] for f in fields]
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                if found := [(path, *r) for r in rows(content.as_py() or b"")]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+
+    return files.select("path", "content").mapInArrow(run, "path string, " + schema)
+
+
 WALKERS: dict[str, Callable[[bytes], Iterator[Node]]] = {"riff": walk_riff, "mp4": walk_mp4, "ebml": walk_ebml, "jpeg": walk_jpeg}
-SCHEMA = "path string, node_id long, parent_id long, depth int, name string, path_expr string, offset long, size long"
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -138,19 +166,13 @@ def elements(files: DataFrame, kind: str) -> DataFrame:
     path_expr, offset and size. Empty or foreign content has none."""
     walk = WALKERS[kind]
 
-    def run(batches):
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows, paths = [], []
-                for k, (parent, depth, name, offset, size) in enumerate(walk(content or b"")):
-                    paths.append((paths[parent] + "/" if parent >= 0 else "") + name)
-                    rows.append((path, k, parent, depth, name, paths[-1], offset, size))
-                if rows:
-                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-                    names = ["path", "node_id", "parent_id", "depth", "name", "path_expr", "offset", "size"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    def rows(content: bytes) -> Iterator[tuple]:
+        paths: list[str] = []
+        for k, (parent, depth, name, offset, size) in enumerate(walk(content)):
+            paths.append((paths[parent] + "/" if parent >= 0 else "") + name)
+            yield k, parent, depth, name, paths[-1], offset, size
+
+    return parsed(files, rows, "node_id long, parent_id long, depth int, name string, path_expr string, offset long, size long")
 
 
 def number(content, at, size: int, little: bool = False):

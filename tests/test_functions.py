@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from reelframe.functions import bits, pcm, rational
+from reelframe.functions import bits, configs, pcm, rational
 from reelframe.operators import timeline
 
 
@@ -69,3 +69,35 @@ def test_as_of_without_a_match_is_null(spark):
     right = spark.createDataFrame([(1, 10, 7), (1, 10, 9), (1, 11, 8)], "k int, at long, v int")
     got = {r["name"]: r["o"] for r in timeline.as_of(left, right, ["k"], "at", "v", "o").collect()}
     assert got == {"a": None, "b": 9, "c": None}
+
+
+def test_audio_configurations():
+    bits = lambda *fields: int("".join(f"{v:0{n}b}" for v, n in fields).ljust(-(-sum(n for _, n in fields) // 8) * 8, "0"), 2).to_bytes(-(-sum(n for _, n in fields) // 8), "big")
+    plain = configs.audio_specific_config(bits((2, 5), (4, 4), (2, 4), (0, 3)))
+    assert (plain["object_type"], plain["rate"], plain["channels"], plain["frame_samples"], plain["sbr"]) == (2, 44100, 2, 1024, False)
+    odd = configs.audio_specific_config(bits((31, 5), (10, 6), (15, 4), (12345, 24), (1, 4)))
+    assert (odd["object_type"], odd["rate"], odd["channels"]) == (42, 12345, 1)
+    he = configs.audio_specific_config(bits((29, 5), (7, 4), (1, 4), (4, 4), (2, 5), (1, 1), (0, 2)))
+    assert (he["object_type"], he["rate"], he["extension_rate"], he["sbr"], he["ps"], he["frame_samples"]) == (2, 22050, 44100, True, True, 960)
+    later = configs.audio_specific_config(bits((2, 5), (7, 4), (1, 4), (0, 3), (0x2B7, 11), (5, 5), (1, 1), (4, 4), (0x548, 11), (1, 1)))
+    assert (later["sbr"], later["ps"], later["extension_rate"]) == (True, True, 44100)
+    assert configs.audio_specific_config(b"") is None
+
+
+def test_decoder_configurations_round_trip():
+    sps, pps = [b"\x67\x64\x00\x1f\xac", b"\x67\x42\x00\x1e"], [b"\x68\xee"]
+    body = configs.compose_avcc(sps, pps, 2)
+    got = configs.avcc(body)
+    assert (got["profile"], got["level"], got["nal_length"], got["sps"], got["pps"]) == (0x64, 0x1F, 2, sps, pps)
+    assert all(configs.avcc(body[:n]) is None for n in range(len(body)))
+    assert [configs.h264_kind(x) for x in (body, b"\0\0\0\1\x67", b"\0\0\1\x67", b"abc")] == ["avcC", "annexB", "annexB", None]
+    for size in (0, 2, 200, 40_000):
+        found = configs.esds(configs.compose_esds(0x40, bytes(size), 96_000))
+        assert (found["object_type"], found["stream_type"], found["avg_bitrate"], found["csd"]) == (0x40, 5, 96_000, bytes(size))
+    assert configs.esds(b"\0\0\0\0\3\x90") is None and configs.descriptor_size(300) == b"\x82\x2c"
+
+
+def test_nal_units():
+    assert configs.nal_unit(b"\x65\x88\x80") == {"ref_idc": 3, "type": 5, "first_mb": 0, "slice_type": 7}
+    assert configs.nal_unit(b"\x67\x42") == {"ref_idc": 3, "type": 7, "first_mb": None, "slice_type": None}
+    assert configs.nal_unit(b"\x80") is None and configs.nal_unit(b"") is None and configs.nal_unit(b"\x65") is None
