@@ -420,8 +420,11 @@ def similar(texts: DataFrame, sets: DataFrame, like: float, shingle: int) -> Dat
     classes = sets.groupBy("fp").agg(F.min("id").alias("a"))
     alike = sets.select("id", "fp").join(classes, "fp").filter("id <> a").select("a", F.col("id").alias("b"))
     by_print = alike.unionByName(links(classes.select(F.col("a").alias("id"), "fp")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    bare = sets.select("id", "n", F.size("tokens").alias("p"), F.posexplode("tokens").alias("i", "token"))
-    shared = materialize(bare.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1"), "shared-shingles")
+    # a set's size and the token's place travel in one number
+    bare = sets.select("id", "n", F.posexplode("tokens").alias("i", "token")).select("id", "token", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("ni"))
+    often = bare.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1")
+    n = F.shiftright("ni", 32).cast("int")
+    shared = materialize(often.select("id", "token", "df", n.alias("n"), F.col("ni").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("i"), (n - F.ceil(like * n - 1e-9) + 1).cast("int").alias("p")), "shared-shingles")
     first = materialize(by_print.unionByName(_stars(shared, like)).distinct(), "candidates")
     near = _verified(first, texts, like, shingle)
     rest = _others(shared, components(near), like)
