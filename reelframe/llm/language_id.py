@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import read_table
+from reelframe.llm.common import by_size, read_table
 
 RANKS = 300
 UNKNOWN = "und"
@@ -48,15 +48,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, ranks: int = RANKS) -> DataFrame:
-    """lang, rank, gram: the most frequent n-grams of each language of (text, lang), counted over all rows.
+    """lang, rank, gram: the most frequent n-grams of each language of (text, lang), counted over all rows with both.
 
+    A language is a value of lang: as many of them as there are have `ranks` rows each. An empty table teaches nothing.
     Each task adds up its own counts first. The most frequent are found in salted parts of a language, then among those.
     """
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in by_size(batch):
                 by: dict[str, list[np.ndarray]] = {}
                 for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
                     by.setdefault(lang, []).append(grams(text))
@@ -100,7 +100,7 @@ class Profiles:
 def identify(docs: DataFrame, profiles: DataFrame, ranks: int = RANKS) -> DataFrame:
     """doc_id, lang_pred, score of every row, from its whole text alone. Profiles have `ranks` rows a language at most.
 
-    Null texts and those without a letter are `und` with score 0; so is everything where no language was learned. Ties
+    Texts are taken whole, however long; an empty table gives an empty result. Null texts and those without a letter are `und` with score 0; so is everything where no language was learned. Ties
     go to the language whose name comes first. Repeated rows are each returned.
     """
     got = [(r["lang"], r["rank"], r["gram"]) for r in profiles.collect()]
@@ -108,12 +108,11 @@ def identify(docs: DataFrame, profiles: DataFrame, ranks: int = RANKS) -> DataFr
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in by_size(batch):
                 found = [model.value.predict(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
