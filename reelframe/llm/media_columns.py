@@ -2,12 +2,14 @@
 
 A payload byte is one 8 x 8 block of a grey frame, all of one level. Such a block has only a DC coefficient, and with a
 quantizer of 8 that coefficient is the level itself (less 128), so baseline JPEG keeps it exactly. A row of 64 blocks is
-one restart interval; restart intervals can be coded and decoded side by side.
+one restart interval; restart intervals can be coded and decoded side by side. Files of other writers are read as well:
+their frames are decoded block by block, with all coefficients.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -131,21 +133,144 @@ def riff(data: bytes, first: int = 0, end: int | None = None) -> Iterator[tuple[
         at += 8 + size + (size & 1)
 
 
-def read_index(data: bytes) -> tuple[int, list[tuple[int, int]]]:
-    """(payload length, [(start, size) of each frame]) of an AVI file, from its index."""
-    parts = {tag: (at, size) for tag, at, size in riff(data)}
-    if b"AVI " not in parts or b"idx1" not in parts:
+def read_index(data: bytes) -> tuple[int | None, list[tuple[int, int]], float]:
+    """(payload length, [(start, size) of each frame], frames a second) of an AVI file, from its headers and index.
+
+    Index entries count from the list of frames or, as some write them, from the file's start. Files of other writers have
+    no payload length.
+    """
+    parts = {tag: (at, size) for tag, at, size in reversed(list(riff(data)))}
+    if b"AVI " not in parts or b"idx1" not in parts or b"movi" not in parts:
         raise ValueError("not an AVI file with an index")
-    base = parts[b"movi"][0] - 4
     at, size = parts[b"idx1"]
-    entries = np.frombuffer(data, "<u4", size // 4, at).reshape(-1, 4)
-    return struct.unpack_from("<Q", data, parts[b"strd"][0])[0], [(base + 8 + int(o), int(n)) for o, n in entries[:, 2:]]
+    entries = [struct.unpack_from("<4sIII", data, at + 16 * k) for k in range(size // 16)]
+    entries = [(o, n) for tag, _, o, n in entries if tag[2:] in (b"dc", b"db") and n]
+    base = parts[b"movi"][0] - 4
+    if entries and data[base + entries[0][0] + 2 : base + entries[0][0] + 4] not in (b"dc", b"db"):
+        base = 0
+    micros = struct.unpack_from("<I", data, parts[b"avih"][0])[0] if b"avih" in parts else 0
+    own = struct.unpack_from("<Q", data, parts[b"strd"][0])[0] if b"strd" in parts and parts[b"strd"][1] == 8 else None
+    return own, [(base + 8 + o, n) for o, n in entries], 1_000_000 / micros if micros else float(FPS)
+
+
+#: Where a coefficient's place in the coded order lies in its block: along the block's diagonals, in turn up and down.
+_ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8)))
+_COSINES = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(1 / 8) if u == 0 else 0.5) for u in range(8)] for x in range(8)])
+
+
+def _codes(body: bytes) -> np.ndarray:
+    """A Huffman table as size | length << 8 of the code that 16 bits start with."""
+    table, next_code, k = np.zeros(1 << 16, np.int64), 0, 16
+    for length in range(1, 17):
+        for _ in range(body[length - 1]):
+            table[next_code << (16 - length) : (next_code + 1) << (16 - length)] = body[k] | length << 8
+            next_code, k = next_code + 1, k + 1
+        next_code <<= 1
+    return table
+
+
+def decode_jpeg(data: bytes) -> list[np.ndarray]:
+    """The planes of a baseline JPEG image, each component in its own resolution: all blocks with all coefficients,
+    dequantized and transformed back. Progressive and arithmetic ones are refused."""
+    at, quant, codes, shape, parts, interval = 2, {}, {}, None, [], 0
+    while True:
+        code, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+        body = data[at + 4 : at + 2 + size]
+        if code == 0xDB:
+            while body:
+                wide = body[0] >> 4
+                quant[body[0] & 15] = np.frombuffer(body, ">u2" if wide else "u1", 64, 1).astype(np.int64)
+                body = body[1 + 64 * (1 + wide) :]
+        elif code == 0xC4:
+            while body:
+                end = 17 + sum(body[1:17])
+                codes[body[0]] = _codes(body[1:end])
+                body = body[end:]
+        elif code in (0xC0, 0xC1):
+            shape = struct.unpack_from(">HH", body, 1)
+            parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(body[5])]
+        elif 0xC2 <= code <= 0xCF and code != 0xC8:
+            raise ValueError("not a baseline image")
+        elif code == 0xDD:
+            interval = struct.unpack(">H", body)[0]
+        at += 2 + size
+        if code == 0xDA:
+            break
+    if shape is None or body[0] != len(parts):
+        raise ValueError("not one scan of all components")
+    tables = {body[1 + 2 * k]: (codes[body[2 + 2 * k] >> 4], codes[16 | body[2 + 2 * k] & 15]) for k in range(body[0])}
+    if len(parts) == 1:
+        parts = [(parts[0][0], 1, 1, parts[0][3])]
+    wide, high = max(p[1] for p in parts), max(p[2] for p in parts)
+    across, down = -(-shape[1] // (8 * wide)), -(-shape[0] // (8 * high))
+    found = {p[0]: np.zeros((down * p[2], across * p[1], 64), np.int64) for p in parts}
+    stop = data.rindex(b"\xff\xd9") if b"\xff\xd9" in data[at:] else len(data)
+    runs = [r.replace(b"\xff\0", b"\xff") + bytes(8) for r in re.split(rb"\xff[\xd0-\xd7]", data[at:stop])]
+    place, run, level = 0, -1, {}
+
+    def take(table: np.ndarray | None, n: int = 0) -> int:
+        """The next code of a table, or the next n bits."""
+        nonlocal place
+        bits = int.from_bytes(runs[run][place >> 3 : (place >> 3) + 4], "big") << (place & 7) & 0xFFFFFFFF
+        if table is None:
+            place += n
+            return bits >> (32 - n)
+        got = int(table[bits >> 16])
+        if not got:
+            raise ValueError("no such code")
+        place += got >> 8
+        return got & 255
+
+    def amount(n: int) -> int:
+        v = take(None, n) if n else 0
+        return v if not n or v >> (n - 1) else v - (1 << n) + 1
+
+    for unit in range(across * down):
+        if unit % interval == 0 if interval else not unit:
+            run, place, level = run + 1, 0, dict.fromkeys(found, 0)
+            if run == len(runs):
+                raise ValueError("restart intervals are missing")
+        for name, h, v, _ in parts:
+            dc, ac = tables[name]
+            for k in range(h * v):
+                block = found[name][unit // across * v + k // h, unit % across * h + k % h]
+                level[name] += amount(take(dc))
+                block[0], at = level[name], 1
+                while at < 64:
+                    both = take(ac)
+                    if not both:
+                        break
+                    at += both >> 4
+                    if both & 15:
+                        block[_ZIGZAG[at]] = amount(both & 15)
+                    at += 1
+    planes = []
+    for name, h, v, q in parts:
+        steps = np.empty(64, np.int64)
+        steps[_ZIGZAG] = quant[q]
+        blocks = (found[name] * steps).reshape(*found[name].shape[:2], 8, 8)
+        pixels = np.clip(np.rint(_COSINES @ blocks @ _COSINES.T) + 128, 0, 255).astype(np.uint8)
+        plane = pixels.swapaxes(1, 2).reshape(8 * pixels.shape[0], 8 * pixels.shape[1])
+        planes.append(plane[: -(-shape[0] * v // high), : -(-shape[1] * h // wide)])
+    return planes
+
+
+def read_levels(files: list[bytes]) -> list[np.ndarray]:
+    """Levels of the frames of AVI files, frames first: of own files of their blocks, of others of the first plane's pixels."""
+    out = []
+    for data in files:
+        own, frames, _ = read_index(data)
+        try:
+            out.append(decode([data])[0][1] if own is not None else np.stack([decode_jpeg(data[at : at + n])[0] for at, n in frames]))
+        except (IndexError, KeyError, struct.error) as e:
+            raise ValueError("a frame is damaged") from e
+    return out
 
 
 @lru_cache(256)
 def _frame_format(head: bytes) -> tuple[int, int, int, np.ndarray, np.ndarray]:
     """(rows, columns, quantizer of DC, DC table, AC table) of a frame's header, for grey frames with a restart interval
-    of one row. A table gives size | length << 8 of the code that 16 bits start with."""
+    of one row."""
     at, tables, shape, quantizer = 2, {}, None, None
     while at < len(head):
         code, size = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
@@ -157,13 +282,7 @@ def _frame_format(head: bytes) -> tuple[int, int, int, np.ndarray, np.ndarray]:
             if body[0] != 8 or body[5] != 1:
                 raise ValueError("not a grey baseline frame")
         elif code == 0xC4:
-            table, next_code, k = np.zeros(1 << 16, np.int64), 0, 17
-            for length in range(1, 17):
-                for _ in range(body[length]):
-                    table[next_code << (16 - length) : (next_code + 1) << (16 - length)] = body[k] | length << 8
-                    next_code, k = next_code + 1, k + 1
-                next_code <<= 1
-            tables[body[0]] = table
+            tables[body[0]] = _codes(body[1:])
         elif code == 0xDD and struct.unpack(">H", body)[0] * 8 != shape[1]:
             raise ValueError("a restart interval has to be one row")
         at += 2 + size
@@ -174,7 +293,7 @@ def decode(files: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
     """(payload, levels of the frames' blocks as frames x rows x 64) of AVI files; their rows are decoded side by side."""
     scans, heads, shapes, lengths = [], [], [], []
     for data in files:
-        n, frames = read_index(data)
+        n, frames, _ = read_index(data)
         for at, size in frames:
             head = at + 2
             while data[head + 1] != 0xDA:
@@ -247,7 +366,11 @@ def payload(text: str | None) -> bytes:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (binary): every whole text as an AVI file; null texts are empty. Equal texts, equal files."""
+    """doc_id, n_bytes, media (binary): every whole text as an AVI file; null texts are empty. Equal texts, equal files.
+
+    Texts are taken whole, however long, a megabyte or one text at a time; repeated rows are each stored; an empty table
+    gives an empty result; other columns are ignored.
+    """
 
     def run(batches):
         for batch in batches:
@@ -260,25 +383,29 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def clips(stored: DataFrame) -> DataFrame:
-    """doc_id, clip, start_s, end_s, n_frames, mean_level: the shots of every file of store()."""
+    """doc_id, clip, start_s, end_s, n_frames, mean_level: the shots of motion-JPEG files (doc_id, media), of store() or of
+    other writers. Null files have none; an empty table gives an empty result."""
 
     def run(batches):
         for batch in batches:
-            media = batch.column("media").to_pylist()
+            media = [m or b"" for m in batch.column("media").to_pylist()]
             for a, b in by_bytes(media, BATCH_BYTES):
                 rows = []
-                for doc, (_, levels) in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), decode(media[a:b]), strict=True):
-                    rows += [(doc, k, f / FPS, e / FPS, e - f, float(levels[f:e].mean())) for k, (f, e) in enumerate(shots(levels))]
-                names = ["doc_id", "clip", "start_s", "end_s", "n_frames", "mean_level"]
-                kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                for doc, file in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), media[a:b], strict=True):
+                    for levels, fps in [(read_levels([file])[0], read_index(file)[2])] if file else []:
+                        rows += [(doc, k, f / fps, e / fps, e - f, float(levels[f:e].mean())) for k, (f, e) in enumerate(shots(levels))]
+                if rows:
+                    names = ["doc_id", "clip", "start_s", "end_s", "n_frames", "mean_level"]
+                    kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return stored.select("doc_id", "media").mapInArrow(run, "doc_id long, clip int, start_s double, end_s double, n_frames long, mean_level double")
 
 
 def digest(stored: DataFrame) -> DataFrame:
     """What reading the files of store() back gives: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature (frames, shots, the longest shot and the histogram's fullest bin)."""
+    media_bytes, media_sha256, feature (frames, shots, the longest shot and the histogram's fullest bin) and clips, the start
+    and end of each shot in seconds."""
 
     def run(batches):
         for batch in batches:
@@ -288,13 +415,14 @@ def digest(stored: DataFrame) -> DataFrame:
                 for file, (p, levels) in zip(media[a:b], decode(media[a:b]), strict=True):
                     found = shots(levels)
                     feature = f"frames={len(levels)};shots={len(found)};longest={max(e - f for f, e in found)};bin={np.bincount(levels.ravel() >> 4, minlength=BINS).argmax()}"
-                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-ROW:]), len(file), hashlib.sha256(file).hexdigest(), feature))
-                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                    timed = [{"start_s": f / FPS, "end_s": e / FPS} for f, e in found]
+                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-ROW:]), len(file), hashlib.sha256(file).hexdigest(), feature, timed))
+                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))]
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("n_bytes").slice(a, b - a), *cols], names=["doc_id", "n_bytes", *names])
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<start_s:double,end_s:double>>")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
