@@ -260,6 +260,44 @@ def test_media_digest_and_clips(spark):
     assert clips[0]["start_s"] == 0 and all(a["end_s"] == b["start_s"] for a, b in zip(clips, clips[1:]))
 
 
+def other_jpeg(spark, pixels, colour=False):
+    """(a JPEG image of grey pixels by Java's writer, its own reader's pixels)."""
+    jvm = spark._jvm
+    high, wide = pixels.shape
+    image = jvm.java.awt.image.BufferedImage(wide, high, 1 if colour else 10)
+    for y in range(high):
+        for x in range(wide):
+            image.setRGB(x, y, int(pixels[y, x]) * 0x010101) if colour else image.getRaster().setSample(x, y, 0, int(pixels[y, x]))
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    data = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(out.toByteArray()))
+    return data, np.array([[back.getRaster().getSample(x, y, 0) for x in range(wide)] for y in range(high)])
+
+
+def test_frames_of_another_writer_are_decoded(spark):
+    rng = np.random.default_rng(3)
+    smooth = np.clip(128 + 60 * np.sin(np.arange(37)[:, None] / 5) + 50 * np.cos(np.arange(29) / 3) + rng.normal(0, 9, (37, 29)), 0, 255).astype(np.uint8)
+    for colour in (False, True):
+        data, want = other_jpeg(spark, smooth, colour)
+        got = media_columns.decode_jpeg(data)
+        assert len(got) == (3 if colour else 1) and got[0].shape == (37, 29)
+        assert np.abs(got[0].astype(int) - want).max() <= (4 if colour else 1)
+    dark, light = (other_jpeg(spark, np.full((16, 24), v) + rng.integers(0, 9, (16, 24)))[0] for v in (20, 200))
+    file = media_columns.avi([dark] * 3 + [light] * 4, 2, 0).replace(b"strd\x08\0\0\0", b"JUNK\x08\0\0\0")
+    made = spark.createDataFrame([(1, file), (2, None)], "doc_id long, media binary")
+    assert [(r["doc_id"], r["clip"], r["start_s"], r["end_s"], r["n_frames"]) for r in media_columns.clips(made).orderBy("clip").collect()] == [(1, 0, 0.0, 3 / 25, 3), (1, 1, 3 / 25, 7 / 25, 4)]
+    own = media_columns.encode([media_columns.payload("level " * 300)])[0]
+    at, size = media_columns.read_index(own)[1][0]
+    blocks = media_columns.decode([own])[0][1][0]
+    assert (media_columns.decode_jpeg(own[at : at + size])[0][::8, ::8] == blocks).all()
+
+
+def test_media_of_an_empty_table(spark):
+    stored = media_columns.store(docs(spark, []))
+    assert stored.count() == media_columns.digest(stored).count() == media_columns.clips(stored).count() == 0
+
+
 def test_shots_are_cut_where_levels_jump():
     frames = np.concatenate([np.full((5, 2, 64), 10), np.full((4, 2, 64), 200), np.full((3, 2, 64), 90)])
     assert media_columns.shots(frames) == [(0, 5), (5, 9), (9, 12)]
@@ -287,6 +325,36 @@ def test_distance_of_a_document_to_a_profile():
     assert lang == "aa" and 0 <= score <= 1
 
 
+def brute_grams(text):
+    """Letters and the 2- and 3-grams of words with a blank at their borders, by characters."""
+    found = []
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    joined = " " + " ".join(words) + " "
+    for n in (1, 2, 3):
+        found += [joined[i : i + n] for i in range(len(joined) - n + 1)]
+    return [g for g in found if (g != " " if len(g) == 1 else g[1] != " " if len(g) == 3 else True)]
+
+
+def test_languages_are_those_of_plain_profiles(spark):
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(60).collect()
+    profile, top = {}, lambda grams: [g for g, _ in sorted(Counter(grams).items(), key=lambda x: (-x[1], code(x[0])))][: language_id.RANKS]
+    for r in d[:40]:
+        if r["text"] and r["lang"]:
+            profile.setdefault(r["lang"], []).extend(brute_grams(r["text"]))
+    profile = {lang: {g: k for k, g in enumerate(top(grams))} for lang, grams in profile.items()}
+    learned = language_id.learn(spark.createDataFrame([(r["text"], r["lang"]) for r in d[:40]], "text string, lang string"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(spark.createDataFrame([(r["doc_id"], r["text"]) for r in d], "doc_id long, text string"), learned).collect()}
+    for r in d:
+        own = top(brute_grams(r["text"] or ""))
+        if not own:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(p[g] - k) if g in p else language_id.RANKS for k, g in enumerate(own)) for lang, p in profile.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[r["doc_id"]] == (best, pytest.approx(1 - far[best] / (language_id.RANKS * len(own))))
+
+
 def water_level(sizes, weights=(1, 2, 3), most=3):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
@@ -575,6 +643,44 @@ def test_mined_rules_are_those_of_all_combinations(spark):
     assert got == set(rules)
 
 
+def dense_fit(x, earlier, y):
+    """fit_linear() on a dense matrix of terms that are there or not."""
+    n, size, k = *x.shape, earlier.shape[1]
+    scale = np.log((x[y == 1].sum(axis=0) + 1) / (y.sum() + 2)) - np.log((x[y == 0].sum(axis=0) + 1) / (n - y.sum() + 2))
+    scale[np.abs(scale) < 0.5] = 0
+    v = x * scale
+    unit = np.sqrt(max((v * v).sum(axis=1).mean(), 1e-9))
+    full = np.column_stack([v / unit, earlier, np.ones(n)])
+    w = ahead = np.zeros(size + k + 1)
+    for t in range(toxicity.STEPS):
+        grad = full.T @ (1 / (1 + np.exp(-full @ ahead)) - y) / n + toxicity.PENALTY * ahead
+        last, w = w, ahead - toxicity.RATE * grad
+        ahead = w + t / (t + 3) * (w - last)
+    return np.concatenate([w[:size] * scale / unit, w[size:]])
+
+
+def brute_chain(texts, marks):
+    """[(weights, threshold)] of each category, model after model."""
+    docs = sorted(marks)
+    found = {d: toxicity.terms(texts[d]) for d in docs}
+    n = Counter(t for d in docs for t in found[d])
+    vocabulary = sorted(t for t, c in n.items() if c >= toxicity.LEAST_DOCUMENTS)
+    x = np.array([[t in found[d] for t in vocabulary] for d in docs], float)
+    fold = np.array([spark_hash((d, 8), (1, 4)) % toxicity.FOLDS for d in docs])
+    earlier, out = np.zeros((len(docs), 0)), []
+    for k in range(len(toxicity.CATEGORIES)):
+        y = np.array([marks[d][k] for d in docs], float)
+        held = np.zeros(len(docs))
+        for f in range(toxicity.FOLDS):
+            w = dense_fit(x[fold != f], earlier[fold != f], y[fold != f])
+            held[fold == f] = 1 / (1 + np.exp(-(np.column_stack([x, earlier, np.ones(len(docs))])[fold == f] @ w)))
+        best = [(2 * y[held >= t / 100].sum() / max((held >= t / 100).sum() + y.sum(), 1), t) for t in range(1, 100)]
+        top = [t for s, t in best if s == max(best)[0]]
+        out.append((dense_fit(x, earlier, y), top[len(top) // 2] / 100))
+        earlier = np.column_stack([earlier, held])
+    return out
+
+
 def test_toxicity_of_labelled_documents(spark):
     rng = random.Random(10)
     plain = [f"word{k}" for k in range(200)]
@@ -586,9 +692,16 @@ def test_toxicity_of_labelled_documents(spark):
         marks.append((k, 0 if k % 8 == 0 else 1, int(bad)))
     marks += [(1000, None, 1)]
     d = spark.createDataFrame([*rows, (500, None), (501, "")], "doc_id long, text string")
-    chain = toxicity.fit_chain(toxicity.label_documents(d, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")))
+    labels = lambda m: toxicity.known_labels(spark.createDataFrame(m, "doc_id long, quality int, toxic int"))
+    chain = toxicity.fit_chain(toxicity.label_documents(d, labels(marks + marks[:50])))
+    plain_chain = brute_chain({k: t for k, t in rows}, {k: (1 - q, t) for k, q, t in marks if q is not None})
+    for w, t, (want, threshold) in zip(chain.weights, chain.thresholds, plain_chain, strict=True):
+        assert np.allclose(w, want, rtol=1e-5, atol=1e-7) and t == threshold
     got = {r["doc_id"]: r for r in toxicity.score(d, chain).collect()}
     assert len(got) == 402
     assert sum(got[k]["toxic"] == (k % 4 == 0) for k in range(400)) >= 396
     assert not got[500]["toxic"] and not got[501]["toxic"]
-    assert toxicity.fit_chain(toxicity.label_documents(d, spark.createDataFrame([], "doc_id long, quality int, toxic int"))) is None
+    assert toxicity.fit_chain(toxicity.label_documents(d, labels([]))) is None
+    long = spark.createDataFrame([(1, "grob1 grob2 " + "word1 word2 " * 100_000), (1, "grob1 grob2 grob3"), (1, "grob1 grob2 grob3"), (2, None)], "doc_id long, text string")
+    assert [r["toxic"] for r in toxicity.score(long, chain).orderBy("doc_id").collect()] == [True, True, True, False]
+    assert toxicity.score(long.limit(0), chain).count() == 0
