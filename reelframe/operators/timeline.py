@@ -77,6 +77,45 @@ def pacing(pts: Column, clock: Column, next_pts: Column, latency: int = 0) -> tu
     return F.when(early > MASTER_LATENCY_US, "wait").when(early < -MASTER_LATENCY_US, "late").otherwise("play"), F.greatest(next_pts - clock, F.lit(0).cast("long"))
 
 
+def clock_states(log: DataFrame, clock: str, order: list[str]) -> DataFrame:
+    """A control log with the clock's state after each entry: media_us, speed, started and ticking.
+
+    log has at_us (the time of the entry), cmd and arg: `set` and `update` (by the master, forward only) name a media time,
+    `speed` a factor, `start`, `pause`, `register` and `unregister` (of a master) nothing. A clock runs on by its speed from
+    entry to entry while it ticks: it is started and, with a master, that one has updated it since. What has passed while
+    it ticked is a running sum, and the last `set`, pushed forward by updates since, is added to it; so no entry needs the
+    one before, and all is windows over a clock's entries.
+    """
+    w = Window.partitionBy(clock).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    cmd = F.col("cmd")
+    last = lambda when, value: F.last(F.when(when, value), ignorenulls=True).over(so_far)
+    s = log.withColumns({
+        "_k": F.row_number().over(w),
+        "speed": F.coalesce(last(cmd == "speed", F.col("arg").cast("double")), F.lit(1.0)),
+        "started": F.coalesce(last(cmd.isin("start", "pause"), cmd == "start"), F.lit(False)),
+        "_master": F.coalesce(last(cmd.isin("register", "unregister"), cmd == "register"), F.lit(False)),
+    })
+    s = s.withColumns({"_start": last(cmd == "start", F.col("_k")), "_update": last(cmd == "update", F.col("_k"))})
+    s = s.withColumn("ticking", F.col("started") & (~F.col("_master") | F.coalesce(F.col("_update") > F.col("_start"), F.lit(False))))
+    ran = F.when(F.lag("ticking").over(w), F.floor((F.col("at_us") - F.lag("at_us").over(w)) * F.lag("speed").over(w))).otherwise(0)
+    s = s.withColumn("_ran", F.coalesce(ran, F.lit(0)).cast("long")).withColumn("_ran", F.sum("_ran").over(so_far))
+    s = s.withColumn("_sets", F.sum((cmd == "set").cast("int")).over(so_far))
+    ahead = F.max(F.when(cmd.isin("set", "update"), F.col("arg").cast("long") - F.col("_ran"))).over(Window.partitionBy(clock, "_sets").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    base = F.when(F.col("_sets") > 0, ahead).otherwise(F.greatest(F.coalesce(ahead, F.lit(0)), F.lit(0)))
+    return s.withColumn("media_us", F.col("_ran") + base).select(*log.columns, "media_us", "speed", "started", "ticking")
+
+
+def clock_reads(reads: DataFrame, states: DataFrame, clock: str, at: str, order: str) -> DataFrame:
+    """reads with media_us: what a clock of clock_states() shows then, 0 before its first entry. Of entries at one time the
+    last counts, by a column that orders them."""
+    state = F.struct(order, F.col("at_us").alias("since"), "media_us", "speed", "ticking")
+    got = as_of(reads, states.select(clock, F.col("at_us").alias(at), state.alias("_state")), [clock], at, "_state", "_found")
+    f = F.col("_found")
+    passed = F.when(f["ticking"], F.floor((F.col(at) - f["since"]) * f["speed"])).otherwise(0)
+    return got.withColumn("media_us", F.coalesce(f["media_us"] + passed, F.lit(0)).cast("long")).drop("_found")
+
+
 def newest_generation(packets: DataFrame, track: str, order: list[str], is_seek: Column) -> DataFrame:
     """packets with generation (seeks so far) of the track's last generation; older ones belong to before a seek."""
     w = Window.partitionBy(track).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

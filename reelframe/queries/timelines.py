@@ -140,6 +140,30 @@ def clock_at(spark, sf_dir):
     return got.select("user_id", "event_id", F.when(F.col("last").isNull(), 0).otherwise(F.col("last.media") + F.col("us") - F.col("last.at")).alias("media_us"))
 
 
+@_r.query(f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k, (event_id * 2654435761 // 1024) % 7 AS c FROM ({_EV})),
+s AS (
+  SELECT user_id, event_id, k, us, CASE WHEN c IN (0, 5) THEN event_id * 1000 ELSE 0 END AS media, CASE WHEN c = 3 THEN event_id % 4 / 2.0 ELSE 1.0 END AS speed, c = 1 AS started, c = 4 AS master, c <> 1 AND c = 5 AS fresh FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.k, e.us,
+    CASE e.c WHEN 0 THEN e.event_id * 1000 WHEN 5 THEN greatest(e.event_id * 1000, s.media + CAST(CASE WHEN s.started AND (NOT s.master OR s.fresh) THEN floor((e.us - s.us) * s.speed) ELSE 0 END AS BIGINT))
+      ELSE s.media + CAST(CASE WHEN s.started AND (NOT s.master OR s.fresh) THEN floor((e.us - s.us) * s.speed) ELSE 0 END AS BIGINT) END,
+    CASE WHEN e.c = 3 THEN e.event_id % 4 / 2.0 ELSE s.speed END, CASE e.c WHEN 1 THEN true WHEN 2 THEN false ELSE s.started END,
+    CASE e.c WHEN 4 THEN true WHEN 6 THEN false ELSE s.master END, CASE e.c WHEN 1 THEN false WHEN 5 THEN true ELSE s.fresh END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1
+)
+SELECT user_id, event_id, media AS media_us, speed, started, started AND (NOT master OR fresh) AS ticking FROM s
+""")
+def clock_log(spark, sf_dir):
+    """Start, pause, speed, a master that ticks first, and updates that only move forward."""
+    c = F.expr("(event_id * 2654435761 div 1024) % 7")
+    names = F.array(*map(F.lit, ("set", "start", "pause", "speed", "register", "update", "unregister")))
+    p = packets(spark, sf_dir).withColumn("cmd", F.get(names, c.cast("int")))
+    arg = F.when(F.col("cmd").isin("set", "update"), F.col("event_id") * 1000.0).when(F.col("cmd") == "speed", F.col("event_id") % 4 / 2)
+    log = p.select("user_id", "event_id", F.col("us").alias("at_us"), "cmd", arg.alias("arg"))
+    return tl.clock_states(log, "user_id", ["at_us", "event_id"]).select("user_id", "event_id", "media_us", "speed", "started", "ticking")
+
+
 @_r.query(f"""
 WITH e AS ({_EV}), g AS (SELECT *, CAST(sum(CAST(kind = 'signup' AS BIGINT)) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS generation FROM e)
 SELECT user_id, event_id, generation FROM g QUALIFY generation = max(generation) OVER (PARTITION BY user_id)

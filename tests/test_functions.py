@@ -101,3 +101,20 @@ def test_nal_units():
     assert configs.nal_unit(b"\x65\x88\x80") == {"ref_idc": 3, "type": 5, "first_mb": 0, "slice_type": 7}
     assert configs.nal_unit(b"\x67\x42") == {"ref_idc": 3, "type": 7, "first_mb": None, "slice_type": None}
     assert configs.nal_unit(b"\x80") is None and configs.nal_unit(b"") is None and configs.nal_unit(b"\x65") is None
+
+
+def test_times_beyond_64_bits_are_null(spark):
+    lit = lambda v: F.lit(v).cast("long")
+    big, fine, gcds = one(spark, rational.add(lit(1 << 62), lit(3), lit(1), lit(7)), rational.add(lit(-3), lit(4), lit(1), lit(4)), F.array(*(rational.gcd(lit(a), lit(b)) for a, b in ((0, 0), (0, 5), (7, 0), (1 << 62, 6), (7540113804746346429, 4660046610375530309), (-12, 18)))))
+    assert big is None and tuple(fine) == (-1, 2)
+    assert gcds == [0, 5, 7, 2, 1, 6]
+
+
+def test_clock_waits_for_its_master(spark):
+    rows = [(1, 0, "set", 500.0), (2, 10, "start", None), (3, 110, "pause", None), (4, 200, "set", 500.0), (5, 300, "register", None), (6, 400, "start", None), (7, 500, "update", 1000.0), (8, 600, "update", 10.0), (9, 700, "speed", 2.0), (10, 800, "pause", None)]
+    log = spark.createDataFrame([("c", *r) for r in rows], "clock string, seq int, at_us long, cmd string, arg double")
+    states = timeline.clock_states(log, "clock", ["seq"])
+    got = [(r["media_us"], r["started"], r["ticking"]) for r in states.orderBy("seq").collect()]
+    assert got == [(500, False, False), (500, True, True), (600, False, False), (500, False, False), (500, False, False), (500, True, False), (1000, True, True), (1100, True, True), (1200, True, True), (1400, False, False)]
+    reads = spark.createDataFrame([("c", t) for t in (-5, 0, 60, 450, 550, 750, 900)], "clock string, us long")
+    assert {r["us"]: r["media_us"] for r in timeline.clock_reads(reads, states, "clock", "us", "seq").collect()} == {-5: 0, 0: 500, 60: 550, 450: 500, 550: 1050, 750: 1300, 900: 1400}
