@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_written: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,19 +26,37 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to; sweep() deletes what it holds."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+    _written.discard(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialize() that nothing will read again."""
     for t in tables:
-        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(t._written_to)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(t.sparkSession, t._written_to)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this process has written to the shared folder and not discarded; results still to be read go too."""
+    for path in sorted(_written):
+        _delete(spark, path)

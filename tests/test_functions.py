@@ -1,7 +1,9 @@
+import os
 import random
 
 from pyspark.sql import functions as F
 
+from reelframe import stored
 from reelframe.functions import bits, configs, pcm, rational
 from reelframe.operators import timeline
 
@@ -118,3 +120,16 @@ def test_clock_waits_for_its_master(spark):
     assert got == [(500, False, False), (500, True, True), (600, False, False), (500, False, False), (500, False, False), (500, True, False), (1000, True, True), (1100, True, True), (1200, True, True), (1400, False, False)]
     reads = spark.createDataFrame([("c", t) for t in (-5, 0, 60, 450, 550, 750, 900)], "clock string, us long")
     assert {r["us"]: r["media_us"] for r in timeline.clock_reads(reads, states, "clock", "us", "seq").collect()} == {-5: 0, 0: 500, 60: 550, 450: 500, 550: 1050, 750: 1300, 900: 1400}
+
+
+def test_stored_tables_are_swept(spark):
+    kept, gone = stored.materialize(spark.range(3), "kept"), stored.materialize(spark.range(2), "gone")
+    assert kept.count() == 3 and gone.count() == 2
+    stored.discard(gone)
+    paths = [gone._written_to, kept._written_to]
+    assert [os.path.exists(p) for p in paths] == [False, True] and paths[0] not in stored._written
+    left = set(stored._written) - {paths[1]}
+    stored._written.difference_update(left)
+    stored.sweep(spark)
+    assert not os.path.exists(paths[1])
+    stored._written.update(left)
