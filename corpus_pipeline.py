@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelframe.llm import mixing, packing, quality_rules, simhash, suffix_dedup
-from reelframe.llm.common import materialize, read_table
+from reelframe.llm.common import discard, materialize, read_table
 
 #: Near copies in the pipeline share at least this part of their word 5-grams.
 SIMILARITY = 0.8
@@ -71,10 +71,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each kept as a table before the next."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over documents, each kept as a table until the next one is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, name)
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
