@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,50 +12,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelframe.stored import discard, materialize, new_path  # noqa: F401  operators take them from here
+
 #: The white space that separates words: blank and the control characters 9 to 13.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
-_own_dir: str | None = None
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all machines share.
-
-    Where that is unset, a local session gets a folder of its own; a cluster has to name one.
-    """
-    global _own_dir
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="reelframe-")
-    return _own_dir
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialize() that nothing will read again."""
-    for t in tables:
-        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(t._written_to)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row however often the body or its lambdas use it."""
     return F.element_at(F.transform(F.array(value), body), 1)

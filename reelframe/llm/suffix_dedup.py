@@ -360,8 +360,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, partitions: int | N
 def identified(docs: DataFrame) -> DataFrame:
     """docs with th, the text's hash, and doc, a hash of doc_id and th. doc_id, null first, and th order documents.
 
-    Rows with the same doc_id and text are one document. Documents whose doc hashes collide share hints about where to
-    look, and nothing else.
+    Rows with the same doc_id and text are one document. doc has 64 bits and stands for its document in every join, so two
+    documents whose hashes collide would share their spans; th orders documents and tells repeated rows.
     """
     th = F.xxhash64(F.coalesce("text", F.lit("")))
     return docs.withColumns({"th": th, "doc": F.xxhash64(F.coalesce("doc_id", F.lit(FIRST)), th)})

@@ -16,7 +16,6 @@ first), so segments can be decoded in parallel, and its checksum is that of its
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import by_size, discard, lean, materialize, read_table, shared_dir
+from reelframe.llm.common import by_size, discard, lean, materialize, new_path, read_table
 from reelframe.llm.tokens import encoder
 
 PROB_BITS = 20
@@ -267,6 +266,6 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    path = new_path(spark, "token-store")
     write_store(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
     return read_store(spark, path)
