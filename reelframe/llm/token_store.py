@@ -46,7 +46,8 @@ class Model:
         self.freq[symbols] = frequencies
         self.start = np.zeros(size, np.uint64)
         self.start[1:] = np.cumsum(self.freq)[:-1]
-        self.slots = np.repeat(np.arange(size, dtype=np.uint32), self.freq.astype(np.int64))
+        self.slots = np.repeat(np.arange(size, dtype=np.uint16 if size <= 1 << 16 else np.uint32), self.freq.astype(np.int64))
+        self.both = (self.freq << np.uint64(32)) | self.start  # one look-up gives a symbol's frequency and start
         self.common = int(self.freq.argmax())
 
 
@@ -72,20 +73,23 @@ def encode_block(docs: list[tuple[int | None, np.ndarray]], model: Model) -> byt
     grid = np.full(steps * lanes, model.common, np.int64)
     grid[:n] = ids
     grid = grid.reshape(steps, lanes)
-    freq, start = model.freq, model.start
-    states = np.full(lanes, LOW, np.uint64)
+    states, half, upper, lower = np.full(lanes, LOW, np.uint64), np.uint64(32), np.uint64(63 - PROB_BITS), np.uint64(0xFFFFFFFF)
     words: list[np.ndarray] = []
     written = 0
     marks = []  # for each segment, from the last: words written so far, states
     for k in range(steps - 1, -1, -1):
-        f = freq[grid[k]]
-        full = states >= (f << np.uint64(63 - PROB_BITS))
-        if full.any():
-            words.append(states[full].astype(np.uint32))
-            written += len(words[-1])
-            states = np.where(full, states >> np.uint64(32), states)
+        both = model.both[grid[k]]
+        f = both >> half
+        full = np.flatnonzero(states >= (f << upper))
+        if len(full):
+            over = states[full]
+            words.append(over.astype(np.uint32))
+            written += len(full)
+            states[full] = over >> half
         quotient = states // f
-        states = (quotient << np.uint64(PROB_BITS)) + (states - quotient * f) + start[grid[k]]
+        # quotient << PROB_BITS, and the remainder
+        states += quotient * (np.uint64(1 << PROB_BITS) - f)
+        states += both & lower
         if k % SEGMENT_STEPS == 0:
             marks.append((written, states.copy()))
     total = written
@@ -129,15 +133,19 @@ class Block:
         """The ids of one segment, from its checkpoint alone; they are held against its checksum."""
         first, at, crc = (int(x) for x in self.table[segment])
         steps = min(SEGMENT_STEPS, -(-self.n_tokens // self.lanes) - first)
-        states, mask = self.states[segment].astype(np.uint64), np.uint64((1 << PROB_BITS) - 1)
+        states, mask, half, lower = self.states[segment].astype(np.uint64), np.uint64((1 << PROB_BITS) - 1), np.uint64(32), np.uint64(0xFFFFFFFF)
         out = np.empty((steps, self.lanes), np.uint32)
         for k in range(steps):
             slot = states & mask
             out[k] = s = model.slots[slot]
-            states = model.freq[s] * (states >> np.uint64(PROB_BITS)) + slot - model.start[s]
-            low = states < np.uint64(LOW)
-            if need := int(low.sum()):
-                states[low] = (states[low] << np.uint64(32)) | self.words[at : at + need]
+            both = model.both[s]
+            states >>= np.uint64(PROB_BITS)
+            states *= both >> half
+            states += slot
+            states -= both & lower
+            low = np.flatnonzero(states < np.uint64(LOW))
+            if need := len(low):
+                states[low] = (states[low] << half) | self.words[at : at + need]
                 at += need
         ids = out.reshape(-1)[: self.n_tokens - first * self.lanes].astype("<u4")
         if zlib.crc32(ids.tobytes()) != crc:
@@ -149,7 +157,8 @@ class Block:
 
 
 def tokenize(docs: DataFrame, tokenizer_file: str, kind: str = "bytes", end_id: int = END_ID, special_as_text: bool = False) -> DataFrame:
-    """doc_id, ids (binary, little-endian u16, with the end id), counts; null and empty texts give the end id alone.
+    """doc_id, ids (binary, little-endian u16, with the end id), tie (their crc32), counts; null and empty texts give the end
+    id alone.
 
     Strings of the tokenizer's special tokens in a text give their ids, as the library has it, or are text like any other
     with special_as_text. A vocabulary beyond 16 bits is refused.
@@ -159,7 +168,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, kind: str = "bytes", end_id:
     with open(tokenizer_file, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     end = end_id.to_bytes(2, "little")
-    names = ["doc_id", "ids", "counts"]
+    names = ["doc_id", "ids", "tie", "counts"]
 
     def run(batches):
         enc = encoder(model.value, kind, special_as_text)
@@ -169,12 +178,12 @@ def tokenize(docs: DataFrame, tokenizer_file: str, kind: str = "bytes", end_id:
         counts = np.zeros(max(size, end_id + 1), np.int64)
         for batch in batches:
             for part in by_size(batch):
-                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()])]
+                ids = [x + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()], "<u2")]
                 counts += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=len(counts))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.astype("<u8").tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.nulls(len(ids), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([counts.astype("<u8").tobytes()], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, ids binary, counts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, ids binary, tie long, counts binary")
 
 
 def count_symbols(tokens: DataFrame) -> DataFrame:
@@ -228,8 +237,8 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str) -> None:
         if held:
             yield flush()
 
-    rows = tokens.filter("counts IS NULL").select("doc_id", "ids", F.xxhash64("ids").alias("tie"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    rows = tokens.filter("counts IS NULL").select("doc_id", "tie", "ids")
+    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").select("doc_id", "ids")
     ordered.mapInArrow(lean(blocks), "part long, seq long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
     discard(tokens)
 

@@ -78,6 +78,16 @@ def cut(c: np.ndarray, first: np.ndarray, kind: str) -> tuple[np.ndarray, np.nda
     return c, starts
 
 
+def _letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: printable Latin-1 as it is, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+_WRITTEN = _letters()
+
+
 class PartEncoder:
     """texts -> ids as little-endian unsigned 32-bit bytes, the same as the library gives for whole texts.
 
@@ -96,72 +106,74 @@ class PartEncoder:
         self.older: dict[str, bytes] = {}
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
-        vocab = self.tokenizer.get_vocab()
-        self.edge = np.zeros(max(vocab.values()) + 1, bool)  # tokens that start a word after a blank, or end one
-        for token, at in vocab.items():
-            self.edge[at] = token.startswith("Ġ") if kind == "bytes" else token.endswith("</w>")
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, all encoded as one text; each has one token at its edge."""
-        text = "".join(words) if self.kind == "bytes" else " ".join(words)
-        ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        edges = np.flatnonzero(self.edge[ids])
-        if len(edges) != len(words):
-            return [self._whole(w) for w in words]
-        cuts = 4 * (np.append(edges, len(ids)) if self.kind == "bytes" else np.append(0, edges + 1))
-        raw, cuts = ids.tobytes(), cuts.tolist()
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        self.model = self.tokenizer.model
+
+    def _new(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that aren't remembered. Words of letters go to the model, written in its letters, as the library would
+        hand them to it: they are their own lower case, and it cuts none of them further."""
+        flat, ends, blank = [], [0], self.kind == "bytes"
+        model, whole = self.model.tokenize, self.tokenizer.encode
+        for p in parts:
+            word = p[1:] if blank and p[0] == " " else p
+            if not word.isalpha():
+                flat += whole(p, add_special_tokens=False).ids
+            elif word.isascii():
+                flat += [t.id for t in model(word if word is p else _WRITTEN[32] + word)]
+            elif max(word) < chr(_PLAIN) and "İ" not in word:
+                flat += [t.id for t in model(p.encode().decode("latin-1").translate(_WRITTEN))]
+            else:
+                flat += whole(p, add_special_tokens=False).ids
+            ends.append(len(flat))
+        raw = np.array(flat, "<u4").tobytes()
+        return [raw[4 * x : 4 * y] for x, y in zip(ends, ends[1:])]
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         """Ids of distinct parts. Of two generations of parts the older is dropped, so those in use stay."""
-        found = list(map(self.recent.get, parts))
-        lost = [p for p, ids in zip(parts, found) if ids is None]
-        if not lost:
-            return found
-        got = {p: self.older[p] for p in lost if p in self.older}
-        blank = self.kind == "bytes"
-        # the library's lower case of these words is themselves, and none is cut further
-        words = [p for p in lost if p not in got and (p[0] == " " and p[1:].isalpha() if blank else p.isalpha()) and (p.isascii() or max(p) < chr(_PLAIN) and "İ" not in p)]
-        for at in range(0, len(words), 5000):
-            got.update(zip(words[at : at + 5000], self._words(words[at : at + 5000]), strict=True))
-        for p in lost:
-            if p not in got:
-                got[p] = self._whole(p)
-        if len(self.recent) + len(got) > self.keep:
+        if len(self.recent) + len(parts) > self.keep:
             self.older, self.recent = self.recent, {}
-        self.recent.update((p, ids) for p, ids in got.items() if len(p) <= 48)
-        return [got[p] if ids is None else ids for p, ids in zip(parts, found)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; what is held meanwhile is some dozens of bytes for each character of all texts."""
+        recent, older, fresh = self.recent, self.older.get, []
+        found = list(map(recent.get, parts))
+        for k, ids in enumerate(found):
+            if ids is None:
+                ids = older(parts[k])
+                if ids is None:
+                    fresh.append(k)
+                else:
+                    found[k] = recent[parts[k]] = ids
+        for k, ids in zip(fresh, self._new([parts[k] for k in fresh]), strict=True):
+            found[k] = ids
+            if len(parts[k]) <= 48:
+                recent[parts[k]] = ids
+        return found
+
+    def encode(self, texts: list[str], width: str = "<u4") -> list[bytes]:
+        """The ids of each text as numbers of this width; what is held meanwhile is some dozens of bytes for each character of
+        all texts."""
         joined = "".join(texts)
         if not joined:
             return [b""] * len(texts)
         if self.added.search(joined):
             if len(texts) == 1:
-                return [self._whole(joined)]
-            return [x for t in texts for x in self.encode([t])]
+                return [np.asarray(self.tokenizer.encode(joined, add_special_tokens=False).ids, width).tobytes()]
+            return [x for t in texts for x in self.encode([t], width)]
         c = np.frombuffer(joined.encode("utf-32-le"), "<u4")
         places = np.cumsum([0, *map(len, texts)])
         first = np.zeros(len(c) + 1, bool)
         first[places] = True
-        c, starts = cut(c, first[:-1], self.kind)
+        own, starts = cut(c, first[:-1], self.kind)
         starts = np.flatnonzero(starts)
-        raw = c.astype("<u4").tobytes().decode("utf-32-le").encode()
+        raw = joined.encode() if own is c else own.astype("<u4").tobytes().decode("utf-32-le").encode()
         edges = np.append(starts, len(c))
         if len(raw) > len(c):
-            edges = np.concatenate([[0], np.cumsum(1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000).astype(np.int64))])[edges]
+            edges = np.append(np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw))[edges]
         parts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(raw)).dictionary_encode()
         which, ids = parts.indices.to_numpy(), self._ids(parts.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in ids]) // 4
-        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        flat, begin = np.frombuffer(b"".join(ids), "<u4").astype(width), np.cumsum(sizes, dtype=np.int32) - sizes
         each = sizes[which]
-        ends = np.cumsum(each)
-        out = flat[np.repeat(begin[which] - (ends - each), each) + np.arange(ends[-1])].tobytes()
-        cuts = 4 * np.append(0, ends)[np.searchsorted(starts, places)]
+        ends = np.cumsum(each, dtype=np.int32 if 4 * len(raw) < 1 << 31 else np.int64)  # a byte has few tokens
+        out = flat[np.repeat(begin[which] - (ends - each), each) + np.arange(ends[-1], dtype=ends.dtype)].tobytes()
+        cuts = flat.itemsize * np.append(0, ends.astype(np.int64))[np.searchsorted(starts, places)]
         return [out[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
