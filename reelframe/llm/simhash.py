@@ -381,10 +381,11 @@ def _stars(shared: DataFrame, like: float) -> DataFrame:
 
 
 def _others(shared: DataFrame, labels: DataFrame, like: float) -> DataFrame:
-    """(a, b): all pairs of rows of different components that can be so similar by their sizes and the token they share.
+    """(a, b): all pairs of rows of different components that can be so similar by their sizes and shared tokens.
 
     The first token that two such sets share stands so early in both that enough shingles are left; other rows of a token
-    don't meet. In each token the rows of its largest component only meet the others.
+    don't meet. In each token the rows of its largest component only meet the others. Of the pairs found, those stay whose
+    prefixes share so many tokens that what is left of the longer rest can make up for the others.
     """
     now = shared.join(labels, F.col("id") == F.col("node"), "left").select("token", "id", "n", "i", F.coalesce("component", "id").alias("component"))
     per = now.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("of"), F.max(F.struct("c", "component")).alias("largest"))
@@ -393,8 +394,15 @@ def _others(shared: DataFrame, labels: DataFrame, like: float) -> DataFrame:
     pairs = one.filter("component_a <> largest").drop("largest").join(other.drop("largest"), "token")
     left = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
     pairs = pairs.filter((F.col("component_a") != F.col("component_b")) & _sized(like) & (left >= like / (1 + like) * (F.col("n_a") + F.col("n_b")) - 1e-9))
-    out = materialize(pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "candidates")
-    discard(now)
+    pairs = materialize(pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "met")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    own = shared.join(ids, "id", "left_semi").groupBy("id").agg(F.struct(F.first("n").alias("n"), F.first("p").alias("p"), F.collect_list("token").alias("tokens")).alias("own"))
+    own = materialize(own, "shared-prefixes")
+    x, y = F.col("x"), F.col("y")
+    both = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+    most = F.size(F.array_intersect(x["tokens"], y["tokens"])) + F.greatest(x["n"] - x["p"], y["n"] - y["p"])
+    out = materialize(both.filter(most >= like / (1 + like) * (x["n"] + y["n"]) - 1e-9).select("a", "b"), "candidates")
+    discard(now, pairs, own)
     return out
 
 

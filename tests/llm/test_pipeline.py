@@ -33,6 +33,35 @@ def test_clean_documents_stay_and_rejected_ones_go(spark, stages):
     assert kept[1] == sound[1] and kept.get(0, 0) <= 0.2 * every[0]
 
 
+ROWS = [
+    (1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen", "en", "a", 1),
+    (1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen", "en", "a", 1),
+    (2, None, None, None, None),
+    (3, "", "en", "a", 0),
+    (None, "a text without an id but with more than ten words in it so that it is kept", "en", None, 1),
+    (4, " ".join(f"word{k}" for k in range(60_000)), "en", "b", 1),
+    (5, " ".join(f"word{k}" for k in range(59_000)), "en", "b", 1),
+]
+
+
+def test_stages_keep_clashing_columns_and_long_and_odd_texts(spark):
+    names = ["n_words", "fail_bits", "kept", "row", "id", "size", "spans", "runs"]
+    d = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(f"own {c}") for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        d = materialize(stage(spark, d, SF), name)
+        assert d.columns == COLUMNS + names
+        assert all(r[c] == f"own {c}" for r in d.select(*names).collect() for c in names)
+        if name == "near_duplicates":
+            assert sorted((r["doc_id"] for r in d.collect()), key=str) == [1, 4, None]
+    assert d.count() > 0
+
+
+def test_stages_of_an_empty_table(spark):
+    d = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, d, SF).count() == 0
+
+
 def test_no_copies_are_left(stages):
     texts = stages["near_duplicates"].select("text")
     assert texts.count() == texts.distinct().count()
