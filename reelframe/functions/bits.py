@@ -57,6 +57,20 @@ def swap32(value: Column) -> Column:
     return sum((field(value, 8 * i, 8) * (1 << (8 * (3 - i))) for i in range(4)), F.lit(0).cast("long"))
 
 
+def swap24(value: Column) -> Column:
+    return sum((field(value, 8 * i, 8) * (1 << (8 * (2 - i))) for i in range(3)), F.lit(0).cast("long"))
+
+
+def ebml_id(value: Column) -> Column:
+    """Whether a number can be an element's id: of one to four bytes, neither all ones nor longer than it need be."""
+    return value.between(0x81, 0xFE) | value.between(0x407F, 0x7FFE) | value.between(0x203FFF, 0x3FFFFE) | value.between(0x101FFFFF, 0x1FFFFFFE)
+
+
+def descriptor_length(size: Column) -> Column:
+    """Bytes of a descriptor of so many bytes: its tag, its length at seven bits a byte, and its body."""
+    return 1 + F.when(size < 1 << 7, 1).when(size < 1 << 14, 2).when(size < 1 << 21, 3).otherwise(4) + size
+
+
 def clamp(value: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low).cast("long"), F.least(F.lit(high).cast("long"), value))
 

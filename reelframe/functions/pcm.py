@@ -70,3 +70,12 @@ def resample(samples: Column, n_in: int, n_out: int) -> Column:
         return (1 - t) * samples[i] + t * samples[F.least(i + 1, F.lit(n_in - 1))]
 
     return F.transform(F.sequence(F.lit(0), F.lit(n_out - 1)), at)
+
+
+# Sample formats that need no decoder, planar and packed.
+RAW_FORMATS = ("u8", "s16", "s32", "f32", "f64", "u8-packed", "s16-packed", "s32-packed", "f32-packed", "f64-packed")
+
+
+def is_raw(name: Column) -> Column:
+    """Whether samples of this format bypass the decoder."""
+    return name.isin(*RAW_FORMATS)

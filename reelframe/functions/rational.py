@@ -15,6 +15,12 @@ def gcd(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["a"])
 
 
+def lcm(a: Column, b: Column) -> Column:
+    """The least common multiple, 0 if one is 0; null beyond 64 bits."""
+    g = gcd(a, b)
+    return F.when((a == 0) | (b == 0), 0).otherwise(F.try_multiply(F.abs(_div(a.cast("long"), F.when(g == 0, 1).otherwise(g))), F.abs(b).cast("long")))
+
+
 def _div(a: Column, b: Column) -> Column:
     """Whole division, truncated toward zero."""
     return F.call_function("div", a, b)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MASTER_LATENCY_US = 5_000
+LEAST_SEEK_US = 200_000
 
 
 def micros(ts: Column) -> Column:
@@ -45,6 +46,11 @@ def seek(packets: DataFrame, track: str, pts: str, order: list[str], sync: Colum
     return p.withColumn("start", F.coalesce(F.max(F.when(early & sync, F.col("idx"))).over(in_track), F.lit(0)))
 
 
+def worth_seeking(target: Column, clock: Column) -> Column:
+    """Whether a seek goes far enough from what the clock shows not to be ignored."""
+    return F.abs(target - clock) >= LEAST_SEEK_US
+
+
 def preroll(sought: DataFrame, droppable: Column) -> DataFrame:
     """The packets between start and cur of seek(): those that nothing refers to are dropped, the others only decoded."""
     between = sought.filter((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("cur")))

@@ -226,3 +226,13 @@ def tree_dump(spark, sf_dir):
     top = table(spark, sf_dir, "region").select((F.col("r_regionkey") * 100).alias("node"), F.lit(0).alias("depth"), F.col("r_name").alias("name"))
     below = table(spark, sf_dir, "nation").select((F.col("n_regionkey") * 100 + F.col("n_nationkey") + 1).alias("node"), F.lit(1).alias("depth"), F.col("n_name").alias("name"))
     return top.unionByName(below).select("node", F.concat(F.repeat(F.lit("  "), F.col("depth")), "name").alias("line"))
+
+
+@_r.query(f"""
+SELECT {_KEYS}, x BETWEEN 129 AND 254 OR x BETWEEN 16511 AND 32766 OR x BETWEEN 2113535 AND 4194302 OR x BETWEEN 270532607 AND 536870910 AS valid, x % 300000 + CASE WHEN x % 300000 < 128 THEN 2 WHEN x % 300000 < 16384 THEN 3 ELSE 4 END AS descriptor, lcm(l_partkey, l_suppkey) AS common
+FROM (SELECT *, {_NUMBER_SQL} >> (l_linenumber * 3) AS x FROM lineitem)
+""")
+def ids_and_lengths(spark, sf_dir):
+    """Valid ids of EBML elements, sizes of descriptors, and common scales of times."""
+    li = _numbers(spark, sf_dir).withColumn("x", F.call_function("shiftright", F.col("x"), (F.col("l_linenumber") * 3).cast("int")))
+    return li.select(*_KEY, bits.ebml_id(F.col("x")).alias("valid"), bits.descriptor_length(F.col("x") % 300000).alias("descriptor"), rational.lcm(F.col("l_partkey"), F.col("l_suppkey")).alias("common"))

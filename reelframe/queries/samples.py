@@ -150,3 +150,46 @@ def bswap(spark, sf_dir):
     """C4."""
     x = F.col("l_partkey") * 7919 + F.col("l_orderkey")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", bits.swap16(x).alias("swap16"), bits.swap32(x).alias("swap32"))
+
+
+@_r.query(f"SELECT vec_id, array_to_string(list_transform(range(64), lambda k : p[64 - k]), ',') AS half, array_to_string(list_transform(range(64), lambda k : p[k % 8 * 8 + 8 - k // 8]), ',') AS left_turn FROM (SELECT vec_id, {_U8_SQL} AS p FROM embeddings)")
+def rotate_more(spark, sf_dir):
+    """By a half, and a quarter to the left."""
+    p = _levels(spark, sf_dir)
+    return p.select("vec_id", _text(color.rotate180(F.col("p"))).alias("half"), _text(color.rotate270(F.col("p"), 8, 8)).alias("left_turn"))
+
+
+@_r.query(f"""
+SELECT vec_id, array_to_string(list_transform(range(32), lambda k : p[k // 2 + 1 + 16 * (k % 2)]), ',') AS semi_planar, array_to_string(p[1:16], ',') AS first, array_to_string(p[17:32], ',') AS second FROM (SELECT vec_id, {_U8_SQL} AS p FROM embeddings)
+""")
+def semi_planar(spark, sf_dir):
+    """Two planes of 16 into one and back."""
+    p = _levels(spark, sf_dir).select("vec_id", color.interleaved([F.slice("p", 1, 16), F.slice("p", 17, 16)]).alias("both"))
+    return p.select("vec_id", _text(F.col("both")).alias("semi_planar"), *(_text(color.plane_of(F.col("both"), k, 2)).alias(n) for k, n in enumerate(("first", "second"))))
+
+
+@_r.query(f"""
+SELECT vec_id, array_to_string(list_transform(range(32), lambda k : p[2 * k + 1]), ',') AS y, array_to_string(list_transform(range(8), lambda k : p[4 * (k % 4) + 32 * (k // 4) + 2]), ',') AS u, array_to_string(list_transform(range(16), lambda k : p[4 * k + 4]), ',') AS v
+FROM (SELECT vec_id, {_U8_SQL} AS p FROM embeddings)
+""")
+def packed_422(spark, sf_dir):
+    """8 x 4 pixels of YUYV as planes, U at half of the rows."""
+    y, u, v = color.yuyv_planes(F.col("p"))
+    return _levels(spark, sf_dir).select("vec_id", _text(y).alias("y"), _text(color.half_rows(u, 4, 4)).alias("u"), _text(v).alias("v"))
+
+
+_PIXEL_SQL = "(l_partkey * 7919 + l_orderkey * 31 + l_linenumber * 65537) % 4294967296"
+
+
+@_r.query(f"""
+WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_PIXEL_SQL} AS x FROM lineitem),
+c AS (SELECT *, x & 255 AS r, x >> 8 & 255 AS g, x >> 16 & 255 AS b, x >> 24 & 255 AS a, (x & 255) // 8 * 2048 + (x >> 8 & 255) // 4 * 32 + (x >> 16 & 255) // 8 AS p FROM x)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, b + g * 256 + r * 65536 + a * 16777216 AS bgra, p AS rgb565, (p >> 11) * 8 + (p >> 11) // 4 AS r, (p >> 5 & 63) * 4 + (p >> 5 & 63) // 16 AS g, (p & 31) * 8 + (p & 31) // 4 AS b, r * 65536 + g * 256 + b AS swap24 FROM c
+""")
+def pixel_words(spark, sf_dir):
+    """RGBA as BGRA and as 5, 6 and 5 bits, and back."""
+    x = F.col("l_partkey") * 7919 + F.col("l_orderkey") * 31 + F.col("l_linenumber") * 65537
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (x % 4294967296).alias("x"))
+    p = color.rgb565(*(bits.field(F.col("x"), 8 * k, 8) for k in range(3)))
+    r, g, b = color.from_rgb565(p)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", color.reordered(F.col("x"), "RGBA", "BGRA").alias("bgra"), p.alias("rgb565"), r.alias("r"), g.alias("g"), b.alias("b"), bits.swap24(F.col("x")).alias("swap24"))

@@ -140,6 +140,17 @@ def clock_at(spark, sf_dir):
     return got.select("user_id", "event_id", F.when(F.col("last").isNull(), 0).otherwise(F.col("last.media") + F.col("us") - F.col("last.at")).alias("media_us"))
 
 
+@_r.query(f"""
+WITH e AS (SELECT *, lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS clock FROM ({_EV}))
+SELECT user_id, event_id, abs(us // 1000 - clock // 1000) >= 200000 AS seeks FROM e WHERE clock IS NOT NULL AND event_id % 5 > 0
+""")
+def seek_or_stay(spark, sf_dir):
+    """seeks of less than 200 ms are ignored, and packets that are marked as damaged are passed over."""
+    before = F.lag("us").over(Window.partitionBy("user_id").orderBy("us", "event_id"))
+    p = packets(spark, sf_dir).withColumn("clock", before).filter("clock IS NOT NULL").filter(F.col("event_id") % 5 > 0)
+    return p.select("user_id", "event_id", tl.worth_seeking(F.expr("us div 1000"), F.expr("clock div 1000")).alias("seeks"))
+
+
 @_r.query(f"""
 WITH RECURSIVE e AS (SELECT user_id, event_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k, (event_id * 2654435761 // 1024) % 7 AS c FROM ({_EV})),
 s AS (

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from reelframe import stored
-from reelframe.functions import bits, configs, pcm, rational
+from reelframe.functions import bits, color, configs, dims, pcm, rational
 from reelframe.operators import timeline
 
 
@@ -133,3 +133,11 @@ def test_stored_tables_are_swept(spark):
     stored.sweep(spark)
     assert not os.path.exists(paths[1])
     stored._written.update(left)
+
+
+def test_formats_by_their_planes(spark):
+    names = [n for n, planes in dims.PIXEL_FORMATS.items()]
+    d = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r["name"]: (r["p"], r["s"]) for r in d.select("name", color.is_planar(F.col("name")).alias("p"), color.is_semi_planar(F.col("name")).alias("s")).collect()}
+    assert got == {n: (len(p) == 3, len(p) == 2) for n, p in dims.PIXEL_FORMATS.items()}
+    assert tuple(one(spark, pcm.is_raw(F.lit("s16")), pcm.is_raw(F.lit("f64-packed")), pcm.is_raw(F.lit("aac")))) == (True, True, False)
