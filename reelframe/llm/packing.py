@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, kind: str = "words", capacity:
     def run(batches):
         enc = encoder(model.value, kind, special_as_text)
         for batch in batches:
-            for part in by_size(batch):
+            for part in by_size(batch, most=1 << 20):
                 rows = []
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode(texts), strict=True):

@@ -15,13 +15,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from reelframe.llm.common import by_bytes, join_bytes, lean, read_table
+from reelframe.llm.common import by_bytes, by_size, join_bytes, lean, read_table
 
 LENGTH = 100
 ANCHOR = 16
@@ -419,17 +419,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = repeated_passages(named.select(*COLUMNS), length).withColumnRenamed("doc", "_doc")
     both = named.join(spans, named["doc"] == spans["_doc"], "left")
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, s in zip(text, spans, strict=True):
-            if t is not None and s is not None and len(s):
-                raw = t.encode()
-                t = _kept(raw, _union([int(x) for x in s], len(raw))).decode("utf-8", "ignore")
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    left = both.select("row", cut("text", "spans").alias("text"))
+    def cut(batches):
+        for batch in batches:
+            for part in by_size(batch):
+                texts = part.column("text").to_pylist()
+                for k, spans in enumerate(part.column("spans").to_pylist()):
+                    if texts[k] is not None and spans:
+                        raw = texts[k].encode()
+                        texts[k] = _kept(raw, _union(spans, len(raw))).decode("utf-8", "ignore")
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+
+    chosen = both.select("row", named["text"], "spans")
+    left = chosen.mapInArrow(lean(cut), StructType([f for f in chosen.schema.fields if f.name != "spans"]))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return left.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 

@@ -96,7 +96,7 @@ class PartEncoder:
     there it gives that token's id, or, with special_as_text, those of ordinary text.
     """
 
-    def __init__(self, tokenizer_json: str, kind: str, special_as_text: bool = False, keep: int = 250_000):
+    def __init__(self, tokenizer_json: str, kind: str, special_as_text: bool = False, keep: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
