@@ -171,13 +171,13 @@ def tokenize(docs: DataFrame, tokenizer_file: str, kind: str = "bytes", end_id:
     names = ["doc_id", "ids", "tie", "counts"]
 
     def run(batches):
-        enc = encoder(model.value, kind, special_as_text)
+        enc = encoder(model.value, kind, special_as_text, keep=250_000)
         size = enc.tokenizer.get_vocab_size()
         if size > 1 << 16:
             raise ValueError("ids have to fit in 16 bits")
         counts = np.zeros(max(size, end_id + 1), np.int64)
         for batch in batches:
-            for part in by_size(batch, most=1 << 20):
+            for part in by_size(batch):
                 ids = [x + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()], "<u2")]
                 counts += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=len(counts))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.nulls(len(ids), pa.binary())], names=names)

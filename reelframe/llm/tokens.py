@@ -22,7 +22,7 @@ _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 #: space around, is one part, which the library cuts further.
 _PLAIN = 0x250
 
-_encoders: dict[tuple[str, str, bool], PartEncoder] = {}
+_encoders: dict[tuple[str, str, bool, int], PartEncoder] = {}
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -177,10 +177,10 @@ class PartEncoder:
         return [out[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
 
-def encoder(tokenizer_json: str, kind: str, special_as_text: bool = False) -> PartEncoder:
-    """This process's encoder; Python workers live for many tasks."""
-    key = (hashlib.sha256(tokenizer_json.encode()).hexdigest(), kind, special_as_text)
+def encoder(tokenizer_json: str, kind: str, special_as_text: bool = False, keep: int = 150_000) -> PartEncoder:
+    """This process's encoder, which remembers two generations of `keep` parts; Python workers live for many tasks."""
+    key = (hashlib.sha256(tokenizer_json.encode()).hexdigest(), kind, special_as_text, keep)
     if key not in _encoders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
-        _encoders[key] = PartEncoder(tokenizer_json, kind, special_as_text)
+        _encoders[key] = PartEncoder(tokenizer_json, kind, special_as_text, keep)
     return _encoders[key]
