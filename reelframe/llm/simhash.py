@@ -23,8 +23,10 @@ BITS = 64
 DISTANCE = 2
 SHINGLE = 3
 BUCKET = 128
-#: Texts of the sample that orders shingles.
+#: Texts of the sample that guides the first order of shingles. Whatever it misses is mended by counts over all rows.
 SAMPLE = 5000
+#: A shingle with more rows outside its largest component is not met pair by pair: its rows are ordered anew.
+CROWD = 64
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -309,6 +311,11 @@ def shingle_lists(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray
     return out[some], np.append(0, np.cumsum(np.where(short, 1, np.maximum(n - shingle + 1, 0))))
 
 
+def text_digest(text: Column) -> Column:
+    """128 bits that name a text: its MD5; that of no text for null."""
+    return F.unhex(F.md5(F.coalesce(F.concat(F.lit("t"), text), F.lit("")).cast("binary")))
+
+
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """id, h of texts (id, text): the distinct hashes of shingle_lists(), in order."""
 
@@ -325,14 +332,15 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of at least three texts of a bounded sample, in order, and how many these are. It only guides an order."""
-    some = texts.filter(F.pmod("id", F.lit(-(-texts.count() // SAMPLE) or 1)) == 0)
-    each = shingle_sets(some, shingle).select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    some = texts.filter(F.pmod(F.xxhash64("digest"), F.lit(-(-texts.count() // SAMPLE) or 1)) == 0)
+    each = shingle_sets(some.select(F.lit(0).cast("long").alias("id"), "text"), shingle).select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     got = each.filter("n > 2").orderBy(F.desc("n"), "h").limit(10 * SAMPLE).orderBy("h").collect()
     return np.array([r["h"] for r in got], np.int64), np.array([r["n"] for r in got], np.int64)
 
 
 def prefixes(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """id, key, fp, n, tokens of texts (id, text) with words: a hash of the set of shingles, its fingerprint, size and prefix.
+    """digest, key, fp, n, tokens of texts (digest, text) with words: 128 bits that name the set of shingles, its fingerprint,
+    size and prefix.
 
     A prefix is the first shingles of a set in an order that all sets have in common, frequent ones last. It is so long
     that sets of at least this similarity have one in common.
@@ -348,7 +356,7 @@ def prefixes(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
                 fp = majority_bits(np.concatenate([np.empty(0, np.uint64), *sets]), np.append(0, np.cumsum(sizes)))
                 keys, tokens = [], []
                 for x in sets:
-                    keys.append(int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "big", signed=True))
+                    keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
                     x = x.view(np.int64)
                     if len(often) and len(x):
                         at = np.minimum(np.searchsorted(often, x), len(often) - 1)
@@ -356,10 +364,10 @@ def prefixes(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
                     tokens.append(x[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1])
                 ends = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
                 flat = pa.array(np.concatenate([np.empty(0, np.int64), *tokens]))
-                made = [part.column("id"), pa.array(keys, pa.int64()), pa.array(fp.view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat)]
-                yield pa.RecordBatch.from_arrays(made, names=["id", "key", "fp", "n", "tokens"]).filter(pa.array(sizes > 0))
+                made = [part.column("digest"), pa.array(keys, pa.binary()), pa.array(fp.view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat)]
+                yield pa.RecordBatch.from_arrays(made, names=["digest", "key", "fp", "n", "tokens"]).filter(pa.array(sizes > 0))
 
-    return texts.select("id", "text").mapInArrow(lean(run), "id long, key long, fp long, n int, tokens array<long>")
+    return texts.select("digest", "text").mapInArrow(lean(run), "digest binary, key binary, fp long, n int, tokens array<long>")
 
 
 def _sized(like: float) -> Column:
@@ -380,21 +388,58 @@ def _stars(shared: DataFrame, like: float) -> DataFrame:
     return counted.filter(F.col("c") + F.col("rest") >= like / (1 + like) * F.col("sum") - 1e-9).select("a", "b")
 
 
-def _others(shared: DataFrame, labels: DataFrame, like: float) -> DataFrame:
-    """(a, b): all pairs of rows of different components that can be so similar by their sizes and shared tokens.
+def _met(open_: DataFrame, like: float) -> DataFrame:
+    """(a, b): pairs of rows of different components that can be so similar by their sizes and the place of a shared token.
 
-    The first token that two such sets share stands so early in both that enough shingles are left; other rows of a token
-    don't meet. In each token the rows of its largest component only meet the others. Of the pairs found, those stay whose
-    prefixes share so many tokens that what is left of the longer rest can make up for the others.
+    open_: token, largest, id, n, i, component. The first token that two such sets share stands so early in both that
+    enough shingles are left; other rows of a token don't meet. Rows of a token's largest component only meet the others.
     """
-    now = shared.join(labels, F.col("id") == F.col("node"), "left").select("token", "id", "n", "i", F.coalesce("component", "id").alias("component"))
-    per = now.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("of"), F.max(F.struct("c", "component")).alias("largest"))
-    now = materialize(now.join(per.filter("of > 1").select("token", F.col("largest.component").alias("largest")), "token"), "open-shingles")
-    one, other = (now.select("token", "largest", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "i", "component"))) for x in "ab")
+    one, other = (open_.select("token", "largest", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "i", "component"))) for x in "ab")
     pairs = one.filter("component_a <> largest").drop("largest").join(other.drop("largest"), "token")
     left = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
     pairs = pairs.filter((F.col("component_a") != F.col("component_b")) & _sized(like) & (left >= like / (1 + like) * (F.col("n_a") + F.col("n_b")) - 1e-9))
-    pairs = materialize(pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct(), "met")
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """token, id, n, i, component, largest, outside of the rows of tokens that several components share: the token's largest
+    component, and how many of its rows are in others."""
+    now = shared.join(labels, F.col("id") == F.col("node"), "left").select("token", "id", "n", "i", F.coalesce("component", "id").alias("component"))
+    per = now.groupBy("token", "component").agg(F.count("*").alias("c"))
+    per = per.groupBy("token").agg(F.count("*").alias("of"), F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("largest")).filter("of > 1")
+    return now.join(per.select("token", F.col("largest.component").alias("largest"), (F.col("all") - F.col("largest.c")).alias("outside")), "token")
+
+
+def _reordered(crowded: DataFrame, sets: DataFrame, texts: DataFrame, like: float, shingle: int) -> DataFrame:
+    """token, id, n, i of the prefixes of crowded (id), shingles ordered by how many of these rows have them.
+
+    All shingles of these rows are counted, over all of them. Those of one row alone come first and meet nobody, so only
+    shared ones go back to their rows, and of a row with enough shingles of its own none is left.
+    """
+    full = materialize(_whole_sets(crowded, sets, texts, shingle), "crowded-sets")
+    each = full.select("id", F.size("h").alias("n"), F.explode("h").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    back = each.join(counts, "token").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
+    alone = F.col("n") - F.size("common")
+    prefix = (F.col("n") - F.ceil(like * F.col("n") - 1e-9) + 1).cast("int")
+    some = back.filter(prefix > alone).select("id", "n", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), prefix - alone)).alias("k", "x"))
+    return some.select(F.col("x.token").alias("token"), "id", "n", (F.col("alone") + F.col("k")).alias("i"))
+
+
+def _others(shared: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFrame, like: float, shingle: int) -> DataFrame:
+    """(a, b): all pairs of rows of different components that can be so similar by their sizes and shared tokens.
+
+    A token with at most CROWD rows outside its largest component lets them meet, which is CROWD pairs a row at most. The
+    rows of fuller tokens take new prefixes, ordered by counts over all of them: what a passage adds to many texts comes
+    last there, and texts that share nothing else don't meet. Both rows of a pair that shares a full token are among
+    them, so none is lost. Of the pairs that have met, those stay whose prefixes share so many tokens that what is left of the
+    longer rest can make up for the others.
+    """
+    now = materialize(_open(shared, labels), "open-shingles")
+    crowded = materialize(now.filter(F.col("outside") > CROWD).select("id").distinct(), "crowded")
+    anew = materialize(_reordered(crowded, sets, texts, like, shingle), "reordered-shingles")
+    pairs = _met(now.filter(F.col("outside") <= CROWD), like).unionByName(_met(_open(anew, labels), like))
+    pairs = materialize(pairs.distinct(), "met")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     own = shared.join(ids, "id", "left_semi").groupBy("id").agg(F.struct(F.first("n").alias("n"), F.first("p").alias("p"), F.collect_list("token").alias("tokens")).alias("own"))
     own = materialize(own, "shared-prefixes")
@@ -402,15 +447,21 @@ def _others(shared: DataFrame, labels: DataFrame, like: float) -> DataFrame:
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
     most = F.size(F.array_intersect(x["tokens"], y["tokens"])) + F.greatest(x["n"] - x["p"], y["n"] - y["p"])
     out = materialize(both.filter(most >= like / (1 + like) * (x["n"] + y["n"]) - 1e-9).select("a", "b"), "candidates")
-    discard(now, pairs, own)
+    discard(now, crowded, anew, pairs, own)
     return out
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, like: float, shingle: int) -> DataFrame:
+def _whole_sets(ids: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """id, h: all shingles of the sets with these ids. sets: id, digest; texts: digest, text, copies of which count once."""
+    wanted = sets.select("id", "digest").join(ids, "id", "left_semi")
+    own = texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    return shingle_sets(own.join(wanted, "digest").select("id", "text"), shingle)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, like: float, shingle: int) -> DataFrame:
     """The pairs (a, b) whose whole sets of shingles are so similar."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = texts.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    own = materialize(shingle_sets(own, shingle), "shingle-sets")
+    own = materialize(_whole_sets(ids, sets, texts, shingle), "shingle-sets")
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(own.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))
     near = materialize(both.filter(common >= like * (F.size("ha") + F.size("hb") - common) - 1e-9).select("a", "b"), "near")
@@ -419,24 +470,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, like: float, shingle: int) ->
 
 
 def similar(texts: DataFrame, sets: DataFrame, like: float, shingle: int) -> DataFrame:
-    """(a, b): pairs of sets (id, fp, n, tokens) of at least this similarity that connect all such pairs.
+    """(a, b): pairs of sets (id, digest, fp, n, tokens) of at least this similarity that connect all such pairs.
 
     First come SimHash links, and of each token of prefixes a star; they connect most of a group by fewer pairs than it
     has rows. Then all pairs that are not connected yet and share a token follow. Each is compared by its whole sets of
-    shingles, so no pair is lost, whatever the size of a group.
+    shingles, so no pair is lost, whatever the size of a group. texts: digest, text.
     """
     classes = sets.groupBy("fp").agg(F.min("id").alias("a"))
     alike = sets.select("id", "fp").join(classes, "fp").filter("id <> a").select("a", F.col("id").alias("b"))
     by_print = alike.unionByName(links(classes.select(F.col("a").alias("id"), "fp")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     # a set's size and the token's place travel in one number
     bare = sets.select("id", "n", F.posexplode("tokens").alias("i", "token")).select("id", "token", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("ni"))
-    often = bare.withColumn("df", F.count("*").over(Window.partitionBy("token"))).filter("df > 1")
+    counts = bare.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    often = bare.join(counts, "token")
     n = F.shiftright("ni", 32).cast("int")
     shared = materialize(often.select("id", "token", "df", n.alias("n"), F.col("ni").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("i"), (n - F.ceil(like * n - 1e-9) + 1).cast("int").alias("p")), "shared-shingles")
     first = materialize(by_print.unionByName(_stars(shared, like)).distinct(), "candidates")
-    near = _verified(first, texts, like, shingle)
-    rest = _others(shared, components(near), like)
-    found = near.unionByName(_verified(rest.join(first, ["a", "b"], "left_anti"), texts, like, shingle))
+    near = _verified(first, sets, texts, like, shingle)
+    rest = _others(shared, components(near), sets, texts, like, shingle)
+    found = near.unionByName(_verified(rest.join(first, ["a", "b"], "left_anti"), sets, texts, like, shingle))
     discard(shared)
     return found
 
@@ -450,17 +502,19 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> Da
     they are, whatever their names.
     """
     text = F.col("text").cast("string")
-    rows = docs.select(F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()).alias("id"), F.col("doc_id"), text.alias("text"), F.struct(*docs.columns).alias("row"))
-    slim = rows.select("id", "text")
+    rows = docs.select(text_digest(text).alias("digest"), F.col("doc_id"), text.alias("text"), F.struct(*docs.columns).alias("row"))
+    slim = rows.select("digest", "text")
     prints = materialize(prefixes(slim, similarity, shingle), "prefixes")
-    sets = materialize(prints.groupBy("key").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "n", "tokens"))), "sets")
+    sets = prints.groupBy("key").agg(F.min("digest").alias("digest"), *(F.first(c).alias(c) for c in ("fp", "n", "tokens")))
+    sets = materialize(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
     comp = components(similar(slim, sets, similarity, shingle))
-    of_set = sets.select("key", F.col("id").alias("set")).join(comp, F.col("set") == F.col("node"), "left").select("key", F.coalesce("component", "set").alias("component"))
-    comp = materialize(prints.select("id", "key").distinct().join(of_set, "key").select("id", "component"), "near-copies")
+    of_set = sets.select("key", "id").join(comp, F.col("id") == F.col("node"), "left").select("key", F.coalesce("component", "id").alias("component"))
+    comp = materialize(prints.select("digest", "key").distinct().join(of_set, "key").select("digest", "component"), "near-copies")
     discard(prints, sets)
-    named = rows.select("id", "doc_id").join(comp, "id", "left").select(F.coalesce("component", "id").alias("component"), "id", "doc_id")
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "id")).alias("f")).select(F.col("f.id").alias("kept"), F.col("f.doc_id").alias("kept_doc"))
-    kept = rows.join(first, (F.col("id") == F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("kept_doc"))).dropDuplicates(["id", "doc_id"])
+    # a text without words has no set and is a class of its own
+    named = rows.select("digest", "doc_id").join(comp, "digest", "left").select(F.coalesce(F.col("component").cast("string"), F.hex("digest")).alias("component"), "digest", "doc_id")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest")).alias("f")).select(F.col("f.digest").alias("kept"), F.col("f.doc_id").alias("kept_doc"))
+    kept = rows.join(first, (F.col("digest") == F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("kept_doc"))).dropDuplicates(["digest", "doc_id"])
     return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 

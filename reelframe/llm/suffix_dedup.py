@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -128,7 +128,7 @@ def _strings(data: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray
 
 
 def sorted_runs(batches, length: int, partitions: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, run) of front-coded runs of suffixes, and rows (part, doc, start, end) of passages that a chunk itself
+    """Rows (part, run) of front-coded runs of suffixes, and rows (part, doc, th, start, end) of passages that a chunk itself
     shows to be repeated; a chunk sends each string once, from its first place."""
     for batch in batches:
         texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
@@ -150,18 +150,18 @@ def sorted_runs(batches, length: int, partitions: int) -> Iterator[pa.RecordBatc
                     continue
                 right, left = _strings(data, starts[own] + pos, lo, hi, length)
                 od, oth, odoc = d[a:b][own], th[a:b][own], doc[a:b][own]
-                order = _order(right, lo, left, hi, od, oth, pos)
+                order = _order(right, lo, left, hi, od, oth, odoc, pos)
                 right, left, lo, hi, pos, od, oth, odoc = (v[order] for v in (right, left, lo, hi, pos, od, oth, odoc))
                 shared = _common(np.concatenate([right, left, lo[:, None].astype(np.uint8), hi[:, None].astype(np.uint8)], axis=1))
                 new = shared < right.shape[1] + left.shape[1] + 2
                 new[0] = True
                 group = np.cumsum(new) - 1
                 heads = np.flatnonzero(new)
-                same = (od == od[heads][group]) & (oth == oth[heads][group]) & (pos == pos[heads][group])
+                same = (odoc == odoc[heads][group]) & (oth == oth[heads][group]) & (pos == pos[heads][group])
                 out = ~same
                 if out.any():
-                    o_doc, o_from, o_to = joined(odoc[out], (pos - hi)[out], (pos - lo + length)[out])
-                    yield _rows((o_doc ^ o_from) % partitions, None, o_doc, o_from, o_to)
+                    o_doc, o_th, o_from, o_to = joined(odoc[out], oth[out], (pos - hi)[out], (pos - lo + length)[out])
+                    yield _rows((o_doc ^ o_from) % partitions, None, o_doc, o_th, o_from, o_to)
                 right, left, lo, hi, pos, od, oth, odoc = (v[heads] for v in (right, left, lo, hi, pos, od, oth, odoc))
                 part = (_hashes_of_rows(right) % np.uint64(partitions)).astype(np.int64)
                 by_part = np.argsort(part, kind="stable")
@@ -171,18 +171,18 @@ def sorted_runs(batches, length: int, partitions: int) -> Iterator[pa.RecordBatc
                     s = by_part[i:j]
                     runs.append(front_code(right[s], left[s], lo[s], hi[s], pos[s], od[s], oth[s], odoc[s], length))
                     parts.append(int(part[s[0]]))
-                yield _rows(np.array(parts), runs, None, None, None)
+                yield _rows(np.array(parts), runs, None, None, None, None)
 
 
-def joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The passages of each document with those that touch made one."""
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    base = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])).astype(np.int64) << 40
+def joined(doc: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, th, start, end): the passages of each document with those that touch made one."""
+    order = np.lexsort((start, th, doc))
+    doc, th, start, end = (v[order] for v in (doc, th, start, end))
+    base = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])])).astype(np.int64) << 40
     reach = np.maximum.accumulate(end + base)
     new = np.concatenate([[True], (start + base)[1:] > reach[:-1]])
     last = np.flatnonzero(np.concatenate([new[1:], [True]]))
-    return doc[new], start[new], (reach - base)[last]
+    return doc[new], th[new], start[new], (reach - base)[last]
 
 
 def _hashes_of_rows(right: np.ndarray) -> np.ndarray:
@@ -192,10 +192,10 @@ def _hashes_of_rows(right: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _rows(part, runs, doc, start, end) -> pa.RecordBatch:
+def _rows(part, runs, doc, th, start, end) -> pa.RecordBatch:
     n = len(part)
     none = lambda v, kind: pa.nulls(n, kind) if v is None else pa.array(v, kind)
-    return pa.RecordBatch.from_arrays([pa.array(np.abs(part), pa.int32()), none(runs, pa.binary()), none(doc, pa.int64()), none(start, pa.int64()), none(end, pa.int64())], names=["part", "run", "doc", "start", "end"])
+    return pa.RecordBatch.from_arrays([pa.array(np.abs(part), pa.int32()), none(runs, pa.binary()), none(doc, pa.int64()), none(th, pa.int64()), none(start, pa.int64()), none(end, pa.int64())], names=["part", "run", "doc", "th", "start", "end"])
 
 
 def front_code(right, left, lo, hi, pos, d, th, doc, length: int) -> bytes:
@@ -299,40 +299,40 @@ def repeated_windows(shared: np.ndarray, left: np.ndarray, lo: np.ndarray, hi: n
     return out
 
 
-def merged_passages(runs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, end) of the passages that the runs of one partition show to be repeated."""
+def merged_passages(runs: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """(doc, th, start, end) of the passages that the runs of one partition show to be repeated."""
     read = [read_run(r, length) for r in runs]
     order, shared = merge_runs([(r["suffixes"], r["shared"].tolist()) for r in read], length)
     base = np.cumsum([0] + [r["n"] for r in read])
     take = np.array([base[r] + i for r, i in order], np.int64)
     col = lambda name: np.concatenate([r[name] for r in read])[take]
     lo, hi, pos, d, th, doc = (col(c).astype(np.int64) for c in ("lo", "hi", "pos", "d", "th", "doc"))
-    by = np.lexsort((pos, th, d))
+    by = np.lexsort((pos, doc, th, d))
     new = np.ones(len(by), bool)
-    new[1:] = (d[by][1:] != d[by][:-1]) | (th[by][1:] != th[by][:-1]) | (pos[by][1:] != pos[by][:-1])
+    new[1:] = (doc[by][1:] != doc[by][:-1]) | (th[by][1:] != th[by][:-1]) | (pos[by][1:] != pos[by][:-1])
     rank = np.empty(len(by), np.int64)
     rank[by] = np.cumsum(new)
     found = repeated_windows(np.array(shared, np.int64), col("left"), lo, hi, rank, length)
     edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, first = np.nonzero(edge == 1)
     last = np.nonzero(edge == -1)[1] - 1
-    return doc[row], pos[row] - last, pos[row] - first + length
+    return doc[row], th[row], pos[row] - last, pos[row] - first + length
 
 
 def merge_partitions(batches, length: int) -> Iterator[pa.RecordBatch]:
-    """(doc, start, end) of repeated passages, from sorted_runs()'s rows sorted by part."""
+    """(doc, th, start, end) of repeated passages, from sorted_runs()'s rows sorted by part."""
     held: dict[int, list[bytes]] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
         for runs in held.values():
-            doc, start, end = merged_passages(runs, length)
-            if len(doc):
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(end)], names=["doc", "start", "end"])
+            found = merged_passages(runs, length)
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["doc", "th", "start", "end"])
         held.clear()
 
     for batch in batches:
         run = batch.column("run")
-        plain = batch.filter(run.is_null()).select(["doc", "start", "end"])
+        plain = batch.filter(run.is_null()).select(["doc", "th", "start", "end"])
         if plain.num_rows:
             yield plain
         rows = batch.filter(run.is_valid())
@@ -344,27 +344,37 @@ def merge_partitions(batches, length: int) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, partitions: int | None = None) -> DataFrame:
-    """doc, spans: for each document of identified() with any, the start << 32 | end of its repeated passages' bytes."""
+    """doc, found: for each doc of identified() with any, (th, start << 32 | end) of the repeated passages' bytes, which
+    own_spans() takes apart.
+
+    Anchors are looked up by doc alone: documents of one doc look at each other's places besides their own, in vain.
+    """
     partitions = partitions or max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     prints = docs.select("doc", "text").mapInArrow(lean(lambda b: fingerprint_rows(b, length)), "key long, doc long, at long, n int")
     again = prints.selectExpr("doc", "at", "sum(n) OVER (PARTITION BY key) AS total").filter("total > 1")
     places = again.groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("places"))
     d = F.coalesce("doc_id", F.lit(FIRST)).alias("d")
-    runs = docs.join(places, "doc").select(d, "th", "doc", "text", "places").mapInArrow(lean(lambda b: sorted_runs(b, length, partitions)), "part int, run binary, doc long, start long, end long")
+    runs = docs.join(places, "doc").select(d, "th", "doc", "text", "places").mapInArrow(lean(lambda b: sorted_runs(b, length, partitions)), "part int, run binary, doc long, th long, start long, end long")
     dealt = runs.repartition(partitions, "part").sortWithinPartitions("part")
-    spans = dealt.mapInArrow(lean(lambda b: merge_partitions(b, length)), "doc long, start long, end long")
+    spans = dealt.mapInArrow(lean(lambda b: merge_partitions(b, length)), "doc long, th long, start long, end long")
     packed = F.shiftleft("start", 32).bitwiseOR(F.col("end"))
-    return spans.select("doc", packed.alias("span")).groupBy("doc").agg(F.collect_set("span").alias("spans"))
+    return spans.select("doc", F.struct("th", packed.alias("span")).alias("span")).groupBy("doc").agg(F.collect_set("span").alias("found"))
+
+
+def own_spans(found: str, th: Column) -> Column:
+    """The spans of the document whose text has this hash."""
+    return F.transform(F.filter(found, lambda x: x["th"] == th), lambda x: x["span"])
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """docs with th, the text's hash, and doc, a hash of doc_id and th. doc_id, null first, and th order documents.
+    """docs with th and doc, two hashes of doc_id and text. doc_id, null first, and th order documents.
 
-    Rows with the same doc_id and text are one document. doc has 64 bits and stands for its document in every join, so two
-    documents whose hashes collide would share their spans; th orders documents and tells repeated rows.
+    Rows with the same doc_id and text are one document. It goes by both hashes, 128 bits: doc takes th, and so the text, into the
+    seed with which it hashes the text once more. One of them alone decides nothing.
     """
-    th = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.withColumns({"th": th, "doc": F.xxhash64(F.coalesce("doc_id", F.lit(FIRST)), th)})
+    text = F.coalesce("text", F.lit(""))
+    th = F.xxhash64(text)
+    return docs.withColumns({"th": th, "doc": F.xxhash64(F.coalesce("doc_id", F.lit(FIRST)), th, text)})
 
 
 def _union(spans: list[int] | None, size: int) -> list[tuple[int, int]]:
@@ -404,7 +414,7 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.string()], strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     # th is read so that this join's shuffle of the texts is the very one of repeated_passages()
-    return found.select("doc_id", "th", "text", "spans").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", "th", "text", own_spans("found", F.col("th")).alias("spans")).mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -429,7 +439,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         texts[k] = _kept(raw, _union(spans, len(raw))).decode("utf-8", "ignore")
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    chosen = both.select("row", named["text"], "spans")
+    chosen = both.select("row", named["text"], own_spans("found", named["th"]).alias("spans"))
     left = chosen.mapInArrow(lean(cut), StructType([f for f in chosen.schema.fields if f.name != "spans"]))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return left.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

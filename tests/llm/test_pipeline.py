@@ -1,10 +1,11 @@
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from reelframe.llm import quality_rules
+from reelframe.llm import quality_rules, simhash, suffix_dedup
 from reelframe.llm.common import materialize
 from tests.oracle import SF
 
@@ -159,3 +160,78 @@ def test_a_passage_that_many_texts_share_links_none_of_them(spark):
     passage = _words(rng, 60)
     texts = [" ".join([*_words(rng, rng.randint(20, 80)), *passage]) for _ in range(250)]
     assert _kept(spark, texts) == sorted(set(_groups(texts)))
+
+
+def _passage_rows(rng, n, passage):
+    return [" ".join([*_words(rng, 150), *(passage if k % 10 == 0 else _words(rng, 30)), *_words(rng, 120)]) for k in range(n)]
+
+
+@pytest.mark.parametrize("n", [1000, 2000])
+def test_rows_that_share_a_passage_do_not_all_meet(spark, monkeypatch, n):
+    """A passage in every tenth row, rare in the sample that guides the first order of shingles."""
+    rng, met = random.Random(11), []
+    monkeypatch.setattr(simhash, "SAMPLE", n // 100)
+
+    def written(df, name):
+        out = materialize(df, name)
+        if name == "met":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", written)
+    texts = _passage_rows(rng, n, _words(rng, 30))
+    texts += [texts[0] + " one more word", texts[5] + " and here another"]
+    assert _kept(spark, texts) == list(range(n))
+    assert sum(met) <= n // 10
+
+
+def test_rows_of_a_crowded_passage_are_still_compared(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = _words(rng, 60)
+    monkeypatch.setattr(simhash, "SAMPLE", 2)
+    monkeypatch.setattr(simhash, "CROWD", 3)
+    texts = []
+    for _ in range(60):
+        base = [*_words(rng, 30), *passage, *_words(rng, 60)]
+        texts += [base, base + _words(rng, 20), base[15:]][: rng.randint(1, 3)]
+    texts = [" ".join(t) for t in texts]
+    want = sorted(set(_groups(texts)))
+    assert _kept(spark, texts) == want and len(want) < len(texts)
+
+
+def _colliding_texts():
+    """Two texts of different words with equal XXH64 of seed 42: the second stripe makes up for the first one."""
+    mask, p2 = (1 << 64) - 1, 14029467366897019727
+    p1 = 11400714785074694791
+    rotate = lambda x: (x << 31 | x >> 33) & mask
+    rng = random.Random(13)
+    letters = b"abcdefghijklmnopqrstuvwxyz"
+    start = (42 + p1 + p2) & mask
+    after = lambda s, x: rotate((s + int.from_bytes(x, "little") * p2) & mask) * p1 & mask
+    first, second = b"abcdefgh", b"ijklmnop"
+    tail = bytes(rng.choices(letters, k=24))
+    goal = after(start, first)
+    while True:
+        other = bytes(rng.choices(letters, k=8))
+        made = (int.from_bytes(second, "little") + (goal - after(start, other)) * pow(p2, -1, 1 << 64)) & mask
+        found = made.to_bytes(8, "little")
+        if other != first and all(0x20 <= b < 0x7F for b in found):
+            return [(a + tail + b + tail).decode() for a, b in ((first, second), (other, found))]
+
+
+def test_texts_whose_64_bit_hashes_collide_are_two(spark):
+    a, b = _colliding_texts()
+    assert a != b and xxhash.xxh64_intdigest(a, 42) == xxhash.xxh64_intdigest(b, 42)
+    assert _kept(spark, [a, b, a]) == [0, 1]
+
+
+def test_passages_of_texts_whose_64_bit_hashes_collide_are_their_own(spark):
+    a, b = _colliding_texts()
+    rng = random.Random(14)
+    tail = "".join(rng.choices("klmnopqrst", k=300))
+    assert xxhash.xxh64_intdigest(a + tail, 42) == xxhash.xxh64_intdigest(b + tail, 42)
+    docs = spark.createDataFrame([(1, a + tail), (1, b + tail)], "doc_id long, text string")
+    cut = sorted((r["text"] for r in suffix_dedup.remove_repeats(docs).collect()), key=len)
+    # two documents: the tail, and what both share before it, stays in one of them
+    assert cut[1] in (a + tail, b + tail) and tail not in cut[0]
+    assert cut[0][:8] in (a[:8], b[:8]) and cut[0][:8] != cut[1][:8]
