@@ -1,4 +1,8 @@
-"""Mixing sources to target weights: fixed-length blocks, multinomial counts by output shard, and permuted block indexes."""
+"""Mixing sources to target weights: fixed-length blocks, multinomial counts by output shard, and permuted block indexes.
+
+The counts are drawn with their sums given (a multivariate hypergeometric draw), so that each source meets its target,
+however small its part of a shard is.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +17,8 @@ ROUNDS = 24
 MOST_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 SEED = 20_000
-#: Shares of a shard's open slots are whole numbers of this unit, so that their sums are exact.
-UNIT = 1 << 30
+#: Rows of a source that are made from one row of a plan.
+RUN = 4096
 #: Rows with the same source are joined with what is known of it in so many parts.
 SALTS = 16
 
@@ -59,45 +63,41 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
 def shard_counts(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """How many blocks of each source go to each output shard, and from which draw on: source_no, n_blocks, shard, count, first.
 
-    A shard has shard_slots slots, the last fewer. A source gets the whole part of its expected slots in each shard and
-    competes for the others, which are drawn from the multinomial of what is left, so totals stay near their targets.
-    Only sources with a block in a shard have a row for it: a draw finds its source by the bucket of shares it falls in.
+    A source's blocks are its target's, rounded so that sums over sources are rounded sums: less than a block away. A shard
+    has shard_slots slots, the last fewer. A source gets the whole part of its share in each shard; what is left of all
+    sources is dealt to the open slots by one pseudorandom permutation, so its counts by shard are drawn from the
+    multinomial with the sources' totals and the open slots given. Only sources with a block in a shard have a row for it.
     """
     spark = targets.sparkSession
     t = targets.filter("source_size > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(block_words)).cast("long"))
     # blocks to take so that the words taken, at the mean length of a block, come to the target
-    t = t.select("source_no", "n_blocks", (F.col("target") / F.col("source_size") * F.col("n_blocks")).alias("_want"))
-    r = t.agg(F.coalesce(F.sum(F.col("_want").cast("decimal(38,6)")), F.lit(0)).cast("double").alias("all"), F.count("*").alias("n")).first()
-    slots, sources = round(r["all"]), r["n"]
+    t = t.select("source_no", "n_blocks", (F.col("target") / F.col("source_size") * F.col("n_blocks")).cast("decimal(28,6)").alias("_want"))
+    t = running_start(t, [], ["source_no"], "_want", "_before", F.expr(f"source_no div {RUN}"))
+    t = t.select("source_no", "n_blocks", (F.round(F.col("_before") + F.col("_want")) - F.round("_before")).cast("long").alias("_n"))
+    t = materialize(t, "mix-totals")
+    slots = t.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     shards = -(-slots // shard_slots)
+    last = slots - (shards - 1) * shard_slots
     tasks = max(spark.sparkContext.defaultParallelism, slots // 500_000)
-    found = []
-    for low, high, size in ((0, shards - 1, shard_slots), (max(shards - 1, 0), shards, slots - (shards - 1) * shard_slots)):
-        if low >= high:
-            continue
-        part = F.col("_want") / F.lit(r["all"]) * F.lit(size)
-        share = t.select("source_no", F.floor(part).alias("whole"), F.floor((part - F.floor(part)) * UNIT).alias("share"))
-        # a source's shards, at most `size` sources have any, in runs that tasks take up
-        runs = share.filter("whole > 0").select("source_no", "whole", F.explode(F.expr(f"sequence({low}L, {high - 1}L, 256L)")).alias("_run"))
-        each = F.expr(f"sequence(_run, least(_run + 255L, {high - 1}L))")
-        found.append(runs.repartition(tasks).select("source_no", F.explode(each).alias("shard"), F.col("whole").alias("count")))
-        sums = share.agg(F.sum("whole").alias("whole"), F.sum("share").alias("share")).first()
-        left = size - sums["whole"]
-        if left > 0 and sums["share"]:
-            width = -(-sums["share"] // sources)
-            steps = running_start(share.filter("share > 0"), [], ["source_no"], "share", "low", F.expr("source_no div 4096"))
-            steps = steps.select("source_no", "low", (F.col("low") + F.col("share")).alias("high"))
-            steps = steps.withColumn("bucket", F.explode(F.expr(f"sequence(low div {width}, (high - 1) div {width})")))
-            draws = spark.range(low, high, 1, tasks).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(1), F.lit(left))).alias("_draw"))
-            uniform = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "shard", "_draw"), 11).cast("double") / float(1 << 53)
-            draws = draws.withColumn("_at", F.floor(uniform * F.lit(sums["share"])))
-            drawn = draws.withColumn("bucket", F.expr(f"_at div {width}")).join(steps, "bucket").filter("_at >= low AND _at < high")
-            found.append(drawn.select("source_no", "shard", F.lit(1).cast("long").alias("count")))
-    counts = found[0] if found else t.select("source_no", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("count")).limit(0)
-    for f in found[1:]:
-        counts = counts.unionByName(f)
+    if not slots:
+        return t.select("source_no", "n_blocks", *(F.lit(0).cast("long").alias(c) for c in ("shard", "count", "first"))).limit(0)
+    part = t.select("source_no", "_n", F.expr(f"_n * {shard_slots}L div {slots}L").alias("whole"), F.expr(f"_n * {last}L div {slots}L").alias("in_last"))
+    part = part.withColumn("left", F.col("_n") - F.col("whole") * (shards - 1) - F.col("in_last"))
+    sums = part.agg(F.sum("whole").alias("whole"), F.sum("left").alias("left")).first()
+    # a source's rows, in runs that tasks take up
+    each = lambda df, upto: df.withColumn("_run", F.explode(F.expr(f"sequence(0L, {upto} - 1, {RUN}L)"))).repartition(tasks).withColumn("_i", F.explode(F.expr(f"sequence(_run, least(_run + {RUN - 1}L, {upto} - 1))")))
+    counts = part.filter("in_last > 0").select("source_no", F.lit(shards - 1).cast("long").alias("shard"), F.col("in_last").alias("count"))
+    if shards > 1:
+        counts = counts.unionByName(each(part.filter("whole > 0"), f"{shards - 1}L").select("source_no", F.col("_i").alias("shard"), F.col("whole").alias("count")))
+    if sums["left"]:
+        open_ = shard_slots - sums["whole"]  # slots of each shard but the last one, which takes what these leave
+        rest = running_start(part.filter("left > 0").select("source_no", "left"), [], ["source_no"], "left", "_from", F.expr(f"source_no div {RUN}"))
+        place = permuted(F.col("_from") + F.col("_i"), F.lit(sums["left"]).cast("long"), F.lit(seed), F.lit("slots"))
+        shard = F.expr(f"least(_place div {open_}L, {shards - 1}L)") if open_ else F.lit(shards - 1).cast("long")
+        dealt = each(rest, "left").select("source_no", place.alias("_place")).select("source_no", shard.alias("shard"), F.lit(1).cast("long").alias("count"))
+        counts = counts.unionByName(dealt)
     counts = counts.groupBy("source_no", "shard").agg(F.sum("count").alias("count"))
-    counts = running_start(counts, ["source_no"], ["shard"], "count", "first", F.expr("shard div 4096"))
+    counts = running_start(counts, ["source_no"], ["shard"], "count", "first", F.expr(f"shard div {RUN}"))
     return counts.join(t.select("source_no", "n_blocks"), "source_no").repartition(tasks, "shard")
 
 
