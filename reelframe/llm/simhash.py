@@ -25,7 +25,8 @@ SHINGLE = 3
 BUCKET = 128
 #: Texts of the sample that guides the first order of shingles. Whatever it misses is mended by counts over all rows.
 SAMPLE = 5000
-#: A shingle with more rows outside its largest component is not met pair by pair: its rows are ordered anew.
+#: Where more rows of about the same size share a shingle, besides those of the largest component, they don't meet pair by
+#: pair: their shingles are ordered anew.
 CROWD = 64
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
@@ -391,23 +392,28 @@ def _stars(shared: DataFrame, like: float) -> DataFrame:
 def _met(open_: DataFrame, like: float) -> DataFrame:
     """(a, b): pairs of rows of different components that can be so similar by their sizes and the place of a shared token.
 
-    open_: token, largest, id, n, i, component. The first token that two such sets share stands so early in both that
-    enough shingles are left; other rows of a token don't meet. Rows of a token's largest component only meet the others.
+    open_: token, cell, largest, id, n, i, component. The first token that two such sets share stands so early in both that
+    enough shingles are left; other rows of a token don't meet. Rows of a cell's largest component only meet the others.
     """
-    one, other = (open_.select("token", "largest", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "i", "component"))) for x in "ab")
-    pairs = one.filter("component_a <> largest").drop("largest").join(other.drop("largest"), "token")
+    one, other = (open_.select("token", "cell", "largest", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "i", "component"))) for x in "ab")
+    pairs = one.filter("component_a <> largest").drop("largest").join(other.drop("largest"), ["token", "cell"])
     left = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
     pairs = pairs.filter((F.col("component_a") != F.col("component_b")) & _sized(like) & (left >= like / (1 + like) * (F.col("n_a") + F.col("n_b")) - 1e-9))
     return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
-def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """token, id, n, i, component, largest, outside of the rows of tokens that several components share: the token's largest
-    component, and how many of its rows are in others."""
-    now = shared.join(labels, F.col("id") == F.col("node"), "left").select("token", "id", "n", "i", F.coalesce("component", "id").alias("component"))
-    per = now.groupBy("token", "component").agg(F.count("*").alias("c"))
-    per = per.groupBy("token").agg(F.count("*").alias("of"), F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("largest")).filter("of > 1")
-    return now.join(per.select("token", F.col("largest.component").alias("largest"), (F.col("all") - F.col("largest.c")).alias("outside")), "token")
+def _open(shared: DataFrame, labels: DataFrame, like: float) -> DataFrame:
+    """token, cell, id, n, i, component, largest, outside of the rows of cells that several components share: the cell's
+    largest component, and how many of its rows are in others.
+
+    A cell is a token and a range of sizes. Ranges overlap by half and each half spans the similarity, so a row is in two of
+    them and rows whose sizes allow the similarity are in one together.
+    """
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(like - 1e-6))).cast("int")
+    now = shared.join(labels, F.col("id") == F.col("node"), "left").select("token", "id", "n", "i", F.coalesce("component", "id").alias("component"), F.explode(F.array(step, step + 1)).alias("cell"))
+    per = now.groupBy("token", "cell", "component").agg(F.count("*").alias("c"))
+    per = per.groupBy("token", "cell").agg(F.count("*").alias("of"), F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("largest")).filter("of > 1")
+    return now.join(per.select("token", "cell", F.col("largest.component").alias("largest"), (F.col("all") - F.col("largest.c")).alias("outside")), ["token", "cell"])
 
 
 def _reordered(crowded: DataFrame, sets: DataFrame, texts: DataFrame, like: float, shingle: int) -> DataFrame:
@@ -429,16 +435,16 @@ def _reordered(crowded: DataFrame, sets: DataFrame, texts: DataFrame, like: floa
 def _others(shared: DataFrame, labels: DataFrame, sets: DataFrame, texts: DataFrame, like: float, shingle: int) -> DataFrame:
     """(a, b): all pairs of rows of different components that can be so similar by their sizes and shared tokens.
 
-    A token with at most CROWD rows outside its largest component lets them meet, which is CROWD pairs a row at most. The
-    rows of fuller tokens take new prefixes, ordered by counts over all of them: what a passage adds to many texts comes
-    last there, and texts that share nothing else don't meet. Both rows of a pair that shares a full token are among
+    A cell of a token with at most CROWD rows outside its largest component lets them meet, which is CROWD pairs a row at
+    most. The rows of fuller cells take new prefixes, ordered by counts over all of them: what a passage adds to many
+    texts comes last there, and texts that share nothing else don't meet. Both rows of a pair in a full cell are among
     them, so none is lost. Of the pairs that have met, those stay whose prefixes share so many tokens that what is left of the
     longer rest can make up for the others.
     """
-    now = materialize(_open(shared, labels), "open-shingles")
+    now = materialize(_open(shared, labels, like), "open-shingles")
     crowded = materialize(now.filter(F.col("outside") > CROWD).select("id").distinct(), "crowded")
     anew = materialize(_reordered(crowded, sets, texts, like, shingle), "reordered-shingles")
-    pairs = _met(now.filter(F.col("outside") <= CROWD), like).unionByName(_met(_open(anew, labels), like))
+    pairs = _met(now.filter(F.col("outside") <= CROWD), like).unionByName(_met(_open(anew, labels, like), like))
     pairs = materialize(pairs.distinct(), "met")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     own = shared.join(ids, "id", "left_semi").groupBy("id").agg(F.struct(F.first("n").alias("n"), F.first("p").alias("p"), F.collect_list("token").alias("tokens")).alias("own"))
