@@ -11,14 +11,19 @@ S16 = (-32768, 32767)
 S32 = (-(1 << 31), (1 << 31) - 1)
 
 
+def _saturated(x: Column, low: int, high: int) -> Column:
+    """A double as a long within bounds: clamped before it is cast, as infinities have no long; what is no number is 0."""
+    return F.when(F.isnan(x), 0).otherwise(F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))).cast("long")
+
+
 def float_to_s16(samples: Column) -> Column:
-    """Half to even, then saturated."""
-    return F.transform(samples, lambda x: clamp(F.rint(x.cast("double") * 32768).cast("long"), *S16))
+    """Half to even, then saturated; infinities too, and NaN is 0."""
+    return F.transform(samples, lambda x: _saturated(F.rint(x.cast("double") * 32768), *S16))
 
 
 def float_to_s32(samples: Column) -> Column:
-    """Half away from zero, then saturated."""
-    return F.transform(samples, lambda x: clamp(F.round(x.cast("double") * 2147483648.0).cast("long"), *S32))
+    """Half away from zero, then saturated; infinities too, and NaN is 0."""
+    return F.transform(samples, lambda x: _saturated(F.round(x.cast("double") * 2147483648.0), *S32))
 
 
 def u8_to_s16(samples: Column) -> Column:

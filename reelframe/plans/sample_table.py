@@ -10,15 +10,23 @@ from reelframe.operators.timeline import as_of
 SYNC, DISPOSAL, REFERENCE = 1, 4, 8
 
 
-def expand_runs(runs: DataFrame, keys: list[str], order: list[str], count: str, out: str = "sample_idx") -> DataFrame:
+#: Samples that one row of a run is made into at a time.
+RUN = 65_536
+
+
+def expand_runs(runs: DataFrame, keys: list[str], order: list[str], count: str, out: str = "sample_idx", totals: DataFrame | None = None) -> DataFrame:
     """A row for each sample of run-length entries, numbered from 0 within the keys; other columns are repeated.
 
-    A run's first number is the sum of the counts before it, so the samples themselves needn't be sorted.
+    A run's first number is the sum of the counts before it, so the samples themselves needn't be sorted. A long run is
+    made in parts of RUN. With totals (keys, total) numbers end there: what a damaged file counts beyond is left out.
     """
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    first = F.coalesce(F.sum(count).over(before), F.lit(0)).cast("long")
-    runs = runs.withColumn("_first", first).filter(F.col(count) > 0)
-    return runs.withColumn(out, F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col(count) - 1))).drop("_first")
+    first = F.coalesce(F.sum(F.col(count).cast("long")).over(before), F.lit(0)).cast("long")
+    runs = runs.withColumn("_first", first).withColumn("_end", F.col("_first") + F.col(count))
+    if totals is not None:
+        runs = runs.join(totals, keys).withColumn("_end", F.least("_end", "total")).drop("total")
+    runs = runs.filter("_end > _first").withColumn("_from", F.explode(F.expr(f"sequence(_first, _end - 1, {RUN}L)")))
+    return runs.withColumn(out, F.explode(F.expr(f"sequence(_from, least(_from + {RUN - 1}L, _end - 1))"))).drop("_first", "_end", "_from")
 
 
 def prefix_sum(samples: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
@@ -39,12 +47,13 @@ def build(stts: DataFrame, ctts: DataFrame, stsc: DataFrame, stco: DataFrame, st
     stts and ctts (entry, count, delta or shift), stsc (first_chunk, per_chunk), stco (chunk from 1, chunk_offset), stsz
     (sample_idx, size), stss (sample_idx), sdtp (sample_idx, depends: its byte). A track without stss has sync samples only;
     a sample that depends on no other is one too, and one that no other depends on can be disposed of. A negative pts
-    gives way to dts.
+    gives way to dts. Samples are those that stsz has, whatever other tables count.
     """
-    timed = prefix_sum(expand_runs(stts, keys, ["entry"], "count"), keys, ["sample_idx"], "delta", "dts").select(*keys, "sample_idx", "dts")
-    shifts = expand_runs(ctts, keys, ["entry"], "count").select(*keys, "sample_idx", "shift")
+    totals = stsz.groupBy(*keys).agg(F.count("*").alias("total"))
+    timed = prefix_sum(expand_runs(stts, keys, ["entry"], "count", totals=totals), keys, ["sample_idx"], "delta", "dts").select(*keys, "sample_idx", "dts")
+    shifts = expand_runs(ctts, keys, ["entry"], "count", totals=totals).select(*keys, "sample_idx", "shift")
     laid = chunk_runs(stco, stsc, keys, "chunk", "first_chunk", "per_chunk")
-    laid = expand_runs(laid, keys, ["chunk"], "per_chunk").select(*keys, "sample_idx", "chunk", "chunk_offset")
+    laid = expand_runs(laid, keys, ["chunk"], "per_chunk", totals=totals).select(*keys, "sample_idx", "chunk", "chunk_offset")
     on = [*keys, "sample_idx"]
     s = timed.join(laid, on).join(stsz.select(*on, "size"), on).join(shifts, on, "left").join(stss.select(*on, F.lit(SYNC).alias("_sync")), on, "left")
     depends = F.lit(0)

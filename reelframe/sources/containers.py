@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 Node = tuple[int, int, str, int, int]
+#: Rows of a file that are handed on at a time.
+ROWS = 50_000
 
 # MP4 boxes that hold boxes, and what comes before those.
 MP4_PARENTS = {"moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "dinf": 0, "edts": 0, "udta": 0, "mvex": 0, "moof": 0, "traf": 0, "meta": 4, "stsd": 8, "dref": 8, "ilst": 0, "avc1": 78, "avc2": 78, "hvc1": 78, "hev1": 78, "mp4a": 28}
@@ -38,6 +41,8 @@ EBML_PARENTS = {
     "EBML", "Segment", "Info", "SeekHead", "Seek", "Tracks", "TrackEntry", "Cluster", "BlockGroup", "Cues", "CuePoint", "CueTrackPositions", "Tags", "Tag", "Targets", "SimpleTag",
     "Video", "Audio", "ContentEncodings", "ContentEncoding", "ContentCompression",
 }
+# Levels of the elements that elements of unknown size can't hold; all others are deeper.
+EBML_LEVELS = {"EBML": 0, "Segment": 0, **dict.fromkeys(("SeekHead", "Info", "Tracks", "Cluster", "Cues", "Chapters", "Attachments", "Tags"), 1)}
 # Names of JPEG segments.
 JPEG_NAMES = {0xD8: "SOI", 0xD9: "EOI", 0xE0: "APP0", 0xE1: "APP1", 0xC0: "SOF0", 0xC2: "SOF2", 0xC4: "DHT", 0xDB: "DQT", 0xDD: "DRI", 0xDA: "SOS", 0xFE: "COM"}
 
@@ -99,7 +104,10 @@ def walk_mp4(data: bytes) -> Iterator[Node]:
 
 
 def walk_ebml(data: bytes) -> Iterator[Node]:
-    def step(at: int, end: int):
+    """An element of unknown size ends where one of its level or above starts, or what it is in ends."""
+
+    def head(at: int, end: int):
+        """(name, body, size or None if it is unknown) of the element at a place."""
         if at >= end or not data[at]:
             return None
         n = 9 - data[at].bit_length()
@@ -108,10 +116,20 @@ def walk_ebml(data: bytes) -> Iterator[Node]:
             return None
         n = 9 - data[at].bit_length()
         size = int.from_bytes(data[at : at + n], "big") & (1 << 7 * n) - 1
-        body = at + n
-        unknown = size == (1 << 7 * n) - 1  # up to the end of what it is in
-        name = EBML_NAMES.get(code, f"0x{code:X}")
-        stop = end if unknown else body + size
+        return EBML_NAMES.get(code, f"0x{code:X}"), at + n, None if size == (1 << 7 * n) - 1 else size
+
+    def open_end(name: str, at: int, end: int) -> int:
+        level = EBML_LEVELS.get(name, 2)
+        while at < end and (found := head(at, end)) and EBML_LEVELS.get(found[0], 2) > level:
+            inner, body, size = found
+            at = body + size if size is not None else open_end(inner, body, end)
+        return min(at, end) if at < end and head(at, end) else end
+
+    def step(at: int, end: int):
+        if not (found := head(at, end)):
+            return None
+        name, body, size = found
+        stop = open_end(name, body, end) if size is None else body + size
         return name, body, stop, body if name in EBML_PARENTS else None, stop
 
     return _depths(_nested(len(data), step))
@@ -147,7 +165,8 @@ def parsed(files: DataFrame, rows: Callable[[bytes], Iterator[tuple]], schema: s
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                if found := [(path, *r) for r in rows(content.as_py() or b"")]:
+                each = rows(content.as_py() or b"")
+                while found := [(path, *r) for r in islice(each, ROWS)]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
 
     return files.select("path", "content").mapInArrow(run, "path string, " + schema)

@@ -20,6 +20,8 @@ from reelframe.stored import materialize
 
 PROBE_BYTES = 32 * 1024
 WAV_SAMPLES = 2048
+#: What headers of one MPEG audio stream agree in: sync, version, layer, rate and mode.
+SAME_STREAM = 0xFFE00000 | 3 << 19 | 3 << 17 | 3 << 10 | 3 << 6
 
 # What MP4 boxes at the start of a file add to its score, and which of them are opened.
 BOX_SCORES = {"ftyp": 50, "mdat": 50, "moov": 20, "trak": 20, "mdia": 20, **dict.fromkeys(("meta", "mvhd", "tkhd", "tref", "edts", "mdhd", "hdlr", "minf"), 10)}
@@ -84,7 +86,7 @@ def _mp3_score(head: bytes) -> int:
         frame = configs.mpeg_frame(word)
         if frame and at + frame["length"] + 4 <= len(head):
             other = struct.unpack_from(">I", head, at + frame["length"])[0]
-            if configs.mpeg_frame(other) and not (word ^ other) & 0xFFFE0C00:
+            if configs.mpeg_frame(other) and not (word ^ other) & SAME_STREAM:
                 return 100
     return 0
 
@@ -186,7 +188,7 @@ def mp3_frames(files: DataFrame) -> DataFrame:
 
     heads = files.select("path", F.inline(places("content")))
     heads = heads.select("path", "offset", "head", *(c.alias(n) for n, c in mpeg_header(F.col("head")).items())).filter("version IS NOT NULL")
-    alike = F.col("head").bitwiseAND(F.lit(0xFFE00000 | 3 << 19 | 3 << 17 | 3 << 10 | 3 << 6))
+    alike = F.col("head").bitwiseAND(F.lit(SAME_STREAM))
     heads = heads.withColumn("kind", alike).withColumn("until", F.col("offset") + F.col("frame_length"))
     nxt = heads.select("path", F.col("offset").alias("until"), "kind", F.lit(True).alias("has_next"))
     prev = heads.select("path", F.col("until").alias("offset"), "kind", F.lit(True).alias("has_prev")).distinct()
@@ -205,7 +207,7 @@ def _mp3(content: bytes) -> Iterator[tuple]:
             continue
         if at + frame["length"] + 4 <= end:
             other = struct.unpack_from(">I", content, at + frame["length"])[0]
-            if not configs.mpeg_frame(other) or (word ^ other) & 0xFFFE0C00:
+            if not configs.mpeg_frame(other) or (word ^ other) & SAME_STREAM:
                 continue
         first = content[at : at + frame["length"]]
         info = configs.xing(first) or configs.vbri(first) or {"kind": "cbr", "frames": 0, "bytes": 0, "toc": [], "encoder": "", "delay": 0, "padding": 0}
@@ -359,7 +361,10 @@ def _mp4_rows(content: bytes) -> Iterator[tuple]:
             rows = [(x - 1, None) for (x,) in _numbers(body, 8, ">u4", count)]
         elif name == "stsz":
             n = int.from_bytes(body[8:12], "big")
-            rows = [(count, None)] * n if count else [(x, None) for (x,) in _numbers(body, 12, ">u4", n)]
+            if count:  # one size for all: a run of as many as the file can hold
+                yield track, "stsz run", 0, count, min(n, len(content) // count), None, None
+            else:
+                rows = [(x, None) for (x,) in _numbers(body, 12, ">u4", n)]
         elif name == "stz2":
             n, width, name = int.from_bytes(body[8:12], "big"), body[7] if len(body) > 7 else 0, "stsz"
             if width == 4:
@@ -413,13 +418,15 @@ def mp4_samples(files: DataFrame) -> DataFrame:
     t = mp4_tables(files)
     keys = ["path", "track"]
     own = lambda name, **cols: t.filter(F.col("name") == name).select(*keys, *(F.col(c).alias(n) for n, c in cols.items()))
+    runs = own("stsz run", entry="entry", count="b", size="a")
+    sizes = own("stsz", sample_idx="entry", size="a").unionByName(sample_table.expand_runs(runs, keys, ["entry"], "count").select(*keys, "sample_idx", "size"))
     stco = own("chunk", entry="entry", chunk_offset="a").select(*keys, (F.col("entry") + 1).alias("chunk"), "chunk_offset")
     return sample_table.build(
         own("stts", entry="entry", count="a", delta="b"),
         own("ctts", entry="entry", count="a", shift="b"),
         own("stsc", first_chunk="a", per_chunk="b"),
         stco,
-        own("stsz", sample_idx="entry", size="a"),
+        sizes,
         own("stss", sample_idx="a"),
         keys,
         own("sdtp", sample_idx="entry", depends="a"),
@@ -588,7 +595,7 @@ def _exif(tiff: bytes) -> dict[str, str]:
     todo, seen, out = [struct.unpack_from(order + "I", tiff, 4)[0]], set(), {}
     while todo:
         at = todo.pop()
-        if at in seen or at + 2 > len(tiff):
+        if at in seen or not 0 <= at <= len(tiff) - 2:
             continue
         seen.add(at)
         for k in range(struct.unpack_from(order + "H", tiff, at)[0]):
@@ -609,7 +616,8 @@ def _exif(tiff: bytes) -> dict[str, str]:
             else:
                 value = " ".join(map(str, struct.unpack(order + f"{n}{ {1: 'B', 3: 'H', 4: 'I', 7: 'B', 9: 'i'}[kind] }", raw)))
             if tag in (0x8769, 0x8825):
-                todo.append(int(value))
+                if kind in (3, 4, 9) and n == 1:  # others point nowhere
+                    todo.append(int(value))
             else:
                 out[TIFF_NAMES.get(tag, f"0x{tag:04X}")] = value
     return out

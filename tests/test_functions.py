@@ -141,3 +141,11 @@ def test_formats_by_their_planes(spark):
     got = {r["name"]: (r["p"], r["s"]) for r in d.select("name", color.is_planar(F.col("name")).alias("p"), color.is_semi_planar(F.col("name")).alias("s")).collect()}
     assert got == {n: (len(p) == 3, len(p) == 2) for n, p in dims.PIXEL_FORMATS.items()}
     assert tuple(one(spark, pcm.is_raw(F.lit("s16")), pcm.is_raw(F.lit("f64-packed")), pcm.is_raw(F.lit("aac")))) == (True, True, False)
+
+
+def test_samples_beyond_all_bounds_saturate(spark):
+    values = [float("inf"), float("-inf"), float("nan"), 9e20, -9e20, 1.0, -1.0, 0.5, 0.0]
+    df = spark.createDataFrame([(values,)], "x array<double>")
+    r = df.select(pcm.float_to_s16(F.col("x")).alias("a"), pcm.float_to_s32(F.col("x")).alias("b")).first()
+    assert r["a"] == [32767, -32768, 0, 32767, -32768, 32767, -32768, 16384, 0]
+    assert r["b"] == [2**31 - 1, -(2**31), 0, 2**31 - 1, -(2**31), 2**31 - 1, -(2**31), 2**30, 0]

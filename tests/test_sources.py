@@ -3,6 +3,7 @@ import struct
 from pyspark.sql import functions as F
 
 from reelframe.functions import configs
+from reelframe.plans.sample_table import expand_runs
 from reelframe.queries import files as file_queries
 from reelframe.sources import compose, containers, media
 
@@ -195,3 +196,74 @@ def test_long_texts_are_whole_in_mkv_and_jpeg_files():
     jpeg = compose.jpeg(text.encode(), b"m", 1)
     comments = [jpeg[n[3] : n[3] + n[4]] for n in containers.walk_jpeg(jpeg) if n[2] == "COM"]
     assert b"".join(comments) == text.encode()
+
+
+def box(name, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I", len(body) + 8) + name + body
+
+
+def mp4_of_tables(*tables):
+    return box(b"ftyp", b"isom") + box(b"moov", box(b"trak", box(b"mdia", box(b"minf", box(b"stbl", *tables))))) + box(b"mdat", bytes(400))
+
+
+def full(name, *numbers):
+    return box(name, b"".join(struct.pack(">I", n) for n in (0, *numbers)))
+
+
+def test_counts_beyond_a_files_samples_are_left_out(spark):
+    huge = 0xFFFFFFFF
+    damaged = mp4_of_tables(full(b"stts", 1, huge, 5), full(b"ctts", 1, huge, 2), full(b"stsc", 1, 1, huge, 1), full(b"stsz", 0, 3, 10, 20, 30), full(b"stco", 1, 100))
+    constant = mp4_of_tables(full(b"stts", 1, huge, 1), full(b"stsc", 1, 1, huge, 1), full(b"stsz", 8, huge), full(b"stco", 1, 0))
+    got = media.mp4_samples(files(spark, damaged=damaged, constant=constant, good=compose.mp4(SAMPLES))).orderBy("path", "sample_idx").collect()
+    assert [(r["offset"], r["size"], r["dts"], r["pts"]) for r in got if r["path"] == "damaged"] == [(100, 10, 0, 2), (110, 20, 5, 7), (130, 30, 10, 12)]
+    some = [r for r in got if r["path"] == "constant"]
+    assert len(some) == len(constant) // 8 and [(r["offset"], r["size"], r["dts"]) for r in some[:3]] == [(0, 8, 0), (8, 8, 1), (16, 8, 2)]
+    assert sum(r["path"] == "good" for r in got) == len(SAMPLES)
+
+
+def test_long_runs_are_made_in_parts(spark):
+    runs = spark.createDataFrame([("a", 0, 200_000, 7), ("a", 1, 3, 9), ("b", 0, 0, 1)], "k string, entry int, n long, x int")
+    got = expand_runs(runs, ["k"], ["entry"], "n")
+    r = got.groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("sample_idx").alias("d"), F.max("sample_idx").alias("last"), F.sum("x").alias("x")).collect()
+    assert [tuple(x) for x in r] == [("a", 200_003, 200_003, 200_002, 1_400_027)]
+
+
+def exif_jpeg(*entries):
+    tiff = b"II*\0" + struct.pack("<IH", 8, len(entries)) + b"".join(entries) + bytes(40)
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(tiff) + 8) + b"Exif\0\0" + tiff + b"\xff\xd9"
+
+
+def test_exif_pointers_that_are_no_places_point_nowhere(spark):
+    entry = lambda tag, kind, n, value: struct.pack("<HHI4s", tag, kind, n, value)
+    size = entry(0xA002, 4, 1, struct.pack("<I", 77))
+    bad = {
+        "text": entry(0x8769, 2, 4, b"abc\0"), "two": entry(0x8825, 3, 2, b"\1\0\2\0"), "ratio": entry(0x8769, 5, 1, struct.pack("<I", 30)),
+        "back": entry(0x8769, 9, 1, struct.pack("<i", -5)), "far": entry(0x8825, 4, 1, b"\xff\xff\xff\xff"), "self": entry(0x8769, 4, 1, struct.pack("<I", 8)),
+    }
+    got = {r["path"]: dict(r["tags"]) for r in media.exif(files(spark, **{k: exif_jpeg(b, size) for k, b in bad.items()})).collect()}
+    assert got == {k: {"PixelXDimension": "77"} for k in bad}
+
+
+def test_a_stereo_frame_and_a_mono_one_are_no_stream(spark):
+    frame = lambda mode: (b"\xff\xfb\x90" + bytes([mode << 6])).ljust(417, b"\0")
+    got = {r["path"]: r["score"] for r in media.probe_scores(files(spark, same=frame(0) * 2, other=frame(0) + frame(3))).collect()}
+    assert got == {"same": 100, "other": 0}
+    first = media.mp3_files(files(spark, same=frame(0) * 2, other=frame(0) + frame(3) + frame(0))).select("path", "first_frame").collect()
+    assert dict(map(tuple, first)) == {"same": 0, "other": 834}
+
+
+def test_clusters_of_unknown_size_are_siblings(spark):
+    block = b"\xa3\x85\x81\0\0\x80x"
+    cluster = b"\x1f\x43\xb6\x75\xff\xe7\x81\x05" + block
+    live = b"\x1a\x45\xdf\xa3\x80" + b"\x18\x53\x80\x67\x01" + b"\xff" * 7 + cluster * 4 + b"\x1c\x53\xbb\x6b\x80"
+    got = containers.elements(files(spark, live=live, cut=live[:-8]), "ebml").orderBy("path", "node_id").collect()
+    rows = [(r["depth"], r["name"], r["size"]) for r in got if r["path"] == "live"]
+    inner = [(1, "Cluster", 10), (2, "Timecode", 1), (2, "SimpleBlock", 5)]
+    assert rows == [(0, "EBML", 0), (0, "Segment", len(live) - 17), *inner * 4, (1, "Cues", 0)]
+    assert [r["depth"] for r in got if r["path"] == "cut" and r["name"] == "Cluster"] == [1] * 4
+
+
+def test_many_rows_of_a_file_come_in_parts(spark):
+    got = containers.elements(files(spark, a=b"\xff\xd8" * 120_000), "jpeg")
+    assert got.count() == 120_000
