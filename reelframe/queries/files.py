@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from reelframe.functions.dims import GENRES
 from reelframe.queries.registry import Registry, table
-from reelframe.sources import compose, containers, media
+from reelframe.sources import compose, containers, media, ranged
+from reelframe.stored import new_path
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
@@ -93,6 +94,24 @@ _STBL = [
 _MP4 = [("ftyp", "12", []), ("mdat", "bytes", []), ("moov", "0", [("mvhd", "20", []), ("trak", "0", [("mdia", "0", [("mdhd", "24", []), ("hdlr", "24", []), ("minf", "0", [("stbl", "0", _STBL)])])])])]
 
 
+def _stored(files: DataFrame) -> str:
+    """The folder in which files lie, each written once to its path."""
+    folder = new_path(files.sparkSession, "media-files")
+    ranged.write(files, folder)
+    return folder
+
+
+def _in_folder(found: DataFrame, folder: str) -> DataFrame:
+    return found.withColumn("path", F.substring("path", len(folder) + 2, 1 << 20))
+
+
+@_r.query(f"SELECT 'doc/' || doc_id AS path, 44 + {_BYTES} AS length, 'wave' AS format, 100 AS score, 10 + least(32768, 44 + {_BYTES}) AS bytes_read FROM documents")
+def probe_by_range(spark, sf_dir):
+    """The format of files that lie in a store, by their first bytes."""
+    folder = _stored(_files(spark, sf_dir, lambda t: compose.wav(t.encode())))
+    return _in_folder(ranged.read(spark, folder), folder)
+
+
 @_r.query(f"WITH d AS ({_PARTS_SQL}), b AS (SELECT path, unnest([{', '.join(_tree_sql(_MP4)[0])}]) AS b FROM d) SELECT path, b.node_id, b.parent_id, b.depth, b.name, b.path_expr, b.offset, b.size FROM b")
 def boxes(spark, sf_dir):
     """S23, K7."""
@@ -109,6 +128,17 @@ def mp4_samples(spark, sf_dir):
     return media.mp4_samples(_files(spark, sf_dir, lambda t: compose.mp4(_parts(t))))
 
 
+@_r.query(f"""
+WITH d AS ({_PARTS_SQL}), k AS (SELECT path, bytes, h, unnest(range(n)) AS k FROM d)
+SELECT path, k AS sample_idx, 28 + 200 * k AS "offset", least(200, bytes - 200 * k) AS size, md5(unhex(substr(h, CAST(400 * k + 1 AS INT), 400))) AS data FROM k
+""")
+def mp4_packets_by_range(spark, sf_dir):
+    """Samples by the tables of files that lie in a store, and then their bytes alone."""
+    folder = _stored(_files(spark, sf_dir, lambda t: compose.mp4(_parts(t))))
+    found = ranged.fetch(ranged.mp4_samples(spark, folder))
+    return _in_folder(found, folder).select("path", "sample_idx", "offset", "size", F.md5("data").alias("data"))
+
+
 @_r.query(f"""
 SELECT path, 4 AS track, 1000 AS timescale, 40 * n AS duration, 'avc1' AS entry, 'h264' AS codec, 4 AS nal_length, CAST(NULL AS BIGINT) AS sample_rate, CAST(NULL AS INT) AS channels, '0142001EFFE1000467420' || '01E01000268CE' AS csd FROM ({_PARTS_SQL})
 """)

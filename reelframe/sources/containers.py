@@ -75,7 +75,7 @@ def walk_riff(data: bytes) -> Iterator[Node]:
     def step(at: int, end: int):
         if at + 8 > end:
             return None
-        tag, size = data[at : at + 4].decode("latin-1"), struct.unpack_from("<I", data, at + 4)[0]
+        tag, size = data[at : at + 4].decode("latin-1"), int.from_bytes(data[at + 4 : at + 8], "little")
         inner = at + 12 if tag in ("RIFF", "LIST") else None
         return tag, at + 8, at + 8 + size, inner, at + 8 + size + (size & 1)
 
@@ -86,10 +86,10 @@ def walk_mp4(data: bytes) -> Iterator[Node]:
     def step(at: int, end: int):
         if at + 8 > end:
             return None
-        size, tag = struct.unpack_from(">I4s", data, at)
+        size, tag = struct.unpack(">I4s", data[at : at + 8])
         head = 8
         if size == 1 and at + 16 <= end:
-            size, head = struct.unpack_from(">Q", data, at + 8)[0], 16
+            size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
         if size == 0:
             size = end - at
         if size < head:
@@ -103,8 +103,8 @@ def walk_mp4(data: bytes) -> Iterator[Node]:
     return _depths(_nested(len(data), step))
 
 
-def walk_ebml(data: bytes) -> Iterator[Node]:
-    """An element of unknown size ends where one of its level or above starts, or what it is in ends."""
+def walk_ebml(data: bytes, opened: set[str] = EBML_PARENTS) -> Iterator[Node]:
+    """Elements of the names to open are walked into. An element of unknown size ends where one of its level or above starts, or what it is in ends."""
 
     def head(at: int, end: int):
         """(name, body, size or None if it is unknown) of the element at a place."""
@@ -130,12 +130,13 @@ def walk_ebml(data: bytes) -> Iterator[Node]:
             return None
         name, body, size = found
         stop = open_end(name, body, end) if size is None else body + size
-        return name, body, stop, body if name in EBML_PARENTS else None, stop
+        return name, body, stop, body if name in opened else None, stop
 
     return _depths(_nested(len(data), step))
 
 
-def walk_jpeg(data: bytes) -> Iterator[Node]:
+def walk_jpeg(data: bytes, coded: bool = True) -> Iterator[Node]:
+    """Up to the end, or up to the coded data."""
     at = 0
     while at + 2 <= len(data) and data[at] == 0xFF:
         code = data[at + 1]
@@ -146,9 +147,11 @@ def walk_jpeg(data: bytes) -> Iterator[Node]:
             continue
         if at + 4 > len(data):
             return
-        size = struct.unpack_from(">H", data, at + 2)[0] - 2
+        size = int.from_bytes(data[at + 2 : at + 4], "big") - 2
         yield -1, 0, name, at + 4, min(size, len(data) - at - 4)
         at += 4 + size
+        if code == 0xDA and not coded:
+            return
         if code == 0xDA:  # coded data: up to a marker that is not a restart
             while at + 1 < len(data) and not (data[at] == 0xFF and data[at + 1] and not 0xD0 <= data[at + 1] <= 0xD7):
                 at += 1

@@ -415,7 +415,11 @@ def mp4_tracks(files: DataFrame) -> DataFrame:
 
 def mp4_samples(files: DataFrame) -> DataFrame:
     """The sample table of each track of MP4 files: path, track, sample_idx, chunk, offset, size, dts, pts, flags."""
-    t = mp4_tables(files)
+    return samples_of(mp4_tables(files))
+
+
+def samples_of(t: DataFrame) -> DataFrame:
+    """mp4_samples() of mp4_tables()."""
     keys = ["path", "track"]
     own = lambda name, **cols: t.filter(F.col("name") == name).select(*keys, *(F.col(c).alias(n) for n, c in cols.items()))
     runs = own("stsz run", entry="entry", count="b", size="a")
