@@ -1,6 +1,7 @@
 """Timelines of packets: seeking, as-of look-ups, interleaving, reordering, lateness and clocks.
 
-Everything is partitioned by track (or file and track) and ordered by explicit columns.
+Everything is partitioned by track (or file and track) and ordered by explicit columns. Look-ups, interleaving and arrivals
+go through scan(), which splits long tracks; `split` says whether to, else the size of the table decides.
 """
 
 from __future__ import annotations
@@ -8,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelframe.operators.scan import scan
+
 MASTER_LATENCY_US = 5_000
 LEAST_SEEK_US = 200_000
 
@@ -19,7 +22,7 @@ def micros(ts: Column) -> Column:
     return F.unix_date(ts.cast("date")).cast("long") * 86_400_000_000 + seconds * 1_000_000 + part.cast("long") % 1_000_000
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, out: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, out: str, split: bool | None = None) -> DataFrame:
     """left with out: the value of the last right row of the same keys whose `at` is not later; null if there is none.
 
     Spark has no such join, so both sides go through one sort: rows of right come before those of left at equal times,
@@ -29,8 +32,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: st
     own = left.select(*keys, at, F.lit(1).alias("_side"), *cols, F.lit(None).cast(right.schema[value].dataType).alias("_value"))
     none = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols]
     other = right.select(*keys, at, F.lit(0).alias("_side"), *none, F.col(value).alias("_value"))
-    w = Window.partitionBy(*keys).orderBy(at, "_side", F.col("_value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    both = own.unionByName(other).withColumn(out, F.last("_value", ignorenulls=True).over(w))
+    order = [at, "_side", F.col("_value").asc_nulls_first()]
+    both = scan(own.unionByName(other), keys, order, {out: ("last", F.col("_value"), False)}, split)
     return both.filter("_side = 1").select(*left.columns, out)
 
 
@@ -57,23 +60,22 @@ def preroll(sought: DataFrame, droppable: Column) -> DataFrame:
     return between.withColumn("action", F.when(droppable, "drop").otherwise("reference"))
 
 
-def interleave(packets: DataFrame, file: str, track: str, idx: str, offset: str) -> DataFrame:
+def interleave(packets: DataFrame, file: str, track: str, idx: str, offset: str, split: bool | None = None) -> DataFrame:
     """packets with position, in the order in which a reader takes them: always from the track whose next packet lies
     lowest in the file, of equal ones from the track with the higher number. A track is never reordered, so a packet is
     due at the highest offset of its track so far."""
-    due = F.max(offset).over(Window.partitionBy(file, track).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0))
-    w = Window.partitionBy(file).orderBy("_due", F.col(track).desc(), idx)
-    return packets.withColumn("_due", due).withColumn("position", F.row_number().over(w).cast("long") - 1).drop("_due")
+    due = scan(packets, [file, track], [idx], {"_due": ("max", F.col(offset), False)}, split)
+    placed = scan(due, [file], ["_due", F.col(track).desc(), idx], {"position": ("sum", F.lit(1).cast("long"), True)}, split)
+    return placed.withColumn("position", F.coalesce("position", F.lit(0).cast("long"))).drop("_due")
 
 
-def arrivals(packets: DataFrame, track: str, arrival: str, pts: str) -> DataFrame:
+def arrivals(packets: DataFrame, track: str, arrival: str, pts: str, split: bool | None = None) -> DataFrame:
     """packets with last_pts (the one before), clock (the highest before), unordered and late, in order of arrival.
 
     A packet is late if it is before the clock; one at the clock is not.
     """
-    w = Window.partitionBy(track).orderBy(arrival)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    p = packets.withColumn("last_pts", F.lag(pts).over(w)).withColumn("clock", F.max(pts).over(before))
+    p = scan(packets, [track], [arrival], {"_before": ("last", F.struct(F.col(pts).alias("pts")), True), "clock": ("max", F.col(pts), True)}, split)
+    p = p.select(*packets.columns, F.col("_before.pts").alias("last_pts"), "clock")
     return p.withColumn("unordered", F.coalesce(F.col(pts) <= F.col("last_pts"), F.lit(False))).withColumn("late", F.coalesce(F.col(pts) < F.col("clock"), F.lit(False)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelframe.operators.scan import scan
 from reelframe.operators.timeline import as_of
 
 SYNC, DISPOSAL, REFERENCE = 1, 4, 8
@@ -29,10 +30,10 @@ def expand_runs(runs: DataFrame, keys: list[str], order: list[str], count: str,
     return runs.withColumn(out, F.explode(F.expr(f"sequence(_from, least(_from + {RUN - 1}L, _end - 1))"))).drop("_first", "_end", "_from")
 
 
-def prefix_sum(samples: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+def prefix_sum(samples: DataFrame, keys: list[str], order: list[str], value: str, out: str, split: bool | None = None) -> DataFrame:
     """out: the sum of the values before this one within the keys, as decoding times and offsets are."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return samples.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long"))
+    summed = scan(samples, keys, order, {out: ("sum", F.col(value), True)}, split)
+    return summed.withColumn(out, F.coalesce(out, F.lit(0)).cast("long"))
 
 
 def chunk_runs(chunks: DataFrame, runs: DataFrame, keys: list[str], chunk: str, first_chunk: str, value: str) -> DataFrame:
