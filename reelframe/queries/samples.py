@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reelframe.functions import bits, color, pcm
 from reelframe.functions.dims import COLOR_MATRICES, PIXEL_FORMATS, dimension
+from reelframe.operators import images
 from reelframe.queries.registry import Registry, table
 
 _r = Registry()
@@ -193,3 +194,90 @@ def pixel_words(spark, sf_dir):
     p = color.rgb565(*(bits.field(F.col("x"), 8 * k, 8) for k in range(3)))
     r, g, b = color.from_rgb565(p)
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", color.reordered(F.col("x"), "RGBA", "BGRA").alias("bgra"), p.alias("rgb565"), r.alias("r"), g.alias("g"), b.alias("b"), bits.swap24(F.col("x")).alias("swap24"))
+
+
+#: Images of 4 x 4 pixels: format, and the bytes of its planes, which are the first levels of a frame.
+_IMAGES = {"420p": (16, 4, 4), "yv12": (16, 4, 4), "422p": (16, 8, 8), "yv16": (16, 8, 8), "444p": (16, 16, 16), "nv12": (16, 8), "nv21": (16, 8), "yuyv": (32,), "vyuy": (32,), "yuv444": (48,), "RGB888": (48,), "BGRA": (64,), "ARGB": (64,), "BGR565": (32,), "RGB565": (32,)}
+
+
+def _images(spark, sf_dir):
+    bytes_ = lambda first, n: F.unhex(F.array_join(F.transform(F.slice("p", first, n), lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    each = []
+    for name, sizes in _IMAGES.items():
+        starts = [1 + sum(sizes[:k]) for k in range(len(sizes))]
+        each.append(F.struct(F.lit(name).alias("format"), F.array(*map(bytes_, starts, sizes)).alias("planes")))
+    return _levels(spark, sf_dir).select("vec_id", F.inline(F.array(*each)), F.lit(4).alias("width"), F.lit(4).alias("height"))
+
+
+def _places() -> list[tuple]:
+    """For each format of _IMAGES where (from 1) the three levels of each pixel are, or of a 565 pixel's lower byte, and
+    where the chroma levels of each 2 x 2 cell are."""
+    pixels = [(x, y) for y in range(4) for x in range(4)]
+    cells = [[(x, y) for y in (r, r + 1) for x in (c, c + 1)] for r in (0, 2) for c in (0, 2)]
+    planar = {"420p": (2, 2, 17, 21), "yv12": (2, 2, 21, 17), "422p": (2, 1, 17, 25), "yv16": (2, 1, 25, 17), "444p": (1, 1, 17, 33)}
+    out = []
+    for name in _IMAGES:
+        if name in planar:
+            across, down, u, v = planar[name]
+            at = [lambda x, y: 1 + 4 * y + x, *(lambda x, y, f=f, a=across, d=down: f + y // d * (4 // a) + x // a for f in (u, v))]
+        elif name in ("nv12", "nv21"):
+            at = [lambda x, y: 1 + 4 * y + x, *(lambda x, y, f=f: 17 + f + y // 2 * 4 + x // 2 * 2 for f in ((0, 1) if name == "nv12" else (1, 0)))]
+        elif name in ("yuyv", "vyuy"):
+            y0, u, v = (0, 1, 3) if name == "yuyv" else (1, 2, 0)
+            at = [lambda x, y, f=y0: 1 + f + 8 * y + 2 * x, *(lambda x, y, f=f: 1 + f + 8 * y + x // 2 * 4 for f in (u, v))]
+        elif name.endswith("565"):
+            at = [lambda x, y: 1 + 2 * (4 * y + x)] * 3
+        else:
+            letters = {"yuv444": "YUV", "RGB888": "RGB"}.get(name, name)
+            at = [lambda x, y, f=letters.index(c), n=len(letters): 1 + f + n * (4 * y + x) for c in ("YUV" if name == "yuv444" else "RGB")]
+        kind = name if name.endswith("565") else "rgb" if "B" in name else "yuv"
+        alpha = [1 + 4 * k + name.index("A") for k in range(16)] if "A" in name else []
+        chroma = [[sorted({f(x, y) for x, y in cell}) for cell in cells] for f in at[1:]]
+        out.append((name, kind, *([f(x, y) for x, y in pixels] for f in at), alpha, *chroma))
+    return out
+
+
+def _images_sql() -> str:
+    """vec_id, format, kind, r, g, b, a (lists of levels), y, and u and v of 2 x 2 cells, of yuv and rgb images."""
+    rows = ", ".join(f"('{n}', '{k}', {a}, {b}, {c}, {alpha} :: INT[], {cu}, {cv})" for n, k, a, b, c, alpha, cu, cv in _places())
+    offset, gain, rv, gu, gv, bu = COLOR_MATRICES["601"]
+    cy, cu, cv = images.forward("601")
+    level = lambda x: f"CAST(greatest(0, least(255, floor({x} + 0.5))) AS BIGINT)"
+    each = lambda x: f"list_transform(range(1, 17), lambda k : {x})"
+    five = lambda shift: f"list_transform(a, lambda i : (p[i] + 256 * p[i + 1]) // {1 << shift} % 32)"
+    grow = lambda x: f"list_transform({x}, lambda q : (q << 3) | (q >> 2))"
+    green = "list_transform(list_transform(a, lambda i : (p[i] + 256 * p[i + 1]) // 32 % 64), lambda q : (q << 2) | (q >> 4))"
+    mean = lambda c: f"list_transform({c}, lambda l : (list_sum(list_transform(l, lambda i : p[i])) + len(l) // 2) // len(l))"
+    cell = lambda c: f"list_transform([1, 3, 9, 11], lambda k : ({c}[k] + {c}[k + 1] + {c}[k + 4] + {c}[k + 5] + 2) // 4)"
+    dot = lambda c, x, o: f"{c[0]!r} :: DOUBLE * r{x} + {c[1]!r} :: DOUBLE * g{x} + {c[2]!r} :: DOUBLE * b{x} + {o}"
+    return f"""
+WITH f(format, kind, a, b, c, alpha, cu, cv) AS (VALUES {rows}),
+l AS (SELECT vec_id, {_U8_SQL} AS p FROM embeddings),
+x AS (SELECT vec_id, format, kind, p, alpha, cu, cv, a AS at, list_transform(a, lambda i : p[i]) AS c1, list_transform(b, lambda i : p[i]) AS c2, list_transform(c, lambda i : p[i]) AS c3,
+  {grow(five(0))} AS low, {green} AS mid, {grow(five(11))} AS high FROM l, f),
+z AS (SELECT vec_id, format, kind, p, alpha, cu, cv, c1,
+  CASE kind WHEN 'yuv' THEN {each(level(f"(c1[k] - {offset}) * {gain!r} :: DOUBLE + (c3[k] - 128) * {rv!r} :: DOUBLE"))} WHEN 'rgb' THEN c1 WHEN 'BGR565' THEN high ELSE low END AS r,
+  CASE kind WHEN 'yuv' THEN {each(level(f"(c1[k] - {offset}) * {gain!r} :: DOUBLE - (c2[k] - 128) * {gu!r} :: DOUBLE - (c3[k] - 128) * {gv!r} :: DOUBLE"))} WHEN 'rgb' THEN c2 ELSE mid END AS g,
+  CASE kind WHEN 'yuv' THEN {each(level(f"(c1[k] - {offset}) * {gain!r} :: DOUBLE + (c2[k] - 128) * {bu!r} :: DOUBLE"))} WHEN 'rgb' THEN c3 WHEN 'BGR565' THEN low ELSE high END AS b FROM x),
+s AS (SELECT *, {cell("r")} AS rs, {cell("g")} AS gs, {cell("b")} AS bs FROM z)
+SELECT vec_id, format, {each("b[k]")} AS b, g, r, CASE WHEN len(alpha) > 0 THEN list_transform(alpha, lambda i : p[i]) ELSE {each("255")} END AS a,
+  CASE kind WHEN 'yuv' THEN c1 ELSE {each(level(dot(cy, "[k]", offset)))} END AS y,
+  CASE kind WHEN 'yuv' THEN {mean("cu")} ELSE list_transform(range(1, 5), lambda k : {level(dot(cu, "s[k]", 128))}) END AS u,
+  CASE kind WHEN 'yuv' THEN {mean("cv")} ELSE list_transform(range(1, 5), lambda k : {level(dot(cv, "s[k]", 128))}) END AS v FROM s
+"""
+
+
+_HEX = "array_to_string(list_transform({}, lambda q : printf('%02X', CAST(q AS BIGINT))), '')"
+
+
+@_r.query(f"SELECT vec_id, format, {_HEX.format('y')} AS y, {_HEX.format('u')} AS u, {_HEX.format('v')} AS v FROM ({_images_sql()})")
+def image_to_420p(spark, sf_dir):
+    """Whole images of 15 formats as planes of 4:2:0."""
+    c = images.convert(_images(spark, sf_dir), "420p")
+    return c.select("vec_id", "format", *(F.hex(F.col("converted")[k]).alias(n) for k, n in enumerate("yuv")))
+
+
+@_r.query(f"SELECT vec_id, format, {_HEX.format('flatten(list_transform(range(1, 17), lambda k : [b[k], g[k], r[k], a[k]]))')} AS pixels FROM ({_images_sql()})")
+def image_to_bgra(spark, sf_dir):
+    """Whole images of 15 formats as BGRA, by the matrix that stands for none."""
+    return images.convert(_images(spark, sf_dir), "BGRA").select("vec_id", "format", F.hex(F.col("converted")[0]).alias("pixels"))
