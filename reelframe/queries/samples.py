@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reelframe.functions import bits, color, pcm
 from reelframe.functions.dims import COLOR_MATRICES, PIXEL_FORMATS, dimension
-from reelframe.operators import images
+from reelframe.operators import audio, images
 from reelframe.queries.registry import Registry, table
 
 _r = Registry()
@@ -281,3 +281,18 @@ def image_to_420p(spark, sf_dir):
 def image_to_bgra(spark, sf_dir):
     """Whole images of 15 formats as BGRA, by the matrix that stands for none."""
     return images.convert(_images(spark, sf_dir), "BGRA").select("vec_id", "format", F.hex(F.col("converted")[0]).alias("pixels"))
+
+
+@_r.query(f"""
+WITH s AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id, j) - 1 AS i, CAST(s[j] AS DOUBLE) AS x FROM (SELECT label, vec_id, {_S16_SQL} AS s, unnest(range(1, 65)) AS j FROM embeddings)),
+n AS (SELECT label, unnest(range((max(i) * 44100) // 48000 + 1)) AS k FROM s GROUP BY label),
+o AS (SELECT label, k, k * 48000 // 44100 AS i, CAST(k * 48000 % 44100 AS DOUBLE) / 44100.0 :: DOUBLE AS t FROM n)
+SELECT o.label, o.k, CAST(floor(CASE WHEN t = 0 THEN a.x ELSE (1 - t) * a.x + t * b.x END) AS BIGINT) AS level
+FROM o JOIN s a USING (label, i) LEFT JOIN s b ON b.label = o.label AND b.i = o.i + 1
+""")
+def resample_track(spark, sf_dir):
+    """Each label's frames as the packets of one track, from 48000 to 44100 a second."""
+    p = _s16(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    p = audio.resample_packets(p, ["label"], ["vec_id"], "s", 48000, 44100)
+    each = p.select("label", "first", F.posexplode("resampled").alias("k", "x"))
+    return each.select("label", (F.col("first") + F.col("k")).alias("k"), F.floor("x").cast("long").alias("level"))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from reelframe.operators import scan, timeline
+from reelframe.operators import audio, scan, timeline
 from reelframe.plans import sample_table
 from reelframe.stored import materialize
 
@@ -90,3 +90,26 @@ def test_small_tables_take_one_sort(packets, dealt, monkeypatch):
 
 def test_scan_of_nothing(packets, dealt):
     assert scan.scan(packets.limit(0), ["track"], ["at"], {"s": ("sum", F.col("size"), False)}, True).count() == 0
+
+
+@pytest.mark.parametrize("rates", [(48000, 44100), (8000, 48000), (3, 1), (7, 7)])
+@pytest.mark.parametrize("split", [False, True])
+def test_packets_of_any_cut_resample_as_the_joined_track(spark, rates, split):
+    rng = random.Random(rates[0])
+    rate_in, rate_out = rates
+    tracks, rows = {t: [rng.uniform(-1, 1) for _ in range(rng.choice([1, 2, 700]))] for t in range(4)}, []
+    for t, x in tracks.items():
+        cuts = sorted([0, len(x), *[rng.randrange(len(x) + 1) for _ in range(rng.randrange(40))]])
+        rows += [(t, k, x[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))] + [(t, -1, None), (t, 999, [])]
+    df = spark.createDataFrame(rows, "track int, at int, s array<double>").repartition(4)
+    got = {}
+    for r in audio.resample_packets(df, ["track"], ["at"], "s", rate_in, rate_out, split).orderBy("track", "at").collect():
+        if r["resampled"]:
+            assert r["first"] == len(got.get(r["track"], []))
+        got.setdefault(r["track"], []).extend(r["resampled"])
+    for t, x in tracks.items():
+        want = []
+        for k in range((len(x) - 1) * rate_out // rate_in + 1):
+            i, f = divmod(k * rate_in, rate_out)
+            want.append(x[i] if not f else (1 - f / rate_out) * x[i] + f / rate_out * x[i + 1])
+        assert got[t] == pytest.approx(want, abs=1e-12)
