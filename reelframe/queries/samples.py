@@ -201,7 +201,7 @@ _IMAGES = {"420p": (16, 4, 4), "yv12": (16, 4, 4), "422p": (16, 8, 8), "yv16": (
 
 
 def _images(spark, sf_dir):
-    bytes_ = lambda first, n: F.unhex(F.array_join(F.transform(F.slice("p", first, n), lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    bytes_ = lambda first, n: F.unhex(F.array_join(F.transform(F.slice("p", first, n), lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), x))), 2, "0")), ""))
     each = []
     for name, sizes in _IMAGES.items():
         starts = [1 + sum(sizes[:k]) for k in range(len(sizes))]
@@ -252,7 +252,7 @@ def _images_sql() -> str:
     dot = lambda c, x, o: f"{c[0]!r} :: DOUBLE * r{x} + {c[1]!r} :: DOUBLE * g{x} + {c[2]!r} :: DOUBLE * b{x} + {o}"
     return f"""
 WITH f(format, kind, a, b, c, alpha, cu, cv) AS (VALUES {rows}),
-l AS (SELECT vec_id, {_U8_SQL} AS p FROM embeddings),
+l AS (SELECT vec_id, list_transform({_U8_SQL}, lambda q : greatest(0, least(255, q))) AS p FROM embeddings),
 x AS (SELECT vec_id, format, kind, p, alpha, cu, cv, a AS at, list_transform(a, lambda i : p[i]) AS c1, list_transform(b, lambda i : p[i]) AS c2, list_transform(c, lambda i : p[i]) AS c3,
   {grow(five(0))} AS low, {green} AS mid, {grow(five(11))} AS high FROM l, f),
 z AS (SELECT vec_id, format, kind, p, alpha, cu, cv, c1,
