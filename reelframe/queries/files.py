@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from reelframe.functions.dims import GENRES
 from reelframe.queries.registry import Registry, table
+from reelframe.sources import boxes as typed_boxes
 from reelframe.sources import compose, containers, media, ranged
-from reelframe.stored import new_path
+from reelframe.stored import materialize, new_path
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
@@ -121,6 +122,31 @@ def boxes(spark, sf_dir):
     return containers.elements(_files(spark, sf_dir, lambda t: compose.mp4(_parts(t))), "mp4")
 
 
+@_r.query(f"""
+SELECT path, 'isom' AS brand, 1000 AS timescale, 40 * n AS duration, 'vide' AS handler, 66 AS profile, 40 * n AS delta, 40 * ((n + 1) // 2) + 80 * (n // 2) AS shift, bytes AS size, (n + 4) // 5 AS syncs,
+       5 * ((n + 4) // 5) * ((n + 4) // 5 - 1) // 2 + (n + 4) // 5 AS sync_sum, (n + 2) // 3 AS chunks, 28 + 600 * ((n + 2) // 3 - 1) AS last_chunk, 8 * ((n + 0) // 3) AS dependencies FROM ({_PARTS_SQL})
+""")
+def typed_mp4(spark, sf_dir):
+    """Values of boxes by their paths, and the entries of tables."""
+    folder = _stored(_files(spark, sf_dir, lambda t: compose.mp4(_parts(t))))
+    found = materialize(typed_boxes.typed_by_range(spark, folder), "typed-boxes")
+    stbl, pairs = "moov/trak/mdia/minf/stbl/", "struct<sample_count:bigint,{}:bigint>"
+    plain = {"brand": ("ftyp", "$.major_brand", "string"), "timescale": ("moov/mvhd", "$.timescale", "long"), "duration": ("moov/trak/mdia/mdhd", "$.duration", "long"), "handler": ("moov/trak/mdia/hdlr", "$.handler_type", "string"), "profile": (stbl + "stsd/avc1/avcC", "$.profile", "long")}
+    out = found.groupBy("path").agg(*(F.max(F.when(F.col("path_expr") == p, typed_boxes.value(v, kind))).alias(name) for name, (p, v, kind) in plain.items()))
+    tables = {
+        "stts": (pairs.format("sample_delta"), {"delta": F.sum(F.col("entry.sample_count") * F.col("entry.sample_delta"))}),
+        "ctts": (pairs.format("sample_offset"), {"shift": F.sum(F.col("entry.sample_count") * F.col("entry.sample_offset"))}),
+        "stsz": ("bigint", {"size": F.sum("entry")}),
+        "stss": ("bigint", {"syncs": F.count("*"), "sync_sum": F.sum("entry")}),
+        "stco": ("bigint", {"chunks": F.count("*"), "last_chunk": F.max_by("entry", "idx")}),
+        "sdtp": ("bigint", {"dependencies": F.sum("entry")}),
+    }
+    for name, (kind, sums) in tables.items():
+        rows = typed_boxes.entries(typed_boxes.find(found, stbl + name), "entries", kind)
+        out = out.join(rows.groupBy("path").agg(*(c.alias(n) for n, c in sums.items())), "path", "left")
+    return _in_folder(out, folder)
+
+
 @_r.query(f"""
 WITH d AS ({_PARTS_SQL}), k AS (SELECT path, bytes, unnest(range(n)) AS k FROM d)
 SELECT path, 4 AS track, k AS sample_idx, k // 3 + 1 AS chunk, 28 + 200 * k AS "offset", least(200, bytes - 200 * k) AS size, 40 * k AS dts,

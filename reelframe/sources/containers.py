@@ -20,7 +20,9 @@ Node = tuple[int, int, str, int, int]
 ROWS = 50_000
 
 # MP4 boxes that hold boxes, and what comes before those.
-MP4_PARENTS = {"moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "dinf": 0, "edts": 0, "udta": 0, "mvex": 0, "moof": 0, "traf": 0, "meta": 4, "stsd": 8, "dref": 8, "ilst": 0, "avc1": 78, "avc2": 78, "hvc1": 78, "hev1": 78, "mp4a": 28}
+MP4_PARENTS = {"moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "dinf": 0, "edts": 0, "udta": 0, "mvex": 0, "moof": 0, "traf": 0, "meta": 4, "stsd": 8, "dref": 8, "ilst": 0, "avc1": 78, "avc2": 78, "hvc1": 78, "hev1": 78, "mp4v": 78, "s263": 78, "mp4a": 28, "samr": 28, "alac": 28, "raw ": 28, "twos": 28, "tref": 0, "wave": 0, "sinf": 0, "schi": 0}
+# Items of an item list; elsewhere boxes of these names hold no others.
+MP4_ITEMS = {"\xa9nam", "\xa9too", "\xa9alb", "\xa9ART", "\xa9cmt", "\xa9gen", "\xa9wrt", "\xa9day", "gnre", "trkn", "disk", "cpil", "tmpo", "pgap", "covr", "aART", "----"}
 # Names of EBML elements; those of EBML_PARENTS hold others.
 EBML_NAMES = {
     0x1A45DFA3: "EBML", 0x4282: "DocType", 0x18538067: "Segment", 0x1549A966: "Info", 0x2AD7B1: "TimecodeScale", 0x4489: "Duration",
@@ -98,6 +100,8 @@ def walk_mp4(data: bytes) -> Iterator[Node]:
         skip = MP4_PARENTS.get(name)
         if name == "meta" and data[at + head + 4 : at + head + 8] == b"hdlr":
             skip = 0  # as QuickTime writes it
+        if name in MP4_ITEMS and data[at + head + 4 : at + head + 8] in (b"data", b"mean"):
+            skip = 0
         return name, at + head, at + size, None if skip is None else at + head + skip, at + size
 
     return _depths(_nested(len(data), step))
