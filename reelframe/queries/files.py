@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from reelframe.functions.dims import GENRES
 from reelframe.queries.registry import Registry, table
 from reelframe.sources import boxes as typed_boxes
-from reelframe.sources import compose, containers, media, ranged
+from reelframe.sources import compose, containers, media, ranged, tags
 from reelframe.stored import materialize, new_path
 
 _r = Registry()
@@ -229,6 +231,70 @@ def exif(spark, sf_dir):
     return found.select("path", F.element_at("tags", "Make").alias("make"), F.element_at("tags", "Orientation").alias("orientation"))
 
 
+#: Letters of a text that a picture's segments take.
+_SEGMENT = 10_000
+_PICTURES_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k AS (SELECT doc_id, t, unnest(range(greatest(1, (length(t) + {_SEGMENT - 1}) // {_SEGMENT}))) AS k FROM d),
+p AS (SELECT 'doc/' || doc_id || '/' || k AS path, k, substr(t, {_SEGMENT} * k + 1, {_SEGMENT}) AS part FROM k), q AS (SELECT *, length(part) AS n FROM p)"""
+
+
+def _picture(part: str, k: int, order: str) -> bytes:
+    n = len(part)
+    pack = lambda kind, *numbers: struct.pack(order + kind, *numbers)
+    body = compose.tiff(
+        order,
+        [(0x010E, 2, n + 1, part.encode("ascii", "replace") + b"\0"), (0x0112, 3, 1, pack("H", n % 8 + 1))],
+        [(0x829A, 5, 1, pack("II", 1, n + 1)), (0x0131, 2, 4, b"pen\0"), (0xC0DE, 9, 1, pack("i", -n))],
+        [(1, 2, 2, b"NS"[n % 2 : n % 2 + 1] + b"\0"), (2, 5, 3, pack("6I", n, 1, k, 1, 59, 10))],
+        part.encode() or b" ",
+    )
+    w = n % 3 + 1
+    head = b"JFIF\0\1\2\1\0\x48\0\x48" + bytes([w, 2]) + bytes([n % 256]) * (6 * w)
+    more = b"JFXX\0\x11\x10\x10" + b"".join(bytes((p, 255 - p, p // 2)) for p in range(256)) + bytes((n + i) % 256 for i in range(256))
+    return compose.jpeg_of((0xE0, head), (0xE0, more), (0xE1, b"Exif\0\0" + body))
+
+
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: a picture for each part of each text, in both byte orders by turns."""
+
+    @F.pandas_udf("array<binary>")
+    def made(text: pd.Series) -> pd.Series:
+        cut = lambda t: [t[i : i + _SEGMENT] for i in range(0, len(t), _SEGMENT)] or [""]
+        return pd.Series([[_picture(p, k, "<>"[k % 2]) for k, p in enumerate(cut(t))] for t in text.fillna("")], dtype=object)
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(made("text")).alias("k", "content"))
+    return d.select(F.concat_ws("/", F.lit("doc"), "doc_id", "k").alias("path"), "content")
+
+
+@_r.query(rf"""{_PICTURES_SQL},
+r AS (SELECT path, unnest([
+  {{'directory': 'IFD0', 'tag': 270, 'type': 'ASCII', 'count': n + 1, 'name': 'ImageDescription', 'value': regexp_replace(part, '[^\x00-\x7F]', '?', 'g')}},
+  {{'directory': 'IFD0', 'tag': 274, 'type': 'SHORT', 'count': 1, 'name': 'Orientation', 'value': CAST(n % 8 + 1 AS VARCHAR)}},
+  {{'directory': 'IFD0', 'tag': 34665, 'type': 'LONG', 'count': 1, 'name': 'ExifIFD', 'value': '62'}},
+  {{'directory': 'IFD0', 'tag': 34853, 'type': 'LONG', 'count': 1, 'name': 'ExifGPSIFD', 'value': '104'}},
+  {{'directory': 'Exif', 'tag': 33434, 'type': 'RATIONAL', 'count': 1, 'name': 'ExifExposureTime', 'value': '1/' || (n + 1)}},
+  {{'directory': 'Exif', 'tag': 305, 'type': 'ASCII', 'count': 4, 'name': 'Software', 'value': 'pen'}},
+  {{'directory': 'Exif', 'tag': 49374, 'type': 'SLONG', 'count': 1, 'name': '0xC0DE', 'value': CAST(-n AS VARCHAR)}},
+  {{'directory': 'GPS', 'tag': 1, 'type': 'ASCII', 'count': 2, 'name': 'gps.LatitudeRef', 'value': CASE WHEN n % 2 = 0 THEN 'N' ELSE 'S' END}},
+  {{'directory': 'GPS', 'tag': 2, 'type': 'RATIONAL', 'count': 3, 'name': 'gps.Latitude', 'value': n || '/1 ' || k || '/1 59/10'}},
+  {{'directory': 'IFD1', 'tag': 513, 'type': 'LONG', 'count': 1, 'name': 'JPEGInterchangeFormat', 'value': CAST(196 + CASE WHEN n > 3 THEN n + 1 ELSE 0 END AS VARCHAR)}},
+  {{'directory': 'IFD1', 'tag': 514, 'type': 'LONG', 'count': 1, 'name': 'JPEGInterchangeFormatLength', 'value': CAST(greatest(octet_length(encode(part)), 1) AS VARCHAR)}}]) AS r FROM q)
+SELECT path, r.directory AS directory, r.tag AS tag, r.type AS type, r.count AS "count", r.name AS name, md5(r.value) AS value FROM r
+""")
+def exif_tags(spark, sf_dir):
+    """Tags of four directories, with names by a chain of dictionaries."""
+    return tags.tags(_pictures(spark, sf_dir)).drop("segment").withColumn("value", F.md5("value"))
+
+
+@_r.query(f"""{_PICTURES_SQL}
+SELECT path, 'JFIF' AS source, 'rgb' AS kind, n % 3 + 1 AS width, 2 AS height, md5(unhex(repeat(printf('%02X', n % 256), 6 * (n % 3 + 1)))) AS data FROM q
+UNION ALL SELECT path, 'JFXX', 'palette', 16, 16, md5(unhex(string_agg(printf('%02X%02X%02X', c, 255 - c, c // 2), '' ORDER BY i))) FROM (SELECT path, i, (n + i) % 256 AS c FROM (SELECT path, n, unnest(range(256)) AS i FROM q)) GROUP BY path
+UNION ALL SELECT path, 'Exif', 'jpeg', NULL, NULL, md5(encode(CASE WHEN part = '' THEN ' ' ELSE part END)) FROM q
+""")
+def thumbnails(spark, sf_dir):
+    """Thumbnails of JFIF, of a palette and of the second directory."""
+    return tags.thumbnails(_pictures(spark, sf_dir)).withColumn("data", F.md5("data"))
+
+
 @_r.query("""
 SELECT 'doc/' || doc_id AS path, ['wave', 'mp4', 'matroska', 'mp3', '----'][doc_id % 5 + 1] AS format, CASE WHEN doc_id % 5 = 4 THEN 0 ELSE 100 END AS score FROM documents
 """)

@@ -126,3 +126,27 @@ def jpeg(comment: bytes, make: bytes, orientation: int, endian: str = "<") -> by
     segment = lambda code, body: struct.pack(">BBH", 0xFF, code, len(body) + 2) + body
     parts = [b"\xff\xd8", segment(0xE0, b"JFIF\0\x01\x02\0\0\x01\0\x01\0\0"), segment(0xE1, b"Exif\0\0" + tiff), *(segment(0xFE, comment[i : i + 60000]) for i in range(0, max(len(comment), 1), 60000)), segment(0xC0, struct.pack(">BHHB", 8, 16, 16, 1) + b"\x01\x11\0"), segment(0xDA, b"\x01\x01\0\0\x3f\0")]
     return b"".join(parts) + b"\x12\x34\xff\xd9"
+
+
+def tiff(order: str, ifd0: list[tuple], exif: list[tuple], gps: list[tuple], thumbnail: bytes = b"") -> bytes:
+    """A TIFF body of directories with entries (tag, type, count, bytes), and one after the first that names a thumbnail."""
+    number = lambda tag, n: (tag, 4, 1, struct.pack(order + "I", n))
+    sizes = [2 + 12 * n + 4 for n in (len(ifd0) + 2, len(exif), len(gps), 2)]
+    starts = [8 + sum(sizes[:k]) for k in range(5)]
+    values = starts[4]
+    after = values + sum(len(e[3]) for part in (ifd0, exif, gps) for e in part if len(e[3]) > 4)
+    parts = [[*ifd0, number(0x8769, starts[1]), number(0x8825, starts[2])], exif, gps, [number(0x0201, after), number(0x0202, len(thumbnail))]]
+    out, apart = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8), b""
+    for k, part in enumerate(parts):
+        out += struct.pack(order + "H", len(part))
+        for tag, kind, n, raw in part:
+            place = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(order + "I", values + len(apart))
+            apart += raw if len(raw) > 4 else b""
+            out += struct.pack(order + "HHI", tag, kind, n) + place
+        out += struct.pack(order + "I", starts[3] if k == 0 and thumbnail else 0)
+    return out + apart + thumbnail
+
+
+def jpeg_of(*segments: tuple[int, bytes]) -> bytes:
+    """A JPEG file of segments (code, body) whose picture is a stub."""
+    return b"\xff\xd8" + b"".join(struct.pack(">BBH", 0xFF, code, len(body) + 2) + body for code, body in segments) + b"\xff\xda\0\2\x12\xff\xd9"

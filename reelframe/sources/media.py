@@ -16,6 +16,7 @@ from reelframe.functions.dims import MATROSKA_CODECS, MP4_CODECS
 from reelframe.functions.text import genre
 from reelframe.plans import sample_table
 from reelframe.sources.containers import EBML_NAMES, EBML_PARENTS, elements, number, parsed, walk_ebml, walk_mp4, walk_riff
+from reelframe.sources.tags import directories
 from reelframe.stored import materialize
 
 PROBE_BYTES = 32 * 1024
@@ -586,49 +587,17 @@ def mkv_cues(files: DataFrame) -> DataFrame:
     return parsed(files, _mkv_cues, "track long, time long, pos long")
 
 
-# Names of some TIFF and Exif tags, and sizes of TIFF types.
+# Names of some TIFF and Exif tags.
 TIFF_NAMES = {0x010F: "Make", 0x0110: "Model", 0x0112: "Orientation", 0x011A: "XResolution", 0x011B: "YResolution", 0x0131: "Software", 0x0132: "DateTime", 0x8769: "ExifIFD", 0x8825: "GPSIFD", 0x829A: "ExposureTime", 0x829D: "FNumber", 0x9003: "DateTimeOriginal", 0x920A: "FocalLength", 0xA002: "PixelXDimension", 0xA003: "PixelYDimension"}
-TIFF_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 
 
 def _exif(tiff: bytes) -> dict[str, str]:
-    """Tags of the first directory of a TIFF body and of those it points to; values out of line are read."""
-    order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
-    if not order or len(tiff) < 8:
-        return {}
-    todo, seen, out = [struct.unpack_from(order + "I", tiff, 4)[0]], set(), {}
-    while todo:
-        at = todo.pop()
-        if at in seen or not 0 <= at <= len(tiff) - 2:
-            continue
-        seen.add(at)
-        for k in range(struct.unpack_from(order + "H", tiff, at)[0]):
-            place = at + 2 + 12 * k
-            if place + 12 > len(tiff):
-                break
-            tag, kind, n = struct.unpack_from(order + "HHI", tiff, place)
-            size = TIFF_SIZES.get(kind, 0) * n
-            start = place + 8 if size <= 4 else struct.unpack_from(order + "I", tiff, place + 8)[0]
-            raw = tiff[start : start + size]
-            if not size or len(raw) < size:
-                continue
-            if kind == 2:
-                value = raw.split(b"\0")[0].decode("latin-1")
-            elif kind in (5, 10):
-                numbers = struct.unpack(order + f"{2 * n}{'I' if kind == 5 else 'i'}", raw)
-                value = " ".join(f"{a}/{b}" for a, b in zip(numbers[::2], numbers[1::2], strict=True))
-            else:
-                value = " ".join(map(str, struct.unpack(order + f"{n}{ {1: 'B', 3: 'H', 4: 'I', 7: 'B', 9: 'i'}[kind] }", raw)))
-            if tag in (0x8769, 0x8825):
-                if kind in (3, 4, 9) and n == 1:  # others point nowhere
-                    todo.append(int(value))
-            else:
-                out[TIFF_NAMES.get(tag, f"0x{tag:04X}")] = value
-    return out
+    """Tags of the first directory of a TIFF body and of those it points to, by TIFF_NAMES."""
+    return {TIFF_NAMES.get(tag, f"0x{tag:04X}"): value for directory, tag, _, _, value in directories(tiff) if directory in ("IFD0", "Exif", "GPS") and tag not in (0x8769, 0x8825)}
 
 
 def exif(files: DataFrame) -> DataFrame:
-    """path, tags (map) of JPEG files with an Exif segment."""
+    """path, tags (map) of JPEG files with an Exif segment; tags.tags() has all of them by directory, with their types."""
 
     @F.pandas_udf("map<string,string>")
     def tags(body: pd.Series) -> pd.Series:
