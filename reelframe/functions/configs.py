@@ -54,6 +54,27 @@ def wave_format(fmt: bytes) -> dict | None:
     return {"tag": tag, "channels": channels, "rate": rate, "bytes_per_second": per_second, "align": align, "bits": 0 if bits == 1 else bits, "mask": mask, "extra": extra}
 
 
+def compose_wave_format(fmt: dict) -> bytes:
+    """A WAVEFORMATEX of what wave_format() gives: 18 bytes and what is extra, or, with a mask or more than two channels of PCM, the extensible form."""
+    tag, frame = fmt["tag"], fmt["channels"] * fmt["bits"] // 8
+    wide = tag in (WAVE_PCM, WAVE_FLOAT) and (fmt["mask"] or fmt["channels"] > 2)
+    head = struct.pack("<HHIIHH", WAVE_EXTENSIBLE if wide else tag, fmt["channels"], fmt["rate"], fmt["bytes_per_second"], fmt["align"] or frame, fmt["bits"])
+    extra = struct.pack("<HII", fmt["bits"], fmt["mask"], tag) + WAVE_GUID if wide else fmt["extra"]
+    return head + struct.pack("<H", len(extra)) + extra
+
+
+def bitmap_info(data: bytes) -> dict | None:
+    """width, height (negative: from the top), planes, bits, compression, image_size, x_density, y_density, colors, important and extra
+    (up to the size it names) of a BITMAPINFOHEADER."""
+    if len(data) < 40:
+        return None
+    size, *numbers = struct.unpack_from("<IiiHH4sIiiII", data)
+    names = ("width", "height", "planes", "bits", "compression", "image_size", "x_density", "y_density", "colors", "important")
+    out = dict(zip(names, numbers))
+    out["compression"] = out["compression"].decode("latin-1") if any(out["compression"]) else "----"
+    return out | {"extra": data[40:size]} if size >= 40 else None
+
+
 def mpeg_frame(head: int) -> dict | None:
     """version (1, 2, 25), layer, bitrate, rate, channels, samples, length of an MPEG audio header, as mpeg_header() has it."""
     v, lay, br, sr = head >> 19 & 3, head >> 17 & 3, head >> 12 & 15, head >> 10 & 3

@@ -54,6 +54,9 @@ MATROSKA_CODECS = (
 # Codecs by MP4 sample entry.
 MP4_CODECS = (("mp4a", "aac"), ("avc1", "h264"), ("avc2", "h264"), ("hvc1", "hevc"), ("hev1", "hevc"))
 
+# Codecs by the object type of an elementary stream's descriptor.
+OBJECT_TYPES = ((0x20, "mpeg4"), (0x21, "h264"), (0x23, "hevc"), (0x40, "aac"), (0x66, "aac"), (0x67, "aac"), (0x68, "aac"), (0x69, "mp3"), (0x6B, "mp3"))
+
 # Hz and channels of AAC by index.
 AAC_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
 AAC_CHANNELS = (0, 1, 2, 3, 4, 5, 6, 8)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,3 +86,27 @@ RAW_FORMATS = ("u8", "s16", "s32", "f32", "f64", "u8-packed", "s16-packed", "s32
 def is_raw(name: Column) -> Column:
     """Whether samples of this format bypass the decoder."""
     return name.isin(*RAW_FORMATS)
+
+
+# Little-endian samples of WAVE data.
+_STORED = {"u8": "<u1", "s16": "<i2", "s32": "<i4", "f32": "<f4"}
+
+
+def _decoded(data: bytes, form: str) -> np.ndarray:
+    if form == "s24":  # into the upper bytes of 32 bits
+        raw = np.frombuffer(data[: len(data) // 3 * 3], np.uint8).reshape(-1, 3)
+        return np.concatenate([np.zeros((len(raw), 1), np.uint8), raw], axis=1).reshape(-1).view("<i4")
+    kind = np.dtype(_STORED[form])
+    return np.frombuffer(data[: len(data) // kind.itemsize * kind.itemsize], kind)
+
+
+def samples(data: Column, form: Column) -> Column:
+    """Stored samples (binary) of a format of wav_files() as an array of double; those of s24 become samples of 32 bits. A
+    sample that is cut off is none; null data or another format is null."""
+
+    @F.pandas_udf("array<double>")
+    def run(data: pd.Series, form: pd.Series) -> pd.Series:
+        known = ("s24", *_STORED)
+        return pd.Series([_decoded(b, f).astype(np.float64) if b is not None and f in known else None for b, f in zip(data, form)], dtype=object)
+
+    return run(data, form)

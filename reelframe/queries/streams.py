@@ -5,11 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from reelframe.functions import nal
+from reelframe.functions import configs, nal, pcm
+from reelframe.functions.dims import OBJECT_TYPES, dimension
 from reelframe.operators import timeline as tl
 from reelframe.queries.files import _BYTES, _PARTS_SQL, _files, _parts
 from reelframe.queries.registry import Registry, table
-from reelframe.sources import compose, media, packetizer
+from reelframe.sources import compose, containers, dumps, media, packetizer
+from reelframe.stored import new_path
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
@@ -81,3 +83,93 @@ def preroll_by_bytes(spark, sf_dir):
     needed = sought.filter("idx >= start AND idx < cur").join(media.mp4_tracks(files).select("path", "track", "codec", "nal_length"), ["path", "track"])
     drop = nal.droppable(F.col("codec"), F.col("data"), F.col("nal_length"), sync)
     return tl.preroll(media.packets(needed, files), drop).select("path", "sample_idx", "action")
+
+
+@_r.query("""
+WITH d AS (SELECT doc_id % 5 AS track, doc_id * 40000 AS us, octet_length(encode(coalesce(text, ''))) AS size, md5(coalesce(text, '')) AS data FROM documents)
+SELECT printf('%d_%07d_0040000@%d', track, us, size) AS path, size AS length, data FROM d
+""")
+def packet_dump(spark, sf_dir):
+    """K1: each text as a packet in a file of its own, and what is read back."""
+    d = table(spark, sf_dir, "documents")
+    packets = d.select((F.col("doc_id") % 5).alias("track"), (F.col("doc_id") * 40000).alias("us"), F.lit(40000).alias("duration_us"), F.col("text").cast("binary").alias("data"))
+    folder = new_path(spark, "packets")
+    dumps.dump_packets(packets, folder)
+    back = spark.read.format("binaryFile").load(folder)
+    return back.select(F.substring_index("path", "/", -1).alias("path"), "length", F.md5("content").alias("data"))
+
+
+@_r.query(f"""
+WITH d AS (SELECT hex(encode(coalesce(source, ''))) AS track, doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT *, sum(n) OVER (PARTITION BY track ORDER BY doc_id, encode(t) ROWS UNBOUNDED PRECEDING) - n AS start FROM d)
+SELECT track, CAST(min(start) AS BIGINT) AS start, CAST(sum(n) AS BIGINT) AS length, md5(string_agg(t, '' ORDER BY start, doc_id)) AS data FROM s WHERE n > 0 GROUP BY track, start // {dumps.PART}
+""")
+def raw_tracks(spark, sf_dir):
+    """K2: the texts of each source end to end, in parts by their place, and what is read back."""
+    d = table(spark, sf_dir, "documents")
+    folder = new_path(spark, "raw-tracks")
+    dumps.dump_raw(d.select(F.hex(F.coalesce("source", F.lit(""))).alias("track"), "doc_id", F.col("text").cast("binary").alias("data")), ["doc_id"], folder)
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name = F.regexp_extract("path", r"track-([0-9A-F]*)\.raw/(\d+)$", 1)
+    start = F.regexp_extract("path", r"track-([0-9A-F]*)\.raw/(\d+)$", 2).cast("long")
+    return back.select(name.alias("track"), start.alias("start"), "length", F.md5("content").alias("data"))
+
+
+@_r.query(f"""
+WITH d AS (SELECT 'doc/' || doc_id AS path, hex(encode(coalesce(text, ''))) AS h, {_BYTES} // 3 AS n FROM documents), k AS (SELECT path, h, unnest(range(n)) AS k FROM d),
+b AS (SELECT path, k, CAST('0x' || substr(h, 6 * k + 5, 2) || substr(h, 6 * k + 3, 2) || substr(h, 6 * k + 1, 2) AS BIGINT) AS v FROM k),
+s AS (SELECT path, k // 2048 AS sample_idx, k % 2048 AS i, 256 * (v - CASE WHEN v >= 8388608 THEN 16777216 ELSE 0 END) AS v FROM b)
+SELECT path, sample_idx, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS low, max(v) AS high, CAST(sum(v // 256 * i) AS BIGINT) AS weighted FROM s GROUP BY path, sample_idx
+""")
+def wav_samples(spark, sf_dir):
+    """Each text as 24-bit samples of one channel, read as 32 bits, packet by packet."""
+    files = _files(spark, sf_dir, lambda t: compose.wav(t.encode(), channels=1, bits=24))
+    found = media.packets(media.wav_packets(files), files)
+    read = found.select("path", "sample_idx", F.transform(pcm.samples(F.col("data"), F.lit("s24")), lambda x: x.cast("long")).alias("v"))
+    total = lambda change: F.aggregate(F.transform("v", change), F.lit(0).cast("long"), lambda a, x: a + x)
+    return read.select("path", "sample_idx", F.size("v").cast("long").alias("n"), total(lambda x: x).alias("total"), F.array_min("v").alias("low"), F.array_max("v").alias("high"), total(lambda x, i: F.shiftright(x, 8) * i).alias("weighted"))
+
+
+@_r.query(f"""
+WITH d AS (SELECT 'doc/' || doc_id AS path, {_BYTES} AS n FROM documents)
+SELECT path, unnest([{{'node_id': 0, 'parent_id': -1, 'depth': 0, 'name': 'RIFF', 'path_expr': 'RIFF', 'offset': 8, 'size': 36 + n + n % 2}}, {{'node_id': 1, 'parent_id': 0, 'depth': 1, 'name': 'fmt ', 'path_expr': 'RIFF/fmt ', 'offset': 20, 'size': 16}},
+  {{'node_id': 2, 'parent_id': 0, 'depth': 1, 'name': 'data', 'path_expr': 'RIFF/data', 'offset': 44, 'size': n}}], recursive := true) FROM d
+""")
+def riff_chunks(spark, sf_dir):
+    """S12, S13."""
+    return containers.elements(_files(spark, sf_dir, lambda t: compose.wav(t.encode())), "riff")
+
+
+@_r.query(f"""
+WITH d AS (SELECT 'doc/' || doc_id AS path, greatest(2, ({_BYTES} + 412) // 413) AS n FROM documents), s AS (SELECT *, 417 + 417 * n + n // 3 AS size FROM d)
+SELECT path, 'xing' AS kind, 0 AS first_frame, size, 44100 AS rate, 2 AS channels, n AS frames, 1000000 * n * 1152 // 44100 AS duration_us, list_sum([size * (i * 256 // 100) // 256 for i in range(100)]) AS toc, 'LAME3.100' AS encoder FROM s
+""")
+def mp3_info(spark, sf_dir):
+    """What the Xing header of each file says."""
+
+    def make(t: str) -> bytes:
+        body = compose.mp3(t.encode())
+        frames = max(2, -(-len(t.encode()) // 413))
+        return compose.xing(frames, 417 + len(body), [i * 256 // 100 for i in range(100)], b"LAME3.100") + body
+
+    found = media.mp3_files(_files(spark, sf_dir, make))
+    return found.select("path", "kind", "first_frame", "size", "rate", "channels", "frames", "duration_us", F.aggregate("toc", F.lit(0).cast("long"), lambda a, x: a + x).alias("toc"), "encoder")
+
+
+_OBJECTS = (0x40, 0x67, 0x21, 0x20, 0x6B, 0x23, 0xDD)
+
+
+@_r.query(f"""
+SELECT 'doc/' || doc_id AS path, {list(_OBJECTS)}[doc_id % 7 + 1] AS object_type, ['aac', 'aac', 'h264', 'mpeg4', 'mp3', 'hevc', '----'][doc_id % 7 + 1] AS codec, {_BYTES} % 100000 AS avg_bitrate, md5(coalesce(text, '')) AS csd FROM documents
+""")
+def esds_codecs(spark, sf_dir):
+    """Descriptors with each text as the decoder's own bytes, and the codec that their object type stands for."""
+
+    @F.pandas_udf("object_type int, avg_bitrate long, csd binary")
+    def read(doc: pd.Series, text: pd.Series) -> pd.DataFrame:
+        made = (configs.compose_esds(_OBJECTS[d % 7], t.encode(), len(t.encode()) % 100000) for d, t in zip(doc, text.fillna("")))
+        return pd.DataFrame([configs.esds(b) for b in made], columns=["object_type", "avg_bitrate", "csd"])
+
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), read("doc_id", "text").alias("e")).select("path", "e.*")
+    known = F.broadcast(dimension(spark, OBJECT_TYPES, "object_type int, codec string"))
+    return d.join(known, "object_type", "left").select("path", "object_type", F.coalesce("codec", F.lit("----")).alias("codec"), "avg_bitrate", F.md5(F.coalesce("csd", F.lit(b""))).alias("csd"))

@@ -24,6 +24,12 @@ def mp3(payload: bytes, least: int = 2) -> bytes:
     return b"".join(struct.pack(">I", 0xFFFB9000 | (k % 3 == 2) << 9) + own(k) for k in range(frames))
 
 
+def xing(frames: int, size: int, toc: list[int], encoder: bytes = b"") -> bytes:
+    """A frame of mp3()'s kind that holds a Xing header; size counts it."""
+    head = b"Xing" + struct.pack(">III", 7, frames, size) + bytes(toc) + encoder
+    return (struct.pack(">I", 0xFFFB9000) + bytes(32) + head).ljust(417, b"\0")
+
+
 def id3(title: str, artist: str, genre: str, comment: str = "") -> bytes:
     """An ID3v2.3 tag with UTF-8 and UTF-16 texts."""
     frame = lambda tag, body: tag + struct.pack(">IH", len(body), 0) + body
