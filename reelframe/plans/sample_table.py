@@ -19,13 +19,14 @@ def expand_runs(runs: DataFrame, keys: list[str], order: list[str], count: str,
     """A row for each sample of run-length entries, numbered from 0 within the keys; other columns are repeated.
 
     A run's first number is the sum of the counts before it, so the samples themselves needn't be sorted. A long run is
-    made in parts of RUN. With totals (keys, total) numbers end there: what a damaged file counts beyond is left out.
+    made in parts of RUN. With totals (keys, total) numbers end there: what a damaged file counts beyond is left out. Totals
+    grow with the files, so they are merged: sent to all tasks they would pass through the driver.
     """
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum(F.col(count).cast("long")).over(before), F.lit(0)).cast("long")
     runs = runs.withColumn("_first", first).withColumn("_end", F.col("_first") + F.col(count))
     if totals is not None:
-        runs = runs.join(totals, keys).withColumn("_end", F.least("_end", "total")).drop("total")
+        runs = runs.join(totals.hint("merge"), keys).withColumn("_end", F.least("_end", "total")).drop("total")
     runs = runs.filter("_end > _first").withColumn("_from", F.explode(F.expr(f"sequence(_first, _end - 1, {RUN}L)")))
     return runs.withColumn(out, F.explode(F.expr(f"sequence(_from, least(_from + {RUN - 1}L, _end - 1))"))).drop("_first", "_end", "_from")
 
@@ -56,10 +57,13 @@ def build(stts: DataFrame, ctts: DataFrame, stsc: DataFrame, stco: DataFrame, st
     laid = chunk_runs(stco, stsc, keys, "chunk", "first_chunk", "per_chunk")
     laid = expand_runs(laid, keys, ["chunk"], "per_chunk", totals=totals).select(*keys, "sample_idx", "chunk", "chunk_offset")
     on = [*keys, "sample_idx"]
-    s = timed.join(laid, on).join(stsz.select(*on, "size"), on).join(shifts, on, "left").join(stss.select(*on, F.lit(SYNC).alias("_sync")), on, "left")
+    # merged, as every side grows with the samples: shuffled bytes look small beside what a broadcast takes of the driver
+    with_ = lambda a, b, how="inner": a.join(b.hint("merge"), on, how)
+    s = with_(with_(timed, laid), stsz.select(*on, "size"))
+    s = with_(with_(s, shifts, "left"), stss.select(*on, F.lit(SYNC).alias("_sync")), "left")
     depends = F.lit(0)
     if sdtp is not None:
-        s, depends = s.join(sdtp.select(*on, "depends"), on, "left"), F.coalesce("depends", F.lit(0))
+        s, depends = with_(s, sdtp.select(*on, "depends"), "left"), F.coalesce("depends", F.lit(0))
     s = prefix_sum(s, [*keys, "chunk"], ["sample_idx"], "size", "_inside")
     with_sync = F.max("_sync").over(Window.partitionBy(*keys))
     pts = F.col("dts") + F.coalesce("shift", F.lit(0))

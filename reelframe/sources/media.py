@@ -441,7 +441,7 @@ def samples_of(t: DataFrame) -> DataFrame:
 def packets(samples: DataFrame, files: DataFrame) -> DataFrame:
     """samples with data, their bytes behind their prefix, if they have one; only here the payload is read."""
     data = F.call_function("substring", F.col("content"), (F.col("offset") + 1).cast("int"), F.col("size").cast("int"))
-    both = samples.join(files.select("path", "content"), "path")
+    both = samples.join(files.select("path", "content").hint("merge"), "path")  # neither side is small
     if "prefix" in samples.columns:
         data = F.concat(F.coalesce("prefix", F.lit(b"")), data)
     return both.withColumn("data", data).drop("content", "prefix")
