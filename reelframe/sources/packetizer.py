@@ -9,9 +9,13 @@ gives its frames, with their numbers.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,11 +112,47 @@ def file_headers(spark: SparkSession, folder: str, block: int = BLOCK) -> tuple[
 def _chain(at: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For frames from each place on: (the next one, where the last one ends, how many there are)."""
     after = np.searchsorted(at, until)
-    ends, counts = until.copy(), np.ones(len(at), np.int64)
+    nxt, ends, counts = after.tolist(), until.tolist(), [1] * len(at)
     for k in range(len(at) - 1, -1, -1):
-        if after[k] < len(at):
-            ends[k], counts[k] = ends[after[k]], counts[after[k]] + 1
-    return after, ends, counts
+        if nxt[k] < len(nxt):
+            ends[k], counts[k] = ends[nxt[k]], counts[nxt[k]] + 1
+    return after, np.array(ends, np.int64), np.array(counts, np.int64)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """(rows, where their groups start, and their end): sorted rows put together so that no group of the keys is cut."""
+
+    def starts(rows: pa.Table) -> np.ndarray:
+        new = np.ones(rows.num_rows, bool)
+        new[1:] = False
+        for k in keys:
+            column = rows.column(k)
+            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, rows.num_rows - 1)).to_numpy()
+        return np.flatnonzero(new)
+
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        if held.num_rows and (last := int((at := starts(held))[-1])):
+            yield held.slice(0, last), at.tolist()
+            held = held.slice(last).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held, [*starts(held).tolist(), held.num_rows]
+
+
+def _by_group(rows: DataFrame, keys: list[str], order: list[str], run: Callable[[pa.Table, list[int]], pa.Table], schema: str) -> DataFrame:
+    """What run(rows, starts) makes of many groups of the keys at once, each in order; a task gets whole groups."""
+
+    def each(batches):
+        for some, at in _whole(batches, keys):
+            yield from run(some, at).to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(each, schema)
+
+
+def _numbers(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    return [rows.column(n).to_numpy() for n in names]
 
 
 def frames(found: DataFrame, lengths: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -121,45 +161,62 @@ def frames(found: DataFrame, lengths: DataFrame, block: int = BLOCK) -> DataFram
 
     A stream's kind is that of the first header which an agreeing one follows at its end; streams without one have no
     frames. Frames that are cut off at the end don't count, and what can't be a frame is skipped. A block is one task's work; of a
-    stream only some rows a block meet in one task.
+    stream only some rows a block meet in one task. Joins are merged, as there may be as many streams as one likes.
     """
     kind = F.col("head").bitwiseAND(F.lit(SAME_STREAM))
     all_ = materialize(found.withColumn("kind", kind), "mpeg-headers")
     nxt = all_.select("path", F.col("at").alias("until"), "kind")
-    first = all_.join(nxt, ["path", "until", "kind"], "left_semi").groupBy("path").agg(F.min_by("kind", "at").alias("kind"), F.min("at").alias("from"))
-    real = all_.join(first, ["path", "kind"]).join(lengths, "path").filter("at >= from AND until <= length").select("path", "block", "at", "head", "until")
-
-    def ways(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("at")
-        at = part["at"].to_numpy()
-        _, ends, counts = _chain(at, part["until"].to_numpy())
-        some = int(np.searchsorted(at, part["block"].iloc[0] * block + LONGEST)) + 1
-        return pd.DataFrame({"path": part["path"].iloc[0], "block": part["block"].iloc[0], "upto": at[:some], "end": ends[:some], "n": counts[:some]})
-
-    def stitched(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["block", "upto"])
-        at, number, out = 0, 0, []
-        for b, way in part.groupby("block", sort=True):
-            out.append((part["path"].iloc[0], b, at, number))
-            k = int(np.searchsorted(way["upto"].to_numpy(), at))
-            if k < len(way):
-                at, number = int(way["end"].iloc[k]), number + int(way["n"].iloc[k])
-        return pd.DataFrame(out, columns=["path", "block", "entry", "number"])
-
-    def taken(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("at")
-        at = part["at"].to_numpy()
-        after, _, _ = _chain(at, part["until"].to_numpy())
-        k, out = int(np.searchsorted(at, part["entry"].iloc[0])), []
-        while k < len(at):
-            out.append(k)
-            k = int(after[k])
-        got = part.iloc[out]
-        return pd.DataFrame({"path": got["path"], "frame_idx": part["number"].iloc[0] + np.arange(len(out)), "offset": got["at"], "head": got["head"]})
-
-    by_block = real.groupBy("path", "block").applyInPandas(ways, "path string, block long, upto long, end long, n long")
-    entries = by_block.groupBy("path").applyInPandas(stitched, "path string, block long, entry long, number long")
-    got = real.join(entries, ["path", "block"]).groupBy("path", "block").applyInPandas(taken, "path string, frame_idx long, offset long, head long")
+    first = all_.join(nxt.hint("merge"), ["path", "until", "kind"], "left_semi").groupBy("path").agg(F.min_by("kind", "at").alias("kind"), F.min("at").alias("from"))
+    streams = first.join(lengths.hint("merge"), "path")
+    real = all_.withColumnRenamed("kind", "_kind").join(streams.hint("merge"), "path").filter("_kind = kind AND at >= from AND until <= length").select("path", "block", "at", "head", "until")
+
+    def ways(rows: pa.Table, starts: list[int]) -> pa.Table:
+        at, until, of = _numbers(rows, "at", "until", "block")
+        taken, ends, counts = [], [], []
+        for a, b in pairwise(starts):
+            _, end, n = _chain(at[a:b], until[a:b])
+            some = min(b - a, int(np.searchsorted(at[a:b], of[a] * block + LONGEST)) + 1)
+            taken.append(np.arange(a, a + some))
+            ends.append(end[:some])
+            counts.append(n[:some])
+        got = rows.select(["path", "block", "at"]).take(np.concatenate(taken)).rename_columns(["path", "block", "upto"])
+        return got.append_column("end", pa.array(np.concatenate(ends))).append_column("n", pa.array(np.concatenate(counts)))
+
+    def stitched(rows: pa.Table, starts: list[int]) -> pa.Table:
+        of, upto, end, n = (x.tolist() for x in _numbers(rows, "block", "upto", "end", "n"))
+        taken, entries, numbers = [], [], []
+        for a, b in pairwise(starts):
+            at, number, k = 0, 0, a
+            while k < b:
+                taken.append(k)
+                entries.append(at)
+                numbers.append(number)
+                own = of[k]
+                while k < b and of[k] == own and upto[k] < at:
+                    k += 1
+                if k < b and of[k] == own:
+                    at, number = end[k], number + n[k]
+                while k < b and of[k] == own:
+                    k += 1
+        got = rows.select(["path", "block"]).take(pa.array(taken, pa.int64()))
+        return got.append_column("entry", pa.array(entries, pa.int64())).append_column("number", pa.array(numbers, pa.int64()))
+
+    def taken(rows: pa.Table, starts: list[int]) -> pa.Table:
+        at, until, entry, number = _numbers(rows, "at", "until", "entry", "number")
+        out, numbers = [], []
+        for a, b in pairwise(starts):
+            nxt = np.searchsorted(at[a:b], until[a:b]).tolist()
+            k, first = int(np.searchsorted(at[a:b], entry[a])), len(out)
+            while k < b - a:
+                out.append(a + k)
+                k = nxt[k]
+            numbers.append(number[a] + np.arange(len(out) - first))
+        got = rows.select(["path", "at", "head"]).take(pa.array(out, pa.int64()))
+        return pa.table([got.column("path"), pa.array(np.concatenate(numbers), pa.int64()), got.column("at"), got.column("head")], ["path", "frame_idx", "offset", "head"])
+
+    by_block = _by_group(real, ["path", "block"], ["at"], ways, "path string, block long, upto long, end long, n long")
+    entries = _by_group(by_block, ["path"], ["block", "upto"], stitched, "path string, block long, entry long, number long")
+    got = _by_group(real.join(entries.hint("merge"), ["path", "block"]), ["path", "block"], ["at"], taken, "path string, frame_idx long, offset long, head long")
     full = got.select("path", "frame_idx", "offset", *(c.alias(n) for n, c in mpeg_header(F.col("head")).items()))
     return full.select("path", "frame_idx", "offset", "frame_length", "bitrate", "sample_rate", "channels", "samples", (F.col("frame_idx") * F.col("samples")).alias("pts"))
 

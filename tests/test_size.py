@@ -1,8 +1,10 @@
 """What must not grow with the input: what goes through the driver, and what a task holds."""
 
+import pyarrow as pa
+
 from reelframe.plans import sample_table
 from reelframe.queries import QUERIES
-from reelframe.sources import compose, media
+from reelframe.sources import compose, media, packetizer
 from tests.oracle import SF
 
 
@@ -26,3 +28,20 @@ def test_sample_tables_are_not_broadcast(spark):
 
 def test_preroll_is_not_broadcast(spark):
     assert broadcasts(QUERIES["preroll_by_bytes"](spark, SF)) == []
+
+
+def test_streams_are_not_broadcast(spark):
+    pieces = spark.createDataFrame([(f"s{k}", 0, compose.mp3(b"x" * 3000)) for k in range(40)], "path string, seq int, data binary")
+    found = packetizer.packetize(pieces)
+    assert broadcasts(found) == [] and found.count() == 40 * 8
+
+
+def test_groups_that_batches_cut_stay_whole():
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows]), pa.array([k for _, k in rows])], names=["path", "at"])
+    rows = [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3), ("b", 4), ("c", 1), ("d", 1), ("d", 2)]
+    for n in (1, 2, 3, 9):
+        got = []
+        for some, at in packetizer._whole(iter([batch(rows[i : i + n]) for i in range(0, len(rows), n)]), ["path"]):
+            paths = some.column("path").to_pylist()
+            got += [tuple(paths[a:b]) for a, b in zip(at, at[1:])]
+        assert got == [("a", "a"), ("b",) * 4, ("c",), ("d", "d")]
