@@ -64,6 +64,9 @@ def _mp4_score(head: bytes) -> int:
 
 
 def _matroska_score(head: bytes) -> int:
+    """Ten for each known element. The first one has to be the EBML header: two letters can be another element's name."""
+    if head[:4] != b"\x1a\x45\xdf\xa3":
+        return 0
     score, at = 0, 0
     while score < 100 and at < len(head) and head[at]:
         n = 9 - head[at].bit_length()

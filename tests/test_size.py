@@ -45,3 +45,9 @@ def test_groups_that_batches_cut_stay_whole():
             paths = some.column("path").to_pylist()
             got += [tuple(paths[a:b]) for a, b in zip(at, at[1:])]
         assert got == [("a", "a"), ("b",) * 4, ("c",), ("d", "d")]
+
+
+def test_only_the_ebml_header_starts_a_matroska_file():
+    words = [w.encode() for w in ("Das er und", "{ und", "\u05d0BDas", "B\u0702 und")]
+    assert [media._matroska_score(w + b" der " * 20) for w in words] == [0] * 4
+    assert media._matroska_score(compose.mkv([[b"x"]])) == 100
