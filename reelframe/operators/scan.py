@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from reelframe.stored import materialize
 
 #: What Spark estimates a table to have in bytes up to which a track is scanned by one task, in one sort.
 SMALL = 256 << 20
+#: Letters or bytes of keys, and of what they are ordered by, that ranges are dealt by.
+KEY, START = 256, 16
 
 
 def is_small(df: DataFrame) -> bool:
@@ -16,6 +19,18 @@ def is_small(df: DataFrame) -> bool:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
 
 
+def _dealt_by(df: DataFrame, keys: list[str], order: list[str | Column]) -> list[str | Column]:
+    """What ranges of keys and order are dealt by. Their bounds are sampled by the driver, so texts and bytes go by their start; what
+    is ordered after a cut one doesn't count. A track's rows still lie in ranges by their order."""
+    out: list[str | Column] = []
+    for k, c in enumerate([*keys, *order]):
+        long = isinstance(c, str) and isinstance(df.schema[c].dataType, (StringType, BinaryType))
+        out.append(F.call_function("substring", F.col(c), F.lit(1), F.lit(KEY if k < len(keys) else START)) if long else c)
+        if long and k >= len(keys):
+            break
+    return out
+
+
 def _over(kind: str, value: Column, frame) -> Column:
     return {"sum": F.sum, "max": F.max, "last": lambda v: F.last(v, ignorenulls=True)}[kind](value).over(frame)
 
@@ -36,7 +51,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str | Column], outs: dict[s
         frames = {before: w.rowsBetween(Window.unboundedPreceding, -1 if before else 0) for before in (True, False)}
         return df.withColumns({name: _over(kind, value, frames[before]) for name, (kind, value, before) in outs.items()})
     names = list(outs)
-    dealt = df.withColumns({f"_v{i}": outs[n][1] for i, n in enumerate(names)}).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    dealt = df.withColumns({f"_v{i}": outs[n][1] for i, n in enumerate(names)}).repartitionByRange(*_dealt_by(df, keys, order)).withColumn("_part", F.spark_partition_id())
     inner = Window.partitionBy(*keys, "_part").orderBy(*order)
     so_far = inner.rowsBetween(Window.unboundedPreceding, 0)
     own = {"_n": F.row_number().over(inner)}

@@ -1,10 +1,13 @@
 """What must not grow with the input: what goes through the driver, and what a task holds."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from reelframe.operators import scan
 from reelframe.plans import sample_table
 from reelframe.queries import QUERIES
 from reelframe.sources import compose, media, packetizer
+from reelframe.stored import materialize
 from tests.oracle import SF
 
 
@@ -51,3 +54,26 @@ def test_only_the_ebml_header_starts_a_matroska_file():
     words = [w.encode() for w in ("Das er und", "{ und", "\u05d0BDas", "B\u0702 und")]
     assert [media._matroska_score(w + b" der " * 20) for w in words] == [0] * 4
     assert media._matroska_score(compose.mkv([[b"x"]])) == 100
+
+
+def test_long_texts_are_no_bounds_of_ranges(spark, monkeypatch):
+    plans = []
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().analyzed().toString())
+        return materialize(df, name)
+
+    monkeypatch.setattr(scan, "materialize", written)
+    start = "x" * 200
+    rows = [(f"t{k % 2}", k // 8, (start + str(k % 5)).encode()) for k in range(64)]
+    df = spark.createDataFrame(rows, "track string, at long, data binary")
+    got = scan.scan(df, ["track"], ["at", "data"], {"n": ("sum", F.lit(1).cast("long"), False)}, split=True).collect()
+    dealt = next(line for line in plans[0].splitlines() if "RepartitionByExpression" in line)
+    assert "substring(data" in dealt and "substring(track" in dealt
+    for track in ("t0", "t1"):
+        want = sorted(r[1:] for r in rows if r[0] == track)
+        assert [(r["at"], bytes(r["data"])) for r in sorted((r for r in got if r["track"] == track), key=lambda r: r["n"])] == want
+        assert sorted(r["n"] for r in got if r["track"] == track) == list(range(1, 33))
+    some = scan.scan(df, ["track"], ["data", "at"], {"n": ("sum", F.lit(1).cast("long"), False)}, split=True).collect()
+    for track in ("t0", "t1"):
+        assert [(bytes(r["data"]), r["at"]) for r in sorted((r for r in some if r["track"] == track), key=lambda r: r["n"])] == sorted((d, k) for t, k, d in rows if t == track)
