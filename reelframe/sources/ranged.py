@@ -9,7 +9,7 @@ option `table` says what to read:
 * tracks, cues: of Matroska files, up to the first cluster and where the seek head says that the cues are; without one,
   from the head of one cluster to that of the next.
 
-read() is the short way to it. mp4_samples() and mkv_packets() plan on these tables, and fetch() reads the payload of planned samples,
+Option `parts` bounds the partitions, of FILES files at least; read(), the short way to the source, gives 16 for each core. mp4_samples() and mkv_packets() plan on these tables, and fetch() reads the payload of planned samples,
 neighbours at once. write() puts contents into files, one a row. Whatever store Spark alone can open is left to
 reelframe.sources.containers.load().
 """
@@ -17,6 +17,7 @@ reelframe.sources.containers.load().
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +34,7 @@ from reelframe.sources.containers import EBML_NAMES, walk_ebml, walk_jpeg, walk_
 
 BLOCK = 4096
 BLOCKS = 64
-#: Files of one partition, and bytes of one file that one task fetches samples from.
+#: Files of one partition at least, and bytes of one file that one task fetches samples from.
 FILES = 32
 RANGE = 64 << 20
 #: Samples at most this far apart are fetched in one read of at most so many bytes.
@@ -183,11 +184,19 @@ TABLES = {
 
 @dataclass
 class Files(InputPartition):
-    paths: list[str]
+    """Some of the files below a root, by what follows it: with the names packed, as all of them are planned by the driver."""
 
-    def __init__(self, paths: list[str]):
+    root: str
+    packed: bytes
+
+    def __init__(self, root: str, names: list[str]):
         super().__init__(None)
-        self.paths = paths
+        self.root, self.packed = root, zlib.compress("\0".join(names).encode("utf-8", "surrogateescape"))
+
+    @property
+    def paths(self) -> list[str]:
+        names = zlib.decompress(self.packed).decode("utf-8", "surrogateescape")
+        return [self.root + n for n in names.split("\0")] if names else []
 
 
 class MediaReader(DataSourceReader):
@@ -195,21 +204,23 @@ class MediaReader(DataSourceReader):
 
     def __init__(self, options: dict, schema: StructType):
         self.root, self.table, self.kind = options["path"], options.get("table", "probe"), options.get("kind", "mp4")
+        self.parts = int(options.get("parts", 1 << 30))
         self.wanted: dict[str, set] = {}
         self.names = [f.name for f in schema.fields]
 
     def partitions(self) -> list[Files]:
         store, at = _opened(self.root)
         if store.get_file_info(at).type == fs.FileType.Directory:
-            prefix = self.root.rstrip("/")
+            root, cut = self.root.rstrip("/"), len(at.rstrip("/"))
             infos = store.get_file_info(fs.FileSelector(at, recursive=True))
-            paths = [prefix + i.path[len(at.rstrip("/")) :] for i in infos if i.type == fs.FileType.File and not any(x[:1] in "._" for x in i.path[len(at) :].strip("/").split("/"))]
+            names = [i.path[cut:] for i in infos if i.type == fs.FileType.File and not any(x[:1] in "._" for x in i.path[len(at) :].strip("/").split("/"))]
         else:
-            paths = [self.root]
+            root, names = self.root[:-1], [self.root[-1:]]
         if "path" in self.wanted:
-            paths = [p for p in paths if p in self.wanted["path"]]
-        paths.sort()
-        return [Files(paths[k : k + FILES]) for k in range(0, len(paths), FILES)] or [Files([])]
+            names = [n for n in names if root + n in self.wanted["path"]]
+        names.sort()
+        size = max(FILES, -(-len(names) // self.parts))
+        return [Files(root, names[k : k + size]) for k in range(0, len(names), size)] or [Files(root, [])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
         rows = TABLES[self.table][1]
@@ -245,13 +256,15 @@ class MediaWriter(DataSourceWriter):
 
     def write(self, iterator) -> WriterCommitMessage:
         store, at = _opened(self.root)
-        aside, names = f"{at}/{self.job}/{uuid.uuid4().hex}", []
+        aside, names, folders = f"{at}/{self.job}/{uuid.uuid4().hex}", [], set()
         for row in iterator:
             name = row["path"]
             if name.startswith("/") or ".." in name.split("/"):
                 raise ValueError(f"not a place in the folder: {name}")
             to = f"{aside}/{name}"
-            store.create_dir(to.rpartition("/")[0], recursive=True)
+            if (folder := to.rpartition("/")[0]) not in folders:
+                store.create_dir(folder, recursive=True)
+                folders.add(folder)
             with store.open_output_stream(to) as f:
                 f.write(row["content"] or b"")
             names.append(name)
@@ -302,6 +315,7 @@ class MediaSource(DataSource):
 def read(spark: SparkSession, path: str, table: str = "probe", **options: str) -> DataFrame:
     """A table of the files at a path. Filters go down to the reader where Spark's setting PUSHDOWN allows it."""
     spark.dataSource.register(MediaSource)
+    options.setdefault("parts", str(16 * spark.sparkContext.defaultParallelism))
     options["pushdown"] = spark.conf.get(PUSHDOWN, "false").lower()
     return spark.read.format("media").options(path=path, table=table, **options).load()
 
