@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions.dims import GENRES
-from reelframe.queries.registry import Registry, table
+from reelframe.queries.registry import Registry, made, table
 from reelframe.sources import boxes as typed_boxes
 from reelframe.sources import compose, containers, media, ranged, tags
 from reelframe.stored import materialize, new_path
@@ -20,13 +20,7 @@ QUERIES, ORACLE_SQL = _r.queries, _r.sql
 
 def _files(spark: SparkSession, sf_dir: str, make) -> DataFrame:
     """path, content: a file for each document; make gets a text."""
-
-    @F.pandas_udf("binary")
-    def content(text: pd.Series) -> pd.Series:
-        return text.fillna("").map(make)
-
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), content("text").alias("content"))
+    return made(table(spark, sf_dir, "documents").select("doc_id", "text"), lambda doc, text: [(f"doc/{doc}", make(text or ""))])
 
 
 def _parts(text: str, size: int = 200) -> list[bytes]:
@@ -256,13 +250,11 @@ def _picture(part: str, k: int, order: str) -> bytes:
 def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: a picture for each part of each text, in both byte orders by turns."""
 
-    @F.pandas_udf("array<binary>")
-    def made(text: pd.Series) -> pd.Series:
-        cut = lambda t: [t[i : i + _SEGMENT] for i in range(0, len(t), _SEGMENT)] or [""]
-        return pd.Series([[_picture(p, k, "<>"[k % 2]) for k, p in enumerate(cut(t))] for t in text.fillna("")], dtype=object)
+    def pictures(doc: int, text: str | None) -> Iterator[tuple[str, bytes]]:
+        for k, at in enumerate(range(0, max(len(text or ""), 1), _SEGMENT)):
+            yield f"doc/{doc}/{k}", _picture((text or "")[at : at + _SEGMENT], k, "<>"[k % 2])
 
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(made("text")).alias("k", "content"))
-    return d.select(F.concat_ws("/", F.lit("doc"), "doc_id", "k").alias("path"), "content")
+    return made(table(spark, sf_dir, "documents").select("doc_id", "text"), pictures)
 
 
 @_r.query(rf"""{_PICTURES_SQL},
@@ -301,10 +293,10 @@ SELECT 'doc/' || doc_id AS path, ['wave', 'mp4', 'matroska', 'mp3', '----'][doc_
 def probe_files(spark, sf_dir):
     """The kind of a file by its score, behind an ID3v2 tag in half of them."""
 
-    @F.pandas_udf("binary")
-    def content(doc: pd.Series, text: pd.Series) -> pd.Series:
-        kinds = (lambda t: compose.wav(t.encode()), lambda t: compose.mp4(_parts(t)), lambda t: compose.mkv(_clusters(t)), lambda t: compose.mp3(t.encode()), lambda t: t.encode())
-        return pd.Series([(compose.id3(t[:50], "a", "(1)") if d % 2 else b"") + kinds[d % 5](t) for d, t in zip(doc, text.fillna(""), strict=True)], dtype=object)
+    kinds = (lambda t: compose.wav(t.encode()), lambda t: compose.mp4(_parts(t)), lambda t: compose.mkv(_clusters(t)), lambda t: compose.mp3(t.encode()), lambda t: t.encode())
+
+    def content(doc: int, text: str | None) -> list[tuple[str, bytes]]:
+        text = text or ""
+        return [(f"doc/{doc}", (compose.id3(text[:50], "a", "(1)") if doc % 2 else b"") + kinds[doc % 5](text))]
 
-    d = table(spark, sf_dir, "documents")
-    return media.probe_scores(d.select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), content("doc_id", "text").alias("content")))
+    return media.probe_scores(made(table(spark, sf_dir, "documents").select("doc_id", "text"), content))
