@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelframe.functions.bits import clamp
+from reelframe.operators.rows import appended
 
 S16 = (-32768, 32767)
 S32 = (-(1 << 31), (1 << 31) - 1)
@@ -110,3 +111,8 @@ def samples(data: Column, form: Column) -> Column:
         return pd.Series([_decoded(b, f).astype(np.float64) if b is not None and f in known else None for b, f in zip(data, form)], dtype=object)
 
     return run(data, form)
+
+
+def decoded(packets: DataFrame, form: str) -> DataFrame:
+    """packets with samples: samples() of their data in one format, a few MB at a time, as samples are longer than what stores them."""
+    return appended(packets, ["data"], lambda b: (None if b is None else _decoded(b, form).astype(np.float64),), "samples array<double>")

@@ -2,11 +2,13 @@
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from reelframe.functions import pcm
 from reelframe.operators import scan
 from reelframe.plans import sample_table
-from reelframe.queries import QUERIES
-from reelframe.sources import compose, media, packetizer
+from reelframe.queries import QUERIES, registry
+from reelframe.sources import compose, media, packetizer, ranged
 from reelframe.stored import materialize
 from tests.oracle import SF
 
@@ -77,3 +79,41 @@ def test_long_texts_are_no_bounds_of_ranges(spark, monkeypatch):
     some = scan.scan(df, ["track"], ["data", "at"], {"n": ("sum", F.lit(1).cast("long"), False)}, split=True).collect()
     for track in ("t0", "t1"):
         assert [(bytes(r["data"]), r["at"]) for r in sorted((r for r in some if r["track"] == track), key=lambda r: r["n"])] == sorted((d, k) for t, k, d in rows if t == track)
+
+
+class Rows:
+    """Stands for a DataFrame whose mapInArrow() gives the function itself."""
+
+    schema = StructType().add("path", "string").add("data", "binary")
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_made_files_go_on_in_small_batches():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * 500_000, None] * 20)], names=["doc_id", "text"])
+    got = list(registry.made(Rows(), lambda doc, text: [(f"doc/{doc}", (text or "").encode())])(iter([batch])))
+    assert [p for b in got for p in b.column("path").to_pylist()] == [f"doc/{k}" for k in range(40)]
+    assert [len(c) for b in got for c in b.column("content").to_pylist()] == [500_000, 0] * 20
+    assert max(b.nbytes for b in got) < registry.MOST + 600_000
+
+
+def test_appended_columns_go_on_in_small_batches(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(50)]), pa.array([b"\0\0\1" * 60_000, None] * 25)], names=["path", "data"])
+    got = list(pcm.decoded(Rows(), "s24")(iter([batch])))
+    assert [p for b in got for p in b.column("path").to_pylist()] == [str(k) for k in range(50)]
+    assert [b and len(b) for g in got for b in g.column("samples").to_pylist()] == [60_000, None] * 25
+    assert len(got) > 4 and max(len(g) for g in got) < 25
+
+
+def test_many_files_make_few_partitions(tmp_path):
+    for k in range(200):
+        (tmp_path / f"{k}.wav").write_bytes(b"x")
+    reader = lambda **more: ranged.MediaReader({"path": str(tmp_path), **more}, StructType().add("path", "string"))
+    some = reader(parts="3").partitions()
+    assert len(some) == 3 and [p for x in some for p in x.paths] == sorted(f"{tmp_path}/{k}.wav" for k in range(200))
+    assert len(reader().partitions()) == 7 and len(reader(parts="100").partitions()) == 7
+    one = ranged.MediaReader({"path": f"{tmp_path}/7.wav"}, StructType().add("path", "string")).partitions()
+    assert [x.paths for x in one] == [[f"{tmp_path}/7.wav"]]
+    (tmp_path / "none").mkdir()
+    assert [x.paths for x in ranged.MediaReader({"path": f"{tmp_path}/none"}, StructType().add("path", "string")).partitions()] == [[]]
