@@ -15,20 +15,32 @@ SYNC, DISPOSAL, REFERENCE = 1, 4, 8
 RUN = 65_536
 
 
-def expand_runs(runs: DataFrame, keys: list[str], order: list[str], count: str, out: str = "sample_idx", totals: DataFrame | None = None) -> DataFrame:
+def expand_runs(
+    runs: DataFrame, keys: list[str], order: list[str], count: str, out: str = "sample_idx", totals: DataFrame | None = None, sums: dict[str, str] | None = None
+) -> DataFrame:
     """A row for each sample of run-length entries, numbered from 0 within the keys; other columns are repeated.
 
     A run's first number is the sum of the counts before it, so the samples themselves needn't be sorted. A long run is
     made in parts of RUN. With totals (keys, total) numbers end there: what a damaged file counts beyond is left out. Totals
     grow with the files, so they are merged: sent to all tasks they would pass through the driver.
+
+    sums are name -> column: the sum of a column over the samples before, nulls as 0. It is made of the runs as the numbers
+    are, as values repeat within a run; so the samples, which are many more, are neither dealt out nor written for it.
     """
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    first = F.coalesce(F.sum(F.col(count).cast("long")).over(before), F.lit(0)).cast("long")
-    runs = runs.withColumn("_first", first).withColumn("_end", F.col("_first") + F.col(count))
-    if totals is not None:
-        runs = runs.join(totals.hint("merge"), keys).withColumn("_end", F.least("_end", "total")).drop("total")
+    so_far = lambda value: F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long")
+    sums = sums or {}
+    runs = runs.withColumn("_count", F.greatest(F.col(count).cast("long"), F.lit(0)))
+    if totals is None:
+        runs = runs.withColumns({"_first": so_far(F.col("_count")), **{name: so_far(F.col("_count") * F.col(value)) for name, value in sums.items()}})
+        runs = runs.withColumn("_end", F.col("_first") + F.col("_count"))
+    else:
+        runs = runs.withColumn("_first", so_far(F.col("_count"))).join(totals.hint("merge"), keys).withColumn("_end", F.least(F.col("_first") + F.col("_count"), "total"))
+        runs = runs.withColumns({name: so_far(F.greatest(F.col("_end") - F.col("_first"), F.lit(0)) * F.col(value)) for name, value in sums.items()}).drop("total")
     runs = runs.filter("_end > _first").withColumn("_from", F.explode(F.expr(f"sequence(_first, _end - 1, {RUN}L)")))
-    return runs.withColumn(out, F.explode(F.expr(f"sequence(_from, least(_from + {RUN - 1}L, _end - 1))"))).drop("_first", "_end", "_from")
+    runs = runs.withColumn(out, F.explode(F.expr(f"sequence(_from, least(_from + {RUN - 1}L, _end - 1))")))
+    own = {name: F.col(name) + (F.col(out) - F.col("_first")) * F.coalesce(F.col(value).cast("long"), F.lit(0)) for name, value in sums.items()}
+    return runs.withColumns(own).drop("_first", "_end", "_from", "_count")
 
 
 def prefix_sum(samples: DataFrame, keys: list[str], order: list[str], value: str, out: str, split: bool | None = None) -> DataFrame:

@@ -254,10 +254,8 @@ SELECT l_orderkey, row_number() OVER w - 1 AS sample_idx, coalesce(CAST(sum(delt
 """)
 def dts_prefix(spark, sf_dir):
     """Decoding times from run-length deltas; each line is a run of l_linenumber samples."""
-    w = Window.partitionBy("l_orderkey").orderBy(*_ORDER)
-    runs = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("long").alias("delta"), F.row_number().over(w).alias("entry"))
-    x = st.expand_runs(runs, ["l_orderkey"], ["entry"], "n")
-    return st.prefix_sum(x, ["l_orderkey"], ["sample_idx"], "delta", "dts").select("l_orderkey", "sample_idx", "dts")
+    runs = table(spark, sf_dir, "lineitem").select("l_orderkey", *_ORDER, F.col("l_quantity").cast("long").alias("delta"))
+    return st.expand_runs(runs, ["l_orderkey"], _ORDER, "l_linenumber", sums={"dts": "delta"}).select("l_orderkey", "sample_idx", "dts")
 
 
 @_r.query(f"""

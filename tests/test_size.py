@@ -117,3 +117,28 @@ def test_many_files_make_few_partitions(tmp_path):
     assert [x.paths for x in one] == [[f"{tmp_path}/7.wav"]]
     (tmp_path / "none").mkdir()
     assert [x.paths for x in ranged.MediaReader({"path": f"{tmp_path}/none"}, StructType().add("path", "string")).partitions()] == [[]]
+
+
+def test_decoding_times_are_summed_over_runs(spark, monkeypatch):
+    """Only lines are dealt out, once; the samples made of them are neither dealt out nor written, however large the table is."""
+    written = []
+    monkeypatch.setattr(scan, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    monkeypatch.setattr(scan, "SMALL", 0)
+    found = QUERIES["dts_prefix"](spark, SF)
+    rows = found.count()
+    found.write.format("noop").mode("overwrite").save()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert written == [] and plan.count("Exchange hashpartitioning") == 1 and "Exchange rangepartitioning" not in plan
+    assert rows > registry.table(spark, SF, "lineitem").count()
+
+
+def test_sums_over_runs_with_gaps(spark):
+    runs = [("a", 0, 2, 5), ("a", 1, 0, 9), ("a", 2, -3, 9), ("a", 3, 3, None), ("a", 4, None, 9), ("a", 5, 2, 7), (None, 0, 2, 4), ("b", 0, 4294967295, 4294967295)]
+    df = spark.createDataFrame(runs, "track string, entry long, count long, delta long")
+    got = sample_table.expand_runs(df.filter("track IS NULL OR track = 'a'"), ["track"], ["entry"], "count", sums={"dts": "delta"})
+    want = [(None, 0, 0), (None, 1, 4)] + [("a", k, t) for k, t in enumerate([0, 5, 10, 10, 10, 10, 17])]
+    assert sorted(((r["track"], r["sample_idx"], r["dts"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    totals = spark.createDataFrame([("a", 6), ("b", 3)], "track string, total long")
+    held = sample_table.expand_runs(df, ["track"], ["entry"], "count", totals=totals, sums={"dts": "delta"})
+    want = [("a", k, t) for k, t in enumerate([0, 5, 10, 10, 10, 10])] + [("b", k, k * 4294967295) for k in range(3)]
+    assert sorted((r["track"], r["sample_idx"], r["dts"]) for r in held.collect()) == want
