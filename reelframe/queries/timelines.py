@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelframe.operators import timeline as tl
 from reelframe.plans import sample_table as st
 from reelframe.queries.registry import Registry, table
+from reelframe.stored import materialize
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
@@ -300,6 +301,7 @@ def sample_table(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", *_ORDER)).cast("long") - 1
     size = F.col("l_quantity").cast("long")
     s = li.select(F.col("l_suppkey").alias("track"), n.alias("sample_idx"), size.alias("delta"), (size * 10).alias("size"), (F.col("l_linenumber") - 4).alias("shift"), (F.col("l_returnflag") == "R").alias("sync"))
+    s = materialize(s, "samples")  # read for each of the tables; else lines would be dealt out and numbered for each
     one = s.select("track", F.col("sample_idx").alias("entry"), F.lit(1).alias("count"), "delta", "shift")
     last = s.groupBy("track").agg(F.count("*").alias("n"))
     chunks = last.select("track", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("(n + 4) div 5"))).alias("chunk"))

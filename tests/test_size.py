@@ -1,5 +1,7 @@
 """What must not grow with the input: what goes through the driver, and what a task holds."""
 
+import random
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -142,3 +144,73 @@ def test_sums_over_runs_with_gaps(spark):
     held = sample_table.expand_runs(df, ["track"], ["entry"], "count", totals=totals, sums={"dts": "delta"})
     want = [("a", k, t) for k, t in enumerate([0, 5, 10, 10, 10, 10])] + [("b", k, k * 4294967295) for k in range(3)]
     assert sorted((r["track"], r["sample_idx"], r["dts"]) for r in held.collect()) == want
+
+
+def plain_samples(stts, ctts, per_chunk, offsets, sizes, stss, sdtp):
+    """What sample_table.build() gives of one track, by loops."""
+    deltas = [d for n, d in stts for _ in range(n)]
+    shifts = [x for n, x in ctts for _ in range(n)]
+    chunks = [c for c, n in enumerate(per_chunk, 1) for _ in range(n)]
+    total = min(len(sizes), len(deltas), len(chunks))
+    out, dts, at = [], 0, 0
+    synced = any(0 <= k < total for k in stss)
+    for k in range(total):
+        at = at + sizes[k - 1] if k and chunks[k - 1] == chunks[k] else offsets[chunks[k] - 1]
+        pts = dts + (shifts[k] if k < len(shifts) else 0)
+        byte = sdtp[k] if k < len(sdtp) else 0
+        flags = (not synced or k in stss or byte >> 4 & 3 == 2) + 4 * (byte >> 2 & 3 == 2)
+        out.append((k, chunks[k], at, sizes[k], dts, pts if pts >= 0 else dts, flags))
+        dts += deltas[k]
+    return out
+
+
+def built(spark, tracks):
+    """sample_table.build() of the tables of some tracks: stts, ctts, per_chunk, offsets, sizes, stss, sdtp of each."""
+    table = lambda cols, rows: spark.createDataFrame(list(rows), "track string, " + ", ".join(f"{c} long" for c in cols.split())).repartition(3)
+    of = lambda k, f: [(t, *f(j, x)) for t, parts in tracks.items() for j, x in enumerate(parts[k])]
+    return sample_table.build(
+        table("entry count delta", of(0, lambda j, x: (j, *x))),
+        table("entry count shift", of(1, lambda j, x: (j, *x))),
+        table("first_chunk per_chunk", of(2, lambda j, x: (j + 1, x))),
+        table("chunk chunk_offset", of(3, lambda j, x: (j + 1, x))),
+        table("sample_idx size", of(4, lambda j, x: (j, x))),
+        table("sample_idx", of(5, lambda j, x: (x,))),
+        ["track"],
+        table("sample_idx depends", of(6, lambda j, x: (j, x))),
+    )
+
+
+def test_blocks_of_samples_join_as_the_whole_track(spark, monkeypatch):
+    rng, tracks = random.Random(4), {}
+    for k in range(30):
+        n = rng.choice([1, 3, 4, 5, 8, 30, 61])
+        cut = lambda most: [rng.randrange(most + 1) for _ in range(rng.randrange(1, 3 * n))]  # noqa: E731, B023
+        per_chunk = rng.choice([[n], [5] * (n // 5 + 1), cut(3), cut(20)])
+        tracks[f"t{k}"] = (
+            [(c, rng.randrange(50)) for c in rng.choice([[n], [1] * n, cut(9)])],
+            [(c, rng.randrange(-40, 40)) for c in rng.choice([[], [n], [1] * n, cut(9)])],
+            per_chunk,
+            [1000 * (c + 1) for c in range(len(per_chunk))],
+            [rng.randrange(90) for _ in range(n)],
+            rng.choice([[], [0], [n], sorted(rng.sample(range(2 * n), n))]),
+            [rng.randrange(256) for _ in range(rng.choice([0, n, n // 2]))],
+        )
+    tracks["long counts"] = ([(4294967295, 4294967295)], [], [4294967295], [7], [2] * 9, [], [])
+    want = [(t, *row) for t, parts in tracks.items() if t != "long counts" for row in plain_samples(*parts)]
+    want += [("long counts", k, 1, 7 + 2 * k, 2, k * 4294967295, k * 4294967295, 1) for k in range(9)]
+    for run in (65_536, 4):
+        monkeypatch.setattr(sample_table, "RUN", run)
+        assert sorted(map(tuple, built(spark, tracks).collect())) == sorted(want)
+
+
+def test_rows_of_sample_tables_are_dealt_out_once(spark, monkeypatch):
+    """No join of samples by their number, no sort of a track's samples for its offsets or its sync samples, and none are written."""
+    tracks = {f"t{k}": ([(9, 2)], [(9, 1)], [4, 5], [100, 200], [3] * 9, [0, 4], []) for k in range(3)}
+    written = []
+    monkeypatch.setattr(scan, "materialize", lambda df, name: written.append(df.columns) or materialize(df, name))
+    found = built(spark, tracks)
+    assert found.count() == 27 and broadcasts(found) == []
+    assert all("size" not in columns for columns in written)
+    dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Exchange " in line]
+    assert dealt and not any("sample_idx#" in line.split("partitioning(")[1] for line in dealt if "partitioning(" in line)
+    assert all("size" not in line and "depends" not in line for line in dealt if "rangepartitioning" in line)
