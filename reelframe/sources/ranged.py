@@ -10,7 +10,7 @@ option `table` says what to read:
   from the head of one cluster to that of the next.
 
 Option `parts` bounds the partitions, of FILES files at least; read(), the short way to the source, gives 16 for each core. mp4_samples() and mkv_packets() plan on these tables, and fetch() reads the payload of planned samples,
-neighbours at once. write() puts contents into files, one a row. Whatever store Spark alone can open is left to
+neighbours at once. write() puts contents into files, one a row, and contents() reads whole files. Whatever store Spark alone can open is left to
 reelframe.sources.containers.load().
 """
 
@@ -37,6 +37,8 @@ BLOCKS = 64
 #: Files of one partition at least, and bytes of one file that one task fetches samples from.
 FILES = 32
 RANGE = 64 << 20
+#: Names that are listed at a time.
+LISTED = 4096
 #: Samples at most this far apart are fetched in one read of at most so many bytes.
 GAP = 64 << 10
 MOST = 8 << 20
@@ -326,6 +328,49 @@ def write(files: DataFrame, path: str) -> None:
     files.select("path", "content").write.format("media").option("path", path).mode("append").save()
 
 
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, content of all files below a path, empty ones too; names that start with "_" or "." are left out. None where nothing is.
+
+    One task lists what lies at the path itself, then each folder there is listed and read by one; no name goes to the driver.
+    """
+    root = path.rstrip("/")
+
+    def listed(store: fs.FileSystem, at: str, name: str, recursive: bool) -> list[tuple[str, bool]]:
+        """(name, whether it is a file) of what lies at a name below the path."""
+        infos = store.get_file_info(fs.FileSelector(at + name, allow_not_found=True, recursive=recursive))
+        names = [(i.path[len(at) :], i.type == fs.FileType.File) for i in infos]
+        return [(n, file) for n, file in names if not any(x[:1] in "._" for x in n.strip("/").split("/"))]
+
+    def tops(batches):
+        for _ in batches:
+            found = listed(*_opened(root), "", False)
+            for k in range(0, len(found), LISTED):
+                names, files = zip(*found[k : k + LISTED])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(files, pa.bool_())], names=["name", "file"])
+
+    def whole(batches):
+        store, at = _opened(root)
+        paths, data, held = [], [], 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(map(len, data), pa.int64()), pa.array(data, pa.binary())], names=["path", "length", "content"])
+        for batch in batches:
+            for top, is_file in zip(*(c.to_pylist() for c in batch.columns)):
+                for name, file in [(top, True)] if is_file else listed(store, at, top, True):
+                    if file:
+                        with store.open_input_stream(at + name) as f:
+                            data.append(f.read())
+                        paths.append(root + name)
+                        held += len(paths[-1]) + len(data[-1])
+                        if held > MOST:
+                            yield made()
+                            paths, data, held = [], [], 0
+        if paths:
+            yield made()
+
+    one = spark.range(1, numPartitions=1)
+    dealt = one.mapInArrow(tops, "name string, file boolean").repartition(16 * spark.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(whole, "path string, length long, content binary")
+
+
 def mp4_samples(spark: SparkSession, path: str) -> DataFrame:
     """media.mp4_samples() of the files at a path, without their payload."""
     return media.samples_of(media.materialize(read(spark, path, "mp4"), "mp4-tables"))

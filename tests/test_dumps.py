@@ -1,9 +1,15 @@
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from reelframe.functions import configs, pcm
+from reelframe.operators import scan
+from reelframe.queries import ORACLE_SQL, QUERIES
 from reelframe.sources import compose, containers, dumps
+from tests import oracle
 
 
 def tree(data, at=0, end=None, parent=-1, depth=0, rows=None):
@@ -59,6 +65,16 @@ def test_packets_keep_their_files_apart(spark, tmp_path):
     assert got == {"1_0000005_0000040@3": b"abc", "1_0000005_0000040@3.1": b"abc", "1_0000005_0000040@3.2": b"abd", "2_12345678_0000000@0": b"", "0_0000000_0000000@0": b""}
 
 
+@pytest.mark.parametrize("small", [scan.SMALL, 0])
+def test_packets_without_text_or_key_or_with_equal_names_are_those_of_sql(spark, tmp_path, monkeypatch, small):
+    rows = [(1, "abc"), (1, "abc"), (1, "abd"), (2, ""), (2, ""), (3, None), (-1, "x"), (-8, ""), (7, "\u00e4.1"), (300_000_000, "far"), (0, "zero"), (None, "zero"), (None, "zero"), (None, None)]
+    pq.write_table(pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())}), tmp_path / "documents.parquet")
+    monkeypatch.setattr(oracle, "SF", str(tmp_path))
+    monkeypatch.setattr(scan, "SMALL", small)
+    oracle.compare(spark, QUERIES["packet_dump"], ORACLE_SQL["packet_dump"])
+    assert QUERIES["packet_dump"](spark, str(tmp_path)).count() == len(rows)
+
+
 def test_tracks_end_to_end(spark, tmp_path):
     r = random.Random(1)
     rows = [(r.choice(["a", "a", "a", "b", None]), k, bytes(r.randrange(256) for _ in range(r.randrange(60)))) for k in range(200)] + [("c", 0, None), ("c", 1, b"")]

@@ -125,6 +125,19 @@ def test_filters_reach_the_reader(spark, folder):
     assert len(left) == 1 and [p.paths for p in reader.partitions()] == [[f"{path}/c.wav"]]
 
 
+def test_whole_files_are_read_by_tasks(spark, folder, tmp_path):
+    path, made = folder
+    got = {r["path"]: (r["length"], bytes(r["content"])) for r in ranged.contents(spark, path).collect()}
+    assert got == {f"{path}/{n}": (len(c), c) for n, c in made.items()}
+    (tmp_path / "a b%20#").mkdir()
+    for name in ("x?@1", "a b%20#/y z", "a b%20#/_left out", "_left out", ".left out"):
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "empty").mkdir()
+    got = {r["path"]: bytes(r["content"]) for r in ranged.contents(spark, f"file://{tmp_path}/").collect()}
+    assert got == {f"file://{tmp_path}/{n}": n.encode() for n in ("x?@1", "a b%20#/y z")}
+    assert ranged.contents(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_written_files_are_whole_or_not_there(spark, tmp_path):
     rows = [(f"sub/{k % 3}/{k}.bin", bytes([k]) * k) for k in range(20)] + [("empty", None)]
     files = spark.createDataFrame(rows, "path string, content binary").repartition(4)
