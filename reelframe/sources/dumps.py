@@ -30,9 +30,10 @@ def packet_files(packets: DataFrame) -> DataFrame:
     return again.select(F.concat("name", F.when(F.col("again") > 0, F.concat(F.lit("."), F.col("again"))).otherwise("")).alias("path"), "content")
 
 
-def dump_packets(packets: DataFrame, folder: str) -> None:
-    """Write each packet to a file of its own; a killed task leaves none."""
-    write(packet_files(packets), folder)
+def dump_packets(packets: DataFrame, folder: str, spread: bool = False) -> None:
+    """Write each packet to a file of its own; a killed task leaves none. With `spread` they lie in folders of some thousand files,
+    which ranged.contents() reads side by side; else all in one."""
+    write(packet_files(packets), folder, spread)
 
 
 def raw_parts(frames: DataFrame, order: list[str], part: int = PART) -> DataFrame:

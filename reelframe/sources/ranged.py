@@ -37,7 +37,7 @@ BLOCKS = 64
 #: Files of one partition at least, and bytes of one file that one task fetches samples from.
 FILES = 32
 RANGE = 64 << 20
-#: Names that are listed at a time.
+#: Files of a task that lie in one folder before they are moved to their places.
 LISTED = 4096
 #: Samples at most this far apart are fetched in one read of at most so many bytes.
 GAP = 64 << 10
@@ -251,38 +251,49 @@ class PushingReader(MediaReader):
 
 class MediaWriter(DataSourceWriter):
     """A file for each row (path, content). Tasks write aside; the commit moves their files to their places and drops the
-    rest, so what a killed task has written is never seen."""
+    rest, so what a killed task has written is never seen. Tasks only say where they wrote, in folders of up to LISTED files; the
+    commit lists one of these at a time, or with option `spread` moves them whole, as part-<task>-<number>."""
 
     def __init__(self, options: dict):
-        self.root, self.job = options["path"].rstrip("/"), f"_staging-{uuid.uuid4().hex}"
+        self.root, self.job, self.spread = options["path"].rstrip("/"), f"_staging-{uuid.uuid4().hex}", options.get("spread") == "true"
 
     def write(self, iterator) -> WriterCommitMessage:
         store, at = _opened(self.root)
-        aside, names, folders = f"{at}/{self.job}/{uuid.uuid4().hex}", [], set()
-        for row in iterator:
+        task, folders = uuid.uuid4().hex, set()
+        for k, row in enumerate(iterator):
             name = row["path"]
             if name.startswith("/") or ".." in name.split("/"):
                 raise ValueError(f"not a place in the folder: {name}")
-            to = f"{aside}/{name}"
+            if k % LISTED == 0:
+                folders.clear()
+            to = f"{at}/{self.job}/{task}/{k // LISTED:05d}/{name}"
             if (folder := to.rpartition("/")[0]) not in folders:
                 store.create_dir(folder, recursive=True)
                 folders.add(folder)
             with store.open_output_stream(to) as f:
                 f.write(row["content"] or b"")
-            names.append(name)
-        return Written(aside, names)
+        return Written(task)
 
     def commit(self, messages) -> None:
         store, at = _opened(self.root)
+        for m in filter(None, messages):
+            for part in store.get_file_info(fs.FileSelector(f"{at}/{self.job}/{m.task}", allow_not_found=True)):
+                to = f"{at}/part-{m.task}-{part.base_name}" if self.spread else at
+                if self.spread and store.type_name in ("local", "hdfs"):
+                    store.move(part.path, to)
+                else:  # there are files already, or the store has no folders
+                    self._move_files(store, part.path, to)
+        self._drop()
+
+    def _move_files(self, store: fs.FileSystem, part: str, to: str) -> None:
         made = set()
-        for m in messages:
-            for name in m.names if m else ():
-                folder = f"{at}/{name}".rpartition("/")[0]
-                if folder not in made:
+        for info in store.get_file_info(fs.FileSelector(part, recursive=True)):
+            if info.type == fs.FileType.File:
+                place = to + info.path[len(part) :]
+                if (folder := place.rpartition("/")[0]) not in made:
                     store.create_dir(folder, recursive=True)
                     made.add(folder)
-                store.move(f"{m.aside}/{name}", f"{at}/{name}")
-        self._drop()
+                store.move(info.path, place)
 
     def abort(self, messages) -> None:
         self._drop()
@@ -295,8 +306,7 @@ class MediaWriter(DataSourceWriter):
 
 @dataclass
 class Written(WriterCommitMessage):
-    aside: str
-    names: list[str]
+    task: str
 
 
 class MediaSource(DataSource):
@@ -322,16 +332,17 @@ def read(spark: SparkSession, path: str, table: str = "probe", **options: str) -
     return spark.read.format("media").options(path=path, table=table, **options).load()
 
 
-def write(files: DataFrame, path: str) -> None:
-    """Write files (path, content) below a path, each to its own place. Names must differ."""
+def write(files: DataFrame, path: str, spread: bool = False) -> None:
+    """Write files (path, content) below a path, each to its own place, or with `spread` below folders of LISTED files. Names must differ."""
     files.sparkSession.dataSource.register(MediaSource)
-    files.select("path", "content").write.format("media").option("path", path).mode("append").save()
+    files.select("path", "content").write.format("media").option("path", path).option("spread", str(spread).lower()).mode("append").save()
 
 
 def contents(spark: SparkSession, path: str) -> DataFrame:
     """path, length, content of all files below a path, empty ones too; names that start with "_" or "." are left out. None where nothing is.
 
-    One task lists what lies at the path itself, then each folder there is listed and read by one; no name goes to the driver.
+    One task lists what lies at the path itself, then each folder there is listed and read by one: what write() has spread is
+    listed by many tasks, and no name goes to the driver.
     """
     root = path.rstrip("/")
 

@@ -1,4 +1,5 @@
 import os
+import pickle
 import struct
 
 import pytest
@@ -148,3 +149,23 @@ def test_written_files_are_whole_or_not_there(spark, tmp_path):
     with pytest.raises(Exception, match="not a place"):
         ranged.write(bad, str(tmp_path / "none"))
     assert not [x for _, _, names in os.walk(tmp_path / "none") for x in names] and not os.path.exists(tmp_path / "out of here")
+
+
+def test_no_name_of_a_written_file_goes_to_the_driver(tmp_path, monkeypatch):
+    """What tasks say to the commit is as long for many files as for one, and spread files lie in folders of LISTED at most."""
+    monkeypatch.setattr(ranged, "LISTED", 8)
+    for spread in ("false", "true"):
+        root = tmp_path / spread
+        writer = ranged.MediaWriter({"path": str(root), "spread": spread})
+        said = [writer.write(iter([{"path": f"sub/{t}-{k}", "content": b"%d" % k} for k in range(n)])) for t, n in enumerate((1, 50, 0))]
+        assert len({len(pickle.dumps(m)) for m in said}) == 1
+        writer.write(iter([{"path": "killed", "content": b"x"}]))
+        writer.commit([*said, None])
+        found = [os.path.join(d, n) for d, _, names in os.walk(root) for n in names]
+        assert sorted(os.path.basename(f) for f in found) == sorted(["0-0", *(f"1-{k}" for k in range(50))])
+        assert all(open(f).read() == f.rpartition("-")[2] and f.split("/")[-2] == "sub" for f in found)
+        if spread == "true":
+            parts = [len(names) for _, _, names in os.walk(root) if names]
+            assert max(parts) == 8 and len(parts) == 8 and all(x.startswith("part-") for x in os.listdir(root))
+        else:
+            assert os.listdir(root) == ["sub"]

@@ -37,6 +37,11 @@ def test_preroll_is_not_broadcast(spark):
     assert broadcasts(QUERIES["preroll_by_bytes"](spark, SF)) == []
 
 
+def test_dumped_packets_are_not_listed_by_the_driver(spark):
+    found = QUERIES["packet_dump"](spark, SF)
+    assert found.inputFiles() == [] and found.count() == registry.table(spark, SF, "documents").count()
+
+
 def test_streams_are_not_broadcast(spark):
     pieces = spark.createDataFrame([(f"s{k}", 0, compose.mp3(b"x" * 3000)) for k in range(40)], "path string, seq int, data binary")
     found = packetizer.packetize(pieces)
